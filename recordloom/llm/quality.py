@@ -133,13 +133,13 @@ c as (select doc_id, i from (select *, count(*) over (partition by doc_id, gram)
 p as (select doc_id, count(distinct i + k) as n_repeat_words from c, (values (0), (1), (2)) s(k) group by 1),
 o as (select doc_id, unnest(list_distinct(l)) as x from w),
 m as (select doc_id, x, length(x) as n, length(x) - length(replace(x, '|', '')) as bars,
-    length(regexp_replace(x, '[^#*$%&<>]', '', 'g')) as marks,
+    length(x) - length(translate(x, '#*$%&<>', '')) as marks,
     (length(x) - length(replace(x, '!!', ''))) / 2 as shouts, regexp_matches(x, '[.!?…]') as ends from o),
 k as (select doc_id, sum(n) + count(*) - 1 as good from m
   where not (bars * 100 >= n * 4 or marks * 100 >= n * 10 or shouts * 100 >= n * 5 or (n >= 200 and not ends)) group by 1),
 b as (select doc_id, len(w)::bigint as n_words,
     coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::bigint as word_chars,
-    length(regexp_replace(text, '[^#*$%&|<>]', '', 'g'))::bigint as n_symbols,
+    (length(text) - length(translate(text, '#*$%&|<>', '')))::bigint as n_symbols,
     (len(l) - len(list_distinct(l)))::bigint as n_dup_lines,
     length(array_to_string(l, chr(10))) as whole from w)
 select b.doc_id, n_words, word_chars, n_symbols, n_dup_lines, coalesce(n_repeat_words, 0)::bigint as n_repeat_words,

@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
-from recordloom.llm import quality, urls, warc
+from recordloom.llm import audio, mixing, packing, quality, urls, warc
 
 QUERIES = {
+    "op4_audio_features": audio.op4_audio_features,
+    "op5_mixing": mixing.op5_mixing,
     "op6_warc": warc.op6_warc,
+    "op8_best_fit_packing": packing.op8_best_fit_packing,
     "op9_url_filters": urls.op9_url_filters,
     "op10_quality_rules": quality.op10_quality_rules,
 }
 
 SQL = {
+    "op5_mixing": mixing.SQL,
     "op6_warc": warc.SQL,
     "op9_url_filters": urls.SQL,
     "op10_quality_rules": quality.SQL,
