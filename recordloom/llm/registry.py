@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from recordloom.llm import audio, mixing, packing, quality, urls, warc
+from recordloom.llm import audio, chunks, minhash, mixing, packing, quality, urls, warc
 
 QUERIES = {
+    "op2_substring_dedup": chunks.op2_substring_dedup,
     "op4_audio_features": audio.op4_audio_features,
     "op5_mixing": mixing.op5_mixing,
     "op6_warc": warc.op6_warc,
+    "op7_ngram_jaccard_join": minhash.op7_ngram_jaccard_join,
     "op8_best_fit_packing": packing.op8_best_fit_packing,
     "op9_url_filters": urls.op9_url_filters,
     "op10_quality_rules": quality.op10_quality_rules,
