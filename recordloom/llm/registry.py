@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from recordloom.llm import audio, chunks, minhash, mixing, packing, quality, urls, warc
+from recordloom.llm import audio, chunks, minhash, mixing, packing, pitman_yor, quality, urls, warc
 
 QUERIES = {
     "op2_substring_dedup": chunks.op2_substring_dedup,
+    "op3_pitman_yor": pitman_yor.op3_pitman_yor,
     "op4_audio_features": audio.op4_audio_features,
     "op5_mixing": mixing.op5_mixing,
     "op6_warc": warc.op6_warc,
