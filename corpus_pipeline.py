@@ -4,6 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from recordloom.llm.chunks import without_repeats
+from recordloom.llm.minhash import one_of_each_class
+from recordloom.llm.mixing import mixed_documents
+from recordloom.llm.packing import pack_documents
 from recordloom.llm.quality import clean_documents
 from recordloom.sources.scratch import materialize
 
@@ -13,7 +17,33 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return clean_documents(docs)
 
 
-STAGES = [("quality rules", quality_rules)]
+def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of near copies stays."""
+    return one_of_each_class(docs)
+
+
+def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Passages that an earlier document holds are cut out."""
+    return without_repeats(docs)
+
+
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents are drawn so that token shares meet the targets."""
+    return mixed_documents(docs)
+
+
+def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """What stays is packed into sequences; one row per piece."""
+    return pack_documents(docs)
+
+
+STAGES = [
+    ("quality rules", quality_rules),
+    ("n-gram Jaccard join", ngram_jaccard_join),
+    ("substring dedup", substring_dedup),
+    ("mixing", mixing),
+    ("best-fit packing", best_fit_packing),
+]
 
 #: Later stages are not expressible in SQL; the tests compare run() with a brute-force version.
 ORACLE_SQL = None

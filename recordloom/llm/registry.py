@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from recordloom.llm import audio, chunks, minhash, mixing, packing, pitman_yor, quality, urls, warc
+from recordloom.llm import audio, chunks, minhash, mixing, packing, pitman_yor, quality, toxicity, urls, warc
 
 QUERIES = {
+    "op1_toxicity": toxicity.op1_toxicity,
     "op2_substring_dedup": chunks.op2_substring_dedup,
     "op3_pitman_yor": pitman_yor.op3_pitman_yor,
     "op4_audio_features": audio.op4_audio_features,
