@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-SQL: dict = {}
+from recordloom.plans import intake_plans, staging
+
+QUERIES = {**staging.QUERIES, **intake_plans.QUERIES}
+SQL = {**staging.SQL, **intake_plans.SQL}
