@@ -14,6 +14,8 @@ _LOWER[65:91] += 32
 _ODD = 0x9E3779B97F4A7C15
 _SYMBOL = np.random.default_rng(20240917).integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _POWERS = {}
+#: Bytes hashed at a time.
+_BLOCK = 1 << 19
 
 
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -47,7 +49,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     if _POWERS.get("n", 0) < n:
-        m = 1 << max(20, int(n).bit_length())
+        m = 1 << max(19, int(n).bit_length())
         for key, odd in (("up", _ODD), ("down", pow(_ODD, -1, 1 << 64))):
             p = np.full(m, odd, np.uint64)
             p[0] = 1
@@ -75,9 +77,14 @@ def word_bounds(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndar
 
 def word_hashes(data: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
     """64-bit hash of each word with A-Z in lower case; it depends on the word's bytes only."""
-    if not len(start):
-        return np.zeros(0, np.uint64)
-    up, down = _powers(len(data) + 1)
-    total = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_SYMBOL[_LOWER[data]] * up[: len(data)], out=total[1:])
-    return mix((total[stop] - total[start]) * down[start])
+    out = np.empty(len(start), np.uint64)
+    i = 0
+    while i < len(start):  # a block of words at a time, so that the tables of powers stay small
+        j = max(i + 1, int(np.searchsorted(stop, start[i] + _BLOCK, "right")))
+        low, high = int(start[i]), int(stop[j - 1])
+        up, down = _powers(high - low + 1)
+        total = np.zeros(high - low + 1, np.uint64)
+        np.cumsum(_SYMBOL[_LOWER[data[low:high]]] * up[: high - low], out=total[1:])
+        out[i:j] = mix((total[stop[i:j] - low] - total[start[i:j] - low]) * down[start[i:j] - low])
+        i = j
+    return out

@@ -233,9 +233,11 @@ def learn(docs: DataFrame, labels: DataFrame, most_toxic: int = MOST_TOXIC, most
         words = WordRatios(models)
         for batch in batches:
             whole, bounds = utf8(batch.column(0))
-            start, stop, at = word_bounds(whole, bounds)
-            x = text_features(words.of(whole, start, stop), at)
-            yield pa.RecordBatch.from_arrays([*(pa.array(c) for c in x.T), batch.column(1)], [*FEATURES, "toxic"])
+            for a, b in spans(bounds, BATCH_BYTES):
+                data, ends = whole[bounds[a] : bounds[b]], bounds[a : b + 1] - bounds[a]
+                start, stop, at = word_bounds(data, ends)
+                x = text_features(words.of(data, start, stop), at)
+                yield pa.RecordBatch.from_arrays([*(pa.array(c) for c in x.T), batch.column(1).slice(a, b - a)], [*FEATURES, "toxic"])
 
     seen = rows.filter("calibrate").select("text", "toxic").mapInArrow(measure, ", ".join(f"{x} double" for x in FEATURES) + ", toxic int").toPandas()
     y = seen["toxic"].to_numpy()
