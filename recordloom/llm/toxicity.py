@@ -20,11 +20,11 @@ from recordloom.llm.textbatch import spans, utf8, word_bounds, word_hashes
 from recordloom.sources.scratch import materialize
 
 #: Bound of the labelled sample: toxic and ordinary documents learned from, at most.
-MOST_TOXIC, MOST_ORDINARY = 4000, 12000
+MOST_TOXIC, MOST_ORDINARY = 3000, 9000
 #: One in so many documents of the sample calibrates, the others give counts.
 CALIBRATE = 4
-#: Longest byte n-gram, lowest order with counts of each class, discounts of shared and class counts.
-ORDER, CLASS_ORDER, SHARED_DISCOUNT, CLASS_DISCOUNT = 8, 3, 0.75, 5.0
+#: Longest byte n-gram, longest with shared counts, lowest order with counts of each class, discounts of both.
+ORDER, SHARED_ORDER, CLASS_ORDER, SHARED_DISCOUNT, CLASS_DISCOUNT = 8, 5, 3, 0.75, 5.0
 #: Words of a window, ratios above which a word says no more, words kept by a task, text bytes of a batch.
 WINDOW, MOST_RATIO, ENOUGH, CACHED_WORDS, BATCH_BYTES = 16, 25.0, 9.0, 600_000, 8 << 20
 FEATURES = ["text", "window", "two", "second", "clear"]
@@ -66,39 +66,51 @@ def gram_counts(data: np.ndarray, ends: np.ndarray, toxic: np.ndarray) -> pd.Dat
     return pd.concat(out)
 
 
+def telling_grams(counted: DataFrame) -> DataFrame:
+    """Sums n-gram counts and keeps those that the models need, with the totals of their histories.
+
+    Above SHARED_ORDER a history none of whose n-grams exceeds the class discount
+    hands all its mass to the shorter one, so its n-grams change nothing and go.
+    """
+    grams = counted.groupBy("n_order", "code").agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary"))
+    grams = materialize(grams.withColumn("past", F.call_function("shiftrightunsigned", F.col("code"), F.lit(8))), "grams")
+    least = lambda c: F.sum(F.least(F.col(c).cast("double"), F.lit(CLASS_DISCOUNT)))
+    past = grams.groupBy("n_order", "past").agg(F.sum("toxic").alias("t1"), F.sum("ordinary").alias("t0"), least("toxic").alias("m1"), least("ordinary").alias("m0"))
+    kept = grams.filter((F.col("n_order") <= SHARED_ORDER) | (F.greatest("toxic", "ordinary") > CLASS_DISCOUNT))
+    return kept.join(past, ["n_order", "past"])
+
+
 class Models:
     """Both class models over shared backoff counts, as sorted arrays per order."""
 
     def __init__(self, grams: pd.DataFrame):
         self.orders = []
-        grams = grams.assign(code=grams["code"].to_numpy().astype(np.int64).view(np.uint64))
+        unsigned = lambda x: x.to_numpy().astype(np.int64).view(np.uint64)
+        grams = grams.assign(code=unsigned(grams["code"]))
         by = {o: g.sort_values("code") for o, g in grams.groupby("n_order")}
         none = grams.iloc[:0]
+        safe = lambda n, d: np.divide(n, d, out=np.zeros(len(n)), where=d > 0)
         for o in range(1, ORDER + 1):
             g = by.get(o, none)
-            code, n1, n0 = g["code"].to_numpy(), g["toxic"].to_numpy(), g["ordinary"].to_numpy()
-            raw = (n1 + n0).astype(np.float64)
-            if o < ORDER:  # Kneser-Ney: in how many longer n-grams this one ends; those that begin a word have raw counts
-                longer = by.get(o + 1, none)["code"].to_numpy() & np.uint64((1 << 8 * o) - 1)
-                value, n = np.unique(longer, return_counts=True)
-                k = np.minimum(np.searchsorted(value, code), max(len(value) - 1, 0))
-                kn = np.where(value[k] == code, n[k], 0).astype(np.float64) if len(value) else np.zeros(len(code))
-                begins = (code >> np.uint64(8 * (o - 1))) == 0 if o > 1 else np.zeros(len(code), bool)
-                kn = np.where(begins, raw, kn)
-                kn = np.where(kn > 0, kn, raw)
-            else:
+            code, raw = g["code"].to_numpy(), (g["toxic"] + g["ordinary"]).to_numpy().astype(np.float64)
+            past, first, k = np.unique(code >> np.uint64(8), return_index=True, return_inverse=True)
+            own, back = [np.zeros(len(code))], [np.ones(len(past))]
+            if o <= SHARED_ORDER:
                 kn = raw
-            past, k = np.unique(code >> np.uint64(8), return_inverse=True)
-            total = lambda w: np.bincount(k, weights=w, minlength=len(past))
-            safe = lambda n, d: np.divide(n, d, out=np.zeros_like(n, dtype=np.float64), where=d > 0)
-            shared = total(kn)
-            own = [safe(np.maximum(kn - SHARED_DISCOUNT, 0), shared[k])]
-            back = [safe(total(np.minimum(kn, SHARED_DISCOUNT)), shared)]
-            for n in (n1, n0):
-                t = total(n)
-                own.append(safe(np.maximum(n - CLASS_DISCOUNT, 0), t[k]))
-                back.append(np.where(t > 0, safe(total(np.minimum(n, CLASS_DISCOUNT)), t), 1.0))
-            self.orders.append((code, np.stack(own) if len(code) else np.zeros((3, 0)), past, np.stack(back) if len(past) else np.ones((3, 0))))
+                if o < SHARED_ORDER:  # Kneser-Ney: in how many longer n-grams this one ends; those that begin a word have raw counts
+                    value, n = np.unique(by.get(o + 1, none)["code"].to_numpy() & np.uint64((1 << 8 * o) - 1), return_counts=True)
+                    at = np.minimum(np.searchsorted(value, code), max(len(value) - 1, 0))
+                    kn = np.where(value[at] == code, n[at], 0).astype(np.float64) if len(value) else np.zeros(len(code))
+                    begins = (code >> np.uint64(8 * (o - 1))) == 0 if o > 1 else np.zeros(len(code), bool)
+                    kn = np.where(begins | (kn == 0), raw, kn)
+                total = np.bincount(k, weights=kn, minlength=len(past))
+                own = [safe(np.maximum(kn - SHARED_DISCOUNT, 0), total[k])]
+                back = [safe(np.bincount(k, weights=np.minimum(kn, SHARED_DISCOUNT), minlength=len(past)), total)]
+            for n, t, m in (("toxic", "t1", "m1"), ("ordinary", "t0", "m0")):
+                t, m = g[t].to_numpy().astype(np.float64), g[m].to_numpy().astype(np.float64)
+                own.append(safe(np.maximum(g[n].to_numpy() - CLASS_DISCOUNT, 0), t))
+                back.append(np.where(t > 0, safe(m, t), 1.0)[first])
+            self.orders.append((code, np.stack(own), past, np.stack(back)))
 
     def ratios(self, data: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
         """Log-likelihood of each word in the toxic model less that in the ordinary one."""
@@ -114,7 +126,7 @@ class Models:
                     here[:, some[hit]] = values[:, k[hit]]
             found.append((own_here, back_here))
         p = np.full(len(place), 1 / 256)
-        for own, back in found:
+        for own, back in found[:SHARED_ORDER]:
             p = own[0] + back[0] * p
         toxic, ordinary = p, p
         for own, back in found[CLASS_ORDER - 1 :]:
@@ -222,12 +234,11 @@ def learn(docs: DataFrame, labels: DataFrame, most_toxic: int = MOST_TOXIC, most
         for batch in batches:
             whole, bounds = utf8(batch.column(0))
             toxic = batch.column(1).to_numpy(zero_copy_only=False) == 1
-            for a, b in spans(bounds, BATCH_BYTES):
+            for a, b in spans(bounds, BATCH_BYTES // 4):
                 yield pa.RecordBatch.from_pandas(gram_counts(whole[bounds[a] : bounds[b]], bounds[a : b + 1] - bounds[a], toxic[a:b]), preserve_index=False)
 
     counted = rows.filter("not calibrate").select("text", "toxic").mapInArrow(count, "n_order long, code long, toxic long, ordinary long")
-    grams = counted.groupBy("n_order", "code").agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary"))
-    models = Models(grams.toPandas())  # n-grams of the bounded sample
+    models = Models(telling_grams(counted).toPandas())  # n-grams of the bounded sample
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = WordRatios(models)
