@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from recordloom.plans import intake_plans, mining_plans, staging
+from recordloom.plans import intake_plans, mining_plans, staging, view_plans
 
-QUERIES = {**staging.QUERIES, **intake_plans.QUERIES, **mining_plans.QUERIES}
-SQL = {**staging.SQL, **intake_plans.SQL, **mining_plans.SQL}
+QUERIES = {**staging.QUERIES, **intake_plans.QUERIES, **mining_plans.QUERIES, **view_plans.QUERIES}
+SQL = {**staging.SQL, **intake_plans.SQL, **mining_plans.SQL, **view_plans.SQL}
