@@ -12,6 +12,8 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from recordloom.sources.scratch import materialize
+
 #: White space that separates words.
 BLANKS = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
@@ -117,7 +119,8 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def clean_documents(docs: DataFrame) -> DataFrame:
     """The documents that pass, with their cleaned text and its length; columns as in ``docs``."""
-    judged = judge(docs).filter("kept")
+    # stored before the filter: pushed below the projections it would repeat their work inside lambdas
+    judged = materialize(judge(docs), "judged").filter("kept")
     new = {"text": F.col("clean_text"), "n_chars": F.length("clean_text").cast("long")}
     return judged.select(*[new[c].alias(c) if c in new else F.col(f"`{c}`") for c in docs.columns])
 
