@@ -14,7 +14,7 @@ CAPTURE = T.StructType(
 ARCHIVE = T.StructType(
     [
         T.StructField("version", T.StringType()),
-        T.StructField("captures", T.ArrayType(CAPTURE)),
+        T.StructField("captures", T.ArrayType(T.StringType())),  # as JSON text: members need not be objects
         T.StructField("records", T.MapType(T.StringType(), T.StructType([T.StructField("latest", _PARSED)]))),
     ]
 )
@@ -30,7 +30,7 @@ def read_archive(spark: SparkSession, path: str) -> DataFrame:
 
 def archive_captures(archive: DataFrame) -> DataFrame:
     """A1: captures in order (``ord``); members that are no objects are skipped."""
-    rows = archive.select(F.posexplode("captures").alias("ord", "c")).filter("c is not null")
+    rows = archive.select(F.posexplode("captures").alias("ord", "c")).select("ord", F.from_json("c", CAPTURE).alias("c")).filter("c is not null")
     some = F.coalesce(*[F.col(f"c.{n}").cast("string") for n in CAPTURE.fieldNames() if n not in ("parsed", "source_queue")], F.col("c.parsed").cast("string"))
     return rows.filter(some.isNotNull()).select("ord", "c.*")
 
