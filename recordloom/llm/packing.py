@@ -9,6 +9,7 @@ bounded number of tokens and are packed independently.
 from __future__ import annotations
 
 import os
+import struct
 import zlib
 from collections.abc import Iterator
 
@@ -21,10 +22,20 @@ from recordloom.llm.textbatch import utf8
 from recordloom.sources.scratch import materialize
 
 #: Tokens of a sequence, open sequences, tokens of a packing group, words kept by an encoder.
-CAPACITY, OPEN, GROUP_TOKENS, CACHED_WORDS = 2048, 2048, 4_000_000, 400_000
+CAPACITY, OPEN, GROUP_TOKENS, CACHED_WORDS = 2048, 2048, 4_000_000, 900_000
 _ENCODERS: dict = {}
 
 
+def _byte_letters() -> dict[int, str]:
+    """Letters that stand for bytes in byte-level vocabularies: printable bytes for themselves, the others from 256 up."""
+    own = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+    rest = [b for b in range(256) if b not in own]
+    return {b: chr(b) for b in own} | {b: chr(256 + k) for k, b in enumerate(rest)}
+
+
+_LETTERS = _byte_letters()
+
+
 class WordEncoder:
     """Token ids of texts as little-endian uint32 bytes.
 
@@ -46,10 +57,29 @@ class WordEncoder:
             pass
         if len(self.known) > CACHED_WORDS:
             self.known.clear()
-        new = [w for w in set(words) if w not in self.known]
-        found = self.tokenizer.encode_batch_fast([w.decode() for w in new], add_special_tokens=False)
-        self.known.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(new, found))
-        return b"".join(map(self.known.__getitem__, words))
+        known, new, ended = self.known, [], []
+        for w in set(words).difference(known):
+            if w[-1:] in (b".", b",") and w[:-1].decode().isalpha():
+                ended.append(w)  # letters and a mark are parted before merging: the letters' ids, then the mark's
+                w = w[:-1]
+                if w in known:
+                    continue
+            new.append(w)
+        for mark in (b".", b","):
+            if mark not in known:
+                new.append(mark)
+        plain, other = [], []
+        for w in new:
+            text = w.decode()
+            (plain if text.isalpha() and max(text) < "\u0250" and "\u0130" not in text else other).append((w, text))
+        merge = self.tokenizer.model.tokenize
+        for w, text in plain:  # one run of Latin letters: lower case and bytes as letters are all that comes before merging
+            ids = [t.id for t in merge(text.lower().encode().decode("latin-1").translate(_LETTERS))]
+            known[w] = struct.pack(f"<{len(ids)}I", *ids)
+        found = self.tokenizer.encode_batch_fast([text for _, text in other], add_special_tokens=False)
+        known.update((w, np.array(e.ids, "<u4").tobytes()) for (w, _), e in zip(other, found))
+        known.update((w, known[w[:-1]] + known[w[-1:]]) for w in ended)
+        return b"".join(map(known.__getitem__, words))
 
 
 def encoder(path: str) -> WordEncoder:
