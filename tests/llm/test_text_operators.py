@@ -59,7 +59,11 @@ def test_toxicity_learns_and_generalises(spark):
 def test_chunks_resist_insertions():
     r = random.Random(3)
     text = "".join(r.choice("abcdefgh ijklm nop") for _ in range(6000))
-    cut = lambda t: {t.encode()[a:b] for a, b in zip(c := chunks.chunk_starts(*utf8(pa.array([t])))[0], [*c[1:], len(t.encode())])}
+
+    def cut(t):
+        c = chunks.chunk_starts(*utf8(pa.array([t])))[0]
+        return {t.encode()[x:y] for x, y in zip(c, [*c[1:], len(t.encode())])}
+
     a, b = cut(text), cut(text[:2000] + "INSERTED" + text[2000:])
     assert len(a - b) <= 4 and len(a) > 80
     for odd in ["é" * 3000, "a" * 5000, "x", "日本語" * 900]:
