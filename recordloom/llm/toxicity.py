@@ -24,7 +24,7 @@ MOST_TOXIC, MOST_ORDINARY = 3000, 9000
 #: One in so many documents of the sample calibrates, the others give counts.
 CALIBRATE = 4
 #: Longest byte n-gram, longest with shared counts, lowest order with counts of each class, discounts of both.
-ORDER, SHARED_ORDER, CLASS_ORDER, SHARED_DISCOUNT, CLASS_DISCOUNT = 8, 5, 3, 0.75, 5.0
+ORDER, SHARED_ORDER, CLASS_ORDER, SHARED_DISCOUNT, CLASS_DISCOUNT = 8, 4, 3, 0.75, 5.0
 #: Words of a window, ratios above which a word says no more, words kept by a task, text bytes of a batch.
 WINDOW, MOST_RATIO, ENOUGH, CACHED_WORDS, BATCH_BYTES = 16, 25.0, 9.0, 600_000, 8 << 20
 FEATURES = ["text", "window", "two", "second", "clear"]
@@ -77,7 +77,8 @@ def telling_grams(counted: DataFrame) -> DataFrame:
     least = lambda c: F.sum(F.least(F.col(c).cast("double"), F.lit(CLASS_DISCOUNT)))
     past = grams.groupBy("n_order", "past").agg(F.sum("toxic").alias("t1"), F.sum("ordinary").alias("t0"), least("toxic").alias("m1"), least("ordinary").alias("m0"))
     kept = grams.filter((F.col("n_order") <= SHARED_ORDER) | (F.greatest("toxic", "ordinary") > CLASS_DISCOUNT))
-    return kept.join(past, ["n_order", "past"])
+    small = {"n_order": "tinyint", "toxic": "int", "ordinary": "int", "t1": "float", "t0": "float", "m1": "float", "m0": "float"}
+    return kept.join(past, ["n_order", "past"]).withColumns({c: F.col(c).cast(t) for c, t in small.items()})
 
 
 class Models:
@@ -238,7 +239,7 @@ def learn(docs: DataFrame, labels: DataFrame, most_toxic: int = MOST_TOXIC, most
                 yield pa.RecordBatch.from_pandas(gram_counts(whole[bounds[a] : bounds[b]], bounds[a : b + 1] - bounds[a], toxic[a:b]), preserve_index=False)
 
     counted = rows.filter("not calibrate").select("text", "toxic").mapInArrow(count, "n_order long, code long, toxic long, ordinary long")
-    models = Models(telling_grams(counted).toPandas())  # n-grams of the bounded sample
+    models = Models(telling_grams(counted).drop("past").toArrow().to_pandas())  # n-grams of the bounded sample
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = WordRatios(models)
@@ -250,7 +251,7 @@ def learn(docs: DataFrame, labels: DataFrame, most_toxic: int = MOST_TOXIC, most
                 x = text_features(words.of(data, start, stop), at)
                 yield pa.RecordBatch.from_arrays([*(pa.array(c) for c in x.T), batch.column(1).slice(a, b - a)], [*FEATURES, "toxic"])
 
-    seen = rows.filter("calibrate").select("text", "toxic").mapInArrow(measure, ", ".join(f"{x} double" for x in FEATURES) + ", toxic int").toPandas()
+    seen = rows.filter("calibrate").select("text", "toxic").mapInArrow(measure, ", ".join(f"{x} double" for x in FEATURES) + ", toxic int").toArrow().to_pandas()
     y = seen["toxic"].to_numpy()
     if not (y == 1).any() or not (y == 0).any():
         return None
