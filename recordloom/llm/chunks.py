@@ -15,6 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
+from recordloom.llm.sized import MOST_ROWS, join_sized
 from recordloom.llm.textbatch import spans as row_spans, utf8
 from recordloom.sources.scratch import materialize
 
@@ -125,7 +126,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     chunks = chunk_table(docs.filter(F.col(f"`{id_col}`").isNotNull()), id_col, text_col)
     shared = chunks.groupBy("d1", "d2").agg(F.min("doc_id").alias("first_doc_id"), F.max("doc_id").alias("__last"))
     shared = materialize(shared.filter("first_doc_id <> __last").drop("__last"), "shared-chunks")
-    hits = chunks.join(shared, ["d1", "d2"], "left").filter("again or first_doc_id <> doc_id")
+    hits = join_sized(chunks, shared, ["d1", "d2"], "left").filter("again or first_doc_id <> doc_id")
     hits = hits.select("doc_id", "k", "start", "n_chars", F.coalesce("first_doc_id", "doc_id").alias("first_doc_id"))
     by = Window.partitionBy("doc_id").orderBy("k")
     runs = hits.distinct().withColumn("run", F.col("k") - F.row_number().over(by))
@@ -139,7 +140,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 
 def remove_spans(docs: DataFrame, spans: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` without the characters of ``spans``; documents with only white space left then go.
+    """``docs`` without the characters of ``spans`` (a stored table); documents with only white space left then go.
 
     Documents without spans stay as they are, also empty and null ones. An
     ``n_chars`` column is brought up to date.
@@ -149,6 +150,8 @@ def remove_spans(docs: DataFrame, spans: DataFrame, id_col: str = "doc_id", text
     begin = lambda i: F.when(i == 0, F.lit(0)).otherwise(F.get("__cuts", i - 1)["b"])
     end = lambda i: F.when(i == n, F.length(text)).otherwise(F.get("__cuts", i)["a"])
     left = F.array_join(F.transform(F.sequence(F.lit(0), n), lambda i: F.substring(text, begin(i) + 1, end(i) - begin(i))), "")
+    if spans.count() <= MOST_ROWS:  # else both sides shuffle
+        cuts = F.broadcast(cuts)
     joined = docs.join(cuts, F.col(f"`{id_col}`") == F.col("__id"), "left").withColumn("__text", F.when(F.col("__cuts").isNull(), text).otherwise(left))
     joined = joined.filter(F.col("__cuts").isNull() | F.col("__text").rlike(r"[^\x20\x09-\x0D]"))
     new = {text_col: F.col("__text")}

@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from recordloom.llm.components import connected_components
+from recordloom.llm.sized import join_sized
 from recordloom.llm.textbatch import mix, spans, utf8, word_bounds, word_hashes
 from recordloom.sources.scratch import materialize
 
@@ -188,9 +189,10 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     # n-gram sets of the candidates only
     members = groups.join(classes.select("node", "rep", "copies"), "node")
     members = materialize(members, "members")
-    picked = members.filter("rep is not null").select("node", "rep")
+    picked = members.filter("rep is not null")
     same_id = docs.select(F.col(f"`{id_col}`").alias("rep"), F.col(f"`{text_col}`").alias("text"))
-    texts = materialize(_with_node(same_id.join(picked.groupBy("rep").agg(F.max("node").alias("__any")), "rep", "left_semi"), words), "candidate-sets")
+    picked = materialize(picked.select("rep").distinct(), "picked")
+    texts = materialize(_with_node(join_sized(same_id, picked, "rep", "left_semi"), words), "candidate-sets")
     sets = texts.dropDuplicates(["node"])
     sizes = members.groupBy("label").agg(F.count("*").alias("n"))
     sizes = sizes.withColumn("n_blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
@@ -244,6 +246,11 @@ def one_of_each_class(docs: DataFrame) -> DataFrame:
 
     Rows without an id all stay.
     """
-    first = jaccard_join(docs).filter("class_id = doc_id").select(F.col("doc_id").alias("__id")).distinct()
-    kept = docs.join(materialize(first, "kept"), F.col("doc_id") == F.col("__id")).drop("__id").dropDuplicates(["doc_id"])
-    return kept.unionByName(docs.filter("doc_id is null"))
+    rows = materialize(jaccard_join(docs).select("doc_id", "class_id"), "class-of-row").filter("doc_id is not null")
+    ids = rows.groupBy("doc_id").agg(F.count("*").alias("n"), F.bool_or(F.col("class_id") == F.col("doc_id")).alias("named"))
+    dropped = materialize(ids.filter("not named").select("doc_id"), "dropped")
+    repeated = materialize(ids.filter("named and n > 1").select("doc_id"), "repeated")
+    kept = join_sized(docs, dropped, "doc_id", "left_anti")
+    if repeated.isEmpty():
+        return kept
+    return join_sized(kept, repeated, "doc_id", "left_anti").unionByName(join_sized(kept, repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"]))

@@ -1,0 +1,13 @@
+"""Joins that send a side to every task only after its size was checked."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, functions as F
+
+#: Rows of a narrow stored table up to which it is sent to every task.
+MOST_ROWS = 500_000
+
+
+def join_sized(big: DataFrame, small: DataFrame, on, how: str, most_rows: int = MOST_ROWS) -> DataFrame:
+    """Equi-join with a stored, narrow ``small`` side: broadcast up to ``most_rows`` rows, beyond that both sides shuffle."""
+    return big.join(F.broadcast(small) if small.count() <= most_rows else small, on, how)
