@@ -151,8 +151,8 @@ class WordRatios:
         out = np.zeros(len(key))
         out[known] = self.values[k[known]]
         new = np.flatnonzero(~known)
-        for x in range(0, len(new), 50_000):
-            some = new[x : x + 50_000]
+        for x in range(0, len(new), 15_000):
+            some = new[x : x + 15_000]
             out[some] = self.models.ratios(data, start[first[some]], stop[first[some]])
         if len(self.keys) + len(new) > CACHED_WORDS:
             self.keys, self.values = key, out
