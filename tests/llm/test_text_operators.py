@@ -155,6 +155,31 @@ def test_probabilities_sum_to_one():
     assert (tables[pairs["c"] > 0] >= 1).all() and (tables <= pairs["c"]).all()
 
 
+def test_scores_sum_to_one(spark, monkeypatch):
+    """Scores of short held-out texts give the probabilities of all words after the beginning and after the one frequent word."""
+    monkeypatch.setattr(pitman_yor, "PART_TOKENS", 4000)  # several parts
+    monkeypatch.setattr(pitman_yor, "SHARE", 0.05)
+    r = np.random.default_rng(7)
+    words = [f"w{k}" for k in range(400)]
+    share = 1 / np.arange(8, 408)
+    texts = [" ".join(r.choice(words, p=share / share.sum(), size=30)) for _ in range(600)]
+    texts = [t[: len(t) // 2] + " the " + t[len(t) // 2 :] + " the" for t in texts]
+    texts = [" the ".join(t.split()[k] for k in range(20)) if i % 3 == 0 else t for i, t in enumerate(texts)]
+    held = (k for k in range(10**6, 10**7) if zlib.crc32(str(k).encode()) % 10 == 0)
+    train = [k for k in range(2000) if zlib.crc32(str(k).encode()) % 10][: len(texts)]
+    seen = sorted({w for t in texts for w in t.split()} - {"the"})
+    asked = ["", "the", "the the", "never", "the never", *seen, *(f"the {w}" for w in seen)]
+    ids = dict(zip(asked, held))
+    rows = [*zip(train, texts), *((i, t) for t, i in ids.items())]
+    score = {x.doc_id: x.score for x in pitman_yor.score_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    p = {t: 10 ** score[i] for t, i in ids.items()}
+    end = p[""]
+    after_begin = sum(p[w] / end for w in [*seen, "never"]) + end  # all but "the"
+    after_the = sum(p[f"the {w}"] / p["the"] for w in [*seen, "the", "never"])  # all but the end
+    assert 0 < after_begin < 1 and 0 < after_the < 1
+    assert (1 - after_begin) * (1 - after_the) == pytest.approx(p["the"], rel=1e-3)
+
+
 def test_language_model_odd(spark, odd, none):
     got = pitman_yor.score_documents(odd).collect()
     assert len(got) == 9 and all(r.score < 0 and r.n_tokens >= 1 for r in got)
