@@ -8,6 +8,8 @@ before anything is joined.
 
 from __future__ import annotations
 
+import logging
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from recordloom.sources.scratch import materialize
@@ -19,6 +21,10 @@ ROUNDS = 8
 #: Topic of the registered query: the first pattern found in the text.
 TOPICS = [("lists", r"\|"), ("markup", r"[#$%&*]{3}"), ("shouting", "!!"), ("figures", "[0-9]{4}")]
 _NONE = "(none)"
+#: Of the pipeline's mixture: share of the input's tokens that it holds in expectation, sum of shares by which each
+#: marginal may miss its targets, most rounds.
+BUDGET, TOLERANCE, MOST_ROUNDS = 0.9, 0.005, 40
+_LOG = logging.getLogger(__name__)
 
 
 def topic_by_patterns(text: Column, topics=TOPICS, other: str = "prose") -> Column:
@@ -43,13 +49,36 @@ def flattened_targets(cells: DataFrame, dimensions=DIMENSIONS, power: float = FL
     return out
 
 
-def rake(cells: DataFrame, targets: dict[str, DataFrame], rounds: int = ROUNDS) -> DataFrame:
+def marginals(cells: DataFrame, targets: dict[str, DataFrame], weight: str = "weight") -> DataFrame:
+    """``dimension, value, target, reached`` of every value; ``reached`` is its share of the cells' weights."""
+    out = None
+    for d, target in targets.items():
+        now = cells.groupBy(d).agg(F.sum(weight).alias("__now")).crossJoin(cells.agg(F.sum(weight).alias("__all")))
+        part = now.join(target, d, "full").select(
+            F.lit(d).alias("dimension"), F.col(d).cast("string").alias("value"), F.coalesce("target", F.lit(0.0)).alias("target"),
+            F.coalesce(F.when(F.col("__all") > 0, F.col("__now") / F.col("__all")), F.lit(0.0)).alias("reached"),
+        )
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def furthest(found: DataFrame) -> float:
+    """Largest sum of missed shares of a dimension of ``marginals``."""
+    row = found.groupBy("dimension").agg(F.sum(F.abs(F.col("reached") - F.col("target"))).alias("off")).agg(F.max("off")).first()
+    return float(row[0] or 0)
+
+
+def rake(cells: DataFrame, targets: dict[str, DataFrame], rounds: int = ROUNDS, tolerance: float | None = None) -> DataFrame:
     """Adds ``weight``: the share of tokens that each cell should have.
 
     Each round scales the cells once per dimension to that dimension's targets.
     Values without a target, and cells without tokens, get weight 0. The table
-    is stored after every round, so the plan stays short.
+    is stored after every round, so the plan stays short. With a tolerance,
+    rounds end once every marginal misses its targets by that sum of shares at
+    most, or once a round brings them less than a twentieth nearer: targets that
+    contradict each other are never met, and more rounds would empty cells.
     """
+    before = None
     out = cells.withColumn("weight", F.col("tokens").cast("double"))
     for k in range(rounds):
         for d, target in targets.items():
@@ -57,21 +86,56 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame], rounds: int = ROUNDS)
             factor = now.join(target, d, "left").select(d, F.when(F.col("__now") > 0, F.coalesce("target", F.lit(0.0)) / F.col("__now")).otherwise(0.0).alias("__factor"))
             out = out.join(factor, d).withColumn("weight", F.col("weight") * F.col("__factor")).drop("__factor")
         out = materialize(out.select(*cells.columns, "weight"), f"rake-{k}")
+        if tolerance is not None:
+            off = furthest(marginals(out, targets))
+            if off <= tolerance or (before is not None and off > 0.95 * before):
+                break
+            before = off
     return out
 
 
+def scale_of(raked: DataFrame, budget: float) -> float:
+    """Factor of weight over tokens at which the cells hold ``budget`` of all tokens, none more than it has."""
+    size = raked.filter("tokens > 0")
+    row = size.agg(F.sum("tokens").alias("n"), F.sum("weight").alias("w")).first()
+    total, weight, scale, full = float(row["n"] or 0), float(row["w"] or 0), 0.0, -1
+    while total and weight > 0:
+        at = (budget * total - max(full, 0)) / weight
+        if at <= scale:
+            break
+        scale = at
+        whole = F.col("weight") * scale >= F.col("tokens")  # such cells are kept whole, the others make up for them
+        row = size.agg(F.sum(F.when(whole, F.col("tokens"))).alias("n"), F.sum(F.when(~whole, F.col("weight"))).alias("w")).first()
+        if float(row["n"] or 0) == full:
+            break
+        full, weight = float(row["n"] or 0), float(row["w"] or 0)
+    return scale
+
+
+def report_missed(expected: DataFrame, targets: dict[str, DataFrame], least: float = TOLERANCE) -> DataFrame:
+    """Stores ``marginals`` of the expected tokens and logs those furthest from their target."""
+    found = materialize(marginals(expected, targets, "expected"), "marginals")
+    missed = found.withColumn("off", F.abs(F.col("reached") - F.col("target"))).filter(F.col("off") > least)
+    for r in missed.orderBy(F.desc("off"), "dimension", "value").limit(20).collect():
+        _LOG.warning("%s %r has %.4f of the mixture's tokens; its target is %.4f", r["dimension"], r["value"], r["reached"], r["target"])
+    return found
+
+
 def draw(key: Column, seed: str) -> Column:
     """Uniform number in [0, 1) that depends on the key and the seed only."""
     hexed = F.substring(F.md5(F.concat(F.lit(seed + "|"), F.coalesce(key.cast("string"), F.lit("null")))), 1, 13)
     return F.conv(hexed, 16, 10).cast("long") / F.lit(float(16**13))
 
 
-def mix(docs: DataFrame, targets: dict[str, DataFrame] | None = None, id_col: str = "doc_id", text_col: str = "text", topic: Column | None = None, rounds: int = ROUNDS, seed: str = "mix") -> DataFrame:
+def mix(docs: DataFrame, targets: dict[str, DataFrame] | None = None, id_col: str = "doc_id", text_col: str = "text", topic: Column | None = None, rounds: int = ROUNDS, seed: str = "mix", budget: float | None = None, tolerance: float | None = None) -> DataFrame:
     """Adds ``topic, tokens, weight, probability, kept`` to every document.
 
     ``weight`` is the raked share over the observed share of the document's
     cell; ``probability`` is that over the largest, so expected tokens meet the
-    targets in proportion; ``kept`` draws by a hash of the id, so rows with the
+    targets in proportion. With a ``budget`` it is the weight times the factor at
+    which that share of all tokens is expected, 1 at most; values that miss their
+    target for it, or for targets that contradict each other, are stored and
+    logged. ``kept`` draws by a hash of the id, so rows with the
     same id fall alike. Null sources and languages form a cell value of their
     own. Documents without words have no tokens and weight 1 of their cell, or
     probability 0 where the whole cell has none. Columns with one of the added
@@ -89,13 +153,19 @@ def mix(docs: DataFrame, targets: dict[str, DataFrame] | None = None, id_col: st
     )
     cells = base.groupBy(F.col("__source").alias("source"), F.col("__lang").alias("lang"), "topic").agg(F.sum("tokens").alias("tokens"))
     cells = materialize(cells, "cells")
-    raked = rake(cells, targets or flattened_targets(cells), rounds)
+    targets = targets or flattened_targets(cells)
+    raked = rake(cells, targets, rounds, tolerance)
     top = raked.filter("tokens > 0").agg(F.sum("tokens").alias("n"), F.max(F.col("weight") / F.col("tokens")).alias("r")).first()
     total, most = float(top["n"] or 0), float(top["r"] or 1)
+    if budget is not None:
+        if not 0 < budget < 1:
+            raise ValueError("a budget lies between 0 and 1")
+        most = 1 / (scale_of(raked, budget) or 1)
+        report_missed(raked.withColumn("expected", F.least(F.col("weight") / F.lit(most), F.col("tokens").cast("double"))), targets)
     ratio = F.when(F.col("tokens") > 0, F.col("weight") / F.col("tokens")).otherwise(0.0)
     chance = raked.select(
         F.col("source").alias("__s"), F.col("lang").alias("__l"), F.col("topic").alias("__t"),
-        (ratio * total).alias("weight"), (ratio / most).alias("probability"),
+        (ratio * total).alias("weight"), F.least(ratio / most, F.lit(1.0)).alias("probability"),
     )
     same = (F.col("__source") == F.col("__s")) & (F.col("__lang") == F.col("__l")) & (F.col("topic") == F.col("__t"))
     out = base.join(chance, same).withColumn("kept", draw(F.col(f"`{id_col}`"), seed) < F.col("probability"))
@@ -110,7 +180,7 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def mixed_documents(docs: DataFrame) -> DataFrame:
     """The documents drawn for the mixture; columns as in ``docs``."""
-    return mix(docs).filter("kept").select(*[F.col(f"`{c}`") for c in docs.columns])
+    return mix(docs, rounds=MOST_ROUNDS, budget=BUDGET, tolerance=TOLERANCE).filter("kept").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def _sql() -> str:

@@ -84,6 +84,75 @@ def test_sample_follows_probability(spark):
     assert df.filter("u < 0.3").count() == pytest.approx(6000, abs=300) and df.filter("u < 0 or u >= 1").count() == 0
 
 
+def brute_mix(rows, budget, rounds=200):
+    """Chance and draw of each (id, text, lang, source) row, in plain Python; targets must not contradict each other."""
+    key = lambda r: (r[3] or "(none)", r[2] or "(none)", "lists" if "|" in r[1] else "prose")
+    cells = collections.Counter()
+    for r in rows:
+        cells[key(r)] += len(r[1].split())
+    targets = []
+    for d in range(3):
+        m = collections.Counter()
+        for k, n in cells.items():
+            m[k[d]] += n
+        whole = sum(n**0.9 for n in m.values())
+        targets.append({v: n**0.9 / whole for v, n in m.items()})
+    weight = {k: float(n) for k, n in cells.items()}
+    for _ in range(rounds):
+        for d, target in enumerate(targets):
+            now = collections.Counter()
+            for k, w in weight.items():
+                now[k[d]] += w
+            weight = {k: w * target[k[d]] / now[k[d]] for k, w in weight.items()}
+    total, low, high = sum(cells.values()), 0.0, 1e18
+    for _ in range(300):
+        scale = (low + high) / 2
+        low, high = (scale, high) if sum(min(n, scale * weight[k]) for k, n in cells.items()) < budget * total else (low, scale)
+    chance = {k: min(1, high * weight[k] / n) for k, n in cells.items()}
+    u = lambda i: int(hashlib.md5(f"mix|{i}".encode()).hexdigest()[:13], 16) / 16**13
+    return {r[0]: (chance[key(r)], u(r[0])) for r in rows}
+
+
+def mixed_rows():
+    r, out = random.Random(5), []
+    for s, n in (("hot", 1200), ("b", 150), ("c", 40), (None, 6)):
+        for k in range(n):
+            out.append((len(out), " ".join(["word"] * r.randint(20, 60)) + (" |" if k % 3 == 0 else ""), ("en", "de", None)[k % 5 % 3], s))
+    return out
+
+
+def test_mixture_meets_budget(spark):
+    """Chances, draws and budget against plain Python, with hot, rare and null cells."""
+    rows = mixed_rows()
+    schema = "doc_id long, text string, lang string, source string"
+    docs = spark.createDataFrame(rows, schema)
+    want = brute_mix(rows, mixing.BUDGET)
+    got = mixing.mix(docs, rounds=mixing.MOST_ROUNDS, budget=mixing.BUDGET, tolerance=1e-9).collect()
+    assert len(got) == len(rows) and all(r.probability == pytest.approx(want[r.doc_id][0], abs=1e-4) for r in got)
+    assert sum(r.tokens * r.probability for r in got) == pytest.approx(mixing.BUDGET * sum(r.tokens for r in got), rel=1e-6)
+    kept = {r.doc_id for r in mixing.mixed_documents(docs).collect()}
+    clear = {i: u < p for i, (p, u) in want.items() if abs(u - p) > 0.02}
+    assert len(clear) > 0.9 * len(rows) and all((i in kept) == k for i, k in clear.items())
+
+
+def test_tiny_cell_leaves_others(spark):
+    schema = "doc_id long, text string, lang string, source string"
+    rows = mixed_rows()
+    a, b = ({r.doc_id for r in mixing.mixed_documents(spark.createDataFrame(x, schema)).collect()} for x in (rows, [*rows, (10**6, "three | words", "xx", "new")]))
+    assert 10**6 in b and len(a ^ (b - {10**6})) <= 0.01 * len(rows) and len(b) > 0.8 * len(rows)
+
+
+def test_missed_targets_are_reported(spark, caplog):
+    cells = spark.createDataFrame([("a", "x", "t", 900), ("b", "y", "t", 100)], "source string, lang string, topic string, tokens long")
+    shares = {"source": {"a": 0.5, "b": 0.5}, "lang": {"x": 0.9, "y": 0.1}, "topic": {"t": 1.0}}
+    targets = {d: spark.createDataFrame(list(v.items()), f"{d} string, target double") for d, v in shares.items()}
+    raked = mixing.rake(cells, targets, 40, 0.001)
+    assert mixing.furthest(mixing.marginals(raked, targets)) == pytest.approx(0.8, abs=1e-6)
+    mixing.report_missed(raked.withColumn("expected", F.col("weight")), targets)
+    assert "source 'a'" in caplog.text and "lang" not in caplog.text
+    assert mixing.scale_of(raked, 0.5) * raked.filter("source = 'b'").first().weight >= 50
+
+
 # ---- WARC
 def test_warc_round_trip(spark, tmp_path):
     big = "<p>" + "é" * 200
