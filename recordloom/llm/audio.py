@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from recordloom.llm.textbatch import utf8
+from recordloom.llm.textbatch import spans as row_spans, utf8
 from recordloom.sources.scratch import shared_dir
 
 #: Stored rate, resampling factors (up, down), frame and hop at the new rate, mel bands, frames of a tensor.
@@ -26,6 +26,8 @@ RATE, UP, DOWN, FRAME, HOP, BANDS, STEPS = 12000, 2, 3, 256, 128, 24, 64
 #: Decibels below the loudest frame at which a segment begins and ends.
 BEGIN_DB, END_DB = 3.0, 6.0
 UNIT = 64
+#: Media bytes whose tensors are held at a time.
+BATCH_BYTES = 4 << 20
 
 
 def pad_payload(payload: bytes) -> bytes:
@@ -167,42 +169,81 @@ def store_media(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: st
     return docs.sparkSession.read.parquet(path)
 
 
-def media_features(stored: DataFrame, with_tensors: bool = True) -> DataFrame:
-    """Reads stored media: digests of payload and file, ``feature`` (shape, digest and active spans) and ``tensors``.
+def media_tensors(stored: DataFrame) -> DataFrame:
+    """Reads stored media: digests of payload and file, ``active`` spans (begin, end, begin, ... in seconds) and ``tensors``.
 
     ``tensors`` is an Arrow stream per document: fixed-shape log-mel tensors with
-    the time span of each. Equal media give equal features. A payload of zero
-    bytes only is a constant signal; it has one segment.
+    the time span of each. A payload of zero bytes only is a constant signal; it
+    has one segment.
     """
     kind = stored.schema["doc_id"].dataType.simpleString()
 
     def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        types = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.float64()), pa.binary()]
         for batch in batches:
             data, ends = utf8(batch.column(2))
-            out = [[] for _ in range(7)]
-            for a, b in zip(ends[:-1], ends[1:]):
-                media = data[a:b].tobytes()
-                samples, rate = from_wav(media)
-                tensor, spans, active = features(samples, rate)
-                said = ";".join(f"{s:.3f}-{e:.3f}" for s, e in active)
-                whole = np.round(tensor, 1).astype("<f4").tobytes()
-                loud = round(sum(e - s for s, e in active), 3)
-                row = (len(samples), hashlib.sha256(samples).hexdigest(), zlib.crc32(samples[-UNIT:]), len(media), hashlib.sha256(media).hexdigest(),
-                       f"logmel:{'x'.join(map(str, tensor.shape))}:{zlib.crc32(whole):08x}:active={loud}s/{len(active)}:{zlib.crc32(said.encode()):08x}",
-                       tensor_bytes(tensor_table(tensor, spans)) if with_tensors else None)
-                for c, v in zip(out, row):
-                    c.append(v)
-            types = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.binary()]
-            cols = [batch.column(0), batch.column(1), *(pa.array(c, t) for c, t in zip(out, types))]
-            yield pa.RecordBatch.from_arrays(cols[: len(_NAMES) - (not with_tensors)], _NAMES[: len(_NAMES) - (not with_tensors)])
-
-    schema = f"doc_id {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
-    return stored.select("doc_id", "n_bytes", "media").mapInArrow(compute, schema + ", tensors binary" * with_tensors)
-
-
-_NAMES = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "tensors"]
+            for x, y in row_spans(ends, BATCH_BYTES):
+                out = [[] for _ in types]
+                for a, b in zip(ends[x:y], ends[x + 1 : y + 1]):
+                    media = data[a:b].tobytes()
+                    samples, rate = from_wav(media)
+                    tensor, spans, active = features(samples, rate)
+                    row = (len(samples), hashlib.sha256(samples).hexdigest(), zlib.crc32(samples[-UNIT:]), len(media), hashlib.sha256(media).hexdigest(),
+                           [t for span in active for t in span], tensor_bytes(tensor_table(tensor, spans)))
+                    for c, v in zip(out, row):
+                        c.append(v)
+                cols = [batch.column(0).slice(x, y - x), batch.column(1).slice(x, y - x), *(pa.array(c, t) for c, t in zip(out, types))]
+                yield pa.RecordBatch.from_arrays(cols, [*_DIGESTS, "active", "tensors"])
+
+    return stored.select("doc_id", "n_bytes", "media").mapInArrow(compute, _schema(kind) + ", active array<double>, tensors binary")
+
+
+def store_tensors(stored: DataFrame, path: str) -> DataFrame:
+    """Writes ``media_tensors`` of stored media to ``path`` and returns the stored table."""
+    media_tensors(stored).write.option("compression", "zstd").parquet(path)
+    return stored.sparkSession.read.parquet(path)
+
+
+def describe(body: bytes, active: list[float]) -> str:
+    """Shape and digest of stored tensors with their time spans, and length, number and digest of the active spans."""
+    table = read_tensors(body)
+    column = table.column("log_mel").combine_chunks()
+    tensor = column.storage.flatten().to_numpy()
+    spans = np.stack([table.column(c).to_numpy() for c in ("begin_s", "end_s")]).astype("<f8")
+    digest = zlib.crc32(spans.tobytes(), zlib.crc32(np.round(tensor, 1).astype("<f4").tobytes()))
+    pairs = list(zip(active[::2], active[1::2]))
+    said = ";".join(f"{s:.3f}-{e:.3f}" for s, e in pairs)
+    loud = round(sum(e - s for s, e in pairs), 3)
+    return f"logmel:{'x'.join(map(str, (len(table), *column.type.shape)))}:{digest:08x}:active={loud}s/{len(pairs)}:{zlib.crc32(said.encode()):08x}"
+
+
+def tensor_features(table: DataFrame, with_tensors: bool = True) -> DataFrame:
+    """``feature`` of each row of ``media_tensors``, derived from its tensors and spans alone."""
+    kind = table.schema["doc_id"].dataType.simpleString()
+    names = [*_DIGESTS, "feature", *["tensors"] * with_tensors]
+
+    def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            bodies, active = batch.column(len(_DIGESTS) + 1), batch.column(len(_DIGESTS))
+            said = pa.array([describe(body.as_buffer(), spans.as_py()) for body, spans in zip(bodies, active)], pa.string())
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(len(_DIGESTS))), said, *[bodies] * with_tensors], names)
+
+    return table.select(*_DIGESTS, "active", "tensors").mapInArrow(compute, _schema(kind) + ", feature string" + ", tensors binary" * with_tensors)
+
+
+def media_features(stored: DataFrame, with_tensors: bool = True) -> DataFrame:
+    """Digests, ``feature`` and ``tensors`` of stored media, without storing the tensors. Equal media give equal features."""
+    return tensor_features(media_tensors(stored), with_tensors)
+
+
+_DIGESTS = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256"]
+
+
+def _schema(kind: str) -> str:
+    return f"doc_id {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string"
 
 
 def op4_audio_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return media_features(store_media(docs, f"{shared_dir(spark)}/media-{uuid.uuid4().hex}"), with_tensors=False)
+    media = store_media(docs, f"{shared_dir(spark)}/media-{uuid.uuid4().hex}")
+    return tensor_features(store_tensors(media, f"{shared_dir(spark)}/tensors-{uuid.uuid4().hex}"), with_tensors=False)

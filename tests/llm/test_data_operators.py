@@ -38,6 +38,28 @@ def test_audio_round_trip(spark, odd, none, tmp_path):
     assert audio.media_features(audio.store_media(none, str(tmp_path / "n"))).count() == 0
 
 
+def test_audio_query_stores_tensors(spark, small):
+    """The query leaves every document's tensors with time spans in the shared folder and derives the feature from them."""
+    import glob
+    import os
+
+    root = audio.shared_dir(spark)
+    before = set(glob.glob(f"{root}/tensors-*"))
+    got = {r.doc_id: r.feature for r in registry.QUERIES["op4_audio_features"](spark, small).collect()}
+    (path,) = set(glob.glob(f"{root}/tensors-*")) - before
+    stored = spark.read.parquet(path).collect()
+    text = {r.doc_id: (r.text or "").encode() for r in spark.read.parquet(os.path.join(small, "documents.parquet")).collect()}
+    assert {r.doc_id for r in stored} == set(text) == set(got)
+    for r in stored:
+        tensor, spans, active = audio.features(audio.pad_payload(text[r.doc_id]))
+        table = audio.read_tensors(r.tensors)
+        assert np.array_equal(table.column("log_mel").combine_chunks().to_numpy_ndarray(), tensor)
+        assert list(zip(table.column("begin_s").to_pylist(), table.column("end_s").to_pylist())) == spans
+        assert r.active == [t for span in active for t in span] and got[r.doc_id] == audio.describe(r.tensors, r.active)
+    later = audio.tensor_bytes(audio.tensor_table(tensor, [(a + 1, b + 1) for a, b in spans]))
+    assert audio.describe(later, r.active) != audio.describe(r.tensors, r.active)
+
+
 def test_audio_signal():
     rate = 12000
     t = np.arange(rate) / rate
