@@ -2,8 +2,9 @@
 
 A gear rolling hash over the last bytes picks chunk ends where it is smaller
 than all its neighbours, so an insertion moves only the chunks around it.
-Chunks are deduplicated by a 128-bit digest; runs of repeated chunks form the
-spans that are reported or removed.
+Chunks are deduplicated by a 128-bit digest; runs of repeated chunks that lie at
+neighbouring places of one earlier document form the spans that are reported or
+removed.
 """
 
 from __future__ import annotations
@@ -15,9 +16,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from recordloom.llm.sized import MOST_ROWS, join_sized
+from recordloom.llm.names import free_names, join_by_id, quoted
 from recordloom.llm.textbatch import spans as row_spans, utf8
-from recordloom.sources.scratch import materialize
+from recordloom.sources.scratch import Scratch, materialize
 
 #: A chunk end beats all hashes within so many bytes; no chunk is longer than MOST bytes.
 REACH, MOST = 24, 256
@@ -25,6 +26,8 @@ REACH, MOST = 24, 256
 LEAST_SPAN = 120
 #: Bytes that the rolling hash looks back on.
 LOOK_BACK = 16
+#: Text bytes that are chunked at a time.
+BATCH_BYTES = 1 << 20
 _GEAR = np.random.default_rng(7_654_321).integers(0, 2**32, 256, dtype=np.uint32)
 
 
@@ -78,18 +81,17 @@ def chunk_starts(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.nda
 
 
 def chunk_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per chunk: ``doc_id, k, start, n_chars, d1, d2, again`` (places in characters).
+    """One row per chunk: ``doc_id, start, n_chars, d1, d2`` (places in characters).
 
-    ``d1, d2`` are the halves of the chunk's 128-bit digest; ``again`` tells that the
-    same text holds an equal chunk before.
+    ``d1, d2`` are the halves of the chunk's 128-bit digest. Null and empty texts have no chunks.
     """
-    rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
+    rows = docs.select(quoted(id_col).alias("doc_id"), quoted(text_col).alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
 
     def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             whole, bounds = utf8(batch.column(1))
-            for a, b in row_spans(bounds, 4 << 20):
+            for a, b in row_spans(bounds, BATCH_BYTES):
                 data, ends = whole[bounds[a] : bounds[b]], bounds[a : b + 1] - bounds[a]
                 cuts, row = chunk_starts(data, ends)
                 if not len(cuts):
@@ -99,65 +101,93 @@ def chunk_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
                 digest = np.frombuffer(b"".join(hashlib.blake2b(body[x:y], digest_size=16).digest() for x, y in zip(cuts.tolist(), stops.tolist())), np.int64).reshape(-1, 2)
                 chars = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
                 begin = chars[cuts] - chars[ends[row]]
-                k = np.arange(len(cuts)) - np.searchsorted(row, row)
-                order = np.lexsort((k, digest[:, 1], digest[:, 0], row))
-                again = np.zeros(len(cuts), bool)
-                s = digest[order]
-                again[order[1:]] = (s[1:] == s[:-1]).all(axis=1) & (row[order[1:]] == row[order[:-1]])
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(pa.array(row + a)), pa.array(k.astype(np.int32)), pa.array(begin.astype(np.int32)), pa.array((chars[stops] - chars[cuts]).astype(np.int32)), pa.array(digest[:, 0]), pa.array(digest[:, 1]), pa.array(again)],
-                    ["doc_id", "k", "start", "n_chars", "d1", "d2", "again"],
+                    [batch.column(0).take(pa.array(row + a)), pa.array(begin.astype(np.int32)), pa.array((chars[stops] - chars[cuts]).astype(np.int32)), pa.array(digest[:, 0]), pa.array(digest[:, 1])],
+                    ["doc_id", "start", "n_chars", "d1", "d2"],
                 )
 
-    return rows.mapInArrow(chunks, f"doc_id {kind}, k int, start int, n_chars int, d1 long, d2 long, again boolean")
+    return rows.mapInArrow(chunks, f"doc_id {kind}, start int, n_chars int, d1 long, d2 long")
 
 
 def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST_SPAN) -> DataFrame:
-    """Spans whose chunks occur earlier: ``doc_id, start, n_chars, n_chunks, first_doc_id``.
-
-    A chunk's first place is the document with the smallest id that holds it;
-    there, only repeats inside the text count. A span is a run of neighbouring
-    repeated chunks of at least ``least`` characters; ``first_doc_id`` is the
-    first place of its longest chunk. Rows with one id count as one document;
-    rows without an id are left alone, as are null and empty texts.
-    Digests are pre-aggregated before the shuffle, so a passage in a third of
-    all documents is one row there; only repeated digests are joined back.
+    """Spans that one earlier document holds: ``doc_id, start, n_chars, n_chunks, first_doc_id, first_start``.
+
+    A chunk's first place is that in the document with the smallest id, there the
+    leftmost; every other place of its digest is a repeat. Neighbouring repeats
+    form a run; a span is a part of a run, of at least ``least`` characters, whose
+    chunks stand at neighbouring places of one earlier document (or earlier in the
+    same one), so its whole text does. The earlier document is the one that the
+    run's first places name for most characters, wherever it holds the chunk too,
+    and else that of the chunk's own first place.
+
+    Rows that repeat an id with equal text are one document. Rows without an id
+    are left alone, as are null and empty texts.
+
+    Texts are chunked once; after that only digests and places travel. Digests
+    are pre-aggregated before their shuffle, so a passage of a third of all
+    documents is one row per task there, and the stored table of first places
+    lets Spark split the hot digest when the places are joined with it.
     """
-    chunks = chunk_table(docs.filter(F.col(f"`{id_col}`").isNotNull()), id_col, text_col)
-    shared = chunks.groupBy("d1", "d2").agg(F.min("doc_id").alias("first_doc_id"), F.max("doc_id").alias("__last"))
-    shared = materialize(shared.filter("first_doc_id <> __last").drop("__last"), "shared-chunks")
-    hits = join_sized(chunks, shared, ["d1", "d2"], "left").filter("again or first_doc_id <> doc_id")
-    hits = hits.select("doc_id", "k", "start", "n_chars", F.coalesce("first_doc_id", "doc_id").alias("first_doc_id"))
-    by = Window.partitionBy("doc_id").orderBy("k")
-    runs = hits.distinct().withColumn("run", F.col("k") - F.row_number().over(by))
-    runs = runs.groupBy("doc_id", "run").agg(
-        F.min("start").alias("start"),
-        F.sum("n_chars").alias("n_chars"),
-        F.count("*").alias("n_chunks"),
-        F.max_by("first_doc_id", F.struct("n_chars", -F.col("k"))).alias("first_doc_id"),
-    )
-    return runs.filter(F.col("n_chars") >= least).drop("run")
+    work = Scratch(docs.sparkSession, "spans")
+    chunks = work.store(chunk_table(docs.filter(quoted(id_col).isNotNull()), id_col, text_col), "chunks")
+    first = chunks.groupBy("d1", "d2").agg(F.min(F.struct("doc_id", "start")).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    first = work.store(first.select("d1", "d2", F.col("first.doc_id").alias("first_doc_id"), F.col("first.start").alias("first_start")), "first")
+    hits = chunks.join(first.hint("shuffle_hash"), ["d1", "d2"]).filter("doc_id <> first_doc_id or start <> first_start")
+    hits = work.store(hits.withColumn("shift", F.col("start") - F.col("first_start")).drop("first_start"), "hits")
+    work.drop("chunks", "first")
+
+    # runs of neighbouring repeats and the earlier document that most of a run names
+    near = Window.partitionBy("doc_id").orderBy("start", "d1", "d2")
+    runs = hits.repartition("doc_id").distinct()
+    runs = runs.withColumn("begins", F.when(F.lag(F.col("start") + F.col("n_chars")).over(near) == F.col("start"), 0).otherwise(1))
+    runs = runs.withColumn("run", F.sum("begins").over(near))
+    named = F.sum("n_chars").over(Window.partitionBy("doc_id", "run", "first_doc_id", "shift"))
+    runs = runs.withColumn("named", -named).withColumn("best", F.min(F.struct("named", "first_doc_id", "shift")).over(Window.partitionBy("doc_id", "run")))
+    runs = runs.select("doc_id", "start", "n_chars", "d1", "d2", "first_doc_id", "shift", F.col("best.first_doc_id").alias("best_doc_id"), F.col("best.shift").alias("best_shift"))
+    runs = work.store(runs, "runs")
+    work.drop("hits")
+
+    # chunks first seen elsewhere: does that document hold them at the neighbouring place?
+    own = (F.col("first_doc_id") == F.col("best_doc_id")) & (F.col("shift") == F.col("best_shift"))
+    held = runs.select(F.col("doc_id").alias("best_doc_id"), F.col("start").alias("place"), "d1", "d2", F.lit(True).alias("held"))
+    asked = runs.filter(~own).withColumn("place", F.col("start") - F.col("best_shift")).join(held, ["best_doc_id", "place", "d1", "d2"], "left").withColumn("held", F.coalesce("held", F.lit(False)))
+    placed = runs.filter(own).select("doc_id", "start", "n_chars", "first_doc_id", "shift").unionByName(
+        asked.select(
+            "doc_id", "start", "n_chars",
+            F.when(F.col("held"), F.col("best_doc_id")).otherwise(F.col("first_doc_id")).alias("first_doc_id"),
+            F.when(F.col("held"), F.col("best_shift")).otherwise(F.col("shift")).alias("shift"),
+        )
+    )
+
+    line = Window.partitionBy("doc_id", "first_doc_id", "shift").orderBy("start")
+    placed = placed.repartition("doc_id").withColumn("begins", F.when(F.lag(F.col("start") + F.col("n_chars")).over(line) == F.col("start"), 0).otherwise(1))
+    spans = placed.withColumn("span", F.sum("begins").over(line)).groupBy("doc_id", "first_doc_id", "shift", "span")
+    spans = spans.agg(F.min("start").alias("start"), F.sum("n_chars").alias("n_chars"), F.count(F.lit(1)).alias("n_chunks")).filter(F.col("n_chars") >= least)
+    spans = materialize(spans.select("doc_id", "start", "n_chars", "n_chunks", "first_doc_id", (F.col("start") - F.col("shift")).alias("first_start")), "repeated-spans")
+    work.close()
+    return spans
 
 
 def remove_spans(docs: DataFrame, spans: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` without the characters of ``spans`` (a stored table); documents with only white space left then go.
+    """``docs`` without the characters of ``spans``; documents with only white space left then go.
 
-    Documents without spans stay as they are, also empty and null ones. An
-    ``n_chars`` column is brought up to date.
+    Documents without spans stay as they are, also empty and null ones and those
+    without an id; repeated rows are cut alike. An ``n_chars`` column is brought
+    up to date. Texts are dealt by id once, whatever the number of spans.
     """
-    cuts = spans.groupBy(F.col("doc_id").alias("__id")).agg(F.sort_array(F.collect_set(F.struct(F.col("start").alias("a"), (F.col("start") + F.col("n_chars")).alias("b")))).alias("__cuts"))
-    text, n = F.col(f"`{text_col}`"), F.size("__cuts")
-    begin = lambda i: F.when(i == 0, F.lit(0)).otherwise(F.get("__cuts", i - 1)["b"])
-    end = lambda i: F.when(i == n, F.length(text)).otherwise(F.get("__cuts", i)["a"])
+    key, cuts, rest = free_names(docs.columns, "key", "cuts", "rest")
+    ranges = spans.groupBy(F.col("doc_id").alias(key)).agg(F.sort_array(F.collect_set(F.struct(F.col("start").alias("a"), (F.col("start") + F.col("n_chars")).alias("b")))).alias(cuts))
+    ranges = materialize(ranges, "cuts")
+    text, n, at = quoted(text_col), F.size(cuts), F.col(cuts)
+    begin = lambda i: F.when(i == 0, F.lit(0)).otherwise(F.get(at, i - 1)["b"])
+    end = lambda i: F.when(i == n, F.length(text)).otherwise(F.get(at, i)["a"])
     left = F.array_join(F.transform(F.sequence(F.lit(0), n), lambda i: F.substring(text, begin(i) + 1, end(i) - begin(i))), "")
-    if spans.count() <= MOST_ROWS:  # else both sides shuffle
-        cuts = F.broadcast(cuts)
-    joined = docs.join(cuts, F.col(f"`{id_col}`") == F.col("__id"), "left").withColumn("__text", F.when(F.col("__cuts").isNull(), text).otherwise(left))
-    joined = joined.filter(F.col("__cuts").isNull() | F.col("__text").rlike(r"[^\x20\x09-\x0D]"))
-    new = {text_col: F.col("__text")}
+    joined = join_by_id(docs, id_col, ranges, key, "left").withColumn(rest, F.when(at.isNull(), text).otherwise(left))
+    joined = joined.filter(at.isNull() | F.col(rest).rlike(r"[^\x20\x09-\x0D]"))
+    new = {text_col: F.col(rest)}
     if "n_chars" in docs.columns and text_col != "n_chars":
-        new["n_chars"] = F.when(F.col("__cuts").isNull(), F.col("n_chars")).otherwise(F.length("__text")).cast(docs.schema["n_chars"].dataType)
-    return joined.select(*[new[c].alias(c) if c in new else F.col(f"`{c}`") for c in docs.columns])
+        new["n_chars"] = F.when(at.isNull(), F.col("n_chars")).otherwise(F.length(rest)).cast(docs.schema["n_chars"].dataType)
+    return joined.select(*[new[c].alias(c) if c in new else quoted(c) for c in docs.columns])
 
 
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -166,5 +196,5 @@ def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def without_repeats(docs: DataFrame) -> DataFrame:
-    """Documents without the passages that occur earlier."""
-    return remove_spans(docs, materialize(repeated_spans(docs), "repeated-spans"))
+    """Documents without the passages that an earlier one holds; see ``repeated_spans`` and ``remove_spans`` for odd rows."""
+    return remove_spans(docs, repeated_spans(docs))

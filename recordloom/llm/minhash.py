@@ -1,13 +1,15 @@
 """N-gram Jaccard join by MinHash banding.
 
 Signatures are cut into bands; texts that share a band hash become candidates,
-and every candidate pair is verified on the full sets of word n-grams. Copies
-are one class from the start. A candidate group is compared block against block
-in separate tasks that hand back link counts and spanning edges, never pairs.
+and candidates are verified on the full sets of word n-grams. Copies are one
+class from the start. Texts around one smallest neighbour form blocks; blocks that
+share a band are compared in separate tasks that hand back link counts and
+spanning edges, never pairs.
 """
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections.abc import Iterator
 
@@ -17,14 +19,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from recordloom.llm.components import connected_components
-from recordloom.llm.sized import join_sized
+from recordloom.llm.names import free_names, join_by_id, quoted
 from recordloom.llm.textbatch import mix, spans, utf8, word_bounds, word_hashes
-from recordloom.sources.scratch import materialize
+from recordloom.sources.scratch import Scratch, materialize
 
 #: Words of an n-gram, least similarity, wanted chance that a pair at that similarity is compared, hashes at most.
 WORDS, SIMILARITY, RECALL, MOST_HASHES = 5, 0.8, 0.9999, 128
-#: Texts of a block in verification.
-BLOCK = 256
+#: Texts and n-grams of a block in verification, at most; n-grams of a task; text bytes hashed at a time.
+BLOCK, BLOCK_GRAMS, TASK_GRAMS, BATCH_BYTES = 256, 1 << 20, 1 << 21, 1 << 20
 
 
 def choose_bands(similarity: float = SIMILARITY, recall: float = RECALL, most_hashes: int = MOST_HASHES) -> tuple[int, int]:
@@ -72,37 +74,43 @@ def _minimum(values: np.ndarray, at: np.ndarray) -> np.ndarray:
     return np.minimum.reduceat(values, at[:-1])
 
 
+def fingerprints(body: bytes, ends: np.ndarray) -> np.ndarray:
+    """128-bit digest of each text's words (A-Z in lower case), as two int64 columns."""
+    digest = (hashlib.blake2b(b" ".join(body[x:y].lower().split()), digest_size=16).digest() for x, y in zip(ends[:-1].tolist(), ends[1:].tolist()))
+    return np.frombuffer(b"".join(digest), np.int64).reshape(-1, 2)
+
+
 def signatures(docs: DataFrame, bands: int, rows: int, id_col: str, text_col: str, n: int) -> DataFrame:
-    """``doc_id, node, bands``: fingerprint of the word sequence and band hashes; null for texts without words."""
-    table = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
+    """``doc_id, d1, d2, n_grams, bands``: digest of the word sequence, n-grams in the text and band hashes; null for texts without words."""
+    table = docs.select(quoted(id_col).alias("doc_id"), quoted(text_col).alias("text"))
     kind = table.schema["doc_id"].dataType.simpleString()
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         xor, odd = _salts(bands * rows)
         for batch in batches:
             whole, bounds = utf8(batch.column(1))
-            for a, b in spans(bounds, 2 << 20):
+            for a, b in spans(bounds, BATCH_BYTES):
                 data, ends = whole[bounds[a] : bounds[b]], bounds[a : b + 1] - bounds[a]
-                grams, at, words, words_at = shingles(data, ends, n)
-                full = np.flatnonzero(np.diff(at))
+                grams, at, _, _ = shingles(data, ends, n)
+                size = np.diff(at)
+                full = np.flatnonzero(size)
                 some = np.append(at[:-1][full], at[-1])
                 out = np.zeros((len(full), bands), np.uint64)
-                node = np.zeros(0, np.int64)
                 if len(full):
                     for k in range(bands):
                         for j in range(rows):
                             low = _minimum((grams ^ xor[k * rows + j]) * odd[k * rows + j], some)
                             out[:, k] = mix(out[:, k] * np.uint64(0x9E3779B97F4A7C15) + low + np.uint64(k))
-                    place = np.arange(len(words)) - np.repeat(words_at[:-1], np.diff(words_at))
-                    sums = np.add.reduceat(mix(words + place.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)), words_at[:-1][full])
-                    node = mix(sums).view(np.int64)
-                has = np.zeros(b - a, bool)
-                has[full] = True
-                index = pa.array(np.where(has, np.cumsum(has) - 1, 0), mask=~has)
+                none = np.ones(b - a, bool)
+                none[full] = False
+                index = pa.array(np.where(none, 0, np.cumsum(~none) - 1), mask=none)
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(len(full) + 1, dtype=np.int32) * bands), pa.array(out.view(np.int64).ravel()))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(node).take(index), lists.take(index)], ["doc_id", "node", "bands"])
+                digest = fingerprints(data.tobytes(), ends)
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).slice(a, b - a), *(pa.array(digest[:, k], mask=none) for k in (0, 1)), pa.array(size), lists.take(index)], ["doc_id", "d1", "d2", "n_grams", "bands"]
+                )
 
-    return table.mapInArrow(sign, f"doc_id {kind}, node long, bands array<long>")
+    return table.mapInArrow(sign, f"doc_id {kind}, d1 long, d2 long, n_grams long, bands array<long>")
 
 
 def common_counts(left: list[np.ndarray], right: list[np.ndarray] | None) -> np.ndarray:
@@ -138,7 +146,8 @@ def linked(left: list[np.ndarray], right: list[np.ndarray] | None, similarity: f
 def _compare(pdf: pd.DataFrame, similarity: float) -> pd.DataFrame:
     """Links and spanning edges of the block pairs in one task."""
     out = []
-    for (_, i, j), g in pdf.groupby(["label", "i", "j"], sort=False):
+    for (i, j), g in pdf.groupby(["i", "j"], sort=False):
+        g = g.drop_duplicates("node")  # rows that repeat an id
         own = g[g["block"] == i]
         a = [np.frombuffer(x, np.uint64) for x in own["grams"]]
         nodes, copies = own["node"].to_numpy(), own["copies"].to_numpy()
@@ -163,6 +172,76 @@ def _compare(pdf: pd.DataFrame, similarity: float) -> pd.DataFrame:
     return pd.concat(out) if out else pd.DataFrame({"node": [], "links": [], "root": []})
 
 
+def _classes(signed: DataFrame, work: Scratch) -> DataFrame:
+    """One row per word sequence: ``node, d1, d2, rep, copies, n_grams, bands``; nodes are numbers, unique in the stored table."""
+    classes = signed.filter("d1 is not null").groupBy("d1", "d2")
+    classes = classes.agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.max("n_grams").alias("n_grams"), F.any_value("bands").alias("bands"))
+    return work.store(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
+
+
+def _blocks(classes: DataFrame, work: Scratch) -> tuple[DataFrame, DataFrame]:
+    """Blocks of texts that share bands (``node, block``), and the pairs of blocks with a band in common (``i, j``).
+
+    A bucket's hub is its smallest node, a node's key the smallest hub of its
+    buckets, so texts of one key all share a band with one text: near copies
+    come together and chains of them do not. Keys are split into blocks of at most
+    some BLOCK texts and BLOCK_GRAMS n-grams.
+    """
+    buckets = classes.select("node", F.explode("bands").alias("bucket"))
+    hubs = work.store(buckets.groupBy("bucket").agg(F.min("node").alias("hub"), F.max("node").alias("last")).filter("hub <> last").select("bucket", "hub"), "hubs")
+    members = work.store(buckets.join(hubs.hint("shuffle_hash"), "bucket"), "members")
+    keyed = work.store(members.groupBy("node").agg(F.min("hub").alias("key")).join(classes.select("node", "n_grams"), "node"), "keyed")
+    parts = F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK, F.sum("n_grams") / BLOCK_GRAMS)).cast("int")
+    parts = work.store(keyed.groupBy("key").agg(parts.alias("parts")), "parts")
+    block = F.xxhash64("key", F.pmod(F.xxhash64("node"), F.col("parts")))
+    placed = work.store(keyed.join(parts, "key").select("node", block.alias("block"), "n_grams"), "placed")
+    met = work.store(members.join(placed.select("node", "block"), "node").select("bucket", "block").distinct(), "met")
+    several = work.store(met.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("bucket"), "several")
+    met = met.join(several, "bucket")
+    cross = met.select("bucket", F.col("block").alias("i")).join(met.select("bucket", F.col("block").alias("j")), "bucket").filter("i < j").select("i", "j")
+    pairs = work.store(placed.select(F.col("block").alias("i"), F.col("block").alias("j")).unionByName(cross).distinct(), "pairs")
+    work.drop("hubs", "members", "keyed", "parts", "met", "several")
+    return placed, pairs
+
+
+def _gram_sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, words: int, work: Scratch) -> DataFrame:
+    """``node, block, copies, tasks, grams`` of the wanted classes, from the texts of their representatives.
+
+    Texts meet the classes once, by id; those that only rows without an id hold
+    are found by their digest.
+    """
+    texts = docs.select(quoted(id_col).alias("rep"), quoted(text_col).alias("text"))
+    named = texts.filter("rep is not null").join(wanted.filter("rep is not null").hint("shuffle_hash"), "rep")
+    names = ["text", "d1", "d2", "node", "block", "copies", "tasks"]
+    nameless = wanted.filter("rep is null").drop("rep")
+    found = named.select(*names)
+    if not nameless.isEmpty():
+        digests = texts.filter("rep is null").select("text").mapInArrow(_with_digest, "text string, d1 long, d2 long")
+        found = found.unionByName(digests.join(nameless.hint("shuffle_hash"), ["d1", "d2"]).select(*names))
+
+    def collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            whole, bounds = utf8(batch.column(0))
+            for a, b in spans(bounds, BATCH_BYTES):
+                data, ends = whole[bounds[a] : bounds[b]], bounds[a : b + 1] - bounds[a]
+                grams, at, _, _ = shingles(data, ends, words)
+                digest = fingerprints(data.tobytes(), ends)
+                asked = np.column_stack([batch.column(k).slice(a, b - a).to_numpy() for k in (1, 2)])
+                same = (digest == asked).all(axis=1)  # an id may stand before several texts
+                rows = pa.array(np.flatnonzero(same) + a)
+                sets = [np.unique(grams[x:y]).tobytes() for x, y, k in zip(at[:-1], at[1:], same) if k]
+                yield pa.RecordBatch.from_arrays([*(batch.column(k).take(rows) for k in range(3, 7)), pa.array(sets, pa.binary())], ["node", "block", "copies", "tasks", "grams"])
+
+    return found.mapInArrow(collect, "node long, block long, copies long, tasks array<struct<i:long,j:long>>, grams binary")
+
+
+def _with_digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        data, ends = utf8(batch.column(0))
+        digest = fingerprints(data.tobytes(), ends)
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(digest[:, 0]), pa.array(digest[:, 1])], ["text", "d1", "d2"])
+
+
 def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, similarity: float = SIMILARITY, recall: float = RECALL) -> DataFrame:
     """One row per document: ``doc_id, class_id, n_links, n_copies``.
 
@@ -172,69 +251,46 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     of other rows linked to this one (copies included), ``n_copies`` the number
     of rows with this word sequence. Null and empty texts have no n-grams, hence
     no links, and are their own class. Repeated rows are copies. Rows without an
-    id count as copies but never name a class; texts that only such rows hold are
-    not compared with others.
+    id count as copies and links but never name a class; a class of such rows
+    alone has none.
+
+    Copies are one class from the start, by a 128-bit digest. Only pairs of blocks
+    that share a band are compared, each pair of texts in exactly one task.
     """
+    work = Scratch(docs.sparkSession, "jaccard")
     bands, rows = choose_bands(similarity, recall)
-    signed = materialize(signatures(docs, bands, rows, id_col, text_col, words), "signatures")
-    classes = signed.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.any_value("bands").alias("bands"))
-    classes = materialize(classes, "classes")
+    signed = work.store(signatures(docs, bands, rows, id_col, text_col, words), "signed")
+    classes = _classes(signed, work)
+    placed, pairs = _blocks(classes, work)
+
+    # which comparisons each text takes part in; comparisons share tasks of some TASK_GRAMS n-grams
+    sides = pairs.withColumn("block", F.explode(F.array_distinct(F.array("i", "j"))))
+    tasks = work.store(sides.groupBy("block").agg(F.collect_list(F.struct("i", "j")).alias("tasks")), "tasks")
+    wanted = placed.select("node", "block").join(tasks, "block").join(classes.select("node", "d1", "d2", "rep", "copies", "n_grams"), "node")
+    wanted = work.store(wanted, "wanted")
+    moved = wanted.agg(F.sum(F.size("tasks") * F.col("n_grams"))).first()[0] or 0
+    sets = _gram_sets(docs, wanted.drop("n_grams"), id_col, text_col, words, work)
+    each = sets.select("node", "block", "copies", F.explode("tasks").alias("t"), "grams").select("node", "block", "copies", "t.i", "t.j", "grams")
+    each = each.withColumn("task", F.pmod(F.xxhash64("i", "j"), F.lit(moved // TASK_GRAMS + 1)))
+    compared = each.groupBy("task").applyInPandas(lambda pdf: _compare(pdf, similarity), "node long, links long, root long")
+    compared = work.store(compared, "compared")
 
-    # candidates: everyone in a bucket is tied to the bucket's smallest node
-    buckets = classes.select("node", F.explode("bands").alias("bucket"))
-    hubs = materialize(buckets.groupBy("bucket").agg(F.min("node").alias("hub"), F.max("node").alias("last")).filter("hub <> last").select("bucket", "hub"), "buckets")
-    ties = buckets.join(hubs, "bucket").filter("node <> hub").select(F.col("node").alias("u"), F.col("hub").alias("v"))
-    groups = materialize(connected_components(ties, "candidates"), "groups")
-
-    # n-gram sets of the candidates only
-    members = groups.join(classes.select("node", "rep", "copies"), "node")
-    members = materialize(members, "members")
-    picked = members.filter("rep is not null")
-    same_id = docs.select(F.col(f"`{id_col}`").alias("rep"), F.col(f"`{text_col}`").alias("text"))
-    picked = materialize(picked.select("rep").distinct(), "picked")
-    texts = materialize(_with_node(join_sized(same_id, picked, "rep", "left_semi"), words), "candidate-sets")
-    sets = texts.dropDuplicates(["node"])
-    sizes = members.groupBy("label").agg(F.count("*").alias("n"))
-    sizes = sizes.withColumn("n_blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
-    placed = members.join(sizes, "label").withColumn("block", F.pmod(F.xxhash64("node"), F.col("n_blocks")).cast("int"))
-    placed = placed.join(sets, "node")
-    each = placed.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)))
-    each = each.withColumns({"i": F.least("o", "block"), "j": F.greatest("o", "block")})
-    # small groups share tasks; each block pair of a large one has its own
-    many = max(1, groups.count() // (4 * BLOCK))
-    each = each.withColumn("task", F.when(F.col("n_blocks") == 1, F.pmod(F.xxhash64("label"), F.lit(many))).otherwise(F.xxhash64("label", "i", "j")))
-    compared = each.select("task", "label", "i", "j", "block", "node", "copies", "grams").groupBy("task").applyInPandas(lambda pdf: _compare(pdf, similarity), "node long, links long, root long")
-    compared = materialize(compared, "links")
-    links = compared.groupBy("node").agg(F.sum("links").alias("links"))
     joined = connected_components(compared.select(F.col("node").alias("u"), F.col("root").alias("v")), "classes")
-    known = classes.select("node", "rep", "copies").join(links, "node", "left").join(joined, "node", "left")
-    known = known.withColumn("label", F.coalesce("label", "node"))
-    named = known.groupBy("label").agg(F.min("rep").alias("class_id"))
-    known = known.join(named, "label").select("node", "class_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.col("copies").alias("n_copies"))
-    known = materialize(known, "known")
-    return signed.select("doc_id", "node").join(known, "node", "left").select(
-        "doc_id", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("n_copies", F.lit(1)).alias("n_copies")
-    )
-
-
-def _with_node(table: DataFrame, n: int) -> DataFrame:
-    """Fingerprint and n-gram set of each text (``rep, text``), as ``node, n_grams, grams``."""
-
-    def collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            whole, bounds = utf8(batch.column(1))
-            for a, b in spans(bounds, 4 << 20):
-                grams, at, words, words_at = shingles(whole[bounds[a] : bounds[b]], bounds[a : b + 1] - bounds[a], n)
-                place = np.arange(len(words)) - np.repeat(words_at[:-1], np.diff(words_at))
-                mixed = np.concatenate([[np.uint64(0)], np.cumsum(mix(words + place.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)), dtype=np.uint64)])
-                node = mix(mixed[words_at[1:]] - mixed[words_at[:-1]]).view(np.int64)
-                own = [np.unique(grams[x:y]) for x, y in zip(at[:-1], at[1:])]
-                some = np.array([len(x) > 0 for x in own], bool)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(node[some]), pa.array([len(x) for x in own if len(x)], pa.int32()), pa.array([x.tobytes() for x in own if len(x)], pa.binary())], ["node", "n_grams", "grams"]
-                )
-
-    return table.select("text", "rep").mapInArrow(lambda it: collect(b.select(["rep", "text"]) for b in it), "node long, n_grams int, grams binary")
+    named = work.store(joined.join(classes.select("node", "rep"), "node").groupBy("label").agg(F.min("rep").alias("class_id")), "named")
+    linked_to = work.store(compared.groupBy("node").agg(F.sum("links").alias("links")), "links")
+    known = joined.join(named, "label").join(linked_to, "node").select("node", "class_id", "links")
+    known = classes.select("node", "d1", "d2", "rep", "copies").join(work.store(known, "linked"), "node", "left")
+    # a class of linked texts may have an id where this text has none
+    known = known.select(
+        "d1", "d2", F.when(F.col("links").isNull(), F.col("rep")).otherwise(F.col("class_id")).alias("class_id"),
+        (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.col("copies").alias("n_copies"),
+    )
+    known = work.store(known, "known")
+    full = signed.filter("d1 is not null").select("doc_id", "d1", "d2").join(known.hint("shuffle_hash"), ["d1", "d2"]).select("doc_id", "class_id", "n_links", "n_copies")
+    none = signed.filter("d1 is null").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.lit(1).cast("long").alias("n_copies"))
+    out = materialize(full.unionByName(none), "jaccard-classes")
+    work.close()
+    return out
 
 
 def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -244,13 +300,16 @@ def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 def one_of_each_class(docs: DataFrame) -> DataFrame:
     """One document of each class of near copies: the one with the smallest id (any one of rows that repeat it).
 
-    Rows without an id all stay.
+    Rows without an id all stay, as do null and empty texts under different ids.
     """
-    rows = materialize(jaccard_join(docs).select("doc_id", "class_id"), "class-of-row").filter("doc_id is not null")
-    ids = rows.groupBy("doc_id").agg(F.count("*").alias("n"), F.bool_or(F.col("class_id") == F.col("doc_id")).alias("named"))
-    dropped = materialize(ids.filter("not named").select("doc_id"), "dropped")
-    repeated = materialize(ids.filter("named and n > 1").select("doc_id"), "repeated")
-    kept = join_sized(docs, dropped, "doc_id", "left_anti")
+    own, mark = free_names(docs.columns, "own", "mark")
+    rows = jaccard_join(docs).filter("doc_id is not null")
+    ids = rows.groupBy(F.col("doc_id").alias(own)).agg(F.count(F.lit(1)).alias("n"), F.bool_or(F.col("class_id") == F.col("doc_id")).alias("named"))
+    ids = materialize(ids, "ids")
+    kept = join_by_id(docs, "doc_id", materialize(ids.filter("not named").select(own), "dropped"), own, "left_anti")
+    repeated = ids.filter("named and n > 1").select(own)
     if repeated.isEmpty():
         return kept
-    return join_sized(kept, repeated, "doc_id", "left_anti").unionByName(join_sized(kept, repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
+    marked = join_by_id(kept, "doc_id", materialize(repeated.withColumn(mark, F.lit(True)), "repeated"), own, "left")
+    once = marked.filter(F.col(mark)).dropDuplicates(["doc_id"])
+    return marked.filter(F.col(mark).isNull()).unionByName(once).select(*[quoted(c) for c in docs.columns])

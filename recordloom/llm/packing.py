@@ -1,13 +1,15 @@
 """Tokenised documents packed into fixed-length sequences by bounded-space best fit.
 
-Each packing group keeps a fixed number of open sequences in a bitset keyed by
-free space: a piece goes to the fullest open sequence that still takes it; when
-no more may be open, the fullest closes first. Groups are dealt evenly, hold a
-bounded number of tokens and are packed independently.
+Pieces are placed one by one as they arrive. Each packing group keeps a fixed
+number of open sequences in a bitset keyed by free space: a piece goes to the
+fullest open sequence that still takes it; when no more may be open, the fullest
+closes first. Groups are dealt evenly, hold a bounded number of tokens and are
+packed independently.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import struct
 import zlib
@@ -18,11 +20,23 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from recordloom.llm.names import free_names, quoted
 from recordloom.llm.textbatch import utf8
 from recordloom.sources.scratch import materialize
 
 #: Tokens of a sequence, open sequences, tokens of a packing group, words kept by an encoder.
-CAPACITY, OPEN, GROUP_TOKENS, CACHED_WORDS = 2048, 2048, 4_000_000, 900_000
+CAPACITY, OPEN, GROUP_TOKENS, CACHED_WORDS = 2048, 128, 8_000_000, 900_000
+#: Settings of a vocabulary whose words, parted at white space, are encoded one by one.
+BY_WORDS = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+}
 _ENCODERS: dict = {}
 
 
@@ -39,8 +53,9 @@ _LETTERS = _byte_letters()
 class WordEncoder:
     """Token ids of texts as little-endian uint32 bytes.
 
-    The tokenizer never merges across white space, so each distinct word is
-    encoded once and kept, up to a fixed number of words.
+    A vocabulary with the settings BY_WORDS never merges across white space, so
+    each distinct word is encoded once and kept, up to a fixed number of words.
+    With any other settings whole texts are encoded.
     """
 
     def __init__(self, path: str):
@@ -48,9 +63,15 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.known = Tokenizer.from_file(path), {}
+        said = json.loads(self.tokenizer.to_str())
+        special = all(a["content"].startswith("<|") and a["special"] and not a["normalized"] for a in said["added_tokens"])
+        self.by_words = special and said["model"]["type"] == "BPE" and all(said[k] == v for k, v in BY_WORDS.items())
 
     def encode(self, text: bytes) -> bytes:
-        words = text.lower().split()  # A-Z only; the tokenizer lower-cases the rest itself
+        if not self.by_words:
+            return np.array(self.tokenizer.encode(text.decode(), add_special_tokens=False).ids, "<u4").tobytes()
+        # A-Z only; the tokenizer lower-cases the rest itself. Special tokens keep their case.
+        words = (text if b"<|" in text else text.lower()).split()
         try:
             return b"".join(map(self.known.__getitem__, words))
         except KeyError:
@@ -94,7 +115,7 @@ def tokenize_pieces(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", tex
     A document's ids are those of its text (null: empty) and a final 0; only
     documents over ``capacity`` are cut.
     """
-    rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
+    rows = docs.select(quoted(id_col).alias("doc_id"), quoted(text_col).alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -121,12 +142,12 @@ def tokenize_pieces(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", tex
     return rows.mapInArrow(pieces, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long" + ", ids binary" * with_ids)
 
 
-def best_fit(lengths: list[int], capacity: int, most_open: int) -> tuple[list[int], list[int]]:
-    """Sequence number and offset of each piece, in the order given."""
+def best_fit(lengths: list[int], capacity: int, most_open: int) -> tuple[list[int], list[int], list[bool]]:
+    """Sequence number and offset of each piece, in the order given, and whether an open sequence had to close for it."""
     free_of: list[int] = []
     open_by = [[] for _ in range(capacity + 1)]  # open sequences by free space
     bits, n_open = 0, 0  # bit f: some open sequence has f free
-    where, offset = [], []
+    where, offset, closed = [], [], []
     for need in lengths:
         fits = bits >> need
         if fits:
@@ -135,7 +156,9 @@ def best_fit(lengths: list[int], capacity: int, most_open: int) -> tuple[list[in
             if not open_by[f]:
                 bits &= ~(1 << f)
             n_open -= 1
+            closed.append(False)
         else:
+            closed.append(n_open >= most_open)
             if n_open >= most_open:
                 fullest = (bits & -bits).bit_length() - 1
                 open_by[fullest].pop()
@@ -151,28 +174,31 @@ def best_fit(lengths: list[int], capacity: int, most_open: int) -> tuple[list[in
             open_by[left].append(s)
             bits |= 1 << left
             n_open += 1
-    return where, offset
+    return where, offset, closed
 
 
 def pack(pieces: DataFrame, capacity: int = CAPACITY, most_open: int = OPEN, group_tokens: int = GROUP_TOKENS) -> DataFrame:
-    """Adds ``sequence_id`` and ``offset`` to stored pieces with a ``length`` of 1 to ``capacity``.
+    """Adds ``sequence_id``, ``offset`` and ``closed_one`` to stored pieces with a ``length`` of 1 to ``capacity``.
 
     Pieces are dealt in turn to groups of about ``group_tokens`` tokens, so
-    repeated rows and ids spread evenly, and each group feeds them longest
-    first. ``pieces`` must be a stored table (its rows keep their places).
+    repeated rows and ids spread evenly; a group's pieces arrive in the order of
+    the stored table. ``closed_one`` says that an open sequence, the fullest, was
+    closed to open the piece's own. ``pieces`` must be a stored table (its rows
+    keep their places).
     """
     total = pieces.agg(F.sum("length")).first()[0] or 0
     groups = max(1, round(total / group_tokens))
-    dealt = pieces.withColumn("pack_group", F.pmod(F.monotonically_increasing_id() + F.shiftright(F.monotonically_increasing_id(), 33), F.lit(groups)))
+    place, group = free_names(pieces.columns, "arrival", "pack_group")
+    dealt = pieces.withColumn(place, F.monotonically_increasing_id()).withColumn(group, F.pmod(F.col(place) + F.shiftright(place, 33), F.lit(groups)))
 
     def fill(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["length", "doc_id", "piece"], ascending=[False, True, True], kind="stable")
-        where, offset = best_fit(pdf["length"].tolist(), capacity, most_open)
-        group = int(pdf["pack_group"].iloc[0])
-        return pdf.assign(sequence_id=(group << 32) + np.array(where, np.int64), offset=np.array(offset, np.int64)).drop(columns="pack_group")
+        pdf = pdf.sort_values(place)
+        where, offset, closed = best_fit(pdf["length"].tolist(), capacity, most_open)
+        number = int(pdf[group].iloc[0]) << 32
+        return pdf.assign(sequence_id=number + np.array(where, np.int64), offset=np.array(offset, np.int64), closed_one=closed).drop(columns=[place, group])
 
     names = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema)
-    return dealt.groupBy("pack_group").applyInPandas(fill, f"{names}, sequence_id long, offset long")
+    return dealt.groupBy(group).applyInPandas(fill, f"{names}, sequence_id long, offset long, closed_one boolean")
 
 
 def sequences(packed: DataFrame) -> DataFrame:
@@ -187,10 +213,14 @@ def word_bpe_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-def pack_documents(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
-    """Packs all documents; one row per piece."""
+def pack_documents(docs: DataFrame, tokenizer: str | None = None, most_open: int = OPEN) -> DataFrame:
+    """Packs all documents; one row per piece: ``doc_id, piece, start, length, ids_crc32, sequence_id, offset, closed_one``.
+
+    Null and empty texts are the single id 0. Rows that repeat an id, and rows
+    without one, are packed each for itself. Other columns are not read.
+    """
     pieces = materialize(tokenize_pieces(docs, tokenizer or word_bpe_path()), "pieces")
-    return pack(pieces).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+    return pack(pieces, most_open=most_open).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset", "closed_one")
 
 
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
