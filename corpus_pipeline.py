@@ -13,27 +13,40 @@ from recordloom.sources.scratch import materialize
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Line-first cleaning; rejected documents go."""
+    """Line-first cleaning; rejected documents go, also null, empty and wordless ones.
+
+    Repeated rows, tied or missing ids and columns of any other name make no difference.
+    """
     return clean_documents(docs)
 
 
 def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near copies stays."""
+    """One document of each class of near copies stays: the one with the smallest id, once.
+
+    Null and empty texts are no copies of each other; rows without an id all stay.
+    """
     return one_of_each_class(docs)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Passages that an earlier document holds are cut out."""
+    """Passages that an earlier document holds are cut out; documents of which nothing is left go.
+
+    Null and empty texts and rows without an id stay as they are; rows that repeat an id are cut alike.
+    """
     return without_repeats(docs)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents are drawn so that token shares meet the targets."""
+    """Documents are drawn so that token shares meet the targets.
+
+    Null sources and languages are values of their own; rows with one id fall
+    alike; texts without words stay as far as their cell does.
+    """
     return mixed_documents(docs)
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """What stays is packed into sequences; one row per piece."""
+    """What stays is packed into sequences; one row per piece. Null and empty texts are one token."""
     return pack_documents(docs)
 
 
