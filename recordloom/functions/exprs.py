@@ -6,6 +6,7 @@ unless stated. Patterns use Java syntax with Unicode classes switched on.
 
 from __future__ import annotations
 
+import unicodedata
 from functools import reduce
 
 from pyspark.sql import Column, functions as F
@@ -13,9 +14,17 @@ from pyspark.sql import Column, functions as F
 #: Accented letters and what they fold to in matching.
 ACCENTS = "áâäéêëíóúû"
 ACCENTS_TO = "aaaeeeiouu"
-#: Latin letters of page slugs.
-SLUG_LETTERS = "áàâäãåéèêëíìîïóòôöõúùûüñçýÿ"
-SLUG_TO = "aaaaaaeeeeiiiiooooouuuuncyy"
+#: Letters of page slugs that are spelled out, or stand for another without being made of it.
+SLUG_SPELLED = [("æ", "ae"), ("œ", "oe"), ("þ", "th"), ("ß", "ss")]
+SLUG_SINGLE = {"ø": "o", "ı": "i", "ð": "d"}
+#: Base letters whose accented forms page slugs fold, and two forms that they leave alone.
+SLUG_BASES, SLUG_LEFT = "aceinosuyz", "ĩũ"
+
+
+def slug_letters() -> dict[str, str]:
+    """Accented small letters of the Latin-1 and Latin Extended-A blocks and what they fold to."""
+    parts = {c: unicodedata.normalize("NFD", c) for c in map(chr, range(0xE0, 0x180)) if c.islower() and c not in SLUG_LEFT}
+    return {c: d[0] for c, d in parts.items() if len(d) == 2 and d[0] in SLUG_BASES} | SLUG_SINGLE
 #: Character entities that ``html_to_text`` knows.
 ENTITIES = {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&apos;": "'", "&nbsp;": " ", "&amp;": "&"}
 #: Patterns of lines that are never art (prompts, figures, statistics).
@@ -65,8 +74,9 @@ def id_slug(c) -> Column:
 
 def page_slug(c) -> Column:
     """Ligatures spelled out, Latin accents folded, runs of anything else to a hyphen."""
-    spelled = reduce(lambda x, p: F.replace(x, F.lit(p[0]), F.lit(p[1])), [("æ", "ae"), ("œ", "oe"), ("ø", "o"), ("ß", "ss")], F.lower(clean(c)))
-    return _or_unknown(F.btrim(F.regexp_replace(F.translate(spelled, SLUG_LETTERS, SLUG_TO), "[^a-z0-9]+", "-"), F.lit("-")))
+    spelled = reduce(lambda x, p: F.replace(x, F.lit(p[0]), F.lit(p[1])), SLUG_SPELLED, F.lower(clean(c)))
+    letters = slug_letters()
+    return _or_unknown(F.btrim(F.regexp_replace(F.translate(spelled, "".join(letters), "".join(letters.values())), "[^a-z0-9]+", "-"), F.lit("-")))
 
 
 def strip_ansi(c) -> Column:
@@ -86,18 +96,22 @@ def first_nonblank(*columns) -> Column:
     return F.coalesce(*[blank_to_null(c) for c in columns], F.lit(""))
 
 
-def sanitise_html(c) -> Column:
+#: Elements removed with their content, elements removed alone, and the ways to write the one background that goes.
+BLOCKED, BLOCKED_VOID = ["script", "iframe", "object"], ["embed"]
+BLACK = [r"rgb\(\s*0\s*,\s*0\s*,\s*0\s*\)", "#(?:000000ff|000000|000)(?![0-9a-f])", "black"]
+
+
+def sanitise_html(c, blocked=BLOCKED, void=BLOCKED_VOID, colours=BLACK) -> Column:
     """Active content and event handlers removed; of backgrounds only black ones; style attributes tidied."""
-    rules = [
-        (r"(?is)<(script|iframe|object)\b.*?</\1>|<embed\b.*?>", ""),
-        (r"(?i)\s+on[a-z]+\s*=\s*('[^']*'|\"[^\"]*\"|[^\s>]+)", ""),
-        (r"(?i)javascript:", ""),
-        (r"(?i)background(-color)?\s*:\s*(rgb\(\s*0\s*,\s*0\s*,\s*0\s*\)|#(000000ff|000000|000)(?![0-9a-f])|black)\s*;?", ""),
-        (r"style=(['\"])\s*;?\s*\1", ""),
-        (r"style=(['\"])\s+", "style=$1"),
-        (r";\s*(['\"])", "$1"),
-    ]
-    return reduce(lambda x, r: F.regexp_replace(x, r[0], r[1]), rules, F.coalesce(col(c), F.lit("")))
+    html = F.coalesce(col(c), F.lit(""))
+    for pattern in (rf"(?is)<({'|'.join(blocked)})\b.*?</\1>", *(rf"(?is)<{e}\b.*?>" for e in void)):
+        html = F.regexp_replace(html, pattern, "")
+    value = r"(?:'[^']*'|\"[^\"]*\"|[^\s>]+)"
+    html = F.regexp_replace(html, rf"(?i)\s+on[a-z]+\s*=\s*{value}", "")
+    html = F.regexp_replace(html, "(?i)javascript:", "")
+    html = F.regexp_replace(html, rf"(?i)background(?:-color)?\s*:\s*(?:{'|'.join(colours)})\s*;?", "")
+    html = F.regexp_replace(html, r"style=(['\"])\s*;?\s*\1", "")  # nothing left in it
+    return F.regexp_replace(F.regexp_replace(html, r"style=(['\"])\s+", "style=$1"), r";\s*(['\"])", "$1")
 
 
 def normalise_text(c) -> Column:
@@ -113,10 +127,10 @@ def mask(c, pattern: str, placeholder: str) -> Column:
     return F.regexp_replace(col(c), "(?is)" + pattern, placeholder)
 
 
-def first_line(c) -> Column:
-    """The first line that is not blank, stripped."""
-    lines = F.filter(F.split(normalise_text(c), "\n"), lambda x: clean(x) != "")
-    return F.coalesce(clean(F.get(lines, 0)), F.lit(""))
+def first_line(c, normalised: bool = False) -> Column:
+    """The first line that is not blank, stripped; of a text that ``normalise_text`` gave, if so stated."""
+    # the first character that is no white space, and the rest of its line
+    return clean(F.regexp_extract(col(c) if normalised else normalise_text(c), r"(?U)^\s*(\S[^\n]*)", 1))
 
 
 _LETTER = "A-Za-zÀ-ÖØ-öø-ÿ"
@@ -209,23 +223,29 @@ def remove_word(text, term) -> Column:
     return clean(F.regexp_replace(bare, r"(?U)\s+", " "))
 
 
+#: Characters that art is drawn with, and the shares (in percent), lengths and points of the score.
+ART_MARKS = "/\\|_-+=*#~`'.:;^<>[]{}()"
+MANY_MARKS, SOME_MARKS, FEW_LETTERS, WIDE = 55, 40, 35, 35
+LONG_BODY, LONG_LINE, SHORT_BODY = 8, 12, 5
+
+
 def art_score(c) -> Column:
     """How much a line looks like character art, 0 to 5.5 in halves."""
     line = F.coalesce(col(c), F.lit(""))
     body = clean(line)
-    count = lambda x, pattern: F.length(x) - F.length(F.regexp_replace(x, pattern, ""))
-    letters, marks = count(body, r"\p{L}"), count(body, r"[/\\|_\-+=*#~`'.:;^<>\[\]{}()]")
-    solid, spaces = count(body, r"(?U)\S"), count(line, r"(?U)\s")
+    left = lambda x, pattern: F.length(x) - F.length(F.regexp_replace(x, pattern, ""))
+    letters, marks = left(body, r"\p{L}"), F.length(body) - F.length(F.translate(body, ART_MARKS, ""))
+    solid, spaces = left(body, r"(?U)\S"), left(line, r"(?U)\s")
     # share >= k / 100 without division
     at_least = lambda n, whole, pct: n * 100 >= whole * pct
-    half = lambda cond, value: F.when(cond, F.lit(value)).otherwise(F.lit(0.0))
+    when = lambda cond, points: F.when(cond, F.lit(points)).otherwise(F.lit(0.0))
     score = (
-        F.when(at_least(marks, solid, 55), 2.0).when(at_least(marks, solid, 40), 1.0).otherwise(0.0)
-        + half((letters * 100 <= solid * 35) & (F.length(body) >= 8), 1.0)
-        + half(body.rlike(r"([_/\\|*#=~.\-])\1{2,}"), 1.0)
-        + half(at_least(spaces, F.greatest(F.length(line), F.lit(1)), 35) & (F.length(line) >= 12), 0.5)
-        + half(body.rlike(r"[/\\][ _./\\|'\-]{3,}[/\\|]"), 1.0)
-        - half(F.length(body) <= 5, 1.0)
+        F.when(at_least(marks, solid, MANY_MARKS), 2.0).when(at_least(marks, solid, SOME_MARKS), 1.0).otherwise(0.0)
+        + when((letters * 100 <= solid * FEW_LETTERS) & (F.length(body) >= LONG_BODY), 1.0)
+        + when(body.rlike(r"([_/\\|*#=~.\-])\1{2,}"), 1.0)
+        + when(at_least(spaces, F.greatest(F.length(line), F.lit(1)), WIDE) & (F.length(line) >= LONG_LINE), 0.5)
+        + when(body.rlike(r"[/\\][ _./\\|'\-]{3,}[/\\|]"), 1.0)
+        - when(F.length(body) <= SHORT_BODY, 1.0)
     )
     never = reduce(lambda e, p: e | body.rlike(p), NO_ART, body == "")
     return F.when(never, 0.0).otherwise(F.greatest(score, F.lit(0.0)))

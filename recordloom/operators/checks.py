@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from recordloom.functions.exprs import clean, fold, iso_date, multi_ids
 
@@ -16,6 +16,13 @@ def _issues(df: DataFrame, level, check: str, table: str, key, message) -> DataF
     return df.select(text(level).alias("level"), F.lit(check).alias("check"), F.lit(table).alias("table_name"), F.coalesce(key.cast("string"), F.lit("")).alias("row_key"), text(message).alias("message"))
 
 
+def _key_text(df: DataFrame, c) -> Column:
+    """A key as cleaned text; only texts can have white space to strip."""
+    if isinstance(c, str) and not isinstance(df.schema[c].dataType, T.StringType):
+        return F.coalesce(F.col(c).cast("string"), F.lit(""))
+    return clean(c)
+
+
 def check_columns(spark: SparkSession, df: DataFrame | None, table: str, required: list[str]) -> DataFrame:
     """An error per missing table or column."""
     have = [] if df is None else df.columns
@@ -25,8 +32,8 @@ def check_columns(spark: SparkSession, df: DataFrame | None, table: str, require
 
 def check_unique(df: DataFrame, table: str, ids: list) -> DataFrame:
     """Ids that repeat (one row each) and rows with a blank id (one row in all)."""
-    key = F.concat_ws(",", *[clean(c) for c in ids])
-    blank = reduce(lambda a, b: a | b, [clean(c) == "" for c in ids])
+    key = F.concat_ws(",", *[_key_text(df, c) for c in ids])
+    blank = reduce(lambda a, b: a | b, [_key_text(df, c) == "" for c in ids])
     counted = df.filter(~blank).groupBy(key.alias("k")).agg(F.count("*").alias("n")).filter("n > 1")
     empty = df.filter(blank).agg(F.count("*").alias("n")).filter("n > 0")
     return _issues(counted, "error", "unique", table, F.col("k"), F.concat(F.lit("repeated "), F.col("n").cast("string"))).unionByName(
@@ -52,7 +59,7 @@ def check_dates(df: DataFrame, table: str, start, end, key) -> DataFrame:
 def check_foreign_key(df: DataFrame, table: str, column, key, target: DataFrame, target_id: str) -> DataFrame:
     """E5: ids (several may be parted by semicolons) that the target lacks; blanks pass."""
     each = df.select(F.col(key).alias("__key"), F.explode(multi_ids(column)).alias("__id"))
-    lost = each.join(target.select(clean(target_id).alias("__id")).distinct(), "__id", "left_anti")
+    lost = each.join(target.select(_key_text(target, target_id).alias("__id")).distinct(), "__id", "left_anti")
     return _issues(lost, "error", "foreign key", table, F.col("__key"), F.concat(F.lit("unknown id "), F.col("__id")))
 
 

@@ -22,18 +22,28 @@ def is_corrupt(columns: list, name, marker: str, reserved: str) -> Column:
     return reduce(lambda a, b: a | b, hits) | (fold(name) == reserved.lower())
 
 
+def capture_digest(keys: list[str]) -> Column:
+    """256-bit digest of a row's keys; null and blank differ, and no two lists of values give the same text."""
+    part = lambda k: F.coalesce(F.concat(F.length(F.col(k).cast("string")).cast("string"), F.lit(":"), F.col(k).cast("string")), F.lit("-"))
+    return F.sha2(F.concat_ws("|", *[part(k) for k in keys]), 256)
+
+
+def append_unseen(captures: DataFrame, seen: DataFrame, order: list) -> DataFrame:
+    """C3 on digests: captures (with ``digest``) whose digest is not ``seen`` and did not come earlier in this run.
+
+    Only digests are compared, so stored texts are never read here.
+    """
+    return best_per_key(captures, ["digest"], order).join(seen.select("digest").distinct(), "digest", "left_anti")
+
+
 def append_new(captures: DataFrame, stored: DataFrame, keys: list[str], order: list) -> DataFrame:
     """Captures whose key neither is stored nor came earlier in this run.
 
-    Keys are compared null-safe on a hash with the values behind it, so wide
-    texts are hashed before they travel. Running it again on its own output
-    adds nothing.
+    Keys are compared by a 256-bit digest, null-safe; of what is stored nothing
+    else travels. Running it again on its own output adds nothing.
     """
-    digest = lambda: F.xxhash64(*[F.coalesce(F.col(k).cast("string"), F.lit("")) for k in keys])
-    first = best_per_key(captures.withColumn("__h", digest()), ["__h", *keys], order)
-    have = stored.select(digest().alias("__h"), *[F.col(k).alias(f"__{k}") for k in keys]).distinct()
-    same = reduce(lambda a, k: a & F.col(k).eqNullSafe(F.col(f"__{k}")), keys, first["__h"] == have["__h"])
-    return first.join(have, same, "left_anti").drop("__h")
+    digest = capture_digest(keys)
+    return append_unseen(captures.withColumn("digest", digest), stored.select(digest.alias("digest")), order).select(*captures.columns)
 
 
 def resolve_entities(captures: DataFrame, name, entities: DataFrame, entity_name, entity_id: str, order: list) -> DataFrame:
@@ -94,24 +104,43 @@ def upsert_entities(entities: DataFrame, snapshots: DataFrame, fields: list[str]
     return both.select(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in keep], *[v.alias(k) for k, v in out.items()])
 
 
-def complete_queue(queue: DataFrame, captures: DataFrame, names: list, skip: Column, note=None) -> DataFrame:
-    """C11: queue rows marked checked by captures.
+#: Flags that close a queue row.
+CLOSED = ["true", "yes", "1"]
+
+
+def complete_queue(queue: DataFrame, captures: DataFrame, names: list, skip: Column, entities: DataFrame, note=None, snapshots: DataFrame | None = None, snapshot_note: str = "imported") -> DataFrame:
+    """C11: queue rows marked checked by captures, then by the latest snapshots.
 
-    ``queue`` has ``name, entity_id, checked, notes, ord``; ``captures`` has ``ord``.
-    Each capture tries its candidate names in order, each by queue name and then
-    by entity id (slug of the name); its first hit on an unchecked row counts.
-    A row completed by several captures keeps the note of the earliest.
+    ``queue`` has ``name, entity_id, checked, notes, ord``; ``captures`` ``ord``;
+    ``entities`` ``name, entity_id, ord``; ``snapshots`` ``name``. Each capture tries
+    its candidate names in order, each as a queue name and then as the name of an
+    entity whose id the queue has. Its first hit ends the search, whether that row
+    is open or not; an open row is marked with the note of its earliest capture. A
+    snapshot then marks the open row of its entity's id, else of its name. Of
+    queue rows, and entities, with one name or id the last counts; blanks never
+    match.
     """
     note = F.concat(F.lit("capture "), F.col("c_ord").cast("string")) if note is None else note
-    tries = captures.filter(~skip).select(F.col("ord").alias("c_ord"), F.posexplode(F.array(*[clean(n) for n in names])).alias("place", "candidate")).filter("candidate <> ''")
-    open_rows = queue.filter(~is_checked("checked")).select(F.col("ord").alias("q_ord"), fold("name").alias("q_name"), fold("entity_id").alias("q_id"))
-    by_name = tries.join(open_rows, (fold("candidate") == F.col("q_name")) & (F.col("q_name") != "")).select("c_ord", "q_ord", (F.col("place") * 2).alias("priority"))
-    by_id = tries.join(open_rows, (id_slug("candidate") == F.col("q_id")) & (F.col("q_id") != "")).select("c_ord", "q_ord", (F.col("place") * 2 + 1).alias("priority"))
-    hits = best_per_key(by_name.unionByName(by_id), ["c_ord"], ["priority", "q_ord"])
-    done = hits.withColumn("__note", note).groupBy("q_ord").agg(F.min_by("__note", "c_ord").alias("__note"))
-    out = queue.join(done, F.col("ord") == F.col("q_ord"), "left")
-    hit = F.col("q_ord").isNotNull()
-    return out.withColumns({"checked": F.when(hit, F.lit("yes")).otherwise(clean("checked")), "notes": F.when(hit, merge_note("notes", "__note")).otherwise(clean("notes"))}).drop("q_ord", "__note")
+    last = lambda df, key, value: best_per_key(df.select(key.alias("__k"), value.alias("__v"), F.col("ord").alias("__o")).filter("__k <> ''"), ["__k"], [F.col("__o").desc()])
+    by_name, by_id = last(queue, fold("name"), F.col("ord")), last(queue, clean("entity_id"), F.col("ord"))
+    ids = last(entities, fold("name"), clean("entity_id"))
+
+    def places(tries: DataFrame) -> DataFrame:
+        """Adds the queue rows that a folded ``candidate`` has by name and by its entity's id."""
+        named = tries.join(by_name.select(F.col("__k").alias("candidate"), F.col("__v").alias("q_name")), "candidate", "left")
+        known = named.join(ids.select(F.col("__k").alias("candidate"), F.col("__v").alias("__id")), "candidate", "left")
+        return known.join(by_id.select(F.col("__k").alias("__id"), F.col("__v").alias("q_id")), "__id", "left")
+
+    tries = captures.filter(~skip).select(F.col("ord").alias("c_ord"), F.posexplode(F.array(*[fold(n) for n in names])).alias("place", "candidate")).filter("candidate <> ''")
+    found = places(tries).withColumn("q_ord", F.coalesce("q_name", "q_id")).filter("q_ord is not null")
+    hits = found.groupBy("c_ord").agg(F.min_by("q_ord", "place").alias("q_ord")).withColumn("__note", note)
+    done = hits.groupBy("q_ord").agg(F.min_by("__note", "c_ord").alias("__note"))
+    out = queue.join(done, F.col("ord") == F.col("q_ord"), "left").drop("q_ord")
+    if snapshots is not None:
+        later = places(snapshots.select(fold("name").alias("candidate")).filter("candidate <> ''").distinct()).select(F.coalesce("q_id", "q_name").alias("q_ord")).filter("q_ord is not null").distinct()
+        out = out.join(later, F.col("ord") == F.col("q_ord"), "left").withColumn("__note", F.coalesce("__note", F.when(F.col("q_ord").isNotNull(), F.lit(snapshot_note)))).drop("q_ord")
+    hit = F.col("__note").isNotNull() & ~is_checked("checked", CLOSED)
+    return out.withColumns({"checked": F.when(hit, F.lit("yes")).otherwise(clean("checked")), "notes": F.when(hit, merge_note("notes", "__note")).otherwise(clean("notes"))}).drop("__note")
 
 
 def upsert_sources(sources: DataFrame, new: DataFrame, fill: list[str]) -> DataFrame:
@@ -130,16 +159,21 @@ def intake_metrics(flagged: DataFrame, flags: list[str]) -> DataFrame:
     return flagged.agg(F.count("*").alias("captures"), *[F.count_if(F.col(f)).alias(f) for f in flags])
 
 
+#: Columns with a capture's time, the best first.
+TIMES = ["captured_at", "captured_datetime", "captured_date"]
+
+
 def intake(captures: DataFrame, entities: DataFrame, stored: DataFrame, prefix: str, marker: str, reserved: str) -> dict[str, DataFrame]:
     """C1 to C8, C13 as one job: records to append and metrics; nothing is written here.
 
     ``captures``: ``ord, query_name, raw_text, header, character_name, captured_at,
-    captured_date, captured_epoch, status``; ``entities``: ``entity_id, name, ord``;
+    captured_datetime, captured_date, captured_epoch, status`` (a time that the
+    table lacks is blank); ``entities``: ``entity_id, name, ord``;
     ``stored``: earlier records (``record_id, name_key, captured_at, raw_text``).
     """
     missing = is_not_found("raw_text", "header", prefix)
     corrupt = is_corrupt(["raw_text", "header"], "character_name", marker, reserved)
-    named = captures.withColumns({"name": first_nonblank("character_name", "query_name"), "captured_at": first_nonblank("captured_at", "captured_date"), "raw_text": clean("raw_text"), "not_found": missing, "corrupt": corrupt})
+    named = captures.withColumns({"name": first_nonblank("character_name", "query_name"), "captured_at": first_nonblank(*[c for c in TIMES if c in captures.columns]), "raw_text": clean("raw_text"), "not_found": missing, "corrupt": corrupt})
     named = named.withColumn("name_key", fold("name"))
     new = append_new(named, stored, ["name_key", "captured_at", "raw_text"], ["ord"])
     found = resolve_entities(new, "name", entities, "name", "entity_id", [F.col("ord").desc()])

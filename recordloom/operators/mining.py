@@ -9,8 +9,9 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from recordloom.functions.exprs import art_score, clean, fold, is_name_like, split_names, trim_name
 from recordloom.operators.ranking import best_per_key
 
-#: Form of a heading: a letter and 1 to 32 letters, blanks, slashes, underscores or hyphens before a colon.
-HEADING = r"^([A-Za-z][A-Za-z /_-]{1,32})\s*:\s*(.*)$"
+#: Form of a heading (a letter and 1 to 32 letters, blanks, slashes, underscores or hyphens before a colon) and of a name.
+HEAD = r"^([A-Za-z][A-Za-z /_-]{1,32})\s*:"
+HEADING = HEAD + r"\s*(.*)$"
 NAME = "[A-ZÀ-ÖØ-Þ][A-Za-zÀ-ÖØ-öø-ÿ'’-]{1,24}"
 
 
@@ -58,7 +59,7 @@ def headed_names(texts: DataFrame, key: str, text: str, headings: list[str], kno
     heading, rest = clean(F.regexp_extract("line", HEADING, 1)), clean(F.regexp_extract("line", HEADING, 2))
     rows = rows.withColumns({"heading": heading, "rest": rest}).filter(F.lower("heading").isin(*[h.lower() for h in headings]))
     after = F.slice("ls", F.col("pos") + 2, F.lit(following))
-    stop = lambda x: (x == "") | x.rlike(r"^[A-Za-z][A-Za-z /_-]{1,32}\s*:")
+    stop = lambda x: (x == "") | x.rlike(HEAD)
     flags = F.transform(after, stop)
     until = F.when(F.array_contains(flags, True), F.array_position(flags, True).cast("int") - 1).otherwise(F.size(after))
     source = F.when(F.col("rest") != "", F.col("rest")).otherwise(F.array_join(F.slice(after, F.lit(1), until), ", "))
@@ -98,7 +99,8 @@ def art_clusters(numbered: DataFrame, least: float = 1.5, gap: int = 2, few: int
     cluster has most lines, then the highest score, then comes first; fewer than
     ``few`` lines with less than ``strong`` points in all are no art.
     """
-    scored = numbered.withColumn("score", art_score("line")).filter(F.col("score") >= least)
+    # a row number stops the filter from moving below the score, which would be worked out twice
+    scored = numbered.withColumns({"score": art_score("line"), "__row": F.monotonically_increasing_id()}).filter((F.col("score") >= least) & (F.col("__row") >= 0)).drop("__row")
     by = Window.partitionBy("key").orderBy("pos")
     begins = F.when(F.col("pos") - F.lag("pos").over(by) <= gap, 0).otherwise(1)
     islands = scored.withColumn("__b", begins).withColumn("island", F.sum("__b").over(by))

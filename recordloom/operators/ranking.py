@@ -24,18 +24,23 @@ def numbered_slugs(df: DataFrame, slug: str, order: list, name: str = "page_slug
 def mint_ids(new: DataFrame, base: str, order: list, taken: DataFrame, name: str = "minted_id", separator: str = "_") -> DataFrame:
     """Ids from a base: the bare base, then suffixes from 2, skipping ids in ``taken`` (column ``id``).
 
-    The k-th new row of a base gets its k-th free suffix. Only the taken numbers
-    of bases that are minted travel; a base with many taken ids makes a long
-    array, one with many new rows does not.
+    The k-th new row of a base gets its k-th free suffix. A taken number t, the
+    j-th of its base, has t - j free ones below it, so it moves up every new row
+    from the (t - j + 1)-th on: taken numbers and new rows are counted in one
+    sorted pass, whatever the number of either. Only the taken numbers of bases
+    that are minted travel.
     """
     bases = new.select(F.col(base).alias("__b")).distinct()
-    whole = taken.select(F.col("id").alias("__b"), F.lit(1).alias("__n"), F.col("id"))
+    whole = taken.select(F.col("id").alias("__b"), F.lit(1).alias("__n"))
     tail = F.regexp_extract("id", rf"{separator}(\d+)$", 1)
     parts = taken.filter(tail != "").select(F.regexp_replace("id", rf"{separator}\d+$", "").alias("__b"), tail.try_cast("int").alias("__n"), "id")
-    parts = parts.filter((F.col("__n") >= 2) & (F.col("id") == F.concat("__b", F.lit(separator), F.col("__n").cast("string"))))
-    used = whole.unionByName(parts).join(bases, "__b", "left_semi").groupBy("__b").agg(F.sort_array(F.collect_set("__n")).alias("__used"))
-    k = F.row_number().over(Window.partitionBy(base).orderBy(*order))
-    out = new.withColumn("__k", k).join(used, F.col(base) == F.col("__b"), "left")
-    # each taken number not above the running place moves it up by one
-    place = F.aggregate(F.coalesce("__used", F.array().cast("array<int>")), F.col("__k"), lambda at, u: F.when(u <= at, at + 1).otherwise(at))
-    return out.withColumn(name, F.when(place == 1, F.col(base)).otherwise(F.concat(base, F.lit(separator), place.cast("string")))).drop("__k", "__b", "__used")
+    parts = parts.filter((F.col("__n") >= 2) & (F.col("id") == F.concat("__b", F.lit(separator), F.col("__n").cast("string")))).drop("id")
+    used = whole.unionByName(parts).distinct().join(bases, "__b", "left_semi")
+    used = used.select("__b", (F.col("__n") - F.row_number().over(Window.partitionBy("__b").orderBy("__n")) + 1).alias("__at"), F.lit(1).alias("__taken"))
+    rows = new.withColumns({"__b": F.col(base), "__at": F.row_number().over(Window.partitionBy(base).orderBy(*order)), "__taken": F.lit(0)})
+    # taken numbers come first among equals
+    before = F.sum("__taken").over(Window.partitionBy("__b").orderBy("__at", F.col("__taken").desc()).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    place = F.col("__at") + F.col("__moved")
+    out = rows.unionByName(used, allowMissingColumns=True).withColumn("__moved", before).filter("__taken = 0")
+    minted = F.when(place == 1, F.col(base)).otherwise(F.concat(base, F.lit(separator), place.cast("string")))
+    return out.withColumn(name, minted).drop("__b", "__at", "__taken", "__moved")

@@ -98,15 +98,24 @@ def supersede(captures: DataFrame, keys: DataFrame, good: Column, quality: str =
     ).drop("__stays", "__by")
 
 
-def best_display(captures: DataFrame, name, quality, present: list, order: list) -> DataFrame:
-    """The best usable capture per folded name: not-found, low and empty ones go; quality first, then which
-    of the ``present`` columns are filled, then ``order``."""
+def capture_time(capture_id) -> Column:
+    """The timestamp inside a capture id: ten or more digits between colons, else blank."""
+    return F.coalesce(F.regexp_extract(clean(capture_id), r":(\d{10,}):", 1), F.lit(""))
+
+
+def best_display(captures: DataFrame, name, quality, needed: list, ranked: list, order: list) -> DataFrame:
+    """The best usable capture per folded name (nameless ones are one group).
+
+    Not-found and low captures go, and those where all of the ``needed`` columns
+    are blank. Quality counts first, then which of the ``ranked`` columns are
+    filled, in their order, then ``order``. The first row of each task's groups is
+    picked before the shuffle, so a hot name does not travel.
+    """
     q = clean(quality)
     rank = F.when(q == "high", 4).when(q == "medium", 3).when(q == "", 2).when(q == "low", 1).otherwise(0)
-    usable = captures.filter(~q.isin("not_found", "low"))
-    usable = usable.filter(clean(present[0]) != "") if len(present) == 1 else usable.filter((clean(present[0]) != "") | (clean(present[1]) != ""))
-    keyed = usable.withColumn("name_key", fold(name))
-    return best_per_key(keyed, ["name_key"], [rank.desc(), *[(clean(p) != "").desc() for p in present], *order])
+    filled = F.greatest(*[clean(c) != "" for c in needed]) if len(needed) > 1 else clean(needed[0]) != ""
+    keyed = captures.filter(~q.isin("not_found", "low") & filled).withColumn("name_key", fold(name))
+    return best_per_key(keyed, ["name_key"], [rank.desc(), *[(clean(c) != "").desc() for c in ranked], *order])
 
 
 def index_of(captures: DataFrame, entities: DataFrame, name: str, flags: dict[str, object]) -> DataFrame:

@@ -23,18 +23,28 @@ def work_queue(queue: DataFrame, name: str, checked: str | None, order: str, pri
 
 
 def bucket_samples(rows: DataFrame, buckets: dict[str, tuple[Column, int | None]], order: list) -> DataFrame:
-    """The first rows of each bucket up to its cap (None: all); a row may fall into several."""
-    hit = F.explode(F.array_compact(F.array(*[F.when(c, F.struct(F.lit(b).alias("bucket"), F.lit(n if n is not None else 2**31 - 1).alias("cap"))) for b, (c, n) in buckets.items()])))
-    each = rows.withColumn("__b", hit).withColumns({"bucket": F.col("__b.bucket"), "__cap": F.col("__b.cap")}).drop("__b")
-    place = F.row_number().over(Window.partitionBy("bucket").orderBy(*order))
-    return each.withColumn("place", place).filter(F.col("place") <= F.col("__cap")).drop("__cap")
+    """The first rows of each bucket up to its cap (None: all); a row may fall into several.
+
+    Capped buckets are cut to the greatest cap in each task before they travel. A
+    bucket without a cap is sorted whole to number its rows.
+    """
+    def sample(some: dict[str, tuple[Column, int | None]]) -> DataFrame:
+        hit = F.explode(F.array_compact(F.array(*[F.when(c, F.struct(F.lit(b).alias("bucket"), F.lit(n).cast("int").alias("cap"))) for b, (c, n) in some.items()])))
+        each = rows.withColumn("__b", hit).withColumns({"bucket": F.col("__b.bucket"), "__cap": F.col("__b.cap")}).drop("__b")
+        each = each.withColumn("place", F.row_number().over(Window.partitionBy("bucket").orderBy(*order)))
+        most = [n for _, n in some.values() if n is not None]
+        return (each.filter(F.col("place") <= max(most)).filter(F.col("place") <= F.col("__cap")) if most else each).drop("__cap")
+
+    parts = [{b: v for b, v in buckets.items() if (v[1] is None) == free} for free in (False, True)]
+    return reduce(DataFrame.unionByName, [sample(p) for p in parts if p])
 
 
 def kind_samples(rows: DataFrame, kind: str, caps: dict[str, int], order: list) -> DataFrame:
     """The first rows of each listed kind, as many as its cap."""
     cap = reduce(lambda e, r: e.when(F.col(kind) == r[0], r[1]), caps.items(), F.when(F.lit(False), 0))
     place = F.row_number().over(Window.partitionBy(kind).orderBy(*order))
-    return rows.filter(F.col(kind).isin(*caps)).withColumn("place", place).filter(F.col("place") <= cap)
+    # the literal limit lets each task keep its first rows only
+    return rows.filter(F.col(kind).isin(*caps)).withColumn("place", place).filter(F.col("place") <= max(caps.values())).filter(F.col("place") <= cap)
 
 
 def kind_counts(rows: DataFrame, kind: str) -> DataFrame:

@@ -21,20 +21,16 @@ def matches(texts: DataFrame, text: str, key: str, vocab: DataFrame, term: str)
     vocabulary's columns prefixed ``v_``.
 
     ``vocab`` has an ``ord``; it is broadcast by Spark only when its size allows.
-    Terms without a word character are compared with every text: they form a
-    branch of their own, empty for most vocabularies.
+    A term without a word character meets the texts that hold its first character.
     """
     v = vocab.select(*[F.col(c).alias(f"v_{c}") for c in vocab.columns]).withColumns({"v_norm": norm(f"v_{term}"), "v_term": clean(f"v_{term}")}).filter("v_norm <> ''")
-    v = v.withColumn("__first", F.regexp_extract("v_norm", r"(?U)\w+", 0))
+    word = F.regexp_extract("v_norm", r"(?U)\w+", 0)
+    v = v.withColumn("__first", F.when(word != "", word).otherwise(F.left("v_norm", F.lit(1))))
     t = texts.select(F.col(key).alias("key"), norm(text).alias("__t")).distinct()
-    words = t.select("key", "__t", F.explode(F.array_distinct(F.regexp_extract_all("__t", F.lit(r"(?U)\w+"), F.lit(0)))).alias("__w"))
+    words = t.select("key", "__t", F.explode(F.array_distinct(F.regexp_extract_all("__t", F.lit(r"(?U)\w+|[^\w\s]"), F.lit(0)))).alias("__w"))
     whole = F.expr(r"__t rlike concat('(?U)(?<!\\w)\\Q', v_norm, '\\E(?!\\w)')")
     keep = ["key", *[c for c in v.columns if c != "__first"]]
-    worded = words.join(v.filter("__first <> ''"), F.col("__w") == F.col("__first")).filter(whole).select(*keep)
-    bare = v.filter("__first = ''")
-    if bare.isEmpty():
-        return worded
-    return worded.unionByName(t.join(bare, whole).select(*keep))
+    return words.join(v, F.col("__w") == F.col("__first")).filter(whole).select(*keep)
 
 
 def longest_match(texts: DataFrame, text: str, key: str, vocab: DataFrame, term: str) -> DataFrame:

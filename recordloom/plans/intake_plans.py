@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from recordloom.functions import exprs as E
 from recordloom.operators import checks, intake, recapture
 from recordloom.operators.ranking import numbered_slugs
-from recordloom.plans.tables import sql_fold, sql_id_slug, sql_normalise, sql_page_slug, table
+from recordloom.sources.scratch import shared_dir
+from recordloom.streaming.intake_stream import stream_intake
+from recordloom.plans.tables import sql_clean, sql_fold, sql_id_slug, sql_normalise, sql_page_slug, table
 
 # ---- intake -----------------------------------------------------------------
 _PREFIX, _MARKER = "the ", "###"
@@ -59,8 +63,8 @@ def c8_entity_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def c9_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A third of the customers known; the latest order of each customer is a snapshot."""
-    c = table(spark, sf_dir, "customer").filter("c_custkey % 3 = 0")
+    """Customers in credit are known; the latest order of each customer is a snapshot."""
+    c = table(spark, sf_dir, "customer").filter("c_acctbal > 0")
     known = c.select(F.col("c_custkey").cast("string").alias("name"), F.col("c_mktsegment").alias("status"), F.lit("").alias("level"), F.lit("").alias("first_seen"), F.lit("2000-01-01").alias("last_seen"), F.lit("").alias("checked"), F.lit("old").alias("notes"))
     o = table(spark, sf_dir, "orders")
     shots = o.select(F.col("o_custkey").cast("string").alias("name"), F.when(F.col("o_orderstatus") != "P", F.col("o_orderstatus")).alias("status"), F.col("o_orderpriority").alias("level"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("seen_on"), "o_orderkey", "o_orderpriority")
@@ -68,11 +72,42 @@ def c9_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def c11_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """C11: customers as queue, orders as captures with the key, then the next key, as candidate names."""
-    c = table(spark, sf_dir, "customer")
-    queue = c.select(F.col("c_custkey").alias("ord"), F.col("c_custkey").cast("string").alias("name"), F.concat(F.lit("id_"), F.col("c_nationkey").cast("string")).alias("entity_id"), F.when(F.col("c_mktsegment") == "BUILDING", "yes").otherwise("no").alias("checked"), F.lit("").alias("notes"))
-    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("ord"), F.col("o_custkey").cast("string").alias("n1"), (F.col("o_custkey") + 1).cast("string").alias("n2"), "o_orderstatus")
-    return intake.complete_queue(queue, o, [F.lit(""), "n1", "n2"], F.col("o_orderstatus") != "F").select(F.col("ord").alias("c_custkey"), "checked", "notes")
+    """C11: customers as queue (one half by id alone) and, in credit, as entities; orders as captures with the key, then the next key, as
+    candidate names; urgent open orders as snapshots."""
+    c = table(spark, sf_dir, "customer").withColumns({"ord": F.col("c_custkey"), "key": F.col("c_custkey").cast("string")})
+    queue = c.select("ord", F.when(F.col("c_nationkey") % 2 == 0, F.col("key")).alias("name"), F.concat(F.lit("id_"), "key").alias("entity_id"), F.when(F.col("c_mktsegment") == "BUILDING", "yes").otherwise("no").alias("checked"), F.lit("").alias("notes"))
+    entities = c.filter("c_acctbal > 0").select("ord", F.col("key").alias("name"), F.concat(F.lit("id_"), "key").alias("entity_id"))
+    o = table(spark, sf_dir, "orders").withColumns({"ord": F.col("o_orderkey"), "n1": F.col("o_custkey").cast("string"), "n2": (F.col("o_custkey") + 1).cast("string")})
+    shots = o.filter("o_orderstatus = 'O' and o_orderpriority = '1-URGENT'").select(F.col("n1").alias("name"))
+    out = intake.complete_queue(queue, o.select("ord", "n1", "n2", "o_orderstatus"), [F.lit(""), "n1", "n2"], F.col("o_orderstatus") != "F", entities, snapshots=shots)
+    return out.select(F.col("ord").alias("c_custkey"), "checked", "notes")
+
+
+def c2_intake(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """C1 to C6 as one job: turns of conversations as captures with one of three times, customers as entities."""
+    c = table(spark, sf_dir, "conversations")
+    at = lambda k: F.when(F.col("turn") % 3 == k, F.concat(F.lit(f"t{k}_"), F.col("turn").cast("string")))
+    caps = c.select(
+        (F.col("conv_id") * 1000 + F.col("turn")).alias("ord"), F.col("role").alias("query_name"), F.col("text").alias("raw_text"), F.lit(None).cast("string").alias("header"),
+        F.when(F.col("turn") % 2 == 0, F.col("conv_id").cast("string")).alias("character_name"), at(0).alias("captured_at"), at(1).alias("captured_datetime"), at(2).alias("captured_date"),
+        F.lit("").alias("captured_epoch"), F.lit("known").alias("status"), "conv_id", "turn",
+    )
+    entities = table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("string").alias("name"), F.concat(F.lit("e"), F.col("c_custkey").cast("string")).alias("entity_id"), F.col("c_custkey").alias("ord"))
+    stored = spark.createDataFrame([], "record_id string, name_key string, captured_at string, raw_text string")
+    out = intake.intake(caps, entities, stored, "the ", "###", "system")["records"]
+    return out.select("conv_id", "turn", "name", "captured_at", "entity_id", "status", "confidence", "record_id")
+
+
+def c14_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """C14: events arriving as files, taken by the stream, with all of them sent twice."""
+    e = _events(spark, sf_dir).select("ord", "user", "event_type", "amount")
+    path = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    e.unionByName(e.withColumn("ord", F.col("ord") + 10**9)).write.parquet(f"{path}/in")
+    query = stream_intake(spark, f"{path}/in", e.schema, f"{path}/out", f"{path}/progress", ["user", "event_type", "amount"], ["ord"])
+    query.awaitTermination()
+    if query.exception():
+        raise query.exception()
+    return spark.read.schema(e.schema).parquet(f"{path}/out").select("ord", F.col("user").cast("long").alias("user_id"), "event_type", F.col("amount").cast("double").alias("value"))
 
 
 def c12_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -136,22 +171,30 @@ def d9_supersede(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _labelled(spark, sf_dir):
+    """Documents as captures: some have text only, some markup only, some both; the id holds a time."""
     l = table(spark, sf_dir, "labels").groupBy("doc_id").agg(F.max("quality").alias("q"))
     d = table(spark, sf_dir, "documents").join(l, "doc_id", "left")
     q = F.when(F.col("q") == 1, "high").when(F.col("q") == 0, "low").otherwise("")
-    return d.select("doc_id", "source", "lang", "n_chars", "text", q.alias("capture_quality"))
+    return d.select(
+        "doc_id", "source", F.when(F.length("text") % 7 > 2, F.col("text")).alias("raw_text"), F.when(F.contains("text", F.lit("|")), F.col("text")).alias("raw_html"), F.when(F.col("lang") == "de", F.col("text")).alias("raw_decho"),
+        q.alias("capture_quality"), F.concat(F.lit("q:"), (F.col("n_chars") + 10**9).cast("string"), F.lit(":"), F.col("doc_id").cast("string")).alias("capture_id"),
+    )
+
+
+def _best_display(captures):
+    order = [recapture.capture_time("capture_id").desc(), F.col("capture_id").desc()]
+    return recapture.best_display(captures, "source", "capture_quality", ["raw_text", "raw_html"], ["raw_html", "raw_decho"], order)
 
 
 def d11_best_display(spark: SparkSession, sf_dir: str) -> DataFrame:
-    best = recapture.best_display(_labelled(spark, sf_dir), "source", "capture_quality", ["text"], [F.col("n_chars").desc(), "doc_id"])
-    return best.select("name_key", "doc_id", "capture_quality")
+    return _best_display(_labelled(spark, sf_dir)).select("name_key", "doc_id", "capture_quality")
 
 
 def d12_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Index of the chosen documents with an entity id and flags."""
-    best = recapture.best_display(_labelled(spark, sf_dir), "source", "capture_quality", ["text"], [F.col("n_chars").desc(), "doc_id"])
     n = table(spark, sf_dir, "nation").select(F.concat(F.lit("src"), F.col("n_nationkey").cast("string")).alias("name_key"), F.col("n_name").alias("entity_id"))
-    return recapture.index_of(best, n, "source", {"has_text": "text", "has_quality": "capture_quality"}).select("doc_id", "name_key", "entity_id", "has_text", "has_quality")
+    out = recapture.index_of(_best_display(_labelled(spark, sf_dir)), n, "source", {"has_text": "raw_text", "has_quality": "capture_quality"})
+    return out.select("doc_id", "name_key", "entity_id", "has_text", "has_quality")
 
 
 def d13_evidence_index(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -166,7 +209,7 @@ def d14_slugs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def d15_quality_shift(spark: SparkSession, sf_dir: str) -> DataFrame:
     l = _labelled(spark, sf_dir)
-    return recapture.quality_shift(l, recapture.best_display(l, "source", "capture_quality", ["text"], [F.col("n_chars").desc(), "doc_id"]), "capture_quality")
+    return recapture.quality_shift(l, _best_display(l), "capture_quality")
 
 
 # ---- checks ------------------------------------------------------------------
@@ -192,6 +235,12 @@ def _check_query(name: str):
     return run
 
 
+def e1_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Columns and tables that are missing, one of each."""
+    o = table(spark, sf_dir, "orders")
+    return checks.validate(checks.check_columns(spark, o, "orders", ["o_orderkey", "o_channel", "o_clerk"]), checks.check_columns(spark, None, "shipments", ["s_id"]))
+
+
 def e9_issue_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """E9 (with E1): all findings counted by level and check."""
     columns = checks.check_columns(spark, table(spark, sf_dir, "orders"), "orders", ["o_orderkey", checks.first_existing(table(spark, sf_dir, "orders"), ["priority", "o_orderpriority"])])
@@ -200,10 +249,10 @@ def e9_issue_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "c1_flags": c1_flags, "c3_append_new": c3_append_new, "c4_resolve": c4_resolve, "c6_notes": c6_notes, "c7_record_ids": c7_record_ids, "c8_entity_ids": c8_entity_ids,
-    "c9_upsert": c9_upsert, "c11_queue": c11_queue, "c12_sources": c12_sources, "c13_metrics": c13_metrics,
+    "c9_upsert": c9_upsert, "c2_intake": c2_intake, "c14_stream": c14_stream, "c11_queue": c11_queue, "c12_sources": c12_sources, "c13_metrics": c13_metrics,
     "d1_first_alias": d1_first_alias, "d2_all_aliases": d2_all_aliases, "d4_changes": d4_changes, "d6_line_changes": d6_line_changes, "d7_class_counts": d7_class_counts,
     "d9_supersede": d9_supersede, "d11_best_display": d11_best_display, "d12_index": d12_index, "d13_evidence_index": d13_evidence_index, "d14_slugs": d14_slugs, "d15_quality_shift": d15_quality_shift,
-    **{n: _check_query(n) for n in ("e2_unique", "e3_allowed", "e4_dates", "e5_foreign_key", "e6_repeated_names", "e7_unlinked")}, "e9_issue_counts": e9_issue_counts,
+    **{n: _check_query(n) for n in ("e2_unique", "e3_allowed", "e4_dates", "e5_foreign_key", "e6_repeated_names", "e7_unlinked")}, "e1_columns": e1_columns, "e9_issue_counts": e9_issue_counts,
 }
 
 _flags = f"""select doc_id, starts_with({sql_fold('text')}, 'the ') or starts_with({sql_fold('lang')}, 'the ') as not_found,
@@ -229,8 +278,9 @@ select source, n_captures, latest_ord, previous_ord, case when previous_ord is n
   when {_head('a')} <> '' and {_head('a')} = {_head('b')} then 'same_header_but_body_differs_review' else 'different_review' end as change,
   concat_ws(';', case when contains(latest, '###') then '###' end, case when contains(latest, '!!') then '!!' end, case when contains(latest, ' the ') then ' the ' end, case when contains(latest, ' de ') then ' de ' end) as hits from q"""
 _lab = """with l as (select doc_id, max(quality) as q from labels group by 1),
-d as (select doc_id, source, lang, n_chars, text, case q when 1 then 'high' when 0 then 'low' else '' end as capture_quality from documents left join l using (doc_id)),
-b as (select *, lower(source) as name_key from (select *, row_number() over (partition by lower(source) order by case capture_quality when 'high' then 4 else 2 end desc, n_chars desc, doc_id) as k from d where capture_quality <> 'low' and trim(text) <> '') where k = 1)"""
+d as (select doc_id, source, lang, n_chars, contains(text, '|') as html, length(text) % 7 > 2 and trim(text) <> '' as plain, case q when 1 then 'high' when 0 then 'low' else '' end as capture_quality from documents left join l using (doc_id)),
+b as (select *, lower(coalesce(source, '')) as name_key from (select *, row_number() over (partition by lower(coalesce(source, '')) order by case capture_quality when 'high' then 4 else 2 end desc, html desc, coalesce(lang, '') = 'de' desc,
+  (1000000000 + n_chars)::varchar desc, 'q:' || (1000000000 + n_chars) || ':' || doc_id desc) as k from d where capture_quality <> 'low' and (plain or html)) where k = 1)"""
 _issue = lambda level, check, t, key, msg, rest: f"select {level} as level, '{check}' as \"check\", '{t}' as table_name, {key} as row_key, {msg} as message {rest}"
 _E = {
     "e2_unique": _issue("'error'", "unique", "lineitem", "l_orderkey || ',' || l_linenumber", "'repeated ' || count(*)", "from lineitem group by l_orderkey, l_linenumber having count(*) > 1"),
@@ -251,15 +301,24 @@ where k = 1 and not exists (select 1 from events s where s.event_id % 2 = 0 and
     "c9_upsert": """
 with s as (select * from (select o_custkey::varchar as name, case when o_orderstatus <> 'P' then o_orderstatus end as status, o_orderpriority as level, strftime(o_orderdate, '%Y-%m-%d') as seen,
   row_number() over (partition by o_custkey order by o_orderkey desc) as k from orders where o_orderpriority <> '5-LOW') where k = 1),
-c as (select c_custkey::varchar as name, c_mktsegment as status from customer where c_custkey % 3 = 0)
+c as (select c_custkey::varchar as name, c_mktsegment as status from customer where c_acctbal > 0)
 select coalesce(c.name, s.name) as name, coalesce(s.status, c.status, '') as status, coalesce(s.level, '') as level, coalesce(s.seen, '') as first_seen,
   case when c.name is null then s.seen else '2000-01-01' end as last_seen, case when s.name is null then '' else 'yes' end as checked,
   case when c.name is null then 'seen in archive' when s.name is null then 'old' else 'old | seen in archive' end as notes from c full join s on c.name = s.name""",
     "c11_queue": """
-with q as (select * from customer where c_mktsegment <> 'BUILDING'),
-h as (select o_orderkey, c_custkey, row_number() over (partition by o_orderkey order by c_custkey) as k from orders join q on c_custkey in (o_custkey, o_custkey + 1) where o_orderstatus = 'F'),
-d as (select c_custkey, min(o_orderkey) as o from h where k = 1 group by 1)
-select c.c_custkey, case when d.o is not null or c_mktsegment = 'BUILDING' then 'yes' else 'no' end as checked, coalesce('capture ' || d.o, '') as notes from customer c left join d on c.c_custkey = d.c_custkey""",
+with r as (select c_custkey as k, c_mktsegment = 'BUILDING' as closed, c_nationkey % 2 = 0 or c_acctbal > 0 as found from customer),
+h as (select o_orderkey, case when a.found then a.k when b.found then b.k end as k from orders left join r a on a.k = o_custkey left join r b on b.k = o_custkey + 1 where o_orderstatus = 'F'),
+d as (select k, min(o_orderkey) as o from h where k is not null group by 1),
+s as (select distinct r.k from orders join r on r.k = o_custkey where found and o_orderstatus = 'O' and o_orderpriority = '1-URGENT')
+select r.k as c_custkey, case when closed or d.o is not null or s.k is not null then 'yes' else 'no' end as checked,
+  case when closed then '' when d.o is not null then 'capture ' || d.o when s.k is not null then 'imported' else '' end as notes from r left join d on r.k = d.k left join s on r.k = s.k""",
+    "c2_intake": f"""
+with c as (select conv_id, turn, {sql_clean('text')} as raw, coalesce(text, '') as text, case when turn % 2 = 0 then conv_id::varchar else role end as name, 't' || turn % 3 || '_' || turn as captured_at, turn % 2 = 0 as named from conversations),
+f as (select *, row_number() over (partition by lower(name), captured_at, raw order by conv_id, turn) as k from c),
+n as (select *, starts_with(lower({sql_clean('text')}), 'the ') as nf, contains(text, '###') or (named and lower(name) = 'system') as bad from f where k = 1)
+select conv_id, turn, name, captured_at, coalesce('e' || c_custkey, '') as entity_id, case when nf then 'not_found' else 'known' end as status, case when nf then 'high' when bad then 'low' else 'medium' end as confidence,
+  'rec_' || lower(name) || '_' || (conv_id * 1000 + turn) as record_id from n left join customer on name = c_custkey::varchar""",
+    "c14_stream": "select event_id as ord, user_id, event_type, value from (select *, row_number() over (partition by user_id, event_type, value order by event_id) as k from events) where k = 1",
     "c12_sources": """select source as source_id, 'docs ' || count(*) as title, case when count(*) filter (where doc_id % 3 = 0) > 0 then 'listed | counted' else 'counted' end as notes from documents where source is not null group by source""",
     "c13_metrics": f"with f as ({_flags}) select count(*) as captures, count(*) filter (where not_found) as not_found, count(*) filter (where corrupt) as corrupt from f",
     "d1_first_alias": "select conv_id, turn, case when conv_id % 4 = 0 then conv_id::varchar else role end as alias from conversations where conv_id % 4 = 0 or role = 'assistant'",
@@ -276,10 +335,11 @@ k as (select event_id, unnest([u, t]) as key from e where event_id % 3 <> 0), g
 p as (select event_id, bool_or(coalesce(k.event_id = good, false)) as stays, string_agg(key || ':' || good, ';' order by key) filter (where good is not null) as later from k left join g using (key) group by 1)
 select e.event_id, case when not stays then 'low' else quality end as quality, case when not stays then quality end as original_quality, case when not stays then coalesce(later, '') end as superseded_by from e left join p using (event_id)""",
     "d11_best_display": f"{_lab} select name_key, doc_id, capture_quality from b",
-    "d12_index": f"{_lab} select doc_id, name_key, coalesce(n_name, '') as entity_id, 'yes' as has_text, case when capture_quality <> '' then 'yes' else 'no' end as has_quality from b left join nation on name_key = 'src' || n_nationkey",
+    "d12_index": f"{_lab} select doc_id, name_key, coalesce(n_name, '') as entity_id, case when plain then 'yes' else 'no' end as has_text, case when capture_quality <> '' then 'yes' else 'no' end as has_quality from b left join nation on name_key = 'src' || n_nationkey",
     "d13_evidence_index": f"select page_id, {sql_page_slug('url')} as slug, length(html) as n_chars from pages where trim(html) <> '' and trim(url) <> ''",
     "d14_slugs": f"with s as (select p_partkey, {sql_page_slug('p_name')} as s from part) select p_partkey, case row_number() over w when 1 then s else s || '-' || row_number() over w end as page_slug from s window w as (partition by s order by p_partkey)",
     "d15_quality_shift": f"{_lab}, x as (select capture_quality as q, count(*) as n from d group by 1), y as (select capture_quality as q, count(*) as n from b group by 1) select q as quality, coalesce(x.n, 0) as n_before, coalesce(y.n, 0) as n_after from x full join y using (q)",
     **_E,
+    "e1_columns": "select 'error' as level, 'columns' as \"check\", * from (values ('orders', 'o_channel', 'missing column'), ('orders', 'o_clerk', 'missing column'), ('shipments', '', 'missing table')) t(table_name, row_key, message)",
     "e9_issue_counts": "select level, \"check\", count(*) as n from (" + " union all ".join(f"({q})" for q in _E.values()) + ") group by all",
 }

@@ -42,7 +42,8 @@ def f10_classified(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def f11_frequencies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = vocab.frequencies(f10_classified(spark, sf_dir), ["race", "base_class", "faction", "status"], "p_partkey", 3)
+    """the hundred most frequent values of six attributes."""
+    out = vocab.frequencies(f10_classified(spark, sf_dir), ["race", "subrace", "base_class", "class_title", "faction", "status"], "p_partkey", 100)
     return out.select("attribute", "value", "n", F.col("place").cast("long").alias("place"))
 
 
@@ -174,9 +175,10 @@ SQL = {
     "f1_longest_match": rf"with {_d}, {_tit}, m as (select descriptor, title, row_number() over (partition by descriptor order by length(title) desc, ord) as k from d join t on regexp_matches(lower(descriptor), '\b' || title || '\b')) select descriptor, title as term from m where k = 1",
     "f2_all_matches": rf"with {_d}, {_tit} select descriptor, string_agg(title, ';' order by length(title) desc, ord) as terms from d join t on regexp_matches(lower(descriptor), '\b' || title || '\b') group by 1",
     "f10_classified": f"{_class} select * from f",
-    "f11_frequencies": f"""{_class}, x as (select 'race' as attribute, race as v, p_partkey from f union all select 'base_class', base_class, p_partkey from f union all select 'faction', faction, p_partkey from f union all select 'status', status, p_partkey from f),
+    "f11_frequencies": f"""{_class}, x as (select 'race' as attribute, race as v, p_partkey from f union all select 'subrace', subrace, p_partkey from f union all select 'base_class', base_class, p_partkey from f
+  union all select 'class_title', class_title, p_partkey from f union all select 'faction', faction, p_partkey from f union all select 'status', status, p_partkey from f),
 y as (select attribute, coalesce(nullif(v, ''), '(blank)') as value, count(*) as n, min(p_partkey) as first from x group by all)
-select attribute, value, n, place from (select *, row_number() over (partition by attribute order by n desc, first) as place from y) where place <= 3""",
+select attribute, value, n, place from (select *, row_number() over (partition by attribute order by n desc, first) as place from y) where place <= 100""",
     "g1_lines": f"with {_lines} select doc_id, count(*) as n_lines, max(length(line)) as longest from l group by 1",
     "g2_headed_names": f"with {_tr}, {_kn}, {_head} select conv_id, pos, name, heading, {_flag('medium')} from hn left join kn on lower(name) = kn.known",
     "g3_comma_names": f"with {_lines}, {_kn}, {_comma.format(key='doc_id', src='l')} select doc_id, pos, name, {_flag('low')} from cn left join kn on lower(name) = kn.known",

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from recordloom.functions import exprs as E
+from recordloom.sources import tables as sources
+from recordloom.sources.scratch import shared_dir
 from recordloom.plans.tables import sql_clean, sql_fold, sql_id_slug, sql_is_name, sql_norm, sql_normalise, sql_page_slug, sql_trim_name, table
 
 
@@ -19,26 +23,32 @@ def t1_key_staging(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def t1_document_slugs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """B3, B5 on first lines with accents."""
-    d = table(spark, sf_dir, "documents").withColumn("first", E.first_line("text"))
-    return d.select("doc_id", E.page_slug("first").alias("slug"), E.norm("first").alias("normed"))
+    """B3, B5 on whole texts; some letters are put in for ones that the texts lack."""
+    d = table(spark, sf_dir, "documents").withColumn("rare", F.translate("text", *RARE))
+    return d.select("doc_id", E.page_slug("rare").alias("slug"), E.norm("text").alias("normed"))
 
 
-_TAGS = r"<[^>]*>"
+#: Letters of the documents and what stands for them, so that every class of slug letters occurs.
+RARE = "abcdeghiklmnoprstuvwyzéü", "āþčðęĩœīıřŵňőąŷšÞůÆŞÝżěű"
 
 
 def t2_page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """B6 to B9 on pages."""
+    """B6 to B9 on pages, with terminal colours before each paragraph and backgrounds in the lists."""
     p = table(spark, sf_dir, "pages")
     title = F.regexp_extract("html", "(?s)<title>(.*?)</title>", 1)
-    return p.select("page_id", E.html_to_text(E.strip_ansi("html")).alias("plain"), E.first_nonblank(title, "url").alias("best_title"), E.sanitise_html("html").alias("safe_html"))
+    coloured = F.replace("html", F.lit("<p"), F.lit("\x1b[1;31m\x1b[K<p"))
+    for k, style in enumerate(BACKGROUNDS):
+        p = p.withColumn("html", F.when(F.col("page_id") % len(BACKGROUNDS) == k, F.replace("html", F.lit("<li>"), F.lit(f'<li style="{style}" onclick="go({k})">'))).otherwise(F.col("html")))
+    return p.select("page_id", E.html_to_text(E.strip_ansi(coloured)).alias("plain"), E.first_nonblank(title, "url").alias("best_title"), E.sanitise_html("html").alias("safe_html"))
+
+
+BACKGROUNDS = ["background:black; color:red", "background-color: #000000;", "background: rgb( 0 , 0,0 )", "background:#0000ff", "BACKGROUND-COLOR : #000 ;color:blue"]
 
 
 def t3_capture_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """B10, B12, B15 on documents; B11 on digits of their lengths."""
-    d = table(spark, sf_dir, "documents")
-    needle = F.lit(" of the ")
-    return d.select("doc_id", E.normalise_text("text").alias("normal"), E.first_line("text").alias("header"), E.excerpt("text", needle).alias("excerpt"))
+    d = table(spark, sf_dir, "documents").withColumn("normal", E.normalise_text("text"))
+    return d.select("doc_id", "normal", E.first_line("normal", normalised=True).alias("header"), E.excerpt("text", F.lit(" of the ")).alias("excerpt"))
 
 
 def b11_mask_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -47,10 +57,10 @@ def b11_mask_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def t4_name_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Name-like tokens of conversation turns."""
-    c = table(spark, sf_dir, "conversations")
-    first = F.get(F.split(F.coalesce("text", F.lit("")), "\n"), 0)
-    return c.select("conv_id", "turn", F.posexplode(E.split_names(first, ("The", "And"))).alias("pos", "name")).withColumn("pos", F.col("pos").cast("long"))
+    """Name-like tokens of every line of the conversations' turns."""
+    c = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("line_no", "line"))
+    c = c.select("conv_id", "turn", F.col("line_no").cast("long").alias("line_no"), F.posexplode(E.split_names("line", ("The", "And"))).alias("pos", "name"))
+    return c.withColumn("pos", F.col("pos").cast("long"))
 
 
 def t5_typed_staging(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -65,15 +75,39 @@ def t5_typed_staging(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def a1_event_properties(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A1: nested JSON read with a schema."""
+def a1_capture_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A1: events written as captures, one JSON object a line, and read with the archive's schema."""
     e = table(spark, sf_dir, "events")
-    return e.select("event_id", F.from_json("props", "k long").getField("k").alias("k"))
+    capture = F.struct(
+        F.col("event_id").cast("string").alias("capture_id"), F.col("user_id").cast("string").alias("query_name"), F.col("props").alias("raw_text"), F.date_format("ts", "yyyy-MM-dd").alias("captured_date"),
+        F.struct(F.col("event_type").alias("role"), F.concat(F.lit('a "b"\n\\'), "event_type").alias("header")).alias("parsed"), F.struct(F.col("value").cast("string").alias("sent_at")).alias("source_queue"),
+    )
+    path = f"{shared_dir(spark)}/captures-{uuid.uuid4().hex}"
+    e.select(F.to_json(capture).alias("value")).write.text(path)
+    c = sources.read_capture_lines(spark, path)
+    return c.select(F.col("capture_id").cast("long").alias("event_id"), "query_name", "raw_text", "captured_at", "captured_date", F.col("parsed.role").alias("role"), F.col("parsed.header").alias("header"), F.col("source_queue.sent_at").cast("double").alias("sent_at"))
+
+
+def a2_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A2, A4: conversations written as CSV with quotes, commas and line ends, and read back with a field that the file lacks."""
+    c = table(spark, sf_dir, "conversations")
+    path = f"{shared_dir(spark)}/csv-{uuid.uuid4().hex}"
+    sources.write_table(c.select("conv_id", "turn", F.concat(F.lit(' "q", '), F.coalesce("text", F.lit(""))).alias("said"), "role"), path, ["role", "said", "turn", "conv_id"], "csv")
+    back = sources.read_csv(spark, path, ["conv_id", "turn", "said", "absent"])
+    return back.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "said", "absent")
+
+
+def a3_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A3, A5: customer names, blank for one segment, written one a line and read back."""
+    c = table(spark, sf_dir, "customer")
+    path = f"{shared_dir(spark)}/names-{uuid.uuid4().hex}"
+    sources.write_names(c.select(F.when(F.col("c_mktsegment") == "BUILDING", F.lit("  ")).otherwise(F.concat(F.lit(" "), "c_name")).alias("name")), path)
+    return sources.read_names(spark, path)
 
 
 QUERIES = {
     "t1_key_staging": t1_key_staging, "t1_document_slugs": t1_document_slugs, "t2_page_text": t2_page_text, "t3_capture_text": t3_capture_text,
-    "b11_mask_urls": b11_mask_urls, "t4_name_tokens": t4_name_tokens, "t5_typed_staging": t5_typed_staging, "a1_event_properties": a1_event_properties,
+    "b11_mask_urls": b11_mask_urls, "t4_name_tokens": t4_name_tokens, "t5_typed_staging": t5_typed_staging, "a1_capture_lines": a1_capture_lines, "a2_csv": a2_csv, "a3_names": a3_names,
 }
 
 _first = rf"coalesce(list_filter(string_split({sql_normalise('text')}, chr(10)), lambda x: {sql_clean('x')} <> '')[1], '')"
@@ -81,10 +115,14 @@ _flat = rf"{sql_clean(rf'''regexp_replace({sql_clean('text')}, '\s+', ' ', 'g')'
 _plain = "regexp_replace(regexp_replace(html, '(?i)<br\\s*/?>|</p\\s*>', chr(10), 'g'), '(?s)<[^>]*>', '', 'g')"
 for _a, _b in E.ENTITIES.items():
     _plain = f"replace({_plain}, '{_a.replace(chr(39), chr(39) * 2)}', '{_b.replace(chr(39), chr(39) * 2)}')"
-_safe = "html"
+_styled = "html"
+for _k, _style in enumerate(BACKGROUNDS):
+    _styled = f"case when page_id % {len(BACKGROUNDS)} = {_k} then replace(html, '<li>', '<li style=\"{_style}\" onclick=\"go({_k})\">') else {_styled} end"
+_safe = f"({_styled})"
 for _p, _r in [
     (r"(?is)<script\b.*?</script>", ""), (r"(?is)<iframe\b.*?</iframe>", ""), (r"(?is)<object\b.*?</object>", ""), (r"(?is)<embed\b.*?>", ""),
     (r"(?i)\s+on[a-z]+\s*=\s*(''[^'']*''|\"[^\"]*\"|[^\s>]+)", ""), (r"(?i)javascript:", ""),
+    (r"(?i)background(-color)?\s*:\s*(rgb\(\s*0\s*,\s*0\s*,\s*0\s*\)|#000000|#000\b|black)\s*;?", ""),
     (r"style=\"\s*;?\s*\"", ""), (r"style=\"\s+", 'style="'), (r";\s*([''\"])", r"\1"),
 ]:
     _safe = f"regexp_replace({_safe}, '{_p}', '{_r}', 'g')"
@@ -95,7 +133,7 @@ select p_partkey, {sql_clean('p_name')} as cleaned, regexp_replace({sql_fold('p_
   {sql_id_slug('p_name')} as id_slug, {sql_page_slug('p_brand')} as page_slug,
   case when {sql_clean('p_type')} = {sql_clean('p_name')} then {sql_clean('p_type')} else trim({sql_clean('p_type')} || ' ' || {sql_clean('p_name')}) end as descriptor,
   (case lower(p_type) when 'economy' then 1 when 'standard' then 2 when 'promo' then 3 else 0 end)::bigint as type_rank from part""",
-    "t1_document_slugs": f"with d as (select doc_id, {sql_clean(_first)} as first from documents) select doc_id, {sql_page_slug('first')} as slug, {sql_norm('first')} as normed from d",
+    "t1_document_slugs": f"with d as (select doc_id, text, translate(text, '{RARE[0]}', '{RARE[1]}') as rare from documents) select doc_id, {sql_page_slug('rare')} as slug, {sql_norm('text')} as normed from d",
     "t2_page_text": f"select page_id, {_plain} as plain, coalesce(nullif({sql_clean(chr(32) + 'regexp_extract(html, ' + chr(39) + '(?s)<title>(.*?)</title>' + chr(39) + ', 1)')}, ''), {sql_clean('url')}) as best_title, {_safe} as safe_html from pages",
     "t3_capture_text": f"""
 with d as (select doc_id, {sql_normalise('text')} as normal, {sql_clean(_first)} as header, {_flat} as flat from documents),
@@ -105,13 +143,16 @@ select doc_id, normal, header, substr(case when hit > 0 then
   || (case when hit - 1 + 6 + 350 < length(flat) then '...' else '' end) else flat end, 1, 900) as excerpt from e""",
     "b11_mask_urls": r"select page_id, regexp_replace(url, '\d+', '<n>', 'g') as masked from pages",
     "t4_name_tokens": rf"""
-with l as (select conv_id, turn, regexp_replace({sql_clean("string_split(coalesce(text, ''), chr(10))[1]")}, '\s+[–—-]\s+.*$', '') as t from conversations),
-p as (select conv_id, turn, case when regexp_matches(t, '[,;]') then string_split_regex(t, '[,;]') else string_split_regex(t, '\s+') end as parts from l),
-n as (select conv_id, turn, list_filter(list_transform(parts, lambda x: {sql_trim_name('x')}), lambda x: {sql_is_name('x')} and x not in ('The', 'And')) as names from p)
-select conv_id, turn, (unnest(range(1, len(names) + 1)) - 1)::bigint as pos, unnest(names) as name from n""",
+with s as (select conv_id, turn, unnest(ls) as line, (unnest(range(1, len(ls) + 1)) - 1)::bigint as line_no from (select conv_id, turn, string_split(coalesce(text, ''), chr(10)) as ls from conversations)),
+l as (select conv_id, turn, line_no, regexp_replace({sql_clean("line")}, '\s+[–—-]\s+.*$', '') as t from s),
+p as (select conv_id, turn, line_no, case when regexp_matches(t, '[,;]') then string_split_regex(t, '[,;]') else string_split_regex(t, '\s+') end as parts from l),
+n as (select conv_id, turn, line_no, list_filter(list_transform(parts, lambda x: {sql_trim_name('x')}), lambda x: {sql_is_name('x')} and x not in ('The', 'And')) as names from p)
+select conv_id, turn, line_no, (unnest(range(1, len(names) + 1)) - 1)::bigint as pos, unnest(names) as name from n""",
     "t5_typed_staging": """
 select o_orderkey, case when contains(o_orderpriority, o_orderstatus) then o_orderpriority else o_orderpriority || ' | ' || o_orderstatus end as notes,
   lower(o_orderstatus) = 'f' as checked, strftime(o_orderdate, '%Y-%m-%d') as day, null::varchar as bad_day, 2::bigint as n_ids,
   case when o_orderstatus = 'P' then '(blank)' else o_orderstatus end as label, case when lower(o_orderstatus) = 'o' then '' else o_orderstatus end as known from orders""",
-    "a1_event_properties": "select event_id, (json_extract(props, '$.k'))::bigint as k from events",
+    "a1_capture_lines": "select event_id, user_id::varchar as query_name, props as raw_text, null::varchar as captured_at, strftime(ts, '%Y-%m-%d') as captured_date, event_type as role, 'a \"b\"' || chr(10) || chr(92) || event_type as header, value as sent_at from events",
+    "a2_csv": f"select conv_id, turn, {sql_clean(chr(39) + ' \"q\", ' + chr(39) + ' || coalesce(text, ' + chr(39) * 2 + ')')} as said, '' as absent from conversations",
+    "a3_names": "select trim(c_name) as name from customer where c_mktsegment <> 'BUILDING' and trim(c_name) <> ''",
 }

@@ -25,9 +25,15 @@ def sql_id_slug(x: str) -> str:
     return rf"coalesce(nullif(trim(regexp_replace(regexp_replace(lower({sql_clean(x)}), '[\s-]+', '_', 'g'), '[^\p{{L}}\p{{N}}_]', '', 'g'), '_'), ''), 'unknown')"
 
 
+#: Letters that page slugs fold, by what they fold to.
+SLUG_CLASSES = {"a": "àáâãäåāăą", "e": "èéêëēĕėęě", "i": "ìíîïīĭįı", "o": "òóôõöøōŏő", "u": "ùúûüūŭůűų", "c": "çćĉċč", "n": "ñńņň", "s": "śŝşš", "y": "ýÿŷ", "z": "žźż", "d": "ð"}
+
+
 def sql_page_slug(x: str) -> str:
-    spelled = f"replace(replace(replace(replace(lower({sql_clean(x)}), 'æ', 'ae'), 'œ', 'oe'), 'ø', 'o'), 'ß', 'ss')"
-    return f"coalesce(nullif(trim(regexp_replace(translate({spelled}, 'áàâäãåéèêëíìîïóòôöõúùûüñçýÿ', 'aaaaaaeeeeiiiiooooouuuuncyy'), '[^a-z0-9]+', '-', 'g'), '-'), ''), 'unknown')"
+    spelled = f"replace(replace(replace(replace(lower({sql_clean(x)}), 'æ', 'ae'), 'œ', 'oe'), 'þ', 'th'), 'ß', 'ss')"
+    for letter, forms in SLUG_CLASSES.items():
+        spelled = f"regexp_replace({spelled}, '[{forms}]', '{letter}', 'g')"
+    return f"coalesce(nullif(trim(regexp_replace({spelled}, '[^a-z0-9]+', '-', 'g'), '-'), ''), 'unknown')"
 
 
 def sql_normalise(x: str) -> str:

@@ -156,8 +156,11 @@ def i7_mention_detail(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def i8_detail_caps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = review.detail_cap(mining_plans.g5_groups(spark, sf_dir), "doc_id", ["pos"], 3)
-    return out.select("doc_id", "pos", "confidence")
+    """I8: the first 25 groups of each document, and the three best pieces of art of each ten pages."""
+    groups = review.detail_cap(mining_plans.g5_groups(spark, sf_dir), "doc_id", ["pos"], 25).select(F.lit("group").alias("what"), F.col("doc_id").alias("entity"), "pos", F.col("confidence").alias("detail"))
+    art = mining_plans.g7_art(spark, sf_dir).withColumn("entity", (F.col("page_id") / 10).cast("long"))
+    art = review.detail_cap(art, "entity", [F.col("art_score").desc(), "page_id"], 3).select(F.lit("art").alias("what"), "entity", F.col("page_id").alias("pos"), F.col("art_lines").cast("string").alias("detail"))
+    return groups.unionByName(art)
 
 
 QUERIES = {f.__name__: f for f in (h1_best_order, h2_fallback, h4_strongest_link, h6_entities, h8_profile, h9_display, h10_mentions, h11_art, h12_groups, h13_customer_dossier, h15_core_counts, i1_work_queue, i2_review_buckets, i3_kind_samples, i3_kind_counts, i4_group_samples, i5_top_scores, i6_cover_sample, i7_mention_detail, i8_detail_caps)}
@@ -207,7 +210,9 @@ select bucket, p_partkey, status, place from (select *, row_number() over (parti
 o as (select * from (select *, row_number() over (partition by conv_id, lower(name), kind, heading order by pos, kind, name) as r from c) where r = 1),
 p as (select lower(regexp_replace(regexp_replace(string_split_regex(text, '\\s+')[1], '^[^A-Za-zÀ-ÖØ-öø-ÿ]+', ''), '[^A-Za-zÀ-ÖØ-öø-ÿ''’-]+$', '')) as t, min(doc_id) as page from documents group by 1)
 select conv_id, pos, kind, name, heading, page from o left join p on lower(name) = t""",
-    "i8_detail_caps": f"with g as ({_m['g5_groups']}) select doc_id, pos, confidence from (select *, row_number() over (partition by doc_id order by pos) as k from g) where k <= 3",
+    "i8_detail_caps": f"""with g as ({_m['g5_groups']}), a as ({_m['g7_art']})
+select 'group' as what, doc_id as entity, pos, confidence as detail from (select *, row_number() over (partition by doc_id order by pos) as k from g) where k <= 25
+union all select 'art', entity, page_id, art_lines::varchar from (select *, row_number() over (partition by entity order by art_score desc, page_id) as k from (select *, (page_id // 10)::bigint as entity from a)) where k <= 3""",
 }
 _steps = [("big", "p_size > 40"), ("promo", "p_type = 'PROMO'"), ("blue", "starts_with(p_name, 'blue')"), ("dear", "p_retailprice > 1500"), ("small", "p_size < 5"), ("ring", "ends_with(p_name, 'ring')"), ("none", "p_size < 0")]
 _c = "with c0 as materialized (select p_partkey, (row_number() over (order by case p_name when 'hot rod' then 0 else 1 end) - 1)::bigint as pick from (select p_name, max(p_partkey) as p_partkey from part where p_name in ('hot rod', 'cold gear') group by 1))"

@@ -1,7 +1,8 @@
 """C14: intake that may run again at any time, over files as they arrive.
 
-Each micro-batch is deduplicated within itself and against what is stored, and
-overwrites a directory of its own, so a replayed batch gives the same rows.
+Each micro-batch is deduplicated within itself and against the digests of what
+is stored, and overwrites directories of its own, so a replayed batch gives the
+same rows.
 """
 
 from __future__ import annotations
@@ -9,21 +10,31 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from recordloom.operators.intake import append_new
+from recordloom.operators.intake import append_unseen, capture_digest
 
 
 def stream_intake(spark: SparkSession, source: str, schema: T.StructType, target: str, checkpoint: str, keys: list[str], order: list, fmt: str = "parquet") -> StreamingQuery:
-    """Starts a query that takes all files present now and ends; ``target`` has one ``batch=`` directory per batch."""
+    """Starts a query that takes all files present now and ends.
+
+    ``target`` has one ``batch=`` directory per batch; ``target-digests`` the digests
+    of the same rows, the only thing that later batches read.
+    """
+    digests = f"{target}-digests"
 
     def take(batch: DataFrame, number: int) -> None:
         session = batch.sparkSession
+        known = T.StructType([T.StructField("digest", T.StringType()), T.StructField("batch", T.LongType())])
         try:
-            stored = session.read.schema(T.StructType([*schema.fields, T.StructField("batch", T.LongType())])).parquet(target).filter(F.col("batch") != number)
+            seen = session.read.schema(known).parquet(digests).filter(F.col("batch") != number)
         except Exception as e:  # nothing stored yet
             if "PATH_NOT_FOUND" not in str(e):
                 raise
-            stored = session.createDataFrame([], schema)
-        append_new(batch, stored, keys, order).write.mode("overwrite").parquet(f"{target}/batch={number}")
+            seen = session.createDataFrame([], known)
+        rows = append_unseen(batch.withColumn("digest", capture_digest(keys)), seen, order)
+        rows.select(*batch.columns).write.mode("overwrite").parquet(f"{target}/batch={number}")
+        # from what is stored, so that both always agree
+        stored = session.read.schema(batch.schema).parquet(f"{target}/batch={number}")
+        stored.select(capture_digest(keys).alias("digest")).write.mode("overwrite").parquet(f"{digests}/batch={number}")
 
     stream = spark.readStream.schema(schema).format(fmt).load(source)
     return stream.writeStream.foreachBatch(take).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

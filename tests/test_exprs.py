@@ -14,7 +14,7 @@ def one(spark, column, **values):
     [
         (E.clean, "\t a \n", "a"), (E.clean, None, ""), (E.clean, " x ", "x"),
         (E.alnum_key, "Straße-9", "strasse9"), (E.norm, "  Élan \t Vôtal ", "elan votal".replace("votal", "vôtal")), (E.norm, "ÚN", "un"),
-        (E.id_slug, "Old  Tarn-ö!", "old_tarn_ö"), (E.id_slug, " ", "unknown"), (E.page_slug, "Ærø  Ñu!", "aero-nu"), (E.page_slug, None, "unknown"),
+        (E.id_slug, "Old  Tarn-ö!", "old_tarn_ö"), (E.id_slug, " ", "unknown"), (E.page_slug, "Ærø  Ñu!", "aero-nu"), (E.page_slug, None, "unknown"), (E.page_slug, "Žižka Þorn Ðő", "zizka-thorn-do"), (E.page_slug, "ĩũğłæœıÿ", "aeoeiy"),
         (E.strip_ansi, "\x1b[1;31mred\x1b[0m", "red"), (E.html_to_text, "a<br/>b</p>c<i>&amp;lt;</i>&nbsp;", "a\nb\nc&lt;\xa0"),
         (E.normalise_text, "\n\na \t b \r\nc\r\n\n", "a b\nc"), (E.first_line, "\n  \n x \ny", "x"), (E.first_line, None, ""),
         (E.trim_name, "'Tarn!", "Tarn"), (E.label, " ", "(blank)"), (E.unknown_to_blank, "Unknown", ""),

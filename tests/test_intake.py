@@ -67,8 +67,15 @@ def test_upsert_fills_and_overwrites(spark):
 def test_queue(spark):
     queue = spark.createDataFrame([(0, "Tarn", "", "no", ""), (1, "Other", "bel", "", "old"), (2, "Orm", "", "yes", ""), (3, "", "", "", "")], "ord int, name string, entity_id string, checked string, notes string")
     caps = spark.createDataFrame([(10, "", "tarn", False), (11, "TARN", "Bel", False), (12, "Bel", "", False), (13, "Orm", "", False), (14, "Tarn", "", True)], "ord int, a string, b string, low boolean")
-    got = {r.ord: (r.checked, r.notes) for r in intake.complete_queue(queue, caps, ["a", "b"], F.col("low")).collect()}
+    entities = spark.createDataFrame([("BEL", "old", 0), ("bel", "bel", 1), ("Orm", "x", 2), ("Zed", "z_2", 3)], "name string, entity_id string, ord int")
+    got = {r.ord: (r.checked, r.notes) for r in intake.complete_queue(queue, caps, ["a", "b"], F.col("low"), entities).collect()}
     assert got == {0: ("yes", "capture 10"), 1: ("yes", "old | capture 12"), 2: ("yes", ""), 3: ("", "")}
+    # the first row found ends the search, also a closed one; minted ids are found by the entity table; snapshots come last
+    queue = spark.createDataFrame([(0, "Tarn", "", "True", ""), (1, "Bel", "b", "", ""), (2, "", "z_2", "done", "n"), (3, "Orm", "o", "", "")], queue.schema)
+    caps = spark.createDataFrame([(10, "Tarn", "Bel", False), (11, "Nix", "Zed", False)], caps.schema)
+    shots = spark.createDataFrame([("ORM",), ("Zed",), ("",), (None,)], "name string")
+    got = {r.ord: (r.checked, r.notes) for r in intake.complete_queue(queue, caps, ["a", "b"], F.col("low"), entities, snapshots=shots).collect()}
+    assert got == {0: ("True", ""), 1: ("", ""), 2: ("yes", "n | capture 11"), 3: ("yes", "imported")}
 
 
 def test_stream_equals_batch(spark, tmp_path):
@@ -110,6 +117,19 @@ def test_archive_and_csv(spark, tmp_path):
     assert [r.name for r in tables.read_names(spark, str(tmp_path / "n")).collect()] == ["Tarn"]
 
 
+def test_times_and_many_taken(spark):
+    rows = spark.createDataFrame([(0, "a", None, "d", "e"), (1, "b", "t", "d", "e"), (2, "c", " ", None, "e")], "ord long, query_name string, captured_at string, captured_datetime string, captured_date string")
+    for c in ("raw_text", "header", "character_name", "captured_epoch", "status"):
+        rows = rows.withColumn(c, F.lit("x") if c == "raw_text" else F.lit(None).cast("string"))
+    out = intake.intake(rows, spark.createDataFrame([], "entity_id string, name string, ord int"), spark.createDataFrame([], STORED), "nobody", "BROKEN", "reserved")
+    assert {r.ord: r.captured_at for r in out["records"].collect()} == {0: "d", 1: "t", 2: "e"}
+    new = spark.createDataFrame([(i, "x") for i in range(50)], "ord int, b string")
+    numbers = {1, 2, 3, 5, 8, 13, 14, 15, 40, 41, 99}
+    taken = spark.createDataFrame([("x" if n == 1 else f"x_{n}",) for n in numbers] * 2, "id string")
+    free = [n for n in range(1, 200) if n not in numbers]
+    assert [r.minted_id for r in mint_ids(new, "b", ["ord"], taken).orderBy("ord").collect()] == [f"x_{n}" for n in free[:50]]
+
+
 def test_sources(spark):
     s = "source_id string, title string, notes string"
     got = intake.upsert_sources(spark.createDataFrame([("a", "", "n"), ("b", "t", "")], s), spark.createDataFrame([("a", "new", "m"), ("c", "x", "y")], s), ["title"]).collect()

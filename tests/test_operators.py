@@ -45,6 +45,16 @@ def test_supersede_is_idempotent(spark):
     assert {r.ord: (r.quality, r.original_quality) for r in twice.collect()} == {k: v[:2] for k, v in got.items()}
 
 
+def test_best_display(spark):
+    caps = spark.createDataFrame(
+        [(0, "Tarn", "medium", "text", None, "d", "a:1000000002:x"), (1, "tarn", "medium", None, "<b>", None, "a:1000000001:x"), (2, "Bel", "", "only text", None, None, "b"), (3, "Bel", "low", "t", "<i>", "d", "c"), (4, "Orm", "high", " ", "", "d", "e"),
+         (5, "Zed", "", "t", "", "", "q:1000000001:b"), (6, "Zed", "", "t", "", "", "q:1000000002:a"), (7, None, "", "t", "", "", "n")],
+        "ord int, name string, q string, t string, h string, d string, id string",
+    )
+    best = recapture.best_display(caps, "name", "q", ["t", "h"], ["h", "d"], [recapture.capture_time("id").desc(), F.col("id").desc()])
+    assert {r.name_key: r.ord for r in best.collect()} == {"tarn": 1, "bel": 2, "zed": 6, "": 7}
+
+
 def test_checks(spark):
     df = spark.createDataFrame([("1", "a", "2020-01-02", "2020-01-01"), ("1", "", "bad", ""), ("", "c", "", "2020-02-30")], "id string, kind string, s string, e string")
     said = lambda x: sorted((r.row_key, r.message) for r in x.collect())
