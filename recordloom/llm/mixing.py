@@ -12,12 +12,14 @@ import logging
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from recordloom.llm.names import free_names, quoted, set_aside
 from recordloom.sources.scratch import materialize
 
 DIMENSIONS = ["source", "lang", "topic"]
 #: Default targets: each marginal share raised to this power, made to sum to 1.
 FLATTEN = 0.9
-ROUNDS = 8
+#: Of the registered query: sum of shares by which each marginal may still miss its targets, most rounds.
+SETTLED, ROUNDS = 1e-10, 12
 #: Topic of the registered query: the first pattern found in the text.
 TOPICS = [("lists", r"\|"), ("markup", r"[#$%&*]{3}"), ("shouting", "!!"), ("figures", "[0-9]{4}")]
 _NONE = "(none)"
@@ -127,7 +129,14 @@ def draw(key: Column, seed: str) -> Column:
     return F.conv(hexed, 16, 10).cast("long") / F.lit(float(16**13))
 
 
-def mix(docs: DataFrame, targets: dict[str, DataFrame] | None = None, id_col: str = "doc_id", text_col: str = "text", topic: Column | None = None, rounds: int = ROUNDS, seed: str = "mix", budget: float | None = None, tolerance: float | None = None) -> DataFrame:
+def measured(docs: DataFrame, text_col: str = "text", topic: Column | None = None) -> DataFrame:
+    """Adds ``topic`` and ``tokens`` to every document; columns with these names are replaced."""
+    rest = [c for c in docs.columns if c not in ("topic", "tokens")]
+    text = quoted(text_col)
+    return docs.select(*[quoted(c) for c in rest], (topic_by_patterns(text) if topic is None else F.coalesce(topic, F.lit(_NONE))).alias("topic"), count_words(text).alias("tokens"))
+
+
+def mix(docs: DataFrame, targets: dict[str, DataFrame] | None = None, id_col: str = "doc_id", text_col: str | None = "text", topic: Column | None = None, rounds: int = ROUNDS, seed: str = "mix", budget: float | None = None, tolerance: float | None = None) -> DataFrame:
     """Adds ``topic, tokens, weight, probability, kept`` to every document.
 
     ``weight`` is the raked share over the observed share of the document's
@@ -137,21 +146,17 @@ def mix(docs: DataFrame, targets: dict[str, DataFrame] | None = None, id_col: st
     target for it, or for targets that contradict each other, are stored and
     logged. ``kept`` draws by a hash of the id, so rows with the
     same id fall alike. Null sources and languages form a cell value of their
-    own. Documents without words have no tokens and weight 1 of their cell, or
-    probability 0 where the whole cell has none. Columns with one of the added
-    names are replaced.
+    own. Documents without words weigh and fall as their cell does; where the
+    whole cell has no words, weight and probability are 0. Without ``text_col``
+    the table has ``topic`` and ``tokens`` already (``measured``). Columns with
+    one of the added names are replaced, all others stay.
     """
     added = ["topic", "tokens", "weight", "probability", "kept"]
-    rest = [f"`{c}`" for c in docs.columns if c not in added]
-    text = F.col(f"`{text_col}`")
-    base = docs.select(
-        *rest,
-        F.coalesce("source", F.lit(_NONE)).alias("__source"),
-        F.coalesce("lang", F.lit(_NONE)).alias("__lang"),
-        (topic_by_patterns(text) if topic is None else F.coalesce(topic, F.lit(_NONE))).alias("topic"),
-        count_words(text).alias("tokens"),
-    )
-    cells = base.groupBy(F.col("__source").alias("source"), F.col("__lang").alias("lang"), "topic").agg(F.sum("tokens").alias("tokens"))
+    rest = [c for c in docs.columns if c not in added]
+    source, lang, s, l, t = free_names([*docs.columns, *added], "own_source", "own_lang", "cell_source", "cell_lang", "cell_topic")
+    base = measured(docs, text_col, topic) if text_col else docs
+    base = base.select(*[quoted(c) for c in [*rest, "topic", "tokens"]], F.coalesce("source", F.lit(_NONE)).alias(source), F.coalesce("lang", F.lit(_NONE)).alias(lang))
+    cells = base.groupBy(F.col(source).alias("source"), F.col(lang).alias("lang"), "topic").agg(F.sum("tokens").alias("tokens"))
     cells = materialize(cells, "cells")
     targets = targets or flattened_targets(cells)
     raked = rake(cells, targets, rounds, tolerance)
@@ -164,23 +169,27 @@ def mix(docs: DataFrame, targets: dict[str, DataFrame] | None = None, id_col: st
         report_missed(raked.withColumn("expected", F.least(F.col("weight") / F.lit(most), F.col("tokens").cast("double"))), targets)
     ratio = F.when(F.col("tokens") > 0, F.col("weight") / F.col("tokens")).otherwise(0.0)
     chance = raked.select(
-        F.col("source").alias("__s"), F.col("lang").alias("__l"), F.col("topic").alias("__t"),
+        F.col("source").alias(s), F.col("lang").alias(l), F.col("topic").alias(t),
         (ratio * total).alias("weight"), F.least(ratio / most, F.lit(1.0)).alias("probability"),
     )
-    same = (F.col("__source") == F.col("__s")) & (F.col("__lang") == F.col("__l")) & (F.col("topic") == F.col("__t"))
-    out = base.join(chance, same).withColumn("kept", draw(F.col(f"`{id_col}`"), seed) < F.col("probability"))
-    return out.select(*rest, *added)
+    same = (F.col(source) == F.col(s)) & (F.col(lang) == F.col(l)) & (F.col("topic") == F.col(t))
+    out = base.join(chance, same).withColumn("kept", draw(quoted(id_col), seed) < F.col("probability"))
+    return out.select(*[quoted(c) for c in rest], *added)
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "source", "lang")
-    out = mix(docs)
+    # texts are read once; what is drawn from is narrow
+    narrow = materialize(measured(docs).drop("text"), "measured")
+    out = mix(narrow, text_col=None, tolerance=SETTLED)
     return out.select("doc_id", "source", "lang", "topic", "tokens", F.round("weight", 8).alias("weight"), F.round("probability", 8).alias("probability"), "kept")
 
 
 def mixed_documents(docs: DataFrame) -> DataFrame:
-    """The documents drawn for the mixture; columns as in ``docs``."""
-    return mix(docs, rounds=MOST_ROUNDS, budget=BUDGET, tolerance=TOLERANCE).filter("kept").select(*[F.col(f"`{c}`") for c in docs.columns])
+    """The documents drawn for the mixture; columns as in ``docs``. For odd rows see ``mix``."""
+    own, names = set_aside(docs, ["topic", "tokens", "weight", "probability", "kept"])
+    drawn = mix(own, rounds=MOST_ROUNDS, budget=BUDGET, tolerance=TOLERANCE).filter("kept")
+    return drawn.select(*[quoted(names.get(c, c)).alias(c) for c in docs.columns])
 
 
 def _sql() -> str:

@@ -21,6 +21,13 @@ def quoted(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
 
+def set_aside(docs: DataFrame, added: list[str]) -> tuple[DataFrame, dict[str, str]]:
+    """``docs`` with its columns that are named like an added one under other names, and those names by the old ones."""
+    clash = [c for c in docs.columns if c.lower() in {a.lower() for a in added}]
+    names = dict(zip(clash, free_names([*docs.columns, *added], *(f"given_{c}" for c in clash))))
+    return docs.withColumnsRenamed(names), names
+
+
 def join_by_id(docs: DataFrame, id_col: str, small: DataFrame, key: str, how: str) -> DataFrame:
     """Hash join of whole documents with a stored narrow table by id, ``how`` being ``left`` or ``left_anti``.
 

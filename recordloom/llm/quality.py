@@ -12,7 +12,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from recordloom.llm.names import free_names, quoted
+from recordloom.llm.names import free_names, quoted, set_aside
 
 #: White space that separates words.
 BLANKS = " \t\n\x0b\x0c\r"
@@ -28,6 +28,7 @@ PHRASES = (
     "click here to|enable javascript|skip to (?:main )?content|back to top|add to cart|alle rechte vorbehalten|datenschutzerklärung|"
     "tous droits réservés|mentions légales|politique de confidentialité|todos los derechos reservados|política de privacidad"
 )
+ADDED = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "clean_text"]
 BOILERPLATE = rf"(?i)(?:^|[^a-z])(?:{PHRASES})(?:[^a-z]|$)"
 
 
@@ -79,9 +80,8 @@ def judge(docs: DataFrame, text_col: str = "text", min_words: int = 50, max_repe
     an empty ``clean_text``). Columns with one of the added names are replaced;
     rows, also repeated ones, and all other columns stay as they are.
     """
-    added = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "clean_text"]
-    rest = [c for c in docs.columns if c not in added]
-    whole, ws, lines, bits, first, good, order, twice, at, every = free_names([*docs.columns, *added], "whole", "words", "lines", "bits", "first", "good", "order", "twice", "at", "every")
+    rest = [c for c in docs.columns if c not in ADDED]
+    whole, ws, lines, bits, first, good, order, twice, at, every = free_names([*docs.columns, *ADDED], "whole", "words", "lines", "bits", "first", "good", "order", "twice", "at", "every")
     df = docs.select(*[quoted(c) for c in rest], F.coalesce(quoted(text_col), F.lit("")).alias(whole))
     df = df.withColumns({ws: words(F.col(whole)), lines: F.filter(F.split(whole, "\n"), lambda x: F.btrim(x, F.lit(BLANKS)) != "")})
     n, word = F.size(ws), lambda i: F.get(ws, i)
@@ -119,7 +119,7 @@ def judge(docs: DataFrame, text_col: str = "text", min_words: int = 50, max_repe
     df = df.withColumn("base_failed", (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat_pct * F.col("n_words")))
     lost = F.col(every) - F.length("clean_text")
     df = df.withColumn("kept", ~F.col("base_failed") & (100 * lost <= max_loss_pct * F.col(every)))
-    return df.select(*[quoted(c) for c in rest], *added)
+    return df.select(*[quoted(c) for c in rest], *ADDED)
 
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -132,11 +132,12 @@ def clean_documents(docs: DataFrame) -> DataFrame:
 
     Null, empty and wordless texts go; rows without an id and repeated rows are judged like any other.
     """
+    own, names = set_aside(docs, ADDED)
     # a row number stops the filter from moving below the rules, where they would be worked out once more for it
-    (row,) = free_names([*docs.columns, "kept", "clean_text"], "row")
-    judged = judge(docs).withColumn(row, F.monotonically_increasing_id()).filter(F.col("kept") & (F.col(row) >= 0))
+    (row,) = free_names([*own.columns, *ADDED], "row")
+    judged = judge(own).withColumn(row, F.monotonically_increasing_id()).filter(F.col("kept") & (F.col(row) >= 0))
     new = {"text": F.col("clean_text"), "n_chars": F.length("clean_text").cast("long")}
-    return judged.select(*[new[c].alias(c) if c in new else quoted(c) for c in docs.columns])
+    return judged.select(*[new[c].alias(c) if c in new else quoted(names.get(c, c)).alias(c) for c in docs.columns])
 
 
 SQL = r"""

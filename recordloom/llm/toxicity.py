@@ -1,10 +1,13 @@
 """Toxicity by class-conditional Kneser-Ney models.
 
-Two models of words as byte sequences, one learned from toxic and one from
-ordinary texts, back off to shared Kneser-Ney counts of both, so that rare
-expressions are smoothed by what they have in common with others. The words'
-log-likelihood ratios, normalised by length over the whole text, its strongest
-window and its strongest words, give the score through a logistic calibration.
+Two models of word sequences, one learned from toxic and one from ordinary texts,
+back off from pairs of words to single words, counted by the different words they
+follow, and from there to the same counts of both classes together. What a class
+has hardly seen it leaves to these shared counts, so rare expressions are smoothed
+alike in both models; discounts come from the counts of counts. The models'
+log-likelihoods are compared per word, over the whole text and over its strongest
+passages of a few lengths; a logistic calibration of these length-normalised
+ratios gives the score.
 """
 
 from __future__ import annotations
@@ -12,159 +15,114 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from recordloom.llm.textbatch import spans, utf8, word_bounds, word_hashes
-from recordloom.sources.scratch import materialize
+from recordloom.llm.names import quoted
+from recordloom.llm.textbatch import mix, spans, utf8, word_bounds, word_hashes
+from recordloom.sources.scratch import Scratch
 
-#: Bound of the labelled sample: toxic and ordinary documents learned from, at most.
-MOST_TOXIC, MOST_ORDINARY = 3000, 9000
+#: Bound of the labelled sample: toxic and ordinary documents learned from, and text bytes of each, at most.
+MOST_TOXIC, MOST_ORDINARY, MOST_BYTES = 3000, 9000, 48 << 20
 #: One in so many documents of the sample calibrates, the others give counts.
 CALIBRATE = 4
-#: Longest byte n-gram, longest with shared counts, lowest order with counts of each class, discounts of both.
-ORDER, SHARED_ORDER, CLASS_ORDER, SHARED_DISCOUNT, CLASS_DISCOUNT = 8, 4, 3, 0.75, 5.0
-#: Words of a window, ratios above which a word says no more, words kept by a task, text bytes of a batch.
-WINDOW, MOST_RATIO, ENOUGH, CACHED_WORDS, BATCH_BYTES = 16, 25.0, 9.0, 600_000, 8 << 20
-FEATURES = ["text", "window", "two", "second", "clear"]
-
-
-def word_codes(data: np.ndarray, start: np.ndarray, stop: np.ndarray) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
-    """Codes of the n-grams of orders 1 to ORDER that end at each byte of each word (framed by 0 and 1),
-    each byte's place in its word, and the index of its word."""
-    size = stop - start + 2
-    at = np.cumsum(size) - size
-    word = np.repeat(np.arange(len(size)), size)
-    place = np.arange(size.sum()) - at[word]
-    source = np.clip(start[word] + place - 1, 0, max(len(data) - 1, 0))
-    letter = data[source] if len(data) else np.zeros(len(place), np.uint8)
-    letter = np.where((letter >= 65) & (letter <= 90), letter + 32, letter).astype(np.uint64)
-    letter[place == 0] = 0
-    letter[place == size[word] - 1] = 1
-    codes, code = [], np.zeros(len(letter), np.uint64)
-    for o in range(ORDER):
-        shifted = np.zeros_like(letter)
-        shifted[o:] = letter[: len(letter) - o]
-        code = code | shifted << np.uint64(8 * o)
-        codes.append(code)
-    return codes, place, word
-
-
-def gram_counts(data: np.ndarray, ends: np.ndarray, toxic: np.ndarray) -> pd.DataFrame:
-    """Counts of all n-grams by class: ``n_order, code, toxic, ordinary``."""
+#: Count from which an expression adds to a class of its own; below, all of it is left to the backoff.
+LEAST_COUNT = 4
+#: Words of the passages whose strongest ratio counts, ratio above which a word says no more, text bytes of a batch.
+PASSAGES, MOST_RATIO, BATCH_BYTES = (2, 8, 32), 12.0, 2 << 20
+CLASSES = ("toxic", "ordinary")
+#: Ratios of single words, then of pairs of words: over the text and its strongest passage of each length.
+FEATURES = [f"{kind}_{part}" for kind in ("words", "pairs") for part in ("text", *(f"best_{n}" for n in PASSAGES))]
+_BEGIN = np.uint64(0x9D39247E33776D41)
+_ODD = np.uint64(0x9E3779B97F4A7C15)
+
+
+def words_before(h: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Hash of the word before each word; before a text stands its beginning."""
+    out = np.append(_BEGIN, h[:-1])[: len(h)]
+    out[at[:-1][np.diff(at) > 0]] = _BEGIN
+    return out
+
+
+def pair_keys(before: np.ndarray, h: np.ndarray) -> np.ndarray:
+    return mix(h * _ODD + before)
+
+
+def pair_counts(data: np.ndarray, ends: np.ndarray, toxic: np.ndarray) -> pa.RecordBatch:
+    """``key, before, word, toxic, ordinary``: pairs of neighbouring words and their counts by class."""
     start, stop, at = word_bounds(data, ends)
-    flag = np.repeat(toxic, np.diff(at))
-    _, first, which = np.unique(word_hashes(data, start, stop), return_index=True, return_inverse=True)
-    codes, place, word = word_codes(data, start[first], stop[first])
-    weights = [np.bincount(which, weights=w, minlength=len(first)) for w in (flag, ~flag)]
-    out = []
-    for o in range(1, ORDER + 1):
-        some = place >= max(1, o - 1)  # the frame's first byte is only a history
-        code, k = np.unique(codes[o - 1][some], return_inverse=True)
-        out.append(pd.DataFrame({"n_order": o, "code": code.view(np.int64), "toxic": np.bincount(k, weights=weights[0][word[some]]).astype(np.int64), "ordinary": np.bincount(k, weights=weights[1][word[some]]).astype(np.int64)}))
-    return pd.concat(out)
-
-
-def telling_grams(counted: DataFrame) -> DataFrame:
-    """Sums n-gram counts and keeps those that the models need, with the totals of their histories.
-
-    Above SHARED_ORDER a history none of whose n-grams exceeds the class discount
-    hands all its mass to the shorter one, so its n-grams change nothing and go.
-    """
-    grams = counted.groupBy("n_order", "code").agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary"))
-    grams = materialize(grams.withColumn("past", F.call_function("shiftrightunsigned", F.col("code"), F.lit(8))), "grams")
-    least = lambda c: F.sum(F.least(F.col(c).cast("double"), F.lit(CLASS_DISCOUNT)))
-    past = grams.groupBy("n_order", "past").agg(F.sum("toxic").alias("t1"), F.sum("ordinary").alias("t0"), least("toxic").alias("m1"), least("ordinary").alias("m0"))
-    kept = grams.filter((F.col("n_order") <= SHARED_ORDER) | (F.greatest("toxic", "ordinary") > CLASS_DISCOUNT))
-    small = {"n_order": "tinyint", "toxic": "int", "ordinary": "int", "t1": "float", "t0": "float", "m1": "float", "m0": "float"}
-    return kept.join(past, ["n_order", "past"]).withColumns({c: F.col(c).cast(t) for c, t in small.items()})
+    h = word_hashes(data, start, stop)
+    flag, before = np.repeat(toxic, np.diff(at)), words_before(h, at)
+    value, where, which = np.unique(pair_keys(before, h), return_index=True, return_inverse=True)
+    count = [np.bincount(which, weights=w, minlength=len(value)).astype(np.int64) for w in (flag, ~flag)]
+    cols = [value.view(np.int64), before[where].view(np.int64), h[where].view(np.int64), *count]
+    return pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["key", "before", "word", *CLASSES])
+
+
+def discount(ones: float, twos: float, threes: float, fours: float) -> float:
+    """Kneser-Ney discount of counts of three and more, from how many expressions have counts 1 to 4."""
+    if not (ones and twos and threes):
+        return 1.0
+    return float(np.clip(3 - 4 * ones / (ones + 2 * twos) * fours / threes, 0.5, 2.9))
+
+
+def taken(count: np.ndarray, d: float) -> np.ndarray:
+    """What of each count is left to the backoff."""
+    return np.where(count < LEAST_COUNT, count, np.minimum(count, d))
+
+
+def at_keys(table: np.ndarray, values: np.ndarray, key: np.ndarray, other: float) -> np.ndarray:
+    """Values (rows of one column per table entry) at the keys; ``other`` where the table lacks one."""
+    out = np.full((len(values), len(key)), other)
+    if len(table):
+        k = np.minimum(np.searchsorted(table, key), len(table) - 1)
+        hit = np.flatnonzero(table[k] == key)
+        out[:, hit] = values[:, k[hit]]
+    return out
 
 
 class Models:
-    """Both class models over shared backoff counts, as sorted arrays per order."""
-
-    def __init__(self, grams: pd.DataFrame):
-        self.orders = []
-        unsigned = lambda x: x.to_numpy().astype(np.int64).view(np.uint64)
-        grams = grams.assign(code=unsigned(grams["code"]))
-        by = {o: g.sort_values("code") for o, g in grams.groupby("n_order")}
-        none = grams.iloc[:0]
-        safe = lambda n, d: np.divide(n, d, out=np.zeros(len(n)), where=d > 0)
-        for o in range(1, ORDER + 1):
-            g = by.get(o, none)
-            code, raw = g["code"].to_numpy(), (g["toxic"] + g["ordinary"]).to_numpy().astype(np.float64)
-            past, first, k = np.unique(code >> np.uint64(8), return_index=True, return_inverse=True)
-            own, back = [np.zeros(len(code))], [np.ones(len(past))]
-            if o <= SHARED_ORDER:
-                kn = raw
-                if o < SHARED_ORDER:  # Kneser-Ney: in how many longer n-grams this one ends; those that begin a word have raw counts
-                    value, n = np.unique(by.get(o + 1, none)["code"].to_numpy() & np.uint64((1 << 8 * o) - 1), return_counts=True)
-                    at = np.minimum(np.searchsorted(value, code), max(len(value) - 1, 0))
-                    kn = np.where(value[at] == code, n[at], 0).astype(np.float64) if len(value) else np.zeros(len(code))
-                    begins = (code >> np.uint64(8 * (o - 1))) == 0 if o > 1 else np.zeros(len(code), bool)
-                    kn = np.where(begins | (kn == 0), raw, kn)
-                total = np.bincount(k, weights=kn, minlength=len(past))
-                own = [safe(np.maximum(kn - SHARED_DISCOUNT, 0), total[k])]
-                back = [safe(np.bincount(k, weights=np.minimum(kn, SHARED_DISCOUNT), minlength=len(past)), total)]
-            for n, t, m in (("toxic", "t1", "m1"), ("ordinary", "t0", "m0")):
-                t, m = g[t].to_numpy().astype(np.float64), g[m].to_numpy().astype(np.float64)
-                own.append(safe(np.maximum(g[n].to_numpy() - CLASS_DISCOUNT, 0), t))
-                back.append(np.where(t > 0, safe(m, t), 1.0)[first])
-            self.orders.append((code, np.stack(own), past, np.stack(back)))
-
-    def ratios(self, data: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
-        """Log-likelihood of each word in the toxic model less that in the ordinary one."""
-        codes, place, word = word_codes(data, start, stop)
-        found = []
-        for o, (code, own, past, back) in enumerate(self.orders, 1):
-            own_here, back_here = np.zeros((3, len(place))), np.ones((3, len(place)))
-            some = np.flatnonzero(place >= max(1, o - 1))
-            for table, values, key, here in ((code, own, codes[o - 1][some], own_here), (past, back, codes[o - 1][some] >> np.uint64(8), back_here)):
-                if len(table):
-                    k = np.minimum(np.searchsorted(table, key), len(table) - 1)
-                    hit = table[k] == key
-                    here[:, some[hit]] = values[:, k[hit]]
-            found.append((own_here, back_here))
-        p = np.full(len(place), 1 / 256)
-        for own, back in found[:SHARED_ORDER]:
-            p = own[0] + back[0] * p
-        toxic, ordinary = p, p
-        for own, back in found[CLASS_ORDER - 1 :]:
-            toxic, ordinary = own[1] + back[1] * toxic, own[2] + back[2] * ordinary
-        each = np.where(place > 0, np.log(np.maximum(toxic, 1e-12)) - np.log(np.maximum(ordinary, 1e-12)), 0)
-        return np.bincount(word, weights=each, minlength=len(start))
-
-
-class WordRatios:
-    """Ratios of words by hash, kept up to a fixed number of words."""
-
-    def __init__(self, models: Models):
-        self.models, self.keys, self.values = models, np.zeros(0, np.uint64), np.zeros(0)
-
-    def of(self, data: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
-        key, first, which = np.unique(word_hashes(data, start, stop), return_index=True, return_inverse=True)
-        k = np.searchsorted(self.keys, key)
-        known = np.zeros(len(key), bool)
-        if len(self.keys):
-            known = self.keys[np.minimum(k, len(self.keys) - 1)] == key
-        out = np.zeros(len(key))
-        out[known] = self.values[k[known]]
-        new = np.flatnonzero(~known)
-        for x in range(0, len(new), 15_000):
-            some = new[x : x + 15_000]
-            out[some] = self.models.ratios(data, start[first[some]], stop[first[some]])
-        if len(self.keys) + len(new) > CACHED_WORDS:
-            self.keys, self.values = key, out
-        else:
-            keys = np.concatenate([self.keys, key[new]])
-            order = np.argsort(keys)
-            self.keys, self.values = keys[order], np.concatenate([self.values, out[new]])[order]
-        return out[which]
-
-
-def text_features(ratio: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Ratios per word: over the text, its strongest window, its strongest two words, the second, and that up to ENOUGH."""
+    """Both class models, as sorted arrays of what each word, pair and preceding word adds."""
+
+    def __init__(self, words: dict[str, np.ndarray], pairs: dict[str, np.ndarray], befores: dict[str, np.ndarray], d: list[float]):
+        """``words``: ``key`` and, per class and for ``both``, the different words before; ``pairs``: ``key, before`` and counts per
+        class; ``befores``: ``key`` and per class ``_total`` and ``_left``; ``d``: discounts of the classes' pairs."""
+        counts = [words[c] for c in (*CLASSES, "both")]
+        left = [taken(c, discount(*(np.count_nonzero(c == k) for k in (1, 2, 3, 4)))) for c in counts]
+        total = [max(c.sum(), 1) for c in counts]
+        # the shared counts are smoothed as usual, by a discount of at most one and a uniform rest
+        cut = np.minimum(counts[2], 0.75)
+        shared = (counts[2] - cut) / total[2] + cut.sum() / total[2] / max(len(cut), 1)
+        own = np.stack([(c - x) / n + x.sum() / n * shared for c, x, n in zip(counts[:2], left[:2], total[:2])])
+        self.words = words["key"], own
+        rest = lambda c: np.where(befores[f"{c}_total"] > 0, befores[f"{c}_left"] / np.maximum(befores[f"{c}_total"], 1), 1.0)
+        self.befores = befores["key"], np.stack([rest(c) for c in CLASSES])
+        whole = at_keys(befores["key"], np.stack([befores[f"{c}_total"].astype(float) for c in CLASSES]), pairs["before"], 0.0)
+        self.pairs = pairs["key"], np.stack([(pairs[c] - taken(pairs[c], d[k])) / np.maximum(whole[k], 1) for k, c in enumerate(CLASSES)])
+        # which leading bits some pair has: most pairs of a text are in no table
+        self.seen = np.zeros(1 << 24, bool)
+        self.seen[pairs["key"] >> np.uint64(40)] = True
+
+    def ratios(self, h: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Log-likelihood of each word in the toxic model less that in the ordinary one, by itself (first row) and after the
+        word before it; words that neither class has say nothing."""
+        word, which = np.unique(h, return_inverse=True)
+        single, rest = at_keys(*self.words, word, 0.0), at_keys(*self.befores, word, 1.0)
+        known = (single > 0).all(axis=0)[which]
+        p = single[:, which]
+        begins = at[:-1][np.diff(at) > 0]
+        q = np.column_stack([np.ones(2), rest[:, which[:-1]]]) if len(h) else np.ones((2, 0))
+        q[:, begins] = at_keys(*self.befores, _BEGIN[None], 1.0)
+        q *= p
+        key = pair_keys(words_before(h, at), h)
+        maybe = np.flatnonzero(self.seen[key >> np.uint64(40)])
+        q[:, maybe] += at_keys(*self.pairs, key[maybe], 0.0)
+        out = [np.log(np.maximum(x[0], 1e-300)) - np.log(np.maximum(x[1], 1e-300)) for x in (p, q)]
+        return np.where(known, np.clip(out, -MOST_RATIO, MOST_RATIO), 0.0)
+
+
+def text_features(ratios: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Ratios per word: over the text and over its strongest passage of each length (shorter texts are one passage)."""
     n = np.diff(at)
     out = np.zeros((len(n), len(FEATURES)))
     full = np.flatnonzero(n)
@@ -172,20 +130,14 @@ def text_features(ratio: np.ndarray, at: np.ndarray) -> np.ndarray:
         return out
     begin = at[:-1][full]
     row = np.repeat(np.arange(len(full)), n[full])
-    ratio = np.minimum(ratio, MOST_RATIO)
-    total = np.concatenate([[0], np.cumsum(ratio)])
-    out[full, 0] = np.add.reduceat(ratio, begin) / n[full]
-    stop = np.minimum(np.arange(len(ratio)) + WINDOW, at[1:][full][row])
-    first = np.maximum(stop - WINDOW, begin[row])  # windows at the end reach back
-    out[full, 1] = np.maximum.reduceat((total[stop] - total[first]) / (stop - first), begin)
-    top = np.maximum.reduceat(ratio, begin)
-    best = np.flatnonzero(ratio == top[row])
-    rest = ratio.copy()
-    rest[best[np.unique(row[best], return_index=True)[1]]] = -np.inf
-    second = np.maximum(np.maximum.reduceat(rest, begin), 0)
-    out[full, 2] = (top + second) / 2
-    out[full, 3] = second
-    out[full, 4] = np.minimum(second, ENOUGH)
+    for i, ratio in enumerate(ratios):
+        first_column = i * (len(PASSAGES) + 1)
+        total = np.concatenate([[0], np.cumsum(ratio)])
+        out[full, first_column] = np.add.reduceat(ratio, begin) / n[full]
+        for k, size in enumerate(PASSAGES, 1):
+            stop = np.minimum(np.arange(len(ratio)) + size, at[1:][full][row])
+            first = np.maximum(stop - size, begin[row])  # passages at the end reach back
+            out[full, first_column + k] = np.maximum.reduceat((total[stop] - total[first]) / (stop - first), begin)
     return out
 
 
@@ -216,76 +168,114 @@ def held_out(doc_id, fold: int = 3, rest: int = 1):
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % fold == rest
 
 
-def learn(docs: DataFrame, labels: DataFrame, most_toxic: int = MOST_TOXIC, most_ordinary: int = MOST_ORDINARY):
-    """Models and calibration from a bounded sample of the labelled documents that are not held out.
+def _batches(batch: pa.RecordBatch, column: int) -> Iterator[tuple]:
+    """Row range, bytes and ends of pieces of an Arrow batch."""
+    whole, bounds = utf8(batch.column(column))
+    for a, b in spans(bounds, BATCH_BYTES):
+        yield a, b, whole[bounds[a] : bounds[b]], bounds[a : b + 1] - bounds[a]
 
-    The sample takes, of each class, the documents first by a hash of the id.
-    Null labels are ignored; of several labels of a document the toxic one
-    counts. Returns None when either class is missing.
+
+def sample_of(docs: DataFrame, labels: DataFrame, work: Scratch, most_toxic: int, most_ordinary: int, most_bytes: int) -> DataFrame:
+    """``text, toxic, calibrate``: of each class the labelled documents first by a hash of the id, up to the bounds.
+
+    Rows and text bytes are bounded; a document that would exceed the bytes is left out.
     """
     known = labels.filter(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     order = F.xxhash64("doc_id", F.lit("sample"))
-    sample = known.filter("toxic = 1").orderBy(order, "doc_id").limit(most_toxic).unionByName(known.filter("toxic = 0").orderBy(order, "doc_id").limit(most_ordinary))
-    sample = materialize(sample.select(F.col("doc_id").alias("__id"), "toxic", (F.pmod(F.xxhash64("doc_id", F.lit("calibrate")), F.lit(CALIBRATE)) == 0).alias("calibrate")), "sample")
-    # the sample's size is bounded by its two limits
-    rows = docs.join(F.broadcast(sample), F.col("doc_id") == F.col("__id")).select("text", "toxic", "calibrate")
-    rows = materialize(rows, "labelled")
+    ids = known.filter("toxic = 1").orderBy(order, "doc_id").limit(most_toxic).unionByName(known.filter("toxic = 0").orderBy(order, "doc_id").limit(most_ordinary))
+    ids = work.store(ids.select(F.col("doc_id").alias("id"), "toxic", order.alias("place")), "ids")
+    # the two limits bound the ids
+    sizes = docs.select(F.col("doc_id").alias("id"), F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("size"))
+    sizes = work.store(sizes.join(F.broadcast(ids), "id").groupBy("id", "toxic", "place").agg(F.sum("size").alias("size")), "sizes")
+    upto = F.sum("size").over(Window.partitionBy("toxic").orderBy("place", "id"))
+    calibrate = F.pmod(F.xxhash64("id", F.lit("calibrate")), F.lit(CALIBRATE)) == 0
+    sizes = work.store(sizes.withColumn("upto", upto).filter(F.col("upto") <= most_bytes).select("id", "toxic", calibrate.alias("calibrate")), "chosen")
+    rows = docs.join(F.broadcast(sizes), F.col("doc_id") == F.col("id")).select("text", "toxic", "calibrate")
+    return work.store(rows, "sample")
+
+
+def count_models(rows: DataFrame, work: Scratch) -> Models:
+    """Models of the sample's ``text, toxic``: pairs are summed and pruned in Spark before the driver takes what stays."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            whole, bounds = utf8(batch.column(0))
             toxic = batch.column(1).to_numpy(zero_copy_only=False) == 1
-            for a, b in spans(bounds, BATCH_BYTES // 4):
-                yield pa.RecordBatch.from_pandas(gram_counts(whole[bounds[a] : bounds[b]], bounds[a : b + 1] - bounds[a], toxic[a:b]), preserve_index=False)
+            for a, b, data, ends in _batches(batch, 0):
+                yield pair_counts(data, ends, toxic[a:b])
+
+    counted = rows.mapInArrow(count, "key long, before long, word long, toxic long, ordinary long")
+    pairs = counted.groupBy("key").agg(F.min("before").alias("before"), F.min("word").alias("word"), *[F.sum(c).alias(c) for c in CLASSES])
+    pairs = work.store(pairs, "pairs")
+    row = pairs.agg(*[F.count_if(F.col(c) == k).alias(f"{c}_{k}") for c in CLASSES for k in (1, 2, 3, 4)]).first()
+    d = [discount(*(row[f"{c}_{k}"] for k in (1, 2, 3, 4))) for c in CLASSES]
+    left = lambda c, x: F.sum(F.when(F.col(c) < LEAST_COUNT, F.col(c)).otherwise(F.least(F.col(c), F.lit(x)))).alias(f"{c}_left")
+    befores = pairs.groupBy(F.col("before").alias("key")).agg(*[F.sum(c).alias(f"{c}_total") for c in CLASSES], *[left(c, x) for c, x in zip(CLASSES, d)], F.max(F.greatest(*CLASSES)).alias("most"))
+    words = pairs.groupBy(F.col("word").alias("key")).agg(*[F.count_if(F.col(c) > 0).alias(c) for c in CLASSES], F.count(F.lit(1)).alias("both"))
+
+    def arrays(df: DataFrame, *keys: str) -> dict[str, np.ndarray]:
+        table = df.toArrow()
+        out = {c: table.column(c).to_numpy() for c in table.column_names}
+        out |= {k: out[k].view(np.uint64) for k in keys}
+        order = np.argsort(out["key"])
+        return {c: v[order] for c, v in out.items()}
+
+    kept = pairs.filter(F.greatest(*CLASSES) >= LEAST_COUNT).select("key", "before", *CLASSES)
+    return Models(arrays(words, "key"), arrays(kept, "key", "before"), arrays(befores.filter(F.col("most") >= LEAST_COUNT).drop("most"), "key"), d)
+
+
+def learn(docs: DataFrame, labels: DataFrame, most_toxic: int = MOST_TOXIC, most_ordinary: int = MOST_ORDINARY, most_bytes: int = MOST_BYTES):
+    """Models and calibration from a bounded sample of the labelled documents that are not held out.
 
-    counted = rows.filter("not calibrate").select("text", "toxic").mapInArrow(count, "n_order long, code long, toxic long, ordinary long")
-    models = Models(telling_grams(counted).drop("past").toArrow().to_pandas())  # n-grams of the bounded sample
+    Null labels are ignored; of several labels of a document the toxic one
+    counts; rows that repeat an id are all read. Returns None when either class is
+    missing among the counted or the calibrating documents.
+    """
+    work = Scratch(docs.sparkSession, "toxicity")
+    rows = sample_of(docs, labels, work, most_toxic, most_ordinary, most_bytes)
+    have = {tuple(r) for r in rows.select("toxic", "calibrate").distinct().collect()}
+    if len(have) < 4:
+        work.close()
+        return None
+    models = count_models(rows.filter("not calibrate").select("text", "toxic"), work)
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = WordRatios(models)
         for batch in batches:
-            whole, bounds = utf8(batch.column(0))
-            for a, b in spans(bounds, BATCH_BYTES):
-                data, ends = whole[bounds[a] : bounds[b]], bounds[a : b + 1] - bounds[a]
+            for a, b, data, ends in _batches(batch, 0):
                 start, stop, at = word_bounds(data, ends)
-                x = text_features(words.of(data, start, stop), at)
+                x = text_features(models.ratios(word_hashes(data, start, stop), at), at)
                 yield pa.RecordBatch.from_arrays([*(pa.array(c) for c in x.T), batch.column(1).slice(a, b - a)], [*FEATURES, "toxic"])
 
-    seen = rows.filter("calibrate").select("text", "toxic").mapInArrow(measure, ", ".join(f"{x} double" for x in FEATURES) + ", toxic int").toArrow().to_pandas()
-    y = seen["toxic"].to_numpy()
-    if not (y == 1).any() or not (y == 0).any():
-        return None
-    return models, fit_logistic(seen[FEATURES].to_numpy(), y)
+    seen = rows.filter("calibrate").select("text", "toxic").mapInArrow(measure, ", ".join(f"{x} double" for x in FEATURES) + ", toxic int").toArrow()
+    weights = fit_logistic(np.column_stack([seen.column(c).to_numpy() for c in FEATURES]), seen.column("toxic").to_numpy())
+    work.close()
+    return models, weights
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.7) -> DataFrame:
-    """One row per document: ``doc_id, held_out, score, predicted, text_ratio, window_ratio, words_ratio``.
+    """One row per document: ``doc_id, held_out, score, predicted`` and the ratios that the score comes from.
 
     Null and empty texts have ratios of 0. Without labels of both classes every
-    score is 0. Repeated rows score alike; other columns are not read.
+    score is 0. Repeated rows score alike; other columns are not read; rows
+    without an id are scored and never learned from.
     """
-    rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
+    rows = docs.select(quoted(id_col).alias("doc_id"), quoted(text_col).alias("text"))
     known = labels.select("doc_id", F.col("toxic").cast("int").alias("toxic"))
-    given = docs.sparkSession.sparkContext.broadcast(learn(rows, known))
+    given = docs.sparkSession.sparkContext.broadcast(learn(rows, known))  # bounded by the sample
     kind = rows.schema["doc_id"].dataType.simpleString()
+    names = ["doc_id", "held_out", "score", "predicted", *FEATURES]
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = WordRatios(given.value[0]) if given.value else None
         for batch in batches:
-            whole, bounds = utf8(batch.column(1))
-            for a, b in spans(bounds, BATCH_BYTES):
-                data, ends = whole[bounds[a] : bounds[b]], bounds[a : b + 1] - bounds[a]
+            for a, b, data, ends in _batches(batch, 1):
                 x, p = np.zeros((b - a, len(FEATURES))), np.zeros(b - a)
-                if words:
+                if given.value:
                     start, stop, at = word_bounds(data, ends)
-                    x = text_features(words.of(data, start, stop), at)
+                    x = text_features(given.value[0].ratios(word_hashes(data, start, stop), at), at)
                     p = logistic(given.value[1], x)
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(a, b - a), batch.column(2).slice(a, b - a), pa.array(p), pa.array((p >= threshold).astype(np.int32)), pa.array(x[:, 0]), pa.array(x[:, 1]), pa.array(x[:, 2])],
-                    ["doc_id", "held_out", "score", "predicted", "text_ratio", "window_ratio", "words_ratio"],
-                )
+                cols = [batch.column(0).slice(a, b - a), batch.column(2).slice(a, b - a), pa.array(p), pa.array((p >= threshold).astype(np.int32)), *(pa.array(c) for c in x.T)]
+                yield pa.RecordBatch.from_arrays(cols, names)
 
-    schema = f"doc_id {kind}, held_out boolean, score double, predicted int, text_ratio double, window_ratio double, words_ratio double"
+    schema = f"doc_id {kind}, held_out boolean, score double, predicted int, " + ", ".join(f"{x} double" for x in FEATURES)
     return rows.withColumn("held_out", held_out(F.col("doc_id"))).mapInArrow(score, schema)
 
 

@@ -176,30 +176,57 @@ def test_missed_targets_are_reported(spark, caplog):
 
 
 # ---- WARC
+def read_warc(body):
+    """Fields and block of one record, by the letter of the format."""
+    head, _, rest = body.partition(b"\r\n\r\n")
+    version, *lines = head.decode().split("\r\n")
+    fields = dict(x.split(": ", 1) for x in lines)
+    assert version == "WARC/1.1" and len(fields) == len(lines)
+    assert {"WARC-Type", "WARC-Record-ID", "WARC-Date", "Content-Type", "Content-Length", "WARC-Target-URI"} <= set(fields)
+    size = int(fields["Content-Length"])
+    assert rest[size:] == b"\r\n\r\n"
+    http, _, payload = rest[:size].partition(b"\r\n\r\n")
+    assert http.startswith(b"HTTP/1.1 200 OK\r\n")
+    return fields, payload
+
+
 def test_warc_round_trip(spark, tmp_path):
-    big = "<p>" + "é" * 200
-    rows = [(3, "http://a/1", big), (1, "http://a/2", big), (2, None, "tiny"), (4, "u", "tiny"), (5, "u\r\nx", None), (6, "u", ""), (1, "again", big), (None, "noid", big), (7, "v", "z" * 100)]
-    pages = spark.createDataFrame([(*r, "extra") for r in rows], "page_id long, url string, html string, digest string")
-    records = warc.build_records(pages)
-    built = {(r.page_id, r.uri): r for r in records.collect()}
-    assert {k: (r.record_type, r.refers_to) for k, r in built.items()} == {
-        (3, "http://a/1"): ("revisit", 1), (1, "http://a/2"): ("response", None), (2, None): ("response", None), (4, "u"): ("response", None),
-        (5, "u\r\nx"): ("response", None), (6, "u"): ("response", None), (1, "again"): ("response", None), (None, "noid"): ("revisit", 1), (7, "v"): ("response", None),
-    }
-    path = warc.write_archive(records, str(tmp_path / "w"))
-    assert spark.read.parquet(path + "/payloads").count() == 4
-    back = warc.read_archive(spark, path).collect()
-    assert sorted(bytes(r.header) for r in back) == sorted(bytes(r.header) for r in built.values())
+    big = "<p>" + "é" * 200 + "\r\n\r\nWARC-Type: no"
+    rows = [(3, "http://a/1", big), (1, "http://a/2", big), (2, None, "tiny"), (4, "u", "tiny"), (5, "u\r\nx y", None), (6, "ü%20", ""), (1, "again", big), (None, "noid", big), (7, "v", "z" * 100), (None, "n", "q" * 100), (None, "n", "q" * 100), (7, "v", "z" * 100)]
+    pages = spark.createDataFrame([(*r, "extra", "extra") for r in rows], "page_id long, url string, html string, digest string, `f.row` string")
+    want = {(3, "http://a/1"): ("revisit", 1), (None, "noid"): ("revisit", 1)}
+    built = collections.Counter((r.page_id, r.uri, r.record_type, r.refers_to, r.payload_bytes) for r in warc.build_headers(pages).collect())
+    assert built == collections.Counter((i, u, *want.get((i, u), ("response", None)), len((b or "").encode())) for i, u, b in rows)
+    path = warc.write_archive(pages, str(tmp_path / "w"))
+    assert spark.read.parquet(path + "/payloads").count() == 5
+    records = warc.rebuild_records(spark, path)
+    back = warc.parse_records(records).collect()
+    ids = {}
     for r in back:
-        assert hashlib.sha256(bytes(r.payload)).hexdigest() == r.digest and bytes(r.record).endswith(b"\r\n\r\n")
-        size = int(bytes(r.header).split(b"Content-Length: ")[1].split(b"\r\n")[0])
-        assert bytes(r.record) == bytes(r.header) + (bytes(r.payload) if r.record_type == "response" else b"") + b"\r\n\r\n" and size == len(bytes(r.record)) - len(bytes(r.header)) - 4
+        fields, payload = read_warc(bytes(r.record))
+        assert (r.record_type, r.record_id, r.refers_to_id) == (fields["WARC-Type"], fields["WARC-Record-ID"], fields.get("WARC-Refers-To"))
+        assert fields["WARC-Payload-Digest"] == f"sha256:{r.payload_digest}" and r.digest == r.payload_digest
+        if r.record_type == "response":
+            assert payload == bytes(r.payload) and hashlib.sha256(payload).hexdigest() == r.digest and r.stored_bytes == len(payload)
+        else:
+            assert payload == b"" and r.payload is None and fields["WARC-Profile"].endswith("identical-payload-digest")
+        ids[r.record_id] = r
+    assert len(ids) == len(rows)
+    assert collections.Counter((int(r.page_id) if r.page_id else None, r.uri, r.stored_bytes) for r in back) == collections.Counter((i, u, len((b or "").encode())) for i, u, b in rows)
+    assert all(ids[r.refers_to_id].digest == r.digest and ids[r.refers_to_id].page_id == r.refers_to == "1" for r in back if r.record_type == "revisit")
+    named = warc.parse_records(warc.rebuild_records(spark, warc.write_archive(spark.createDataFrame([("a b\n/é", "u", "x")], "page_id string, url string, html string"), str(tmp_path / "t")))).collect()
+    assert named[0].page_id == "a b\n/é"
+    with pytest.raises(Exception, match="length is not"):
+        warc.parse_records(records.withColumn("record", F.concat("record", F.lit("x").cast("binary")))).collect()
+    spark.createDataFrame([(b"h", "1" * 64, "revisit")], "header binary, digest string, record_type string").write.mode("append").parquet(path + "/headers")
+    with pytest.raises(Exception, match="no payload"):
+        warc.rebuild_records(spark, path).collect()
     spark.createDataFrame([("0" * 64, b"forged")], "digest string, payload binary").write.mode("append").parquet(path + "/payloads")
-    spark.createDataFrame([(b"h", "0" * 64)], "header binary, digest string").write.mode("append").parquet(path + "/headers")
+    spark.createDataFrame([(b"h", "0" * 64, "response")], "header binary, digest string, record_type string").write.mode("append").parquet(path + "/headers")
     with pytest.raises(Exception, match="does not match"):
-        warc.read_archive(spark, path).collect()
-    empty = warc.write_archive(warc.build_records(pages.limit(0)), str(tmp_path / "e"))
-    assert warc.read_archive(spark, empty).count() == 0
+        warc.rebuild_records(spark, path).filter(F.col("digest") == "0" * 64).collect()
+    empty = warc.write_archive(pages.limit(0), str(tmp_path / "e"))
+    assert warc.rebuild_records(spark, empty).count() == 0
 
 
 # ---- packing
