@@ -26,8 +26,8 @@ RATE, UP, DOWN, FRAME, HOP, BANDS, STEPS = 12000, 2, 3, 256, 128, 24, 64
 #: Decibels below the loudest frame at which a segment begins and ends.
 BEGIN_DB, END_DB = 3.0, 6.0
 UNIT = 64
-#: Media bytes whose tensors are held at a time.
-BATCH_BYTES = 4 << 20
+#: Media bytes whose tensors are held at a time, and samples that are filtered at a time.
+BATCH_BYTES, BLOCK = 4 << 20, 1 << 18
 
 
 def pad_payload(payload: bytes) -> bytes:
@@ -83,7 +83,9 @@ def resample(x: np.ndarray, up: int = UP, down: int = DOWN) -> np.ndarray:
         t0 = k * down + lead
         phase, first = t0 % up, t0 // up + 1
         m = len(out[k::up])
-        out[k::up] = windows[first : first + m * down : down][:m] @ h[phase]
+        for a in range(0, m, BLOCK):  # a long text is resampled in parts
+            b = min(a + BLOCK, m)
+            out[k + a * up : k + b * up : up] = windows[first + a * down : first + b * down : down][: b - a] @ h[phase]
     return out
 
 
@@ -105,11 +107,14 @@ def log_mel(x: np.ndarray, rate: int) -> tuple[np.ndarray, np.ndarray]:
     """Log-mel frames (frames x BANDS) and each frame's energy, both in decibels."""
     if len(x) < FRAME or (len(x) - FRAME) % HOP:
         x = np.pad(x, (0, FRAME - len(x) if len(x) < FRAME else HOP - (len(x) - FRAME) % HOP))
-    frames = np.lib.stride_tricks.sliding_window_view(x, FRAME)[::HOP] * _WINDOW
-    power = np.abs(np.fft.rfft(frames, axis=1)) ** 2
-    bands = 10 * np.log10(np.maximum(power.astype(np.float32) @ _mel(rate), 1e-8))
-    energy = 10 * np.log10(np.maximum((frames * frames).mean(axis=1), 1e-10))
-    return bands.astype(np.float32), energy
+    whole = np.lib.stride_tricks.sliding_window_view(x, FRAME)[::HOP]
+    bands, energy = np.empty((len(whole), BANDS), np.float32), np.empty(len(whole), np.float32)
+    for a in range(0, len(whole), BLOCK // HOP):  # spectra of a long text are made in parts
+        frames = whole[a : a + BLOCK // HOP] * _WINDOW
+        power = np.abs(np.fft.rfft(frames, axis=1)) ** 2
+        bands[a : a + len(frames)] = 10 * np.log10(np.maximum(power.astype(np.float32) @ _mel(rate), 1e-8))
+        energy[a : a + len(frames)] = 10 * np.log10(np.maximum((frames * frames).mean(axis=1), 1e-10))
+    return bands, energy
 
 
 def segments(energy: np.ndarray, begin_db: float = BEGIN_DB, end_db: float = END_DB) -> list[tuple[int, int]]:
@@ -174,7 +179,8 @@ def media_tensors(stored: DataFrame) -> DataFrame:
 
     ``tensors`` is an Arrow stream per document: fixed-shape log-mel tensors with
     the time span of each. A payload of zero bytes only is a constant signal; it
-    has one segment.
+    has one segment. Null and empty texts are such payloads; repeated rows and rows
+    without an id are computed each for itself, equal payloads alike.
     """
     kind = stored.schema["doc_id"].dataType.simpleString()
 

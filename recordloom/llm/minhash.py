@@ -26,7 +26,7 @@ from recordloom.sources.scratch import Scratch, materialize
 #: Words of an n-gram, least similarity, wanted chance that a pair at that similarity is compared, hashes at most.
 WORDS, SIMILARITY, RECALL, MOST_HASHES = 5, 0.8, 0.9999, 128
 #: Texts and n-grams of a block in verification, at most; n-grams of a task; text bytes hashed at a time.
-BLOCK, BLOCK_GRAMS, TASK_GRAMS, BATCH_BYTES = 256, 1 << 20, 1 << 21, 1 << 20
+BLOCK, BLOCK_GRAMS, TASK_GRAMS, BATCH_BYTES = 256, 1 << 20, 1 << 19, 1 << 20
 
 
 def choose_bands(similarity: float = SIMILARITY, recall: float = RECALL, most_hashes: int = MOST_HASHES) -> tuple[int, int]:

@@ -77,6 +77,60 @@ def test_audio_signal():
         audio.from_wav(b"RIFX" + bytes(40))
 
 
+def plain_log_mel(x, rate):
+    """Sums over every sample and frequency, from the definitions."""
+    size, hop, n = audio.FRAME, audio.HOP, audio.BANDS
+    x = np.concatenate([x, np.zeros(max(0, size - len(x)) or -(len(x) - size) % hop)])
+    window = 0.5 - 0.5 * np.cos(2 * np.pi * np.arange(size) / (size - 1))
+    edge = [700 * (10 ** (m / 2595) - 1) for m in np.linspace(0, 2595 * math.log10(1 + rate / 2 / 700), n + 2)]
+    turn = np.exp(-2j * np.pi * np.outer(np.arange(size // 2 + 1), np.arange(size)) / size)
+    out, energy = [], []
+    for a in range(0, len(x) - size + 1, hop):
+        frame = x[a : a + size] * window
+        power = np.abs(turn @ frame) ** 2
+        row = []
+        for b in range(n):
+            low, mid, high = edge[b : b + 3]
+            f = np.arange(size // 2 + 1) * rate / size
+            weight = np.where(f <= mid, (f - low) / (mid - low), (high - f) / (high - mid)).clip(0)
+            row.append(10 * math.log10(max(power @ weight, 1e-8)))
+        out.append(row)
+        energy.append(10 * math.log10(max((frame**2).mean(), 1e-10)))
+    return np.array(out), np.array(energy)
+
+
+def plain_segments(energy, begin, end):
+    active, out = False, []
+    for i, e in enumerate(energy):
+        now = e >= energy.max() - begin or (active and e >= energy.max() - end)
+        if now and not active:
+            out.append([i, i])
+        if now:
+            out[-1][1] = i + 1
+        active = now
+    return [tuple(x) for x in out]
+
+
+@pytest.mark.parametrize("size", [64, 300, 5000, 70_001])
+def test_audio_against_definitions(size, monkeypatch):
+    monkeypatch.setattr(audio, "BLOCK", 4096)  # several parts
+    r = np.random.default_rng(size)
+    x = (r.normal(size=size) * np.repeat(r.uniform(0.01, 1, size // 50 + 1), 50)[:size]).astype(np.float32)
+    # every output is the sum over the zero-stuffed input times the filter
+    half = 8 * audio.DOWN
+    t = np.arange(-half, half + 1)
+    taps = np.sinc(t / audio.DOWN) * np.kaiser(2 * half + 1, 5.0)
+    stuffed = np.zeros(size * audio.UP)
+    stuffed[:: audio.UP] = x
+    whole = np.convolve(stuffed, taps * audio.UP / taps.sum())[half : half + size * audio.UP]
+    out = audio.resample(x)
+    assert len(out) == -(-size * audio.UP // audio.DOWN) and np.allclose(out, whole[:: audio.DOWN], atol=1e-4)
+    bands, energy = audio.log_mel(out, 8000)
+    want, loud = plain_log_mel(out.astype(float), 8000)
+    assert bands.shape == want.shape and np.abs(bands - want).max() < 0.02 and np.abs(energy - loud).max() < 0.01
+    assert audio.segments(energy) == plain_segments(energy, audio.BEGIN_DB, audio.END_DB)
+
+
 # ---- mixing
 def test_rake_meets_targets(spark):
     r = random.Random(4)
@@ -385,6 +439,36 @@ def test_lines_removed(spark):
     assert [r.doc_id for r in out] == [1] and out[0].text + "\n" == "".join(map(good, range(9))) and out[0].n_chars == len(out[0].text)
 
 
+# ---- all that change documents
+NAMES = ["key", "cuts", "rest", "own", "mark", "words", "lines", "row", "whole", "best", "own_host", "best_host", "cell_source", "own_lang", "topic", "weight", "arrival", "clean_text", "d1", "node", "__id", "__text"]
+
+
+@pytest.fixture(scope="module")
+def clash(odd):
+    """Columns with the names that the operators might want for themselves."""
+    return odd.withColumns({c: F.lit("mine") for c in NAMES})
+
+
+@pytest.mark.parametrize("k", range(4))
+def test_clashing_columns_come_through(spark, odd, clash, small, k):
+    stage = corpus_pipeline.STAGES[k][1]
+    a, b = stage(spark, odd, small), stage(spark, clash, small)
+    assert a.columns == odd.columns and b.columns == clash.columns
+    rows = b.collect()
+    assert all(r[c] == "mine" for r in rows for c in NAMES)
+    key = lambda rows: sorted((r.doc_id or 0, r.text or "", r.n_chars, r.host or "", r.kept or "") for r in rows)
+    assert key(rows) == key(a.collect())
+
+
+def test_clashing_columns_elsewhere(spark, clash, tmp_path):
+    pages = clash.withColumnsRenamed({"doc_id": "page_id", "host": "url", "text": "html"})
+    got = urls.filter_urls(pages, urls.rules_frame(spark)).collect()
+    assert len(got) == 9 and all(r.key == r.own_host == "mine" for r in got)
+    assert warc.build_headers(pages).count() == 9 and packing.pack_documents(clash).count() >= 9
+    assert quality.judge(clash).count() == mixing.mix(clash).count() == 9
+    assert audio.media_features(audio.store_media(clash, str(tmp_path / "c"))).count() == 9
+
+
 # ---- pipeline
 def test_pipeline(spark, small):
     """Every stage against what it must do, on its own input; then run() as a whole."""

@@ -3,6 +3,7 @@
 import collections
 import math
 import random
+import re
 import zlib
 
 import numpy as np
@@ -55,6 +56,71 @@ def test_toxicity_learns_and_generalises(spark):
     assert [x.score for x in none] == [0.0] * 3
 
 
+def test_toxicity_odd(spark, odd, none):
+    labels = spark.createDataFrame([(i, i % 2, "x") for i in range(8)], "doc_id long, toxic int, text string")
+    got = toxicity.score_toxicity(odd.withColumnRenamed("kept", "toxic"), labels).collect()
+    assert len(got) == 9 and all(0 <= r.score <= 1 and r.predicted in (0, 1) for r in got)
+    assert len({r.score for r in got if r.doc_id == 1}) == 1 and len({r.score for r in got if r.doc_id in (2, 3, 5)}) == 1
+    assert toxicity.score_toxicity(none, labels).count() == 0
+    assert {r.score for r in toxicity.score_toxicity(odd, labels.limit(0)).collect()} == {0.0}
+
+
+def test_expressions_of_ordinary_words_are_learned(spark):
+    """Two words that are harmless apart and toxic side by side."""
+    r = random.Random(9)
+    docs, labels = [], []
+    for i in range(1500):
+        w = [r.choice("abcdefgh") * r.randint(1, 3) for _ in range(40)]
+        for _ in range(2):
+            w.insert(r.randrange(len(w)), "pack it" if i % 3 == 0 else r.choice(["it was", "a pack"]))
+        docs.append((i, " ".join(w)))
+        labels.append((i, int(i % 3 == 0)))
+    got = toxicity.score_toxicity(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")).collect()
+    truth = dict(labels)
+    held = [(r.predicted, truth[r.doc_id]) for r in got if r.held_out]
+    assert sum(p == y for p, y in held) / len(held) > 0.9
+
+
+def plain_ratio(words, before, docs):
+    """Log-likelihood ratio of one word after another, from the counts of (words, class) texts."""
+    pairs = {k: collections.Counter() for k in (True, False)}
+    for text, toxic in docs:
+        pairs[toxic].update(zip(["^", *text], text))
+    both = set(pairs[True]) | set(pairs[False])
+    kinds = {k: collections.Counter(w for _, w in p) for k, p in {**pairs, None: both}.items()}
+
+    def disc(c):
+        n = collections.Counter(c.values())
+        return min(2.9, max(0.5, 3 - 4 * n[1] / (n[1] + 2 * n[2]) * n[4] / n[3])) if n[1] and n[2] and n[3] else 1.0
+
+    left = lambda c, d: c if c < toxicity.LEAST_COUNT else min(c, d)
+    whole = sum(kinds[None].values())
+    shared = (kinds[None][words] - min(kinds[None][words], 0.75)) / whole + sum(min(c, 0.75) for c in kinds[None].values()) / whole / len(kinds[None])
+    out = []
+    for k in (True, False):
+        n, d = sum(kinds[k].values()), disc(kinds[k])
+        p = (kinds[k][words] - left(kinds[k][words], d)) / n + sum(left(c, d) for c in kinds[k].values()) / n * shared
+        d = disc(pairs[k])
+        after = {w: c for (v, w), c in pairs[k].items() if v == before}
+        rest = sum(left(c, d) for c in after.values()) / sum(after.values()) if after else 1.0
+        c = after.get(words, 0)
+        out.append(((c - left(c, d)) / sum(after.values()) if after else 0) + rest * p)
+    return math.log(out[0] / out[1])
+
+
+def test_ratios_against_plain_counts(spark):
+    r = random.Random(12)
+    docs = [([r.choice("abcdefghijklmnopqrstuvwxyz"[: 8 + 14 * (i % 2)]) for _ in range(r.randint(1, 30))], i % 2 == 0) for i in range(200)]
+    from recordloom.sources.scratch import Scratch
+
+    models = toxicity.count_models(spark.createDataFrame([(" ".join(w), int(t)) for w, t in docs], "text string, toxic int"), Scratch(spark, "t"))
+    data, ends = utf8(pa.array(["a b c v t a", "q", "t never u"]))
+    start, stop, at = word_bounds(data, ends)
+    got = models.ratios(word_hashes(data, start, stop), at)[1]
+    want = [plain_ratio(w, v, docs) for t in ("abcvta", "q") for v, w in zip("^" + t, t)]
+    assert got[:7].tolist() == pytest.approx(want, abs=1e-9) and got[8] == 0
+
+
 # ---- substring dedup
 def test_chunks_resist_insertions():
     r = random.Random(3)
@@ -81,15 +147,56 @@ def brute_repeats(docs, words=51):
     return {i for s in seen.values() if len(s) > 1 for i in s - {min(s)}}
 
 
+def brute_runs(docs, words=51):
+    """Character ranges of passages of so many words or more that an earlier document holds, each in one of them."""
+    first, out = {}, collections.defaultdict(list)
+    for i, t in sorted(docs):
+        at = [(m.start(), m.end()) for m in re.finditer(r"[^\x20\x09-\x0D]+", t or "")]
+        grams = [t[at[k][0] : at[k + words - 1][1]] for k in range(len(at) - words + 1)]
+        for k, g in enumerate(grams):
+            if g in first and first[g] != i:
+                a, b = at[k][0], at[k + words - 1][1]
+                if out[i] and out[i][-1][1] >= a:
+                    out[i][-1] = (out[i][-1][0], b)
+                else:
+                    out[i].append((a, b))
+        for g in grams:
+            first.setdefault(g, i)
+    return out
+
+
+def test_span_through_a_chunk_seen_earlier(spark):
+    """A passage whose middle another document has as well is one span, held by the document that has all of it."""
+    r = random.Random(6)
+    words = lambda n: " ".join("".join(r.choice("abcdefghijklmnop") for _ in range(r.randint(2, 9))) for _ in range(n))
+    left, middle, right = words(60), words(40), words(60)
+    docs = [(1, f"{words(30)} {middle} {words(30)}"), (2, f"{words(20)} {left} {middle} {right} {words(20)}"), (3, f"{left} {middle} {right}"), (4, f"{words(9)} {left} {words(9)} {right}")]
+    text = dict(docs)
+    spans = chunks.repeated_spans(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    for s in spans:
+        assert text[s.first_doc_id][s.first_start : s.first_start + s.n_chars] == text[s.doc_id][s.start : s.start + s.n_chars]
+    (third,) = [s for s in spans if s.doc_id == 3]
+    assert third.first_doc_id == 2 and third.n_chars > len(text[3]) - 300
+    assert {s.first_doc_id for s in spans if s.doc_id == 2} == {1} and len([s for s in spans if s.doc_id == 4]) == 2
+
+
 def test_repeated_passages_found_and_removed(spark, real):
     docs = [(r.doc_id, r.text) for r in real]
     df = spark.createDataFrame(docs, "doc_id long, text string")
     spans = chunks.repeated_spans(df).collect()
     text = dict(docs)
     assert brute_repeats(docs) <= {s.doc_id for s in spans}
+    for s in spans:  # each span as a whole stands in the one earlier place that it names
+        assert s.n_chars >= chunks.LEAST_SPAN and (s.first_doc_id, s.first_start) < (s.doc_id, s.start)
+        body = text[s.doc_id][s.start : s.start + s.n_chars]
+        assert len(body) == s.n_chars and text[s.first_doc_id][s.first_start : s.first_start + s.n_chars] == body
+    covered = collections.defaultdict(set)
     for s in spans:
-        assert s.n_chars >= chunks.LEAST_SPAN and s.first_doc_id <= s.doc_id
-        assert len(text[s.doc_id][s.start : s.start + s.n_chars]) == s.n_chars
+        covered[s.doc_id].update(range(s.start, s.start + s.n_chars))
+    for i, runs in brute_runs(docs).items():
+        for a, b in runs:  # all of a repeated passage but its edges, where chunks reach beyond it
+            assert all(c in covered[i] for c in range(a + 2 * chunks.MOST, b - 2 * chunks.MOST))
+            assert sum(c in covered[i] for c in range(a, b)) >= 0.5 * (b - a)
     left = {r.doc_id: r.text for r in chunks.without_repeats(df).collect()}
     gone = collections.Counter()
     for s in spans:
@@ -268,5 +375,15 @@ def test_components(spark):
     assert connected_components(spark.createDataFrame([], "u long, v long")).count() == 0
 
 
+def test_megabytes(spark):
+    """Texts of megabytes, twice over, among short ones."""
+    big = " ".join(f"w{(i * 7919) % 1_000_003} and" for i in range(250_000))
+    df = spark.createDataFrame([(1, "short one"), (2, big), (3, big + " end"), (4, "short one")], "doc_id long, text string")
+    assert {(s.doc_id, s.first_doc_id) for s in chunks.repeated_spans(df).filter("n_chars > 1000000").collect()} == {(3, 2)}
+    assert {(r.doc_id, r.class_id, r.n_links) for r in minhash.jaccard_join(df).collect()} == {(1, 1, 1), (2, 2, 1), (3, 2, 1), (4, 1, 1)}
+    got = {r.doc_id: r for r in pitman_yor.score_documents(df).collect()}
+    assert got[2].n_tokens == 500_001 and got[2].score < got[1].score < 0
+
+
 def test_registry_names():
     assert sorted(int(k[2:].split("_")[0]) for k in registry.QUERIES) == list(range(1, 11))
