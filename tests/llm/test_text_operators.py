@@ -10,6 +10,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 from hypothesis import given, settings, strategies as st
+from pyspark.sql import functions as F
 
 from recordloom.llm import chunks, minhash, pitman_yor, registry, toxicity
 from recordloom.llm.components import connected_components
@@ -242,26 +243,97 @@ def test_probabilities_sum_to_one():
     c = r.integers(0, 5, (40, 3)) * r.integers(0, 40, (40, 3))
     word, ctx = np.nonzero(c)
     pairs = {"word": np.searchsorted(np.unique(word), word), "ctx": ctx, "c": c[word, ctx]}
-    n_words = pairs["word"].max() + 1
     tables, parent = pitman_yor.first_seating(pairs)
     whole = pitman_yor.totals_of(pairs, tables, parent, 3)
-    *_, (tables, parent, p, q) = pitman_yor.sweeps(pairs, whole, 4, [9])
-    whole = pitman_yor.totals_of(pairs, tables, parent, 3)  # totals of exactly this seating
-    d, d0 = whole.discounts()
-    base = 1 / (whole.words + 1)
-    t = np.bincount(pairs["word"], weights=tables)
-    fresh = pitman_yor.STRENGTH + d0 * parent.sum()
-    root = (np.maximum(t - d0 * parent, 0) + fresh * base) / (pitman_yor.STRENGTH + tables.sum())
-    assert root.sum() + fresh * base / (pitman_yor.STRENGTH + tables.sum()) == pytest.approx(1)
+    *_, (tables, parent) = pitman_yor.sweeps(pairs, whole, 4, [9])
+    own = pitman_yor.totals_of(pairs, tables, parent, 3)  # totals of exactly this seating
+    everywhere = {"word": np.repeat(np.arange(own.words + 1).astype(int), 3), "ctx": np.tile(np.arange(3), int(own.words) + 1)}  # and one unseen word
+    full = {(w, u): (n, t) for w, u, n, t in zip(pairs["word"], pairs["ctx"], pairs["c"], tables)}
+    n, t = np.array([full.get(k, (0, 0)) for k in zip(everywhere["word"], everywhere["ctx"])], float).T
+    p = pitman_yor.predictive(everywhere | {"c": n}, t, np.append(parent, 0), whole.discounts(), own)
     for u in range(3):
-        k = pairs["ctx"] == u
-        own = np.zeros(n_words)
-        own[pairs["word"][k]] = pairs["c"][k] - d * tables[k]
-        back = pitman_yor.STRENGTH + d * whole.t[u]
-        assert ((own + back * root).sum() + back * (1 - root.sum())) / (pitman_yor.STRENGTH + whole.c[u]) == pytest.approx(1)
+        assert p[everywhere["ctx"] == u].sum() == pytest.approx(1)
     assert (tables[pairs["c"] > 0] >= 1).all() and (tables <= pairs["c"]).all()
 
 
+def every_seating(c):
+    """All ways to seat c customers, as sizes of tables in order of opening, with how often each arises."""
+    out = collections.Counter({(1,): 1})
+    for _ in range(c - 1):
+        new = collections.Counter()
+        for sizes, n in out.items():
+            new[(*sizes, 1)] += n
+            for k in range(len(sizes)):
+                new[(*sizes[:k], sizes[k] + 1, *sizes[k + 1 :])] += n
+        out = new
+    return out
+
+
+def test_seatings_follow_their_conditional_distribution():
+    """Tables of one dish, drawn given a restaurant with others, against the sum over every seating of its customers."""
+    d, theta, others, p = 0.6, pitman_yor.STRENGTH, 7, 0.2
+    rng = np.random.default_rng(4)
+    for c in (2, 4, 7):
+        want = np.zeros(c + 1)
+        for sizes, n in every_seating(c).items():
+            # each table opens with its weight; its later customers come with their number less the discount
+            w = math.prod((theta + d * (others + k)) * p for k in range(len(sizes)))
+            want[len(sizes)] += n * w * math.prod(j - d for size in sizes for j in range(1, size))
+        want /= want.sum()
+        got = pitman_yor.reseat(np.full(60_000, c), lambda i, k: np.log((theta + d * (others + k)) * p), d, rng)
+        assert np.abs(np.bincount(got.astype(int), minlength=c + 1) / len(got) - want).max() < 0.01
+
+
+@pytest.mark.parametrize("c, p", [(12, 0.05), (60, 0.01), (60, 0.3)])
+def test_draws_against_moving_single_customers(c, p):
+    """The one draw against Gibbs sampling that removes one customer at a time and seats it anew."""
+    d, theta, others, r = 0.7, pitman_yor.STRENGTH, 20, random.Random(c)
+    weight = lambda k: (theta + d * (others + k)) * p
+    seats, total, steps = [1] * c, 0, 500_000
+    for step in range(-5000, steps):  # the first ones leave the beginning behind
+        k = r.choices(range(len(seats)), seats)[0]
+        seats[k] -= 1
+        seats = [n for n in seats if n]
+        k = r.choices(range(len(seats) + 1), [n - d for n in seats] + [weight(len(seats))])[0]
+        seats = [*seats, 1] if k == len(seats) else [n + (i == k) for i, n in enumerate(seats)]
+        total += len(seats) * (step >= 0)
+    got = pitman_yor.reseat(np.full(20_000, c), lambda i, k: np.log(weight(k)), d, np.random.default_rng(1))
+    assert got.mean() == pytest.approx(total / steps, rel=0.03)
+
+
+@pytest.mark.parametrize("fan", [3, 1024])
+def test_hot_words_and_many_parts_change_nothing(spark, monkeypatch, fan):
+    """Base scores and known tokens, which are exact, with split parts and tokens dealt in two steps; rows in any order."""
+    monkeypatch.setattr(pitman_yor, "PART_TOKENS", 500)
+    monkeypatch.setattr(pitman_yor, "SHARE", 0.2)  # so that words of up to a fifth of all tokens are dealt
+    monkeypatch.setattr(pitman_yor, "FAN", fan)
+    monkeypatch.setattr(pitman_yor, "LOT_TOKENS", 2000)
+    r = random.Random(2)
+    docs = [(i, " ".join(r.choice(["hot", "warm"] + [f"w{r.randrange(900)}" for _ in range(8)]) for _ in range(40))) for i in range(500)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    held = df.withColumn("held", F.lit(False))
+    _, n, parts, subs = pitman_yor.survey(held)
+    assert subs and parts > 30 and n == sum(len(t.split()) + 1 for _, t in docs)
+    a, b = ({x.doc_id: x for x in pitman_yor.score_documents(d).collect()} for d in (df.repartition(2), df.repartition(9)))
+    tokens = {i: [*t.split(), None] for i, t in docs}
+    c = collections.Counter(w for i, ws in tokens.items() if zlib.crc32(str(i).encode()) % 10 for w in ws)
+    n, v = sum(c.values()), len(c)
+    for i, ws in tokens.items():
+        base = sum(math.log10((c[w] + 0.1) / (n + 0.1 * (v + 1))) for w in ws)
+        assert a[i].base_score == pytest.approx(base, rel=1e-9) and a[i].n_known == b[i].n_known == sum(c[w] > 0 for w in ws)
+        assert a[i].base_score == pytest.approx(b[i].base_score) and a[i].score == pytest.approx(b[i].score, rel=0.02)
+
+
+def test_perplexity(spark, real):
+    scored = pitman_yor.score_documents(spark.createDataFrame([(r.doc_id, r.text) for r in real], "doc_id long, text string"))
+    rows = scored.collect()
+    for r in pitman_yor.perplexity(scored).collect():
+        some = [x for x in rows if x.held_out == r.held_out]
+        n = sum(x.n_tokens for x in some)
+        assert r.score_perplexity == pytest.approx(10 ** (-sum(x.score for x in some) / n)) and r.base_score_perplexity == pytest.approx(10 ** (-sum(x.base_score for x in some) / n))
+        assert r.score_perplexity < r.base_score_perplexity
+
+
 def test_scores_sum_to_one(spark, monkeypatch):
     """Scores of short held-out texts give the probabilities of all words after the beginning and after the one frequent word."""
     monkeypatch.setattr(pitman_yor, "PART_TOKENS", 4000)  # several parts
