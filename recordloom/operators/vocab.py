@@ -53,14 +53,25 @@ def _edges(c: Column) -> Column:
     return F.btrim(c, F.lit(" ,;:-"))
 
 
-def classify(descriptors: DataFrame, text: str, races: DataFrame, titles: DataFrame, ranks: DataFrame, factions: list[tuple[Column, str, str]], rank_own: list[str], rank_else: str, rank_faction: str) -> DataFrame:
+#: F8: words of the status, by what was found; an own mapping may replace them.
+STATUSES = {
+    "nothing": "no_descriptor", "ranked": "immortal", "suspect": "parser_suspect_or_custom_descriptor", "all": "classified", "no base class": "generic_title_no_class",
+    "race alone": "race_only", "only a rest": "custom_descriptor_unclassified", "none": "needs_review",
+}
+#: Texts inside a rest that speak for a fault of the parser.
+SUSPECT = [" is a ", " is an ", " level"]
+
+
+def classify(descriptors: DataFrame, text: str, races: DataFrame, titles: DataFrame, ranks: DataFrame, factions: list[tuple[Column, str, str]], rank_own: list[str], rank_else: str, rank_faction: str, statuses: dict[str, str] = STATUSES, suspects: list[str] = SUSPECT) -> DataFrame:
     """One row per distinct descriptor with all derived attributes.
 
     ``races``: ``ord, term, race, subrace``; ``titles``: ``ord, title, base_class,
     gender, gender_confidence``; ``ranks``: ``ord, term, rank_order, rank, code,
     role``. ``factions``: conditions on ``race`` and ``subrace`` with faction and
     confidence, first hit wins; a ranked match overrides them. ``rank_own`` are
-    ranks that are races by themselves; others give ``rank_else``.
+    ranks that are races by themselves; others give ``rank_else``. ``statuses``
+    names the outcomes; ``suspects`` are texts that mark a rest as the parser's
+    fault.
     """
     d = descriptors.select(clean(text).alias("descriptor")).distinct()
 
@@ -106,14 +117,14 @@ def classify(descriptors: DataFrame, text: str, races: DataFrame, titles: DataFr
     # F7, F8, F9
     cascade = lambda pick, first: reduce(lambda e, r: e.when(r[0], r[pick]), factions, F.when(hit, F.lit(first))).otherwise(F.lit(""))
     plain = norm("remainder")
-    suspect = F.contains(plain, F.lit(" is a ")) | F.contains(plain, F.lit(" is an ")) | F.contains(plain, F.lit(" level"))
+    suspect = reduce(lambda a, b: a | b, [F.contains(plain, F.lit(x)) for x in suspects])
     none = F.col("descriptor") == ""
     status = (
-        F.when(none, "no_descriptor").when(hit, "immortal").when(suspect, "parser_suspect_or_custom_descriptor")
-        .when((F.col("race") != "") & titled & (F.col("base_class") != ""), "classified")
-        .when((F.col("race") != "") & titled, "generic_title_no_class")
-        .when(F.col("race") != "", "race_only")
-        .when(F.col("remainder") != "", "custom_descriptor_unclassified").otherwise("needs_review")
+        F.when(none, statuses["nothing"]).when(hit, statuses["ranked"]).when(suspect, statuses["suspect"])
+        .when((F.col("race") != "") & titled & (F.col("base_class") != ""), statuses["all"])
+        .when((F.col("race") != "") & titled, statuses["no base class"])
+        .when(F.col("race") != "", statuses["race alone"])
+        .when(F.col("remainder") != "", statuses["only a rest"]).otherwise(statuses["none"])
     )
     some = lambda name, c: F.when(F.coalesce(F.col(c), F.lit("")) != "", F.concat(F.lit(f"{name}="), F.col(c)))
     notes = F.concat_ws(
