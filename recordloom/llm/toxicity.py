@@ -16,7 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from recordloom.llm.names import quoted
 from recordloom.llm.textbatch import mix, spans, utf8, word_bounds, word_hashes
@@ -178,7 +178,7 @@ def _batches(batch: pa.RecordBatch, column: int) -> Iterator[tuple]:
 def sample_of(docs: DataFrame, labels: DataFrame, work: Scratch, most_toxic: int, most_ordinary: int, most_bytes: int) -> DataFrame:
     """``text, toxic, calibrate``: of each class the labelled documents first by a hash of the id, up to the bounds.
 
-    Rows and text bytes are bounded; a document that would exceed the bytes is left out.
+    Rows and text bytes are bounded; once a class has its bytes, later documents are left out.
     """
     known = labels.filter(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     order = F.xxhash64("doc_id", F.lit("sample"))
@@ -187,9 +187,14 @@ def sample_of(docs: DataFrame, labels: DataFrame, work: Scratch, most_toxic: int
     # the two limits bound the ids
     sizes = docs.select(F.col("doc_id").alias("id"), F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("size"))
     sizes = work.store(sizes.join(F.broadcast(ids), "id").groupBy("id", "toxic", "place").agg(F.sum("size").alias("size")), "sizes")
-    upto = F.sum("size").over(Window.partitionBy("toxic").orderBy("place", "id"))
+    # at most most_toxic + most_ordinary short rows: added up here, in the order of their hashes
+    upto, chosen = {0: 0, 1: 0}, []
+    for r in sorted(sizes.collect(), key=lambda r: r["place"]):
+        upto[r["toxic"]] += r["size"]
+        if upto[r["toxic"]] <= most_bytes:
+            chosen.append((r["id"], r["toxic"]))
     calibrate = F.pmod(F.xxhash64("id", F.lit("calibrate")), F.lit(CALIBRATE)) == 0
-    sizes = work.store(sizes.withColumn("upto", upto).filter(F.col("upto") <= most_bytes).select("id", "toxic", calibrate.alias("calibrate")), "chosen")
+    sizes = docs.sparkSession.createDataFrame(chosen, sizes.select("id", "toxic").schema).withColumn("calibrate", calibrate)
     rows = docs.join(F.broadcast(sizes), F.col("doc_id") == F.col("id")).select("text", "toxic", "calibrate")
     return work.store(rows, "sample")
 
