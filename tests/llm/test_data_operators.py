@@ -4,6 +4,7 @@ import collections
 import hashlib
 import math
 import random
+import re
 import zlib
 
 import numpy as np
@@ -11,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from recordloom.llm import audio, mixing, packing, quality, registry, urls, warc
+from recordloom.llm import audio, chunks, mixing, packing, quality, registry, urls, warc
 from tests.oracle import differences
 
 
@@ -160,9 +161,14 @@ def test_sample_follows_probability(spark):
     assert df.filter("u < 0.3").count() == pytest.approx(6000, abs=300) and df.filter("u < 0 or u >= 1").count() == 0
 
 
+def plain_topic(text):
+    tests = {"lists": "|" in text, "markup": re.search("[#$%&*]{3}", text), "shouting": "!!" in text, "figures": re.search("[0-9]{4}", text)}
+    return next((k for k, hit in tests.items() if hit), "prose")
+
+
 def brute_mix(rows, budget, rounds=200):
     """Chance and draw of each (id, text, lang, source) row, in plain Python; targets must not contradict each other."""
-    key = lambda r: (r[3] or "(none)", r[2] or "(none)", "lists" if "|" in r[1] else "prose")
+    key = lambda r: (r[3] or "(none)", r[2] or "(none)", plain_topic(r[1]))
     cells = collections.Counter()
     for r in rows:
         cells[key(r)] += len(r[1].split())
@@ -470,6 +476,54 @@ def test_clashing_columns_elsewhere(spark, clash, tmp_path):
 
 
 # ---- pipeline
+def plain_draws(rows):
+    """Which rows are drawn, where the chance is not too near the draw."""
+    found = brute_mix(rows, mixing.BUDGET)
+    return {(r[0], r[1]): found[r[0]][1] < found[r[0]][0] for r in rows if abs(found[r[0]][1] - found[r[0]][0]) > 0.02}
+
+
+def plain_clean(text):
+    """Text after the line rules, or None where the document is rejected; written from the rules, in plain Python."""
+    text = text or ""
+    n_words, *_, n_repeat = brute_quality(text)
+    if n_words < 50 or 100 * n_repeat > 50 * n_words:
+        return None
+    lines = [x for x in text.split("\n") if x.strip(" \t\x0b\f\r")]
+    phrases = quality.PHRASES.replace("(?:", "(")
+    good = []
+    for x in lines:
+        size = len(x)
+        ends = any(c in ".!?…。！？" and (k + 1 == size or x[k + 1] in " \t\x0b\f\r\"')]»”’") for k, c in enumerate(x))
+        bad = (
+            x in good
+            or sum(x.count(c) for c in "|»›·•") * 100 >= 4 * size
+            or sum(x.count(c) for c in "#*$%&<>") * 100 >= 10 * size
+            or x.count("!!") * 100 >= 5 * size
+            or (size >= 200 and not ends)
+            or (size <= 300 and re.search(rf"(^|[^a-z])({phrases})([^a-z]|$)", x.lower()))
+        )
+        if not bad:
+            good.append(x)
+    clean = "\n".join(good)
+    whole = len("\n".join(lines))
+    return clean if 100 * (whole - len(clean)) <= 50 * whole else None
+
+
+def test_line_rules(spark):
+    word = lambda i: " ".join(f"w{i}{c}" for c in "abcdefghijkl")
+    many = lambda c: " ".join(f"{c}{k}" for k in range(70))
+    body = [f"{word(i)}." for i in range(8)]
+    odd = [
+        "All Rights Reserved 2024", "see terms of use", "the wall rights reservedly kept on", "Home » News › Sport • Cup · All | x", " ".join(f"n{k} {k}.5" for k in range(40)), "so it ends. " + many("b"), "wow!! wow!! wow!!",
+        "x ##$$%% <<>> y", "Tous droits réservés", "quoted \"end.\" " + many("c"), "ok | fine line with one bar only, long enough to pass it", "c" * 301 + " click here to", "",
+    ]
+    docs = [(i, "\n".join([*body, x, body[0]])) for i, x in enumerate(odd)]
+    got = {r.doc_id: r.text for r in quality.clean_documents(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got == {i: plain_clean(t) for i, t in docs} and None not in got.values()
+    stays = [i for i, x in enumerate(odd) if x and x in got[i].split("\n")]
+    assert stays == [2, 5, 9, 10]
+
+
 def test_pipeline(spark, small):
     """Every stage against what it must do, on its own input; then run() as a whole."""
     docs = spark.read.parquet(f"{small}/documents.parquet")
@@ -480,19 +534,33 @@ def test_pipeline(spark, small):
         assert k == len(corpus_pipeline.STAGES) - 1 or out.columns == columns
         docs = out
     a, b = seen["quality rules"]
-    good = packing.materialize(quality.judge(a), "judged").filter("kept")
-    assert {(r.doc_id, r.text) for r in b.collect()} == {(r.doc_id, r.clean_text) for r in good.collect()} and b.count() < a.count()
+    clean = {r.doc_id: plain_clean(r.text) for r in a.collect()}
+    assert {r.doc_id: r.text for r in b.collect()} == {i: t for i, t in clean.items() if t is not None} and None in clean.values()
+    assert all(r.n_chars == len(r.text) for r in b.collect())
     a, b = seen["n-gram Jaccard join"]
     from tests.llm.test_text_operators import brute_links, brute_repeats
 
     rows = [(r.doc_id, r.text) for r in a.collect()]
     assert {r.doc_id for r in b.collect()} == {c for c, _ in brute_links(rows).values()}
     a, b = seen["substring dedup"]
-    left = {r.doc_id: r.text for r in b.collect()}
-    repeats = brute_repeats([(r.doc_id, r.text) for r in a.collect()])
-    assert all(len(left.get(r.doc_id, "")) < len(r.text) for r in a.collect() if r.doc_id in repeats)
+    left, text = {r.doc_id: r.text for r in b.collect()}, {r.doc_id: r.text for r in a.collect()}
+    repeats = brute_repeats(list(text.items()))
+    assert all(len(left.get(i, "")) < len(text[i]) for i in repeats)
+    cut = collections.defaultdict(list)  # test_repeated_passages_found_and_removed holds the spans against the texts
+    for s in chunks.repeated_spans(a).collect():
+        assert text[s.first_doc_id][s.first_start : s.first_start + s.n_chars] == text[s.doc_id][s.start : s.start + s.n_chars]
+        cut[s.doc_id].append((s.start, s.start + s.n_chars))
+    for i, t in text.items():
+        kept, at = "", 0
+        for x, y in sorted(cut[i]):
+            kept, at = kept + t[at:x], y
+        kept += t[at:]
+        assert left.get(i) == (kept if not cut[i] or kept.split() else None)
     a, b = seen["mixing"]
-    assert 0 < b.count() < a.count() and b.exceptAll(a).count() == 0
+    rows = [(r.doc_id, r.text, r.lang, r.source) for r in a.collect()]
+    drawn = {(r.doc_id, r.text) for r in b.collect()}
+    clear = plain_draws(rows)
+    assert len(clear) > 0.9 * len(rows) and all((k in drawn) == kept for k, kept in clear.items()) and drawn <= {r[:2] for r in rows}
     a, b = seen["best-fit packing"]
     check_packed(b.collect(), {r.doc_id: r.text for r in a.collect()})
     whole = corpus_pipeline.run(spark, small)
