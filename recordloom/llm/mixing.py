@@ -13,7 +13,7 @@ import logging
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from recordloom.llm.names import free_names, quoted, set_aside
-from recordloom.sources.scratch import materialize
+from recordloom.sources.scratch import Scratch, materialize
 
 DIMENSIONS = ["source", "lang", "topic"]
 #: Default targets: each marginal share raised to this power, made to sum to 1.
@@ -75,19 +75,21 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame], rounds: int = ROUNDS,
 
     Each round scales the cells once per dimension to that dimension's targets.
     Values without a target, and cells without tokens, get weight 0. The table
-    is stored after every round, so the plan stays short. With a tolerance,
+    is stored after every round, so the plan stays short; the last one stays. With a tolerance,
     rounds end once every marginal misses its targets by that sum of shares at
     most, or once a round brings them less than a twentieth nearer: targets that
     contradict each other are never met, and more rounds would empty cells.
     """
-    before = None
+    before, work = None, Scratch(cells.sparkSession, "rake")
     out = cells.withColumn("weight", F.col("tokens").cast("double"))
     for k in range(rounds):
         for d, target in targets.items():
             now = out.groupBy(d).agg(F.sum("weight").alias("__now"))
             factor = now.join(target, d, "left").select(d, F.when(F.col("__now") > 0, F.coalesce("target", F.lit(0.0)) / F.col("__now")).otherwise(0.0).alias("__factor"))
             out = out.join(factor, d).withColumn("weight", F.col("weight") * F.col("__factor")).drop("__factor")
-        out = materialize(out.select(*cells.columns, "weight"), f"rake-{k}")
+        out = work.store(out.select(*cells.columns, "weight"), f"round-{k}")
+        if k:
+            work.drop(f"round-{k - 1}")
         if tolerance is not None:
             off = furthest(marginals(out, targets))
             if off <= tolerance or (before is not None and off > 0.95 * before):
