@@ -27,7 +27,8 @@ def plan(df):
 
 def test_plans(spark, small):
     q = registry.QUERIES
-    assert "WindowGroupLimit" in plan(q["h1_best_order"](spark, small))
+    for name in ("h1_best_order", "d11_best_display", "i3_kind_samples", "i4_group_samples", "i2_review_buckets"):
+        assert "WindowGroupLimit" in plan(q[name](spark, small))
     for name in ("f1_longest_match", "f10_classified", "h13_customer_dossier", "e5_foreign_key", "c11_queue"):
         text = plan(q[name](spark, small))
         assert "NestedLoop" not in text and "Cartesian" not in text and "Python" not in text
