@@ -133,7 +133,7 @@ def features(samples: bytes, rate: int = RATE) -> tuple[np.ndarray, list[tuple[f
     new = rate * UP // DOWN
     bands, energy = log_mel(resample(x), new)
     n = -(-len(bands) // STEPS)
-    tensor = np.full((n * STEPS, BANDS), -80, np.float32)
+    tensor = np.full((n * STEPS, BANDS), -80, np.float16)  # to some hundredths of a decibel
     tensor[: len(bands)] = bands
     at = lambda f: round(f * HOP / new, 4)
     return tensor.reshape(n, STEPS, BANDS), [(at(i * STEPS), at((i + 1) * STEPS)) for i in range(n)], [(at(a), at(b)) for a, b in segments(energy)]
@@ -141,7 +141,7 @@ def features(samples: bytes, rate: int = RATE) -> tuple[np.ndarray, list[tuple[f
 
 def tensor_table(tensor: np.ndarray, spans: list[tuple[float, float]]) -> pa.Table:
     """Fixed-shape Arrow tensors with their time spans."""
-    kind = pa.fixed_shape_tensor(pa.float32(), tensor.shape[1:])
+    kind = pa.fixed_shape_tensor(pa.float16(), tensor.shape[1:])
     flat = pa.FixedSizeListArray.from_arrays(pa.array(tensor.ravel()), int(np.prod(tensor.shape[1:])))
     begin, end = zip(*spans)
     return pa.table({"begin_s": pa.array(begin), "end_s": pa.array(end), "log_mel": pa.ExtensionArray.from_storage(kind, flat)})
@@ -214,7 +214,7 @@ def describe(body: bytes, active: list[float]) -> str:
     """Shape and digest of stored tensors with their time spans, and length, number and digest of the active spans."""
     table = read_tensors(body)
     column = table.column("log_mel").combine_chunks()
-    tensor = column.storage.flatten().to_numpy()
+    tensor = column.storage.flatten().to_numpy(zero_copy_only=False).astype(np.float32)
     spans = np.stack([table.column(c).to_numpy() for c in ("begin_s", "end_s")]).astype("<f8")
     digest = zlib.crc32(spans.tobytes(), zlib.crc32(np.round(tensor, 1).astype("<f4").tobytes()))
     pairs = list(zip(active[::2], active[1::2]))
