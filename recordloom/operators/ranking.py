@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from recordloom.sources.scratch import materialize
+
 
 def rank_in(keys, order, name: str = "__rank") -> tuple[str, Column]:
     return name, F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
@@ -15,32 +19,47 @@ def best_per_key(df: DataFrame, keys: list, order: list, n: int = 1) -> DataFram
     return df.withColumn(name, rank).filter(F.col(name) <= n).drop(name)
 
 
+def numbered(df: DataFrame, keys: list[str], order: list, name: str) -> DataFrame:
+    """Place of each row in its group, from 1, for groups of any size.
+
+    Rows are dealt by ranges of key and order, so a hot group spreads over many
+    tasks; only the groups' counts per range meet. The ranges are stored, as the
+    counts must be those of the rows they are joined with.
+    """
+    part, local, before = "__range", "__local", "__before"
+    ranged = df.repartitionByRange(*keys, *order).withColumn(part, F.spark_partition_id())
+    ranged = materialize(ranged.withColumn(local, F.row_number().over(Window.partitionBy(part, *keys).orderBy(*order))), "numbered")
+    counts = ranged.groupBy(*keys, part).agg(F.count(F.lit(1)).alias("__n"))
+    earlier = F.sum("__n").over(Window.partitionBy(*keys).orderBy(part).rowsBetween(Window.unboundedPreceding, -1))
+    offsets = counts.select(*[F.col(k).alias(f"__{k}_of") for k in keys], F.col(part).alias("__of"), F.coalesce(earlier, F.lit(0)).alias(before))
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"__{k}_of")) for k in keys], F.col(part) == F.col("__of"))
+    return ranged.join(offsets, same).withColumn(name, F.col(before) + F.col(local)).select(*df.columns, name)
+
+
 def numbered_slugs(df: DataFrame, slug: str, order: list, name: str = "page_slug") -> DataFrame:
     """The first of equal slugs stays bare, the next get -2, -3 and so on."""
-    k = F.row_number().over(Window.partitionBy(slug).orderBy(*order))
-    return df.withColumn(name, F.when(k == 1, F.col(slug)).otherwise(F.concat(slug, F.lit("-"), k.cast("string"))))
+    k = F.col("__k")
+    return numbered(df, [slug], order, "__k").withColumn(name, F.when(k == 1, F.col(slug)).otherwise(F.concat(slug, F.lit("-"), k.cast("string")))).drop("__k")
 
 
 def mint_ids(new: DataFrame, base: str, order: list, taken: DataFrame, name: str = "minted_id", separator: str = "_") -> DataFrame:
     """Ids from a base: the bare base, then suffixes from 2, skipping ids in ``taken`` (column ``id``).
 
     The k-th new row of a base gets its k-th free suffix. A taken number t, the
-    j-th of its base, has t - j free ones below it, so it moves up every new row
-    from the (t - j + 1)-th on: taken numbers and new rows are counted in one
-    sorted pass, whatever the number of either. Only the taken numbers of bases
-    that are minted travel.
+    j-th of its base, has t - j free ones below it, so it stands just before the
+    (t - j + 1)-th new row; with both kinds of rows in this order, a new row's
+    number is its place. Only the taken numbers of bases that are minted travel;
+    a base may have any number of either.
     """
     bases = new.select(F.col(base).alias("__b")).distinct()
     whole = taken.select(F.col("id").alias("__b"), F.lit(1).alias("__n"))
     tail = F.regexp_extract("id", rf"{separator}(\d+)$", 1)
     parts = taken.filter(tail != "").select(F.regexp_replace("id", rf"{separator}\d+$", "").alias("__b"), tail.try_cast("int").alias("__n"), "id")
     parts = parts.filter((F.col("__n") >= 2) & (F.col("id") == F.concat("__b", F.lit(separator), F.col("__n").cast("string")))).drop("id")
-    used = whole.unionByName(parts).distinct().join(bases, "__b", "left_semi")
-    used = used.select("__b", (F.col("__n") - F.row_number().over(Window.partitionBy("__b").orderBy("__n")) + 1).alias("__at"), F.lit(1).alias("__taken"))
-    rows = new.withColumns({"__b": F.col(base), "__at": F.row_number().over(Window.partitionBy(base).orderBy(*order)), "__taken": F.lit(0)})
-    # taken numbers come first among equals
-    before = F.sum("__taken").over(Window.partitionBy("__b").orderBy("__at", F.col("__taken").desc()).rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    place = F.col("__at") + F.col("__moved")
-    out = rows.unionByName(used, allowMissingColumns=True).withColumn("__moved", before).filter("__taken = 0")
-    minted = F.when(place == 1, F.col(base)).otherwise(F.concat(base, F.lit(separator), place.cast("string")))
-    return out.withColumn(name, minted).drop("__b", "__at", "__taken", "__moved")
+    used = whole.unionByName(parts).distinct().join(bases, "__b", "left_semi").withColumn("__new", F.lit(0))
+    rows = new.withColumns({"__b": F.col(base), "__n": F.lit(None).cast("int"), "__new": F.lit(1)})
+    both = numbered(rows.unionByName(used, allowMissingColumns=True), ["__b", "__new"], ["__n", *order], "__k")
+    both = both.withColumn("__at", F.when(F.col("__new") == 1, F.col("__k")).otherwise(F.col("__n") - F.col("__k") + 1))
+    out = numbered(both, ["__b"], ["__at", "__new"], "__place").filter("__new = 1")
+    place = F.col("__place")
+    return out.withColumn(name, F.when(place == 1, F.col(base)).otherwise(F.concat(base, F.lit(separator), place.cast("string")))).drop("__b", "__n", "__new", "__k", "__at", "__place")
