@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from recordloom.llm import audio, chunks, minhash, mixing, packing, pitman_yor, quality, toxicity, urls, warc
+from recordloom.llm import audio, chunks, minhash, mixing, multiindex, negatives, packing, pitman_yor, quality, toxicity, urls, vectorcodes, warc
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
@@ -15,6 +15,9 @@ QUERIES = {
     "op8_best_fit_packing": packing.op8_best_fit_packing,
     "op9_url_filters": urls.op9_url_filters,
     "op10_quality_rules": quality.op10_quality_rules,
+    "op11_hard_negatives": negatives.op11_hard_negatives,
+    "op12_embedding_dedup": multiindex.op12_embedding_dedup,
+    "op13_vector_codes": vectorcodes.op13_vector_codes,
 }
 
 SQL = {
@@ -22,4 +25,7 @@ SQL = {
     "op6_warc": warc.SQL,
     "op9_url_filters": urls.SQL,
     "op10_quality_rules": quality.SQL,
+    "op11_hard_negatives": negatives.SQL,
+    "op12_embedding_dedup": multiindex.SQL,
+    "op13_vector_codes": vectorcodes.SQL,
 }
