@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from recordloom.llm.names import free_names, join_by_id, quoted
+from recordloom.llm.names import free_names, join_by_text, quoted
 from recordloom.llm.textbatch import spans as row_spans, utf8
 from recordloom.sources.scratch import Scratch, materialize
 
@@ -81,11 +81,12 @@ def chunk_starts(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.nda
 
 
 def chunk_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per chunk: ``doc_id, start, n_chars, d1, d2`` (places in characters).
+    """One row per chunk: ``doc_id, text_hash, start, n_chars, d1, d2`` (places in characters).
 
-    ``d1, d2`` are the halves of the chunk's 128-bit digest. Null and empty texts have no chunks.
+    ``text_hash`` tells texts apart that share an id; ``d1, d2`` are the halves of
+    the chunk's 128-bit digest. Null and empty texts have no chunks.
     """
-    rows = docs.select(quoted(id_col).alias("doc_id"), quoted(text_col).alias("text"))
+    rows = docs.select(quoted(id_col).alias("doc_id"), quoted(text_col).alias("text"), F.xxhash64(quoted(text_col)).alias("text_hash"))
     kind = rows.schema["doc_id"].dataType.simpleString()
 
     def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -102,15 +103,19 @@ def chunk_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
                 chars = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
                 begin = chars[cuts] - chars[ends[row]]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(pa.array(row + a)), pa.array(begin.astype(np.int32)), pa.array((chars[stops] - chars[cuts]).astype(np.int32)), pa.array(digest[:, 0]), pa.array(digest[:, 1])],
-                    ["doc_id", "start", "n_chars", "d1", "d2"],
+                    [*(batch.column(k).take(pa.array(row + a)) for k in (0, 2)), pa.array(begin.astype(np.int32)), pa.array((chars[stops] - chars[cuts]).astype(np.int32)), pa.array(digest[:, 0]), pa.array(digest[:, 1])],
+                    ["doc_id", "text_hash", "start", "n_chars", "d1", "d2"],
                 )
 
-    return rows.mapInArrow(chunks, f"doc_id {kind}, start int, n_chars int, d1 long, d2 long")
+    return rows.mapInArrow(chunks, f"doc_id {kind}, text_hash long, start int, n_chars int, d1 long, d2 long")
+
+
+#: What a document is: an id may stand before several texts.
+DOC, FIRST, BEST = ["doc_id", "text_hash"], ["first_doc_id", "first_hash"], ["best_doc_id", "best_hash"]
 
 
 def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST_SPAN) -> DataFrame:
-    """Spans that one earlier document holds: ``doc_id, start, n_chars, n_chunks, first_doc_id, first_start``.
+    """Spans that one earlier document holds: ``doc_id, text_hash, start, n_chars, n_chunks, first_doc_id, first_hash, first_start``.
 
     A chunk's first place is that in the document with the smallest id, there the
     leftmost; every other place of its digest is a repeat. Neighbouring repeats
@@ -120,8 +125,9 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     run's first places name for most characters, wherever it holds the chunk too,
     and else that of the chunk's own first place.
 
-    Rows that repeat an id with equal text are one document. Rows without an id
-    are left alone, as are null and empty texts.
+    Rows that repeat an id with equal text are one document; rows that share an
+    id but not the text are documents of their own, told apart (and ordered) by the
+    text's hash. Rows without an id are left alone, as are null and empty texts.
 
     Texts are chunked once; after that only digests and places travel. Digests
     are pre-aggregated before their shuffle, so a passage of a third of all
@@ -130,40 +136,35 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     work = Scratch(docs.sparkSession, "spans")
     chunks = work.store(chunk_table(docs.filter(quoted(id_col).isNotNull()), id_col, text_col), "chunks")
-    first = chunks.groupBy("d1", "d2").agg(F.min(F.struct("doc_id", "start")).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    first = work.store(first.select("d1", "d2", F.col("first.doc_id").alias("first_doc_id"), F.col("first.start").alias("first_start")), "first")
-    hits = chunks.join(first.hint("shuffle_hash"), ["d1", "d2"]).filter("doc_id <> first_doc_id or start <> first_start")
+    first = chunks.groupBy("d1", "d2").agg(F.min(F.struct(*DOC, "start")).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    first = work.store(first.select("d1", "d2", F.col("first.doc_id").alias("first_doc_id"), F.col("first.text_hash").alias("first_hash"), F.col("first.start").alias("first_start")), "first")
+    hits = chunks.join(first.hint("shuffle_hash"), ["d1", "d2"]).filter("doc_id <> first_doc_id or text_hash <> first_hash or start <> first_start")
     hits = work.store(hits.withColumn("shift", F.col("start") - F.col("first_start")).drop("first_start"), "hits")
     work.drop("chunks", "first")
 
     # runs of neighbouring repeats and the earlier document that most of a run names
-    near = Window.partitionBy("doc_id").orderBy("start", "d1", "d2")
-    runs = hits.repartition("doc_id").distinct()
+    near = Window.partitionBy(*DOC).orderBy("start", "d1", "d2")
+    runs = hits.repartition(*DOC).distinct()
     runs = runs.withColumn("begins", F.when(F.lag(F.col("start") + F.col("n_chars")).over(near) == F.col("start"), 0).otherwise(1))
     runs = runs.withColumn("run", F.sum("begins").over(near))
-    named = F.sum("n_chars").over(Window.partitionBy("doc_id", "run", "first_doc_id", "shift"))
-    runs = runs.withColumn("named", -named).withColumn("best", F.min(F.struct("named", "first_doc_id", "shift")).over(Window.partitionBy("doc_id", "run")))
-    runs = runs.select("doc_id", "start", "n_chars", "d1", "d2", "first_doc_id", "shift", F.col("best.first_doc_id").alias("best_doc_id"), F.col("best.shift").alias("best_shift"))
-    runs = work.store(runs, "runs")
+    named = F.sum("n_chars").over(Window.partitionBy(*DOC, "run", *FIRST, "shift"))
+    runs = runs.withColumn("named", -named).withColumn("best", F.min(F.struct("named", *FIRST, "shift")).over(Window.partitionBy(*DOC, "run")))
+    best = [F.col(f"best.{x}").alias(y) for x, y in zip([*FIRST, "shift"], [*BEST, "best_shift"])]
+    runs = work.store(runs.select(*DOC, "start", "n_chars", "d1", "d2", *FIRST, "shift", *best), "runs")
     work.drop("hits")
 
     # chunks first seen elsewhere: does that document hold them at the neighbouring place?
-    own = (F.col("first_doc_id") == F.col("best_doc_id")) & (F.col("shift") == F.col("best_shift"))
-    held = runs.select(F.col("doc_id").alias("best_doc_id"), F.col("start").alias("place"), "d1", "d2", F.lit(True).alias("held"))
-    asked = runs.filter(~own).withColumn("place", F.col("start") - F.col("best_shift")).join(held, ["best_doc_id", "place", "d1", "d2"], "left").withColumn("held", F.coalesce("held", F.lit(False)))
-    placed = runs.filter(own).select("doc_id", "start", "n_chars", "first_doc_id", "shift").unionByName(
-        asked.select(
-            "doc_id", "start", "n_chars",
-            F.when(F.col("held"), F.col("best_doc_id")).otherwise(F.col("first_doc_id")).alias("first_doc_id"),
-            F.when(F.col("held"), F.col("best_shift")).otherwise(F.col("shift")).alias("shift"),
-        )
-    )
-
-    line = Window.partitionBy("doc_id", "first_doc_id", "shift").orderBy("start")
-    placed = placed.repartition("doc_id").withColumn("begins", F.when(F.lag(F.col("start") + F.col("n_chars")).over(line) == F.col("start"), 0).otherwise(1))
-    spans = placed.withColumn("span", F.sum("begins").over(line)).groupBy("doc_id", "first_doc_id", "shift", "span")
+    own = (F.col("first_doc_id") == F.col("best_doc_id")) & (F.col("first_hash") == F.col("best_hash")) & (F.col("shift") == F.col("best_shift"))
+    held = runs.select(*[F.col(x).alias(y) for x, y in zip(DOC, BEST)], F.col("start").alias("place"), "d1", "d2", F.lit(True).alias("held"))
+    asked = runs.filter(~own).withColumn("place", F.col("start") - F.col("best_shift")).join(held, [*BEST, "place", "d1", "d2"], "left").withColumn("held", F.coalesce("held", F.lit(False)))
+    pick = [F.when(F.col("held"), F.col(y)).otherwise(F.col(x)).alias(x) for x, y in zip([*FIRST, "shift"], [*BEST, "best_shift"])]
+    placed = runs.filter(own).select(*DOC, "start", "n_chars", *FIRST, "shift").unionByName(asked.select(*DOC, "start", "n_chars", *pick))
+
+    line = Window.partitionBy(*DOC, *FIRST, "shift").orderBy("start")
+    placed = placed.repartition(*DOC).withColumn("begins", F.when(F.lag(F.col("start") + F.col("n_chars")).over(line) == F.col("start"), 0).otherwise(1))
+    spans = placed.withColumn("span", F.sum("begins").over(line)).groupBy(*DOC, *FIRST, "shift", "span")
     spans = spans.agg(F.min("start").alias("start"), F.sum("n_chars").alias("n_chars"), F.count(F.lit(1)).alias("n_chunks")).filter(F.col("n_chars") >= least)
-    spans = materialize(spans.select("doc_id", "start", "n_chars", "n_chunks", "first_doc_id", (F.col("start") - F.col("shift")).alias("first_start")), "repeated-spans")
+    spans = materialize(spans.select(*DOC, "start", "n_chars", "n_chunks", *FIRST, (F.col("start") - F.col("shift")).alias("first_start")), "repeated-spans")
     work.close()
     return spans
 
@@ -171,18 +172,19 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 def remove_spans(docs: DataFrame, spans: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` without the characters of ``spans``; documents with only white space left then go.
 
-    Documents without spans stay as they are, also empty and null ones and those
-    without an id; repeated rows are cut alike. An ``n_chars`` column is brought
-    up to date. Texts are dealt by id once, whatever the number of spans.
+    A span is cut from the rows with its id and text only. Documents without spans
+    stay as they are, also empty and null ones and those without an id; repeated
+    rows are cut alike. An ``n_chars`` column is brought up to date. Texts are
+    dealt by id and hash once, whatever the number of spans.
     """
-    key, cuts, rest = free_names(docs.columns, "key", "cuts", "rest")
-    ranges = spans.groupBy(F.col("doc_id").alias(key)).agg(F.sort_array(F.collect_set(F.struct(F.col("start").alias("a"), (F.col("start") + F.col("n_chars")).alias("b")))).alias(cuts))
+    key, key_hash, cuts, rest = free_names(docs.columns, "key", "key_hash", "cuts", "rest")
+    ranges = spans.groupBy(F.col("doc_id").alias(key), F.col("text_hash").alias(key_hash)).agg(F.sort_array(F.collect_set(F.struct(F.col("start").alias("a"), (F.col("start") + F.col("n_chars")).alias("b")))).alias(cuts))
     ranges = materialize(ranges, "cuts")
     text, n, at = quoted(text_col), F.size(cuts), F.col(cuts)
     begin = lambda i: F.when(i == 0, F.lit(0)).otherwise(F.get(at, i - 1)["b"])
     end = lambda i: F.when(i == n, F.length(text)).otherwise(F.get(at, i)["a"])
     left = F.array_join(F.transform(F.sequence(F.lit(0), n), lambda i: F.substring(text, begin(i) + 1, end(i) - begin(i))), "")
-    joined = join_by_id(docs, id_col, ranges, key, "left").withColumn(rest, F.when(at.isNull(), text).otherwise(left))
+    joined = join_by_text(docs, id_col, text_col, ranges, key, key_hash, "left").withColumn(rest, F.when(at.isNull(), text).otherwise(left))
     joined = joined.filter(at.isNull() | F.col(rest).rlike(r"[^\x20\x09-\x0D]"))
     new = {text_col: F.col(rest)}
     if "n_chars" in docs.columns and text_col != "n_chars":

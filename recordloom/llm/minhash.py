@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from recordloom.llm.components import connected_components
-from recordloom.llm.names import free_names, join_by_id, quoted
+from recordloom.llm.names import free_names, join_by_text, quoted
 from recordloom.llm.textbatch import mix, spans, utf8, word_bounds, word_hashes
 from recordloom.sources.scratch import Scratch, materialize
 
@@ -81,8 +81,8 @@ def fingerprints(body: bytes, ends: np.ndarray) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, bands: int, rows: int, id_col: str, text_col: str, n: int) -> DataFrame:
-    """``doc_id, d1, d2, n_grams, bands``: digest of the word sequence, n-grams in the text and band hashes; null for texts without words."""
-    table = docs.select(quoted(id_col).alias("doc_id"), quoted(text_col).alias("text"))
+    """``doc_id, text_hash, d1, d2, n_grams, bands``: digest of the word sequence, n-grams in the text and band hashes; null for texts without words."""
+    table = docs.select(quoted(id_col).alias("doc_id"), quoted(text_col).alias("text"), F.xxhash64(quoted(text_col)).alias("text_hash"))
     kind = table.schema["doc_id"].dataType.simpleString()
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -107,10 +107,11 @@ def signatures(docs: DataFrame, bands: int, rows: int, id_col: str, text_col: st
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(len(full) + 1, dtype=np.int32) * bands), pa.array(out.view(np.int64).ravel()))
                 digest = fingerprints(data.tobytes(), ends)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(a, b - a), *(pa.array(digest[:, k], mask=none) for k in (0, 1)), pa.array(size), lists.take(index)], ["doc_id", "d1", "d2", "n_grams", "bands"]
+                    [batch.column(0).slice(a, b - a), batch.column(2).slice(a, b - a), *(pa.array(digest[:, k], mask=none) for k in (0, 1)), pa.array(size), lists.take(index)],
+                    ["doc_id", "text_hash", "d1", "d2", "n_grams", "bands"],
                 )
 
-    return table.mapInArrow(sign, f"doc_id {kind}, d1 long, d2 long, n_grams long, bands array<long>")
+    return table.mapInArrow(sign, f"doc_id {kind}, text_hash long, d1 long, d2 long, n_grams long, bands array<long>")
 
 
 def common_counts(left: list[np.ndarray], right: list[np.ndarray] | None) -> np.ndarray:
@@ -173,9 +174,12 @@ def _compare(pdf: pd.DataFrame, similarity: float) -> pd.DataFrame:
 
 
 def _classes(signed: DataFrame, work: Scratch) -> DataFrame:
-    """One row per word sequence: ``node, d1, d2, rep, copies, n_grams, bands``; nodes are numbers, unique in the stored table."""
+    """One row per word sequence: ``node, d1, d2, rep, copies, n_grams, bands``; nodes are numbers, unique in the stored table.
+
+    ``rep`` is the class's first document that has an id, as id and hash of the text.
+    """
     classes = signed.filter("d1 is not null").groupBy("d1", "d2")
-    classes = classes.agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.max("n_grams").alias("n_grams"), F.any_value("bands").alias("bands"))
+    classes = classes.agg(F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "text_hash"))).alias("rep"), F.count(F.lit(1)).alias("copies"), F.max("n_grams").alias("n_grams"), F.any_value("bands").alias("bands"))
     return work.store(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
 
 
@@ -207,11 +211,12 @@ def _blocks(classes: DataFrame, work: Scratch) -> tuple[DataFrame, DataFrame]:
 def _gram_sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, words: int, work: Scratch) -> DataFrame:
     """``node, block, copies, tasks, grams`` of the wanted classes, from the texts of their representatives.
 
-    Texts meet the classes once, by id; those that only rows without an id hold
-    are found by their digest.
+    Texts meet the classes once, by id and hash; those that only rows without an id
+    hold are found by their digest.
     """
-    texts = docs.select(quoted(id_col).alias("rep"), quoted(text_col).alias("text"))
-    named = texts.filter("rep is not null").join(wanted.filter("rep is not null").hint("shuffle_hash"), "rep")
+    texts = docs.select(quoted(id_col).alias("rep"), quoted(text_col).alias("text"), F.xxhash64(quoted(text_col)).alias("rep_hash"))
+    owners = wanted.filter("rep is not null").withColumns({"rep_hash": F.col("rep.text_hash"), "rep": F.col("rep.doc_id")})
+    named = texts.filter("rep is not null").join(owners.hint("shuffle_hash"), ["rep", "rep_hash"])
     names = ["text", "d1", "d2", "node", "block", "copies", "tasks"]
     nameless = wanted.filter("rep is null").drop("rep")
     found = named.select(*names)
@@ -227,7 +232,7 @@ def _gram_sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, w
                 grams, at, _, _ = shingles(data, ends, words)
                 digest = fingerprints(data.tobytes(), ends)
                 asked = np.column_stack([batch.column(k).slice(a, b - a).to_numpy() for k in (1, 2)])
-                same = (digest == asked).all(axis=1)  # an id may stand before several texts
+                same = (digest == asked).all(axis=1)
                 rows = pa.array(np.flatnonzero(same) + a)
                 sets = [np.unique(grams[x:y]).tobytes() for x, y, k in zip(at[:-1], at[1:], same) if k]
                 yield pa.RecordBatch.from_arrays([*(batch.column(k).take(rows) for k in range(3, 7)), pa.array(sets, pa.binary())], ["node", "block", "copies", "tasks", "grams"])
@@ -243,13 +248,15 @@ def _with_digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, similarity: float = SIMILARITY, recall: float = RECALL) -> DataFrame:
-    """One row per document: ``doc_id, class_id, n_links, n_copies``.
+    """One row per document: ``doc_id, text_hash, class_id, class_hash, n_links, n_copies``.
 
     Documents whose sets of ``words``-word n-grams (A-Z in lower case) have a
     Jaccard similarity of at least ``similarity`` are linked. ``class_id`` is the
     smallest id among all documents that links connect, ``n_links`` the number
     of other rows linked to this one (copies included), ``n_copies`` the number
-    of rows with this word sequence. Null and empty texts have no n-grams, hence
+    of rows with this word sequence. ``text_hash`` tells texts apart that share an
+    id, and ``class_hash`` says which of the texts with ``class_id`` names the class
+    (that of the smallest hash). Null and empty texts have no n-grams, hence
     no links, and are their own class. Repeated rows are copies. Rows without an
     id count as copies and links but never name a class; a class of such rows
     alone has none.
@@ -276,19 +283,20 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     compared = work.store(compared, "compared")
 
     joined = connected_components(compared.select(F.col("node").alias("u"), F.col("root").alias("v")), "classes")
-    named = work.store(joined.join(classes.select("node", "rep"), "node").groupBy("label").agg(F.min("rep").alias("class_id")), "named")
+    named = work.store(joined.join(classes.select("node", "rep"), "node").groupBy("label").agg(F.min("rep").alias("first")), "named")
     linked_to = work.store(compared.groupBy("node").agg(F.sum("links").alias("links")), "links")
-    known = joined.join(named, "label").join(linked_to, "node").select("node", "class_id", "links")
+    known = joined.join(named, "label").join(linked_to, "node").select("node", "first", "links")
     known = classes.select("node", "d1", "d2", "rep", "copies").join(work.store(known, "linked"), "node", "left")
     # a class of linked texts may have an id where this text has none
+    first = F.when(F.col("links").isNull(), F.col("rep")).otherwise(F.col("first"))
     known = known.select(
-        "d1", "d2", F.when(F.col("links").isNull(), F.col("rep")).otherwise(F.col("class_id")).alias("class_id"),
-        (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.col("copies").alias("n_copies"),
-    )
+        "d1", "d2", first["doc_id"].alias("class_id"), first["text_hash"].alias("class_hash"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.col("copies").alias("n_copies")
+    )
     known = work.store(known, "known")
-    full = signed.filter("d1 is not null").select("doc_id", "d1", "d2").join(known.hint("shuffle_hash"), ["d1", "d2"]).select("doc_id", "class_id", "n_links", "n_copies")
-    none = signed.filter("d1 is null").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.lit(1).cast("long").alias("n_copies"))
-    out = materialize(full.unionByName(none), "jaccard-classes")
+    names = ["doc_id", "text_hash", "class_id", "class_hash", "n_links", "n_copies"]
+    full = signed.filter("d1 is not null").select("doc_id", "text_hash", "d1", "d2").join(known.hint("shuffle_hash"), ["d1", "d2"]).select(*names)
+    none = signed.filter("d1 is null").withColumns({"class_id": F.col("doc_id"), "class_hash": F.col("text_hash"), "n_links": F.lit(0).cast("long"), "n_copies": F.lit(1).cast("long")})
+    out = materialize(full.unionByName(none.select(*names)), "jaccard-classes")
     work.close()
     return out
 
@@ -298,18 +306,20 @@ def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def one_of_each_class(docs: DataFrame) -> DataFrame:
-    """One document of each class of near copies: the one with the smallest id (any one of rows that repeat it).
+    """One document of each class of near copies: the one that names it, once (any one of rows that repeat id and text).
 
-    Rows without an id all stay, as do null and empty texts under different ids.
+    Rows that share an id but not the text are documents of their own. Rows
+    without an id all stay, as do null and empty texts under different ids.
     """
-    own, mark = free_names(docs.columns, "own", "mark")
+    own, own_hash, mark = free_names(docs.columns, "own", "own_hash", "mark")
     rows = jaccard_join(docs).filter("doc_id is not null")
-    ids = rows.groupBy(F.col("doc_id").alias(own)).agg(F.count(F.lit(1)).alias("n"), F.bool_or(F.col("class_id") == F.col("doc_id")).alias("named"))
+    first = (F.col("class_id") == F.col("doc_id")) & (F.col("class_hash") == F.col("text_hash"))
+    ids = rows.groupBy(F.col("doc_id").alias(own), F.col("text_hash").alias(own_hash)).agg(F.count(F.lit(1)).alias("n"), F.bool_or(first).alias("named"))
     ids = materialize(ids, "ids")
-    kept = join_by_id(docs, "doc_id", materialize(ids.filter("not named").select(own), "dropped"), own, "left_anti")
-    repeated = ids.filter("named and n > 1").select(own)
+    kept = join_by_text(docs, "doc_id", "text", materialize(ids.filter("not named").select(own, own_hash), "dropped"), own, own_hash, "left_anti")
+    repeated = ids.filter("named and n > 1").select(own, own_hash)
     if repeated.isEmpty():
         return kept
-    marked = join_by_id(kept, "doc_id", materialize(repeated.withColumn(mark, F.lit(True)), "repeated"), own, "left")
-    once = marked.filter(F.col(mark)).dropDuplicates(["doc_id"])
+    marked = join_by_text(kept, "doc_id", "text", materialize(repeated.withColumn(mark, F.lit(True)), "repeated"), own, own_hash, "left")
+    once = marked.filter(F.col(mark)).dropDuplicates(["doc_id", "text"])
     return marked.filter(F.col(mark).isNull()).unionByName(once).select(*[quoted(c) for c in docs.columns])

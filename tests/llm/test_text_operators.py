@@ -459,3 +459,21 @@ def test_megabytes(spark):
 
 def test_registry_names():
     assert sorted(int(k[2:].split("_")[0]) for k in registry.QUERIES) == list(range(1, 11))
+
+
+def test_texts_that_share_an_id(spark):
+    """An id may stand before several texts: what repeats is cut from its own text, and no unrelated text is lost."""
+    words = lambda k, n: " ".join(f"w{(i * 7919 + k * 104729) % 9973}x{k}" for i in range(n))
+    passage, other = words(1, 90), words(2, 160)
+    rows = [(1, passage + " " + words(3, 40)), (5, words(4, 30) + " " + passage), (5, other), (5, other), (5, words(5, 150)), (7, other + " end"), (7, None), (7, ""), (None, other), (None, words(6, 20))]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    left = sorted((r.doc_id or -1, r.text or "") for r in chunks.without_repeats(df).collect())
+    assert {t for i, t in left if i == 5} >= {other, words(5, 150)} and words(6, 20) in {t for i, t in left if i == -1}
+    cut = [t for i, t in left if i == 5 and t.startswith(words(4, 30)[:100])]
+    assert len(cut) == 1 and len(cut[0]) < len(words(4, 30)) + 200
+    kept = sorted((r.doc_id or -1, r.text or "") for r in minhash.one_of_each_class(df).collect())
+    # (7, other + end) is a near copy of (5, other); rows without an id all stay
+    want = [(1, rows[0][1]), (5, rows[1][1]), (5, other), (5, words(5, 150)), (7, ""), (7, ""), (-1, other), (-1, words(6, 20))]
+    assert kept == sorted(want)
+    names = {(r.doc_id, r.text_hash): (r.class_id, r.class_hash, r.n_links, r.n_copies) for r in minhash.jaccard_join(df).filter("doc_id = 5").collect()}
+    assert sorted(v[2:] for v in names.values()) == [(0, 1), (0, 1), (3, 3)] and all(k == v[:2] for k, v in names.items())
