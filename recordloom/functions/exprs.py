@@ -6,8 +6,10 @@ unless stated. Patterns use Java syntax with Unicode classes switched on.
 
 from __future__ import annotations
 
+import html.entities
+import json
 import unicodedata
-from functools import reduce
+from functools import cache, reduce
 
 from pyspark.sql import Column, functions as F
 
@@ -84,11 +86,71 @@ def strip_ansi(c) -> Column:
     return F.regexp_replace(F.coalesce(col(c), F.lit("")), "\\x1b\\[[0-9;]*[A-Za-z]", "")
 
 
+@cache
+def _named_references() -> str:
+    """The named character references of HTML by their first letter, as JSON; from Python's own list of them."""
+    out: dict[str, dict[str, str]] = {}
+    for name, value in html.entities.html5.items():
+        out.setdefault(name[0], {})[name] = value
+    return json.dumps(out)
+
+
+@cache
+def _bare_names() -> str:
+    """Pattern of the names that need no semicolon, the longest first."""
+    return "^(" + "|".join(sorted((n for n in html.entities.html5 if not n.endswith(";")), key=lambda n: (-len(n), n))) + ")"
+
+
+def _one_byte() -> dict[int, str]:
+    """References to control characters that stand for letters of the old Windows code page, and two others."""
+    old = {}
+    for k in range(0x80, 0xA0):
+        try:
+            old[k] = bytes([k]).decode("cp1252")
+        except UnicodeDecodeError:  # no letter there
+            old[k] = chr(k)
+    return {0x00: "\ufffd", 0x0D: "\r"} | old
+
+
+def _code_point(n: Column) -> Column:
+    """The character of a number; null stands for one of too many digits."""
+    n = F.coalesce(n, F.lit(0x110000).cast("long"))
+    old = F.get(F.array(*[F.lit(c) for c in _one_byte().values()]), (n - 0x80 + 2).cast("int"))
+    none = ((n < 0x20) & ~n.isin(9, 10, 12)) | (n == 0x7F) | n.between(0xFDD0, 0xFDEF) | (n % 0x10000 >= 0xFFFE)
+    return (
+        F.when((n > 0x10FFFF) | n.between(0xD800, 0xDFFF) | (n == 0), F.lit("\ufffd")).when(n == 0x0D, F.lit("\r")).when(n.between(0x80, 0x9F), old)
+        .when(none, F.lit("")).otherwise(F.decode(F.unhex(F.lpad(F.hex(n), 8, "0")), "UTF-32"))
+    )
+
+
+def _reference(piece: Column) -> Column:
+    """What follows an ampersand, with the reference that it begins with (if any) decoded."""
+    number = F.regexp_extract(piece, r"^#(?:[0-9]+|[xX][0-9a-fA-F]+);?", 0)
+    hexa = F.regexp_extract(piece, r"^#[xX]0*([0-9a-fA-F]+)", 1)
+    value = F.when(hexa == "", F.regexp_extract(piece, "^#0*([0-9]+)", 1).try_cast("long")).when(F.length(hexa) <= 8, F.conv(hexa, 16, 10).cast("long"))
+    name = F.regexp_extract(piece, "^[^\t\n\f <&#;]{1,32};?", 0)
+    known = F.element_at(F.element_at(F.from_json(F.lit(_named_references()), "map<string,map<string,string>>"), F.left(name, F.lit(1))), name)
+    prefix = F.regexp_extract(name, _bare_names(), 1)
+    bare = F.element_at(F.element_at(F.from_json(F.lit(_named_references()), "map<string,map<string,string>>"), F.left(prefix, F.lit(1))), prefix)
+    rest = lambda used: F.substring(piece, F.length(used) + 1, F.length(piece))
+    return (
+        F.when(number != "", F.concat(_code_point(value), rest(number))).when(name == "", F.concat(F.lit("&"), piece)).when(known.isNotNull(), F.concat(known, rest(name)))
+        .when(prefix != "", F.concat(bare, rest(prefix))).otherwise(F.concat(F.lit("&"), piece))
+    )
+
+
+def unescape_html(c) -> Column:
+    """Character references (by name, number or hexadecimal number) decoded once, as HTML defines them, also those without a semicolon."""
+    text = F.coalesce(col(c), F.lit(""))
+    pieces = F.split(text, "&")
+    decoded = F.concat(F.get(pieces, F.lit(0)), F.array_join(F.transform(F.slice(pieces, F.lit(2), F.size(pieces)), _reference), ""))
+    return F.when(F.contains(text, F.lit("&")), decoded).otherwise(text)
+
+
 def html_to_text(c, paragraphs: bool = True) -> Column:
-    """Line breaks (and paragraph ends) to newlines, tags dropped, known entities decoded (ampersand last)."""
-    broken = F.regexp_replace(F.coalesce(col(c), F.lit("")), r"(?i)<br\s*/?>" + (r"|</p\s*>" if paragraphs else ""), "\n")
-    bare = F.regexp_replace(broken, r"(?s)<[^>]*>", "")
-    return reduce(lambda x, e: F.replace(x, F.lit(e[0]), F.lit(e[1])), ENTITIES.items(), bare)
+    """Character references decoded, then line breaks (and paragraph ends) to newlines and tags dropped, so escaped tags go as well."""
+    broken = F.regexp_replace(unescape_html(c), r"(?i)<br\s*/?>" + (r"|</p\s*>" if paragraphs else ""), "\n")
+    return F.regexp_replace(broken, r"<[^>]+>", "")
 
 
 def first_nonblank(*columns) -> Column:
@@ -156,14 +218,21 @@ def split_names(c, stop_words=()) -> Column:
     return F.filter(F.transform(parts, trim_name), lambda x: is_name_like(x, stop_words))
 
 
+#: Fixed value: what marks that text goes on before or after an excerpt.
+MORE = "…"
+
+
 def excerpt(text, needle, around: int = 350, most: int = 900) -> Column:
-    """Text around the needle's first hit with ellipsis marks; without a hit (or needle) the head; white space squeezed."""
-    flat = clean(F.regexp_replace(clean(text), r"(?U)\s+", " "))
-    part = clean(F.regexp_replace(clean(needle), r"(?U)\s+", " "))
+    """Text around the first hit of the needle, taken as it is, with marks on lines of their own where text goes on.
+
+    Without a hit or needle the head. Lines stay; of three or more line ends in a row two are left.
+    """
+    flat = clean(F.regexp_replace(F.coalesce(col(text), F.lit("")), "\n{3,}", "\n\n"))
+    part = F.coalesce(col(needle) if isinstance(needle, (str, Column)) else F.lit(needle), F.lit(""))
     at = F.when(part != "", F.instr(flat, part)).otherwise(F.lit(0))
     begin = F.greatest(at - 1 - around, F.lit(0))
     end = F.least(at - 1 + F.length(part) + around, F.length(flat))
-    hit = F.concat(F.when(begin > 0, F.lit("...")).otherwise(F.lit("")), F.substring(flat, begin + 1, end - begin), F.when(end < F.length(flat), F.lit("...")).otherwise(F.lit("")))
+    hit = F.concat(F.when(begin > 0, F.lit(MORE + "\n")).otherwise(F.lit("")), clean(F.substring(flat, begin + 1, end - begin)), F.when(end < F.length(flat), F.lit("\n" + MORE)).otherwise(F.lit("")))
     return F.substring(F.when(at > 0, hit).otherwise(flat), 1, most)
 
 

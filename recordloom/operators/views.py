@@ -20,6 +20,12 @@ def best_by_score(rows: DataFrame, keys: list[str], rules: list[tuple[Column, ob
     return best_per_key(rows.withColumn(name, points(rules)), keys, [F.col(name).desc(), *order])
 
 
+def best_by_id_and_name(rows: DataFrame, id_col: str, name_col: str, rules: list[tuple[Column, object]], order: list, name: str = "score") -> tuple[DataFrame, DataFrame]:
+    """H9: the row with most points per id and per folded name (columns ``key`` and those of ``rows``); blank ids and names are no keys."""
+    pick = lambda key: best_by_score(rows.withColumn("key", key).filter("key <> ''"), ["key"], rules, order, name)
+    return pick(clean(id_col)), pick(fold(name_col))
+
+
 def classification_points(status: str, ranks: dict[str, int], fields: dict[str, int], attribute: str, confidence: Column, suspect: str, penalty: int = 20) -> list[tuple[Column, object]]:
     """H1: rules of a classification: 100 per status rank, points per filled field, the attribute's confidence, a penalty."""
     rules = [(clean(status) == s, r * 100) for s, r in ranks.items()] + [(clean(f) != "", p) for f, p in fields.items()]
@@ -72,7 +78,7 @@ def count_summary(rows: DataFrame, key: str, value: str, order: str, name: str)
     """``key``, and ``k:v`` counts of a value, most frequent first, ties by first occurrence."""
     per = rows.groupBy(key, value).agg(F.count("*").alias("n"), F.min(order).alias("f"))
     parts = F.sort_array(F.collect_list(F.struct((-F.col("n")).alias("a"), F.col("f").alias("b"), F.concat(F.col(value), F.lit(":"), F.col("n").cast("string")).alias("t"))))
-    return per.groupBy(key).agg(F.array_join(F.transform(parts, lambda x: x["t"]), " ; ").alias(name))
+    return per.groupBy(key).agg(F.array_join(F.transform(parts, lambda x: x["t"]), "; ").alias(name))
 
 
 def mention_rollup(mentions: DataFrame, key: str, order: str, names: int = 12) -> DataFrame:

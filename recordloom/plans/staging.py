@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from recordloom.functions import exprs as E
 from recordloom.sources import tables as sources
 from recordloom.sources.scratch import shared_dir
-from recordloom.plans.tables import sql_clean, sql_fold, sql_id_slug, sql_is_name, sql_norm, sql_normalise, sql_page_slug, sql_trim_name, table
+from recordloom.plans.tables import sql_clean, sql_excerpt, sql_fold, sql_id_slug, sql_is_name, sql_norm, sql_normalise, sql_page_slug, sql_squeezed, sql_trim_name, table
 
 
 def t1_key_staging(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -33,15 +33,17 @@ RARE = "abcdeghiklmnoprstuvwyzéü", "āþčðęĩœīıřŵňőąŷšÞůÆŞÝ
 
 
 def t2_page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """B6 to B9 on pages, with terminal colours before each paragraph and backgrounds in the lists."""
+    """B6 to B9 on pages, with terminal colours before and character references after each paragraph and backgrounds in the lists."""
     p = table(spark, sf_dir, "pages")
     title = F.regexp_extract("html", "(?s)<title>(.*?)</title>", 1)
-    coloured = F.replace("html", F.lit("<p"), F.lit("\x1b[1;31m\x1b[K<p"))
+    coloured = F.replace(F.replace("html", F.lit("<p"), F.lit("\x1b[1;31m\x1b[K<p")), F.lit("</p>"), F.lit(REFERENCES + "</p>"))
     for k, style in enumerate(BACKGROUNDS):
         p = p.withColumn("html", F.when(F.col("page_id") % len(BACKGROUNDS) == k, F.replace("html", F.lit("<li>"), F.lit(f'<li style="{style}" onclick="go({k})">'))).otherwise(F.col("html")))
-    return p.select("page_id", E.html_to_text(E.strip_ansi(coloured)).alias("plain"), E.first_nonblank(title, "url").alias("best_title"), E.sanitise_html("html").alias("safe_html"))
+    return p.select("page_id", E.clean(E.strip_ansi(E.html_to_text(coloured))).alias("plain"), E.first_nonblank(title, "url").alias("best_title"), E.sanitise_html("html").alias("safe_html"))
 
 
+#: References of every kind: by name, number and hexadecimal number, of escaped tags and escaped ampersands, without a semicolon, and no references.
+REFERENCES = " &eacute;&#233;&#x41;&mdash;&lt;i&gt;x&lt;/i&gt;&amp;lt;&copy2024&notit;&#128;&#0;&NotEqualTilde;&none;&#; &"
 BACKGROUNDS = ["background:black; color:red", "background-color: #000000;", "background: rgb( 0 , 0,0 )", "background:#0000ff", "BACKGROUND-COLOR : #000 ;color:blue"]
 
 
@@ -111,10 +113,12 @@ QUERIES = {
 }
 
 _first = rf"coalesce(list_filter(string_split({sql_normalise('text')}, chr(10)), lambda x: {sql_clean('x')} <> '')[1], '')"
-_flat = rf"{sql_clean(rf'''regexp_replace({sql_clean('text')}, '\s+', ' ', 'g')''')}"
-_plain = "regexp_replace(regexp_replace(html, '(?i)<br\\s*/?>|</p\\s*>', chr(10), 'g'), '(?s)<[^>]*>', '', 'g')"
-for _a, _b in E.ENTITIES.items():
-    _plain = f"replace({_plain}, '{_a.replace(chr(39), chr(39) * 2)}', '{_b.replace(chr(39), chr(39) * 2)}')"
+_plain = "replace(html, '</p>', ' ééA—<i>x</i>&amp;lt;©2024¬it;€\ufffd\u2242\u0338&none;&#; &</p>')"
+for _a, _b in (("&lt;i", "<i"), ("&copy;", "©"), ("&middot;", "·"), ("&quot;", '"'), ("&gt;", ">"), ("&lt;/", "</"), ("&#39;", "''"), ("&nbsp;", chr(160))):
+    _plain = f"replace({_plain}, '{_a}', '{_b}')"
+# an ampersand that was written out is no second reference
+_plain = f"replace(replace({_plain}, '&lt;', '<'), '&amp;', '&')"
+_plain = sql_clean(f"regexp_replace(regexp_replace({_plain}, '(?i)<br\\s*/?>|</p\\s*>', chr(10), 'g'), '<[^>]+>', '', 'g')")
 _styled = "html"
 for _k, _style in enumerate(BACKGROUNDS):
     _styled = f"case when page_id % {len(BACKGROUNDS)} = {_k} then replace(html, '<li>', '<li style=\"{_style}\" onclick=\"go({_k})\">') else {_styled} end"
@@ -136,11 +140,8 @@ select p_partkey, {sql_clean('p_name')} as cleaned, regexp_replace({sql_fold('p_
     "t1_document_slugs": f"with d as (select doc_id, text, translate(text, '{RARE[0]}', '{RARE[1]}') as rare from documents) select doc_id, {sql_page_slug('rare')} as slug, {sql_norm('text')} as normed from d",
     "t2_page_text": f"select page_id, {_plain} as plain, coalesce(nullif({sql_clean(chr(32) + 'regexp_extract(html, ' + chr(39) + '(?s)<title>(.*?)</title>' + chr(39) + ', 1)')}, ''), {sql_clean('url')}) as best_title, {_safe} as safe_html from pages",
     "t3_capture_text": f"""
-with d as (select doc_id, {sql_normalise('text')} as normal, {sql_clean(_first)} as header, {_flat} as flat from documents),
-e as (select *, instr(flat, 'of the') as hit from d)
-select doc_id, normal, header, substr(case when hit > 0 then
-  (case when hit - 1 - 350 > 0 then '...' else '' end) || substr(flat, greatest(hit - 351, 0) + 1, least(hit - 1 + 6 + 350, length(flat)) - greatest(hit - 351, 0))
-  || (case when hit - 1 + 6 + 350 < length(flat) then '...' else '' end) else flat end, 1, 900) as excerpt from e""",
+with d as (select doc_id, {sql_normalise('text')} as normal, {sql_clean(_first)} as header, {sql_squeezed('text')} as flat from documents)
+select doc_id, normal, header, {sql_excerpt('flat', "' of the '")} as excerpt from d""",
     "b11_mask_urls": r"select page_id, regexp_replace(url, '\d+', '<n>', 'g') as masked from pages",
     "t4_name_tokens": rf"""
 with s as (select conv_id, turn, unnest(ls) as line, (unnest(range(1, len(ls) + 1)) - 1)::bigint as line_no from (select conv_id, turn, string_split(coalesce(text, ''), chr(10)) as ls from conversations)),

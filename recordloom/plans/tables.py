@@ -46,3 +46,16 @@ def sql_trim_name(x: str) -> str:
 
 def sql_is_name(x: str) -> str:
     return rf"(length({x}) between 2 and 24 and regexp_matches({x}, '^[A-ZÀ-ÖØ-Þ][A-Za-zÀ-ÖØ-öø-ÿ''’-]*$') and not (length({x}) > 3 and upper({x}) = {x}))"
+
+
+def sql_squeezed(x: str) -> str:
+    """A text as excerpts are cut from it."""
+    return sql_clean(rf"regexp_replace(coalesce({x}, ''), '\n{{3,}}', chr(10) || chr(10), 'g')")
+
+
+def sql_excerpt(flat: str, needle: str) -> str:
+    """Excerpt of a squeezed text around the first hit of a needle."""
+    hit, size = f"instr({flat}, {needle})", f"length({needle})"
+    begin, end = f"greatest({hit} - 351, 0)", f"least({hit} - 1 + {size} + 350, length({flat}))"
+    body = sql_clean(f"substr({flat}, {begin} + 1, {end} - {begin})")
+    return f"""substr(case when {needle} <> '' and {hit} > 0 then (case when {begin} > 0 then '…' || chr(10) else '' end) || {body} || (case when {end} < length({flat}) then chr(10) || '…' else '' end) else {flat} end, 1, 900)"""

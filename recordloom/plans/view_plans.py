@@ -63,11 +63,12 @@ def h8_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def h9_display(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """H9: the best document per source and per language."""
-    d = table(spark, sf_dir, "documents")
+    """H9: the best document per source (blank for one of them) and per language."""
+    d = table(spark, sf_dir, "documents").withColumn("source", F.when(F.col("source") != "src1", F.col("source")))
     rules = [(F.contains("text", F.lit("|")), 100), (F.contains("text", F.lit("###")), 50), (F.col("n_chars") > 2000, 20), (F.col("n_chars") > 500, 10), (F.col("lang") == "en", 5)]
-    pick = lambda kind, key: views.best_by_score(d, [key], rules, ["doc_id"]).select(F.lit(kind).alias("kind"), F.col(key).alias("key"), "doc_id", F.col("score").cast("long").alias("score"))
-    return pick("source", "source").unionByName(pick("lang", "lang"))
+    by_id, by_name = views.best_by_id_and_name(d, "source", "lang", rules, ["doc_id"])
+    shown = lambda kind, df: df.select(F.lit(kind).alias("kind"), "key", "doc_id", F.col("score").cast("long").alias("score"))
+    return shown("source", by_id).unionByName(shown("lang", by_name))
 
 
 def _mentions(spark, sf_dir):
@@ -173,11 +174,11 @@ _ent = f"""{_best}, en as (select c_custkey, c_name, c_mktsegment, coalesce(null
   left join (select o_custkey, count(*) as n from orders where o_orderdate >= timestamp '1995-01-01' group by 1) n on c_custkey = n.o_custkey)"""
 _dossier = f"""with {_ent}, ro as (select o_custkey, count(*) as n_orders, count(*) filter (where o_orderstatus = 'F') as n_final, round(sum(o_totalprice), 2) as spent from orders group by 1),
 rl as (select o_custkey, count(*) as n_returns, sum(l_quantity) as returned from lineitem join orders on l_orderkey = o_orderkey where l_returnflag = 'R' group by 1),
-rp as (select o_custkey, string_agg(o_orderpriority || ':' || n, ' ; ' order by n desc, f) as priorities from (select o_custkey, o_orderpriority, count(*) as n, min(o_orderkey) as f from orders group by 1, 2) group by 1),
+rp as (select o_custkey, string_agg(o_orderpriority || ':' || n, '; ' order by n desc, f) as priorities from (select o_custkey, o_orderpriority, count(*) as n, min(o_orderkey) as f from orders group by 1, 2) group by 1),
 ds as (select c_custkey, c_name, home, status, score, n_candidates, coalesce(n_orders, 0) as n_orders, coalesce(n_final, 0) as n_final, coalesce(spent, 0.0)::double as spent, coalesce(n_returns, 0) as n_returns, coalesce(returned, 0.0)::double as returned, coalesce(priorities, '') as priorities,
   review, review or coalesce(n_returns, 0) > 2 or coalesce(n_orders, 0) > 20 as page_review from en left join ro on c_custkey = ro.o_custkey left join rl on c_custkey = rl.o_custkey left join rp on c_custkey = rp.o_custkey)"""
 _points = "case when contains(text, '|') then 100 else 0 end + case when contains(text, '###') then 50 else 0 end + case when n_chars > 2000 then 20 else 0 end + case when n_chars > 500 then 10 else 0 end + case when lang = 'en' then 5 else 0 end"
-_disp = lambda kind: f"select '{kind}' as kind, {kind} as key, doc_id, s::bigint as score from (select *, row_number() over (partition by {kind} order by s desc, doc_id) as k from (select *, {_points} as s from documents)) where k = 1"
+_disp = lambda kind, key: f"select '{kind}' as kind, key, doc_id, s::bigint as score from (select *, row_number() over (partition by key order by s desc, doc_id) as k from (select *, {_points} as s, {key} as key from documents) where key <> '') where k = 1"
 _m = mining_plans.SQL
 SQL = {
     "h1_best_order": f"with {_best} select o_custkey, o_orderkey, score::bigint as score from bo",
@@ -188,14 +189,14 @@ union all select n_nationkey::varchar, 'name', s_suppkey from nation n join s on
   + case substr(o_orderpriority, 1, 1) when '1' then 30 when '2' then 20 when '3' then 10 else 0 end + case when o_totalprice > 250000 then 5 else 0 end as s from orders where o_orderstatus in ('F', 'P'))) where k = 1""",
     "h6_entities": f"with {_ent} select c_custkey, home, status, score, day, n_candidates, review from en",
     "h8_profile": f"with {_ent}, x as (select 'home' as attribute, home as v from en union all select 'c_mktsegment', c_mktsegment from en union all select 'o_orderstatus', status from en union all select 'review', review::varchar from en) select attribute, coalesce(nullif(v, ''), '(blank)') as value, count(*) as n from x group by all",
-    "h9_display": f"{_disp('source')} union all {_disp('lang')}",
+    "h9_display": f"""{_disp('source', "case when source is null or source = 'src1' then '' else source end")} union all {_disp('lang', "lower(coalesce(lang, ''))")}""",
     "h10_mentions": f"""with g as ({_m['g9_mentions']}), t as (select conv_id, count(*) as n_mentions, count(*) filter (where confidence = 'high') as n_high, count(*) filter (where matched) as n_matched from g group by 1),
-k as (select conv_id, string_agg(kind || ':' || n, ' ; ' order by n desc, f) as kinds from (select conv_id, kind, count(*) as n, min((pos, kind, name)) as f from g group by 1, 2) group by 1),
+k as (select conv_id, string_agg(kind || ':' || n, '; ' order by n desc, f) as kinds from (select conv_id, kind, count(*) as n, min((pos, kind, name)) as f from g group by 1, 2) group by 1),
 f as (select *, row_number() over (partition by conv_id order by o) as r from (select conv_id, lower(name) as l, min((pos, kind, name)) as o, arg_min(name, (pos, kind, name)) as name from g group by 1, 2)),
 n as (select conv_id, string_agg(name, '; ' order by o) as names from f where r <= 12 group by 1)
 select conv_id, n_mentions, n_high, n_matched, kinds, names from t join k using (conv_id) join n using (conv_id)""",
     "h11_art": f"with a as ({_m['g7_art']}) select (page_id // 10)::bigint as decade, 'yes' as has_art, count(*) as n_art, max(art_score) as best_art from a group by 1",
-    "h12_groups": f"with g as ({_m['g5_groups']}) select doc_id, sum(n)::bigint as n_groups, string_agg(confidence || ':' || n, ' ; ' order by n desc, f) as group_confidence from (select doc_id, confidence, count(*) as n, min(pos) as f from g group by 1, 2) group by 1",
+    "h12_groups": f"with g as ({_m['g5_groups']}) select doc_id, sum(n)::bigint as n_groups, string_agg(confidence || ':' || n, '; ' order by n desc, f) as group_confidence from (select doc_id, confidence, count(*) as n, min(pos) as f from g group by 1, 2) group by 1",
     "h13_customer_dossier": f"{_dossier} select * from ds",
     "h15_core_counts": f"{_dossier} select count(*) as n, count(*) filter (where page_review) as to_review, count(*) filter (where n_orders > 0) as with_orders, count(*) filter (where n_returns > 0) as with_returns from ds",
     "i1_work_queue": "select p_partkey, p_name from (select *, row_number() over (partition by lower(p_name) order by p_partkey) as k from part where p_size % 5 <> 0 and p_type = 'PROMO') where k = 1 order by p_partkey limit 20",

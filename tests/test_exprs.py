@@ -1,3 +1,8 @@
+import html
+import html.entities
+import random
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -47,12 +52,35 @@ def test_split_names(spark):
     assert one(spark, E.split_names("v"), v=None) == []
 
 
+def compact(text, needle, around=350, most=900):
+    """The definition of an excerpt in plain Python."""
+    text = re.sub("\n{3,}", "\n\n", text or "").strip()
+    at = text.find(needle) if needle else -1
+    if at < 0:
+        return text[:most]
+    a, b = max(0, at - around), min(len(text), at + len(needle) + around)
+    return (("…\n" if a else "") + text[a:b].strip() + ("\n…" if b < len(text) else ""))[:most]
+
+
 def test_excerpt(spark):
-    text = "a" * 400 + " needle " + "b" * 400
-    got = one(spark, E.excerpt("t", F.lit("needle")), t=text)
-    assert got.startswith("...") and got.endswith("...") and "needle" in got and len(got) == 6 + 350 * 2 + 6
-    assert one(spark, E.excerpt("t", F.lit("")), t="x" * 2000) == "x" * 900
-    assert one(spark, E.excerpt("t", F.lit("q")), t=None) == ""
+    text = "line one\n\n\n\nline two\nneedle  here\nline four" + " tail" * 300
+    texts = [text, "a" * 400 + " needle " + "b" * 400, "x" * 2000, "", None, "  \n needle \n", "é" * 500 + "needle" + "ß\n" * 500, "needle" * 300]
+    for t in texts:
+        for needle in ("needle", "needle  here", "", "absent", "line two\nneedle"):
+            assert one(spark, E.excerpt("t", F.lit(needle)), t=t) == compact(t, needle)
+
+
+def test_references(spark):
+    """Every kind of character reference, mixed at random, against Python's own decoder."""
+    r = random.Random(4)
+    names = sorted(html.entities.html5)
+    pick = [lambda: "&" + r.choice(names), lambda: f"&#{r.randrange(0x120000)};", lambda: f"&#x{r.randrange(0x300):X}", lambda: f"&#{r.randrange(300)}", lambda: "&" + r.choice(names).rstrip(";"), lambda: "a b&", lambda: "<b>&;é", lambda: "&#99999999999999999999;&#x1FFFFFFFFF;"]
+    texts = ["".join(r.choice(pick)() + r.choice(["", "x", " ", "1;", "=é"]) for _ in range(30)) for _ in range(200)] + ["&" + n for n in names] + [f"&#{n}" for n in range(0, 400)] + [f"&#{n};" for n in (0xFDD0, 0xFFFE, 0x1FFFF, 0xD800, 0x10FFFF, 0x110000)]
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, t string")
+    got = {x.id: x.d for x in df.select("id", E.unescape_html("t").alias("d")).collect()}
+    wrong = [(t, got[k], html.unescape(t)) for k, t in enumerate(texts) if got[k] != html.unescape(t)]
+    assert not wrong, wrong[:3]
+    assert one(spark, E.html_to_text("t"), t="caf&eacute; &#233; &#x41; &mdash; &lt;b&gt;bold&lt;/b&gt; <> &amp;lt;") == "café é A — bold <> &lt;"
 
 
 def test_notes_dates_ids(spark):
