@@ -222,13 +222,14 @@ def split_names(c, stop_words=()) -> Column:
 MORE = "…"
 
 
-def excerpt(text, needle, around: int = 350, most: int = 900) -> Column:
-    """Text around the first hit of the needle, taken as it is, with marks on lines of their own where text goes on.
+def squeezed(text) -> Column:
+    """A text as excerpts are cut from it: lines stay; of three or more line ends in a row two are left."""
+    return clean(F.regexp_replace(F.coalesce(col(text), F.lit("")), "\n{3,}", "\n\n"))
+
 
-    Without a hit or needle the head. Lines stay; of three or more line ends in a row two are left.
-    """
-    flat = clean(F.regexp_replace(F.coalesce(col(text), F.lit("")), "\n{3,}", "\n\n"))
-    part = F.coalesce(col(needle) if isinstance(needle, (str, Column)) else F.lit(needle), F.lit(""))
+def excerpt_of(flat, needle, around: int = 350, most: int = 900) -> Column:
+    """``excerpt`` of a text that ``squeezed`` gave."""
+    flat, part = col(flat), F.coalesce(col(needle), F.lit(""))
     at = F.when(part != "", F.instr(flat, part)).otherwise(F.lit(0))
     begin = F.greatest(at - 1 - around, F.lit(0))
     end = F.least(at - 1 + F.length(part) + around, F.length(flat))
@@ -236,6 +237,11 @@ def excerpt(text, needle, around: int = 350, most: int = 900) -> Column:
     return F.substring(F.when(at > 0, hit).otherwise(flat), 1, most)
 
 
+def excerpt(text, needle, around: int = 350, most: int = 900) -> Column:
+    """Text around the first hit of the needle, taken as it is, with marks on lines of their own where text goes on; without a hit or needle the head."""
+    return excerpt_of(squeezed(text), needle, around, most)
+
+
 def descriptor(first, second) -> Column:
     """Both values with a blank between; an equal second one is not repeated."""
     a, b = clean(first), clean(second)

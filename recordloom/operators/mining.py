@@ -6,8 +6,8 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from recordloom.functions.exprs import art_score, clean, fold, is_name_like, split_names, trim_name
-from recordloom.operators.ranking import best_per_key
+from recordloom.functions.exprs import art_score, clean, excerpt_of, fold, is_name_like, split_names, squeezed, trim_name
+from recordloom.operators.ranking import best_per_key, islands
 
 #: Form of a heading (a letter and 1 to 32 letters, blanks, slashes, underscores or hyphens before a colon) and of a name.
 HEAD = r"^([A-Za-z][A-Za-z /_-]{1,32})\s*:"
@@ -32,11 +32,6 @@ def empty_texts(texts: DataFrame, text: str) -> DataFrame:
     return texts.agg(F.count_if(clean(text) == "").alias("empty"), F.count("*").alias("texts"))
 
 
-def _mention(key, pos, name, kind: str, heading, confidence: str, known: DataFrame | None, rows: DataFrame) -> DataFrame:
-    out = rows.select(key.alias("key"), pos.alias("pos"), name.alias("name"), F.lit(kind).alias("kind"), heading.alias("heading"), F.lit(confidence).alias("confidence"))
-    return flag_known(out, known)
-
-
 def known_names(*columns: tuple[DataFrame, str]) -> DataFrame:
     """Folded names of several tables, each once."""
     return reduce(DataFrame.union, [df.select(fold(c).alias("known")) for df, c in columns]).filter("known <> ''").distinct()
@@ -51,69 +46,111 @@ def flag_known(mentions: DataFrame, known: DataFrame | None) -> DataFrame:
     return out.withColumn("confidence", F.when(F.col("matched"), "high").otherwise(F.col("confidence"))).drop("__k", "known")
 
 
-def headed_names(texts: DataFrame, key: str, text: str, headings: list[str], known: DataFrame | None = None, stop_words=(), following: int = 8) -> DataFrame:
+#: Lines after a heading that may hold its names; characters of the evidence that is kept.
+FOLLOWING, EVIDENCE = 8, 500
+
+
+def _hits(texts: DataFrame, key: str, text: str, keep) -> DataFrame:
+    """``key, pos, line, after, flat`` of the lines that ``keep`` holds for; nothing else leaves its row.
+
+    ``after`` are the next FOLLOWING lines, ``flat`` is the text as excerpts are cut from it.
+    """
+    t = texts.filter(clean(text) != "").select(F.col(key).alias("key"), squeezed(text).alias("flat"), line_array(text).alias("ls"))
+    numbered = F.transform("ls", lambda x, i: F.struct(i.alias("pos"), x.alias("line")))
+    found = F.transform(F.filter(numbered, lambda h: keep(h["line"])), lambda h: F.struct(h["pos"].alias("pos"), h["line"].alias("line"), F.slice("ls", h["pos"] + 2, F.lit(FOLLOWING)).alias("after")))
+    return t.select("key", "flat", F.explode(found).alias("h")).select("key", "h.*", "flat")
+
+
+def _finding(kind: str, heading: Column, confidence: str, needle: Column, names: Column) -> Column:
+    return F.struct(F.lit(kind).alias("kind"), heading.alias("heading"), F.lit(confidence).alias("confidence"), needle.alias("needle"), F.coalesce(names, F.array().cast("array<string>")).alias("names"))
+
+
+def _headed(headings: list[str], stop_words, following: int):
+    """Names on the line of a known heading or, if that holds none, on the lines after it until a blank line or any heading."""
+    line, after = clean("line"), F.slice("after", F.lit(1), F.lit(following))
+    heading, rest = clean(F.regexp_extract(line, HEADING, 1)), clean(F.regexp_extract(line, HEADING, 2))
+    stops = F.transform(after, lambda x: (clean(x) == "") | clean(x).rlike(HEAD))
+    until = F.when(F.array_contains(stops, True), F.array_position(stops, True).cast("int") - 1).otherwise(F.size(after))
+    more = F.when(rest == "", F.slice(after, F.lit(1), until)).otherwise(F.array().cast("array<string>"))
+    source = F.when(rest != "", rest).otherwise(F.array_join(F.transform(more, clean), ", "))
+    names = F.when(F.lower(heading).isin(*[h.lower() for h in headings]), split_names(source, stop_words))
+    return lambda x: F.contains(x, F.lit(":")), _finding("heading_name_list", heading, "medium", F.array_join(F.concat(F.array(line), more), " / "), names)
+
+
+def _commas(stop_words, longest: int, least: int):
+    """Compact lines with a comma and at least ``least`` name-like parts."""
+    line = clean("line")
+    names = split_names(line, stop_words)
+    fits = F.contains(line, F.lit(",")) & (F.length(line) <= longest)
+    return lambda x: F.contains(x, F.lit(",")), _finding("comma_name_list", F.lit(""), "low", line, F.when(fits, F.when(F.size(names) >= least, names)))
+
+
+def _speakers(verbs: list[str], tagged_verbs: list[str], stop_words):
+    """A leading name before a speech verb, also after a ``<tag>``; a line may give one mention per pattern."""
+    patterns = [rf"^({NAME})\s+(?:{'|'.join(verbs)})\b", rf"^<[^>]+>\s*({NAME})\s+(?:{'|'.join(tagged_verbs)})\b"]
+    line = clean("line")
+    names = F.filter(F.array(*[trim_name(F.regexp_extract(line, p, 1)) for p in patterns]), lambda n: (n != "") & is_name_like(n, stop_words))
+    return lambda x: reduce(lambda a, b: a | b, [x.rlike(p.replace("^", r"(?U)^\s*", 1)) for p in patterns]), _finding("quoted_speaker", F.lit(""), "medium", line, names)
+
+
+def _mentions(texts: DataFrame, key: str, text: str, finders: list, known: DataFrame | None) -> DataFrame:
+    """``key, pos, name, kind, heading, evidence, text_excerpt, confidence, matched`` of all finders in one pass; excerpts are cut once per finding."""
+    hits = _hits(texts, key, text, lambda x: reduce(lambda a, b: a | b, [keep(x) for keep, _ in finders]))
+    found = F.filter(F.array(*[finding for _, finding in finders]), lambda m: F.size(m["names"]) > 0)
+    rows = hits.select("key", "pos", "flat", F.explode(found).alias("m"))
+    rows = rows.select("key", "pos", "m.kind", "m.heading", "m.confidence", F.substring("m.needle", 1, EVIDENCE).alias("evidence"), excerpt_of("flat", "m.needle").alias("text_excerpt"), F.col("m.names").alias("names"))
+    return flag_known(rows.select("key", "pos", F.explode("names").alias("name"), "kind", "heading", "evidence", "text_excerpt", "confidence"), known)
+
+
+def headed_names(texts: DataFrame, key: str, text: str, headings: list[str], known: DataFrame | None = None, stop_words=(), following: int = FOLLOWING) -> DataFrame:
     """Names after known headings, on the line itself or, if that holds none, on up to ``following`` lines until
-    a blank line or any heading. The lines are joined before a trailing comment is cut."""
-    t = texts.filter(clean(text) != "").select(F.col(key).alias("key"), F.transform(line_array(text), clean).alias("ls"))
-    rows = t.select("key", "ls", F.posexplode("ls").alias("pos", "line")).filter(F.col("line").rlike(HEADING))
-    heading, rest = clean(F.regexp_extract("line", HEADING, 1)), clean(F.regexp_extract("line", HEADING, 2))
-    rows = rows.withColumns({"heading": heading, "rest": rest}).filter(F.lower("heading").isin(*[h.lower() for h in headings]))
-    after = F.slice("ls", F.col("pos") + 2, F.lit(following))
-    stop = lambda x: (x == "") | x.rlike(HEAD)
-    flags = F.transform(after, stop)
-    until = F.when(F.array_contains(flags, True), F.array_position(flags, True).cast("int") - 1).otherwise(F.size(after))
-    source = F.when(F.col("rest") != "", F.col("rest")).otherwise(F.array_join(F.slice(after, F.lit(1), until), ", "))
-    rows = rows.withColumn("name", F.explode(split_names(source, stop_words)))
-    return _mention(F.col("key"), F.col("pos"), F.col("name"), "heading_name_list", F.col("heading"), "medium", known, rows)
-
-
-def comma_names(numbered: DataFrame, known: DataFrame | None = None, stop_words=(), longest: int = 180, least: int = 3) -> DataFrame:
+    a blank line or any heading. The lines are joined before a trailing comment is cut; the evidence is all of them."""
+    return _mentions(texts, key, text, [_headed(headings, stop_words, following)], known)
+
+
+def comma_names(texts: DataFrame, key: str, text: str, known: DataFrame | None = None, stop_words=(), longest: int = 180, least: int = 3) -> DataFrame:
     """Names of compact lines with a comma and at least ``least`` name-like parts."""
-    rows = numbered.withColumn("l", clean("line")).filter(F.contains("l", F.lit(",")) & (F.length("l") <= longest)).withColumn("names", split_names("l", stop_words))
-    rows = rows.filter(F.size("names") >= least).withColumn("name", F.explode("names"))
-    return _mention(F.col("key"), F.col("pos"), F.col("name"), "comma_name_list", F.lit(""), "low", known, rows)
+    return _mentions(texts, key, text, [_commas(stop_words, longest, least)], known)
 
 
-def quoted_speakers(numbered: DataFrame, verbs: list[str], tagged_verbs: list[str], known: DataFrame | None = None, stop_words=()) -> DataFrame:
+def quoted_speakers(texts: DataFrame, key: str, text: str, verbs: list[str], tagged_verbs: list[str], known: DataFrame | None = None, stop_words=()) -> DataFrame:
     """A leading name before a speech verb, also after a ``<tag>``; a line may give one mention per pattern."""
-    out = None
-    for pattern in (rf"^({NAME})\s+(?:{'|'.join(verbs)})\b", rf"^<[^>]+>\s*({NAME})\s+(?:{'|'.join(tagged_verbs)})\b"):
-        rows = numbered.withColumn("name", trim_name(F.regexp_extract(clean("line"), pattern, 1))).filter((F.col("name") != "") & is_name_like("name", stop_words))
-        rows = _mention(F.col("key"), F.col("pos"), F.col("name"), "quoted_speaker", F.lit(""), "medium", None, rows)
-        out = rows if out is None else out.unionByName(rows)
-    return flag_known(out.drop("matched"), known)
+    return _mentions(texts, key, text, [_speakers(verbs, tagged_verbs, stop_words)], known)
 
 
-def group_lines(numbered: DataFrame, keywords: list[str], group_words: list[str], role_words: list[str], most: int = 500) -> DataFrame:
+def group_lines(texts: DataFrame, key: str, text: str, keywords: list[str], group_words: list[str], role_words: list[str], most: int = EVIDENCE) -> DataFrame:
     """Lines that hold a keyword anywhere; a whole group or role word raises the confidence to medium."""
-    l = F.lower(clean("line"))
-    any_of = reduce(lambda a, b: a | b, [F.contains(l, F.lit(k.lower())) for k in keywords])
-    sure = l.rlike(rf"(?U)\b({'|'.join(group_words + role_words)})\b")
-    return numbered.filter(any_of).select("key", "pos", F.substring(clean("line"), 1, most).alias("evidence"), F.when(sure, "medium").otherwise("low").alias("confidence"))
+    hits = _hits(texts, key, text, lambda x: reduce(lambda a, b: a | b, [F.contains(F.lower(x), F.lit(k.lower())) for k in keywords]))
+    line = clean("line")
+    sure = F.lower(line).rlike(rf"(?U)\b({'|'.join(group_words + role_words)})\b")
+    return hits.select("key", "pos", F.substring(line, 1, most).alias("evidence"), excerpt_of("flat", line).alias("text_excerpt"), F.when(sure, "medium").otherwise("low").alias("confidence"))
 
 
-def art_clusters(numbered: DataFrame, least: float = 1.5, gap: int = 2, few: int = 3, strong: float = 5.0, shown: int = 16, most: int = 1000) -> DataFrame:
-    """The best cluster of art-like lines of each text: ``key, art_lines, art_score, art_excerpt``.
+def art_clusters(texts: DataFrame, key: str, text: str, least: float = 1.5, gap: int = 2, few: int = 3, strong: float = 5.0, shown: int = 16, most: int = 1000) -> DataFrame:
+    """The best cluster of art-like lines of each text: ``key, art_lines, art_score, art_excerpt, text_excerpt``.
 
     Lines of at least ``least`` join when not more than ``gap`` apart. The best
     cluster has most lines, then the highest score, then comes first; fewer than
-    ``few`` lines with less than ``strong`` points in all are no art.
+    ``few`` lines with less than ``strong`` points in all are no art. Clusters may
+    have any length: they are numbered by ranges, and only the first ``shown`` lines
+    of the best one come together. Texts are joined back for hits alone.
     """
     # a row number stops the filter from moving below the score, which would be worked out twice
-    scored = numbered.withColumns({"score": art_score("line"), "__row": F.monotonically_increasing_id()}).filter((F.col("score") >= least) & (F.col("__row") >= 0)).drop("__row")
-    by = Window.partitionBy("key").orderBy("pos")
-    begins = F.when(F.col("pos") - F.lag("pos").over(by) <= gap, 0).otherwise(1)
-    islands = scored.withColumn("__b", begins).withColumn("island", F.sum("__b").over(by))
-    art = islands.groupBy("key", "island").agg(F.count("*").alias("art_lines"), F.sum("score").alias("art_score"), F.sort_array(F.collect_list(F.struct("pos", "line"))).alias("__l"))
+    scored = lines(texts, key, text).withColumns({"score": art_score("line"), "__row": F.monotonically_increasing_id()}).filter((F.col("score") >= least) & (F.col("__row") >= 0)).drop("__row")
+    placed = islands(scored, ["key"], "pos", gap)
+    art = placed.groupBy("key", "island").agg(F.count("*").alias("art_lines"), F.sum("score").alias("art_score"))
     best = best_per_key(art, ["key"], [F.col("art_lines").desc(), F.col("art_score").desc(), "island"])
     best = best.filter((F.col("art_lines") >= few) | (F.col("art_score") >= strong))
-    return best.select("key", "art_lines", F.round("art_score", 2).alias("art_score"), F.substring(F.array_join(F.transform(F.slice("__l", 1, shown), lambda x: x["line"]), "\n"), 1, most).alias("art_excerpt"))
+    first = best_per_key(placed.join(best.select("key", "island"), ["key", "island"]), ["key"], ["pos"], shown)
+    drawn = first.groupBy("key").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", "line"))), lambda x: x["line"]), "\n").alias("drawn"))
+    whole = texts.select(F.col(key).alias("key"), squeezed(F.array_join(line_array(text), "\n")).alias("flat"))
+    out = best.join(drawn, "key").join(whole, "key")
+    return out.select("key", "art_lines", F.round("art_score", 2).alias("art_score"), F.substring("drawn", 1, most).alias("art_excerpt"), excerpt_of("flat", "drawn").alias("text_excerpt"))
 
 
 def mine(texts: DataFrame, key: str, text: str, headings: list[str], verbs: list[str], tagged_verbs: list[str], known: DataFrame | None = None, stop_words=(), least: int = 3) -> DataFrame:
-    """Mentions of all three kinds; a name may occur in several, repeats stay."""
-    numbered = lines(texts, key, text)
-    return headed_names(texts, key, text, headings, known, stop_words).unionByName(comma_names(numbered, known, stop_words, least=least)).unionByName(quoted_speakers(numbered, verbs, tagged_verbs, known, stop_words))
+    """Mentions of all three kinds in one pass; a name may occur in several, repeats stay."""
+    return _mentions(texts, key, text, [_headed(headings, stop_words, FOLLOWING), _commas(stop_words, 180, least), _speakers(verbs, tagged_verbs, stop_words)], known)
 
 
 def mining_summary(mentions: DataFrame, top: int = 30) -> DataFrame:

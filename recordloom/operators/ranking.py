@@ -36,6 +36,26 @@ def numbered(df: DataFrame, keys: list[str], order: list, name: str) -> DataFram
     return ranged.join(offsets, same).withColumn(name, F.col(before) + F.col(local)).select(*df.columns, name)
 
 
+def islands(df: DataFrame, keys: list[str], pos: str, gap: int, name: str = "island") -> DataFrame:
+    """Number of each row's run in its group, from 1: rows of a run are at most ``gap`` apart; for groups of any size.
+
+    A segmented scan: rows are dealt by ranges of key and position and stored; each
+    range counts the runs that begin in it, and only its ends and counts per group
+    meet, to tell whether its first run goes on from the range before.
+    """
+    part, begins = "__range", "__begins"
+    by = Window.partitionBy(part, *keys).orderBy(pos)
+    ranged = materialize(df.repartitionByRange(*keys, pos).withColumn(part, F.spark_partition_id()), "islands")
+    ranged = ranged.withColumn(begins, F.when(F.col(pos) - F.lag(pos).over(by) <= gap, 0).otherwise(1)).withColumn("__local", F.sum(begins).over(by))
+    ends = ranged.groupBy(*keys, part).agg(F.min(pos).alias("__first"), F.max(pos).alias("__last"), F.sum(begins).alias("__n"))
+    ordered = Window.partitionBy(*keys).orderBy(part)
+    ends = ends.withColumn("__on", F.when(F.col("__first") - F.lag("__last").over(ordered) <= gap, 1).otherwise(0))
+    before = F.coalesce(F.sum(F.col("__n") - F.col("__on")).over(ordered.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) - F.col("__on")
+    ends = ends.select(*[F.col(k).alias(f"__{k}_of") for k in keys], F.col(part).alias("__of"), before.alias("__before"))
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"__{k}_of")) for k in keys], F.col(part) == F.col("__of"))
+    return ranged.join(ends, same).withColumn(name, F.col("__before") + F.col("__local")).select(*df.columns, name)
+
+
 def numbered_slugs(df: DataFrame, slug: str, order: list, name: str = "page_slug") -> DataFrame:
     """The first of equal slugs stays bare, the next get -2, -3 and so on."""
     k = F.col("__k")

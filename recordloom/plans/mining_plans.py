@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from recordloom.functions import exprs as E
 from recordloom.operators import mining, vocab
-from recordloom.plans.tables import sql_clean, sql_is_name, sql_trim_name, table
+from recordloom.plans.tables import sql_clean, sql_excerpt, sql_is_name, sql_squeezed, sql_trim_name, table
 
 RACES = [(1, "anvil", "Tool", ""), (2, "bolt", "Part", "Small"), (3, "gear", "Part", "Round"), (4, "ring", "Part", "Round"), (5, "gizmo", "Device", ""), (6, "plate", "Orc", "Flat")]
 TITLES = [(1, "blue", "Painter", "male", "high"), (2, "cold", "unknown", "unknown", ""), (3, "hot", "Smith", "female", "low"), (4, "large blue", "Giant", "male", "medium"), (5, "small", "", "", "")]
@@ -65,7 +65,7 @@ def _transcripts(spark, sf_dir):
 
 
 def g2_headed_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _headed(spark, sf_dir).select(F.col("key").alias("conv_id"), F.col("pos").cast("long").alias("pos"), "name", "heading", "confidence", "matched")
+    return _headed(spark, sf_dir).select(F.col("key").alias("conv_id"), F.col("pos").cast("long").alias("pos"), "name", "heading", "evidence", "text_excerpt", "confidence", "matched")
 
 
 def _headed(spark, sf_dir):
@@ -74,47 +74,46 @@ def _headed(spark, sf_dir):
 
 def g3_comma_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     """G3 with G8: names of comma lines against the words of the benchmark."""
-    rows = mining.comma_names(mining.lines(table(spark, sf_dir, "documents"), "doc_id", "text"), _known(spark, sf_dir), least=1)
-    return rows.select(F.col("key").alias("doc_id"), F.col("pos").cast("long").alias("pos"), "name", "confidence", "matched")
+    rows = mining.comma_names(table(spark, sf_dir, "documents"), "doc_id", "text", _known(spark, sf_dir), least=1)
+    return rows.select(F.col("key").alias("doc_id"), F.col("pos").cast("long").alias("pos"), "name", "evidence", "text_excerpt", "confidence", "matched")
 
 
 _VERBS, _TAGGED = ["and", "of", "the", "de"], ["and", "la"]
 
 
 def g4_speakers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = mining.quoted_speakers(mining.lines(table(spark, sf_dir, "documents"), "doc_id", "text"), _VERBS, _TAGGED)
-    return rows.select(F.col("key").alias("doc_id"), F.col("pos").cast("long").alias("pos"), "name")
+    rows = mining.quoted_speakers(table(spark, sf_dir, "documents"), "doc_id", "text", _VERBS, _TAGGED)
+    return rows.select(F.col("key").alias("doc_id"), F.col("pos").cast("long").alias("pos"), "name", "evidence", "text_excerpt")
 
 
 def _groups(spark, sf_dir):
-    return mining.group_lines(mining.lines(table(spark, sf_dir, "documents"), "doc_id", "text"), ["thes", "zu"], ["and", "und"], ["with", "mit"])
+    return mining.group_lines(table(spark, sf_dir, "documents"), "doc_id", "text", ["thes", "zu"], ["and", "und"], ["with", "mit"])
 
 
 def g5_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _groups(spark, sf_dir).select(F.col("key").alias("doc_id"), F.col("pos").cast("long").alias("pos"), "evidence", "confidence")
+    return _groups(spark, sf_dir).select(F.col("key").alias("doc_id"), F.col("pos").cast("long").alias("pos"), "evidence", "text_excerpt", "confidence")
 
 
-def _tag_lines(spark, sf_dir):
-    p = table(spark, sf_dir, "pages").select("page_id", F.regexp_replace("html", "<", "\n<").alias("t"))
-    return mining.lines(p, "page_id", "t")
+def _tagged(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", F.regexp_replace("html", "<", "\n<").alias("t"))
 
 
 def g6_line_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _tag_lines(spark, sf_dir).select(F.col("key").alias("page_id"), F.col("pos").cast("long").alias("pos"), E.art_score("line").alias("score"))
+    return mining.lines(_tagged(spark, sf_dir), "page_id", "t").select(F.col("key").alias("page_id"), F.col("pos").cast("long").alias("pos"), E.art_score("line").alias("score"))
 
 
 def _art(spark, sf_dir):
-    return mining.art_clusters(_tag_lines(spark, sf_dir), least=1.0, strong=2.0)
+    return mining.art_clusters(_tagged(spark, sf_dir), "page_id", "t", least=1.0, strong=2.0)
 
 
 def g7_art(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _art(spark, sf_dir).select(F.col("key").alias("page_id"), "art_lines", "art_score", "art_excerpt")
+    return _art(spark, sf_dir).select(F.col("key").alias("page_id"), "art_lines", "art_score", "art_excerpt", "text_excerpt")
 
 
 def g9_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mentions of all kinds in transcripts."""
     rows = mining.mine(_transcripts(spark, sf_dir), "conv_id", "text", ["user", "system"], _VERBS, _TAGGED, _known(spark, sf_dir), least=1)
-    return rows.select(F.col("key").alias("conv_id"), F.col("pos").cast("long").alias("pos"), "name", "kind", "heading", "confidence", "matched")
+    return rows.select(F.col("key").alias("conv_id"), F.col("pos").cast("long").alias("pos"), "name", "kind", "heading", "evidence", "text_excerpt", "confidence", "matched")
 
 
 def g10_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -146,18 +145,20 @@ f as (select p_partkey, race, subrace, base as base_class, coalesce(title, '') a
 _lines = rf"""l as (select doc_id, unnest(ls) as line, unnest(range(0, len(ls)::bigint)) as pos from (select doc_id, string_split(regexp_replace(text, '\n$', ''), chr(10)) as ls from documents where trim(text) <> ''))"""
 _kn = rf"""kn as (select distinct lower({sql_trim_name('w')}) as known from (select unnest(string_split_regex(text, '\s+')) as w from benchmark) where {sql_trim_name('w')} <> '' union select lower(r_name) from region)"""
 _split = lambda t: rf"list_filter(list_transform(case when regexp_matches({t}, '[,;]') then string_split_regex({t}, '[,;]') else string_split_regex({t}, '\s+') end, lambda x: {sql_trim_name('x')}), lambda x: {sql_is_name('x')})"
-_tr = rf"""tr as (select conv_id, string_agg(role || ':' || chr(10) || coalesce(text, ''), chr(10) order by turn) as text from conversations group by 1),
-cl as (select conv_id, {sql_clean('line')} as line, pos from (select conv_id, unnest(ls) as line, unnest(range(0, len(ls)::bigint)) as pos from (select conv_id, string_split(regexp_replace(text, '\n$', ''), chr(10)) as ls from tr)))"""
+_tr = rf"""tr as (select conv_id, string_agg(role || ':' || chr(10) || coalesce(text, ''), chr(10) order by turn) as text from conversations group by 1), fl as (select conv_id, {sql_squeezed('text')} as flat from tr),
+cl as (select conv_id, {sql_clean('line')} as line, line as raw, pos from (select conv_id, unnest(ls) as line, unnest(range(0, len(ls)::bigint)) as pos from (select conv_id, string_split(regexp_replace(text, '\n$', ''), chr(10)) as ls from tr)))"""
 _cut = rf"regexp_replace({sql_clean('t')}, '\s+[–—-]\s+.*$', '')"
-_head = rf"""hd as (select conv_id, pos, {sql_clean("regexp_extract(line, '^([A-Za-z][A-Za-z /_-]{1,32})\\s*:\\s*(.*)$', 1)")} as heading, {sql_clean("regexp_extract(line, '^([A-Za-z][A-Za-z /_-]{1,32})\\s*:\\s*(.*)$', 2)")} as rest from cl where regexp_matches(line, '^([A-Za-z][A-Za-z /_-]{{1,32}})\s*:\s*(.*)$')),
+_head = rf"""hd as (select conv_id, pos, line, {sql_clean("regexp_extract(line, '^([A-Za-z][A-Za-z /_-]{1,32})\\s*:\\s*(.*)$', 1)")} as heading, {sql_clean("regexp_extract(line, '^([A-Za-z][A-Za-z /_-]{1,32})\\s*:\\s*(.*)$', 2)")} as rest from cl where regexp_matches(line, '^([A-Za-z][A-Za-z /_-]{{1,32}})\s*:\s*(.*)$')),
 sp as (select h.conv_id, h.pos, min(c.pos) as until from hd h join cl c on c.conv_id = h.conv_id and c.pos > h.pos and (c.line = '' or regexp_matches(c.line, '^[A-Za-z][A-Za-z /_-]{{1,32}}\s*:')) group by 1, 2),
-hs as (select h.conv_id, h.pos, h.heading, case when h.rest <> '' then h.rest else coalesce((select string_agg(c.line, ', ' order by c.pos) from cl c where c.conv_id = h.conv_id and c.pos > h.pos and c.pos <= h.pos + 8 and c.pos < coalesce(sp.until, 1000000000)), '') end as t
+hs as (select h.conv_id, h.pos, h.heading, h.line || case when h.rest = '' then coalesce((select string_agg(' / ' || c.raw, '' order by c.pos) from cl c where c.conv_id = h.conv_id and c.pos > h.pos and c.pos <= h.pos + 8 and c.pos < coalesce(sp.until, 1000000000)), '') else '' end as needle, case when h.rest <> '' then h.rest else coalesce((select string_agg(c.line, ', ' order by c.pos) from cl c where c.conv_id = h.conv_id and c.pos > h.pos and c.pos <= h.pos + 8 and c.pos < coalesce(sp.until, 1000000000)), '') end as t
   from hd h left join sp on sp.conv_id = h.conv_id and sp.pos = h.pos where lower(h.heading) in ('user', 'system')),
-hc as (select conv_id, pos, heading, {_cut} as t from hs), hn as (select conv_id, pos, heading, unnest({_split('t')}) as name from hc)"""
+hc as (select conv_id, pos, heading, needle, {_cut} as t from hs), hn as (select conv_id, pos, heading, needle, unnest({_split('t')}) as name from hc)"""
+_df = f"df as (select doc_id, {sql_squeezed('text')} as flat from documents)"
+_shown = f"substr(needle, 1, 500) as evidence, {sql_excerpt('flat', 'needle')} as text_excerpt"
 _flag = lambda base: f"case when kn.known is not null then 'high' else '{base}' end as confidence, kn.known is not null as matched"
-_comma = rf"""cn as (select {{key}}, pos, unnest({_split('c')}) as name from (select {{key}}, pos, regexp_replace({sql_clean('line')}, '\s+[–—-]\s+.*$', '') as c, {sql_clean('line')} as x from {{src}}) where contains(x, ',') and length(x) <= 180)"""
+_comma = rf"""cn as (select {{key}}, pos, x as needle, unnest({_split('c')}) as name from (select {{key}}, pos, regexp_replace({sql_clean('line')}, '\s+[–—-]\s+.*$', '') as c, {sql_clean('line')} as x from {{src}}) where contains(x, ',') and length(x) <= 180)"""
 _NAME = "[A-ZÀ-ÖØ-Þ][A-Za-zÀ-ÖØ-öø-ÿ''’-]{1,24}"
-_speak = lambda key, src: " union all ".join(f"select {key}, pos, {sql_trim_name(chr(32) + 'regexp_extract(' + sql_clean('line') + ', ' + chr(39) + p + chr(39) + ', 1)')} as name from {src}" for p in (rf"^({_NAME})\s+(?:{'|'.join(_VERBS)})\b", rf"^<[^>]+>\s*({_NAME})\s+(?:{'|'.join(_TAGGED)})\b"))
+_speak = lambda key, src: " union all ".join(f"select {key}, pos, {sql_clean('line')} as needle, {sql_trim_name(chr(32) + 'regexp_extract(' + sql_clean('line') + ', ' + chr(39) + p + chr(39) + ', 1)')} as name from {src}" for p in (rf"^({_NAME})\s+(?:{'|'.join(_VERBS)})\b", rf"^<[^>]+>\s*({_NAME})\s+(?:{'|'.join(_TAGGED)})\b"))
 _tag = r"""tl as (select page_id, unnest(ls) as line, unnest(range(0, len(ls)::bigint)) as pos from (select page_id, string_split(regexp_replace(replace(html, '<', chr(10) || '<'), '\n$', ''), chr(10)) as ls from pages where trim(html) <> ''))"""
 _b = sql_clean("line")
 _marks = r"regexp_replace({b}, '[^/\\|_\-+=*#~`''.:;^<>\[\]{{}}()]', '', 'g')"
@@ -168,9 +169,9 @@ s as (select page_id, pos, line, case when b = '' or regexp_matches(b, '^!?#?\s*
    + (case when regexp_matches(b, '___|///|\\\\\\|\|\|\||\*\*\*|###|===|~~~|\.\.\.|---') then 1.0 else 0.0 end) + (case when spaces * 100 >= greatest(length(line), 1) * 35 and length(line) >= 12 then 0.5 else 0.0 end)
    + (case when regexp_matches(b, '[/\\][ _./\\|''\-]{{3,}}[/\\|]') then 1.0 else 0.0 end) - (case when length(b) <= 5 then 1.0 else 0.0 end))::double end as score from n)"""
 _g9 = rf"""with {_tr}, {_kn}, {_head}, {_comma.format(key='conv_id', src='cl')}, sk as ({_speak('conv_id', 'cl')}),
-u as (select conv_id, pos, name, 'heading_name_list' as kind, heading, 'medium' as base from hn union all select conv_id, pos, name, 'comma_name_list', '', 'low' from cn
-  union all select conv_id, pos, name, 'quoted_speaker', '', 'medium' from sk where {sql_is_name('name')}),
-v as (select conv_id, pos, name, kind, heading, case when kn.known is not null then 'high' else base end as confidence, kn.known is not null as matched from u left join kn on lower(name) = kn.known)"""
+u as (select conv_id, pos, name, 'heading_name_list' as kind, heading, needle, 'medium' as base from hn union all select conv_id, pos, name, 'comma_name_list', '', needle, 'low' from cn
+  union all select conv_id, pos, name, 'quoted_speaker', '', needle, 'medium' from sk where {sql_is_name('name')}),
+v as (select conv_id, pos, name, kind, heading, {_shown}, case when kn.known is not null then 'high' else base end as confidence, kn.known is not null as matched from u join fl using (conv_id) left join kn on lower(name) = kn.known)"""
 SQL = {
     "f1_longest_match": rf"with {_d}, {_tit}, m as (select descriptor, title, row_number() over (partition by descriptor order by length(title) desc, ord) as k from d join t on regexp_matches(lower(descriptor), '\b' || title || '\b')) select descriptor, title as term from m where k = 1",
     "f2_all_matches": rf"with {_d}, {_tit} select descriptor, string_agg(title, ';' order by length(title) desc, ord) as terms from d join t on regexp_matches(lower(descriptor), '\b' || title || '\b') group by 1",
@@ -180,16 +181,17 @@ SQL = {
 y as (select attribute, coalesce(nullif(v, ''), '(blank)') as value, count(*) as n, min(p_partkey) as first from x group by all)
 select attribute, value, n, place from (select *, row_number() over (partition by attribute order by n desc, first) as place from y) where place <= 100""",
     "g1_lines": f"with {_lines} select doc_id, count(*) as n_lines, max(length(line)) as longest from l group by 1",
-    "g2_headed_names": f"with {_tr}, {_kn}, {_head} select conv_id, pos, name, heading, {_flag('medium')} from hn left join kn on lower(name) = kn.known",
-    "g3_comma_names": f"with {_lines}, {_kn}, {_comma.format(key='doc_id', src='l')} select doc_id, pos, name, {_flag('low')} from cn left join kn on lower(name) = kn.known",
-    "g4_speakers": f"with {_lines}, s as ({_speak('doc_id', 'l')}) select doc_id, pos, name from s where {sql_is_name('name')}",
-    "g5_groups": rf"with {_lines} select doc_id, pos, substr({_b}, 1, 500) as evidence, case when regexp_matches(lower({_b}), '(^|[^\p{{L}}\p{{N}}_])(and|und|with|mit)($|[^\p{{L}}\p{{N}}_])') then 'medium' else 'low' end as confidence from l where contains(lower(line), 'thes') or contains(lower(line), 'zu')",
+    "g2_headed_names": f"with {_tr}, {_kn}, {_head} select conv_id, pos, name, heading, {_shown}, {_flag('medium')} from hn join fl using (conv_id) left join kn on lower(name) = kn.known",
+    "g3_comma_names": f"with {_lines}, {_df}, {_kn}, {_comma.format(key='doc_id', src='l')} select doc_id, pos, name, {_shown}, {_flag('low')} from cn join df using (doc_id) left join kn on lower(name) = kn.known",
+    "g4_speakers": f"with {_lines}, {_df}, s as ({_speak('doc_id', 'l')}) select doc_id, pos, name, {_shown} from s join df using (doc_id) where {sql_is_name('name')}",
+    "g5_groups": rf"with {_lines}, {_df}, n as (select *, {_b} as needle from l) select doc_id, pos, {_shown}, case when regexp_matches(lower({_b}), '(^|[^\p{{L}}\p{{N}}_])(and|und|with|mit)($|[^\p{{L}}\p{{N}}_])') then 'medium' else 'low' end as confidence from n join df using (doc_id) where contains(lower(line), 'thes') or contains(lower(line), 'zu')",
     "g6_line_scores": f"with {_score} select page_id, pos, score from s",
     "g7_art": f"""with {_score}, i as (select *, case when pos - lag(pos) over w <= 2 then 0 else 1 end as b from s where score >= 1 window w as (partition by page_id order by pos)),
 j as (select *, sum(b) over (partition by page_id order by pos) as island from i),
 k as (select page_id, island, count(*) as art_lines, sum(score) as art_score, list(line order by pos) as ls from j group by 1, 2),
 o as (select *, row_number() over (partition by page_id order by art_lines desc, art_score desc, island) as r from k)
-select page_id, art_lines, art_score, substr(array_to_string(ls[1:16], chr(10)), 1, 1000) as art_excerpt from o where r = 1 and (art_lines >= 3 or art_score >= 2)""",
+select page_id, art_lines, art_score, substr(needle, 1, 1000) as art_excerpt, {sql_excerpt('flat', 'needle')} as text_excerpt from (select *, array_to_string(ls[1:16], chr(10)) as needle from o)
+join (select page_id, {sql_squeezed("regexp_replace(replace(html, '<', chr(10) || '<'), chr(10) || '$', '')")} as flat from pages) using (page_id) where r = 1 and (art_lines >= 3 or art_score >= 2)""",
     "g9_mentions": f"{_g9} select * from v",
     "g10_summary": f"""{_g9} select 'kind' as what, kind as value, count(*) as n from v group by 2 union all select 'heading', coalesce(nullif(heading, ''), '(none)'), count(*) from v group by 2 union all select 'matched', matched::varchar, count(*) from v group by 2""",
 }

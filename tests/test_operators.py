@@ -1,7 +1,11 @@
+import random
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
 from recordloom.operators import checks, mining, recapture, review, views, vocab
+from recordloom.operators.ranking import islands
 from recordloom.plans.mining_plans import _vocabulary
 
 PAIRS = [
@@ -121,16 +125,51 @@ def test_commas_speakers_groups_known(spark):
     ls = mining.lines(df, "k", "t")
     assert ls.count() == 7
     known = mining.known_names((spark.createDataFrame([("TARN",), ("",)], "n string"), "n"))
-    got = mining.comma_names(ls, known).collect()
+    got = mining.comma_names(df, "k", "t", known).collect()
     assert {(r.name, r.confidence, r.matched) for r in got} == {("Tarn", "high", True), ("Bel", "low", False), ("Orm", "low", False)}
-    assert {(r.pos, r.name) for r in mining.quoted_speakers(ls, ["says"], ["asks"], known).collect()} == {(2, "Tarn"), (3, "Bel")}
-    assert {(r.pos, r.confidence) for r in mining.group_lines(ls, ["order"], ["order"], ["chief"]).collect()} == {(5, "medium"), (6, "low")}
+    assert {(r.pos, r.name) for r in mining.quoted_speakers(df, "k", "t", ["says"], ["asks"], known).collect()} == {(2, "Tarn"), (3, "Bel")}
+    assert {(r.pos, r.confidence) for r in mining.group_lines(df, "k", "t", ["order"], ["order"], ["chief"]).collect()} == {(5, "medium"), (6, "low")}
     assert mining.empty_texts(spark.createDataFrame([(None,), (" ",), ("x",)], "t string"), "t").first().asDict() == {"empty": 2, "texts": 3}
 
 
+def test_excerpts_of_mentions(spark):
+    """Evidence and excerpt of each kind; of a list below its heading all lines are evidence, which the text does not hold as one."""
+    text = "x" * 500 + "\n\n\n\nFoes:\n  Tarn\nBel\n\n<t> Orm asks y\nTarn, Bel, Orm\nthe Order of it\n" + "y" * 500
+    df = spark.createDataFrame([(1, text)], "k int, t string")
+    got = {(r.kind, r.name): r for r in mining.mine(df, "k", "t", ["foes"], ["says"], ["asks"]).collect()}
+    assert {k: r.evidence for k, r in got.items()} == {
+        ("heading_name_list", "Tarn"): "Foes: /   Tarn / Bel", ("heading_name_list", "Bel"): "Foes: /   Tarn / Bel", ("quoted_speaker", "Orm"): "<t> Orm asks y",
+        **{("comma_name_list", n): "Tarn, Bel, Orm" for n in ("Tarn", "Bel", "Orm")},
+    }
+    flat = re.sub("\n{3,}", "\n\n", text)
+    assert got["heading_name_list", "Tarn"].text_excerpt == flat[:900]
+    at = flat.index("Tarn, Bel, Orm")
+    assert got["comma_name_list", "Orm"].text_excerpt == ("…\n" + flat[at - 350 : at + 14 + 350].strip() + "\n…")[:900]
+    assert mining.group_lines(df, "k", "t", ["order"], ["order"], ["chief"]).first().text_excerpt.startswith("…\n")
+
+
+def test_islands_over_ranges(spark):
+    """Runs of any length, cut into many ranges, against a plain pass."""
+    r = random.Random(2)
+    rows = [(k, p) for k in range(3) for p in sorted(r.sample(range(4000), 1500))] + [(7, p) for p in range(3000)]
+    df = spark.createDataFrame(r.sample(rows, len(rows)), "k int, pos int")
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "17")
+    try:
+        got = {(x.k, x.pos): x.island for x in islands(df, ["k"], "pos", 2).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    want, last = {}, {}
+    for k, p in rows:
+        n, q = last.get(k, (0, None))
+        n += q is None or p - q > 2
+        want[k, p], last[k] = n, (n, p)
+    assert got == want
+
+
 def art(spark, *ls):
     df = spark.createDataFrame([(1, "\n".join(ls))], "k int, t string")
-    return [(r.art_lines, r.art_score) for r in mining.art_clusters(mining.lines(df, "k", "t")).collect()]
+    return [(r.art_lines, r.art_score) for r in mining.art_clusters(df, "k", "t").collect()]
 
 
 def test_art_clusters(spark):
