@@ -28,12 +28,24 @@ def capture_digest(keys: list[str]) -> Column:
     return F.sha2(F.concat_ws("|", *[part(k) for k in keys]), 256)
 
 
+def first_of_digest(captures: DataFrame, order: list) -> DataFrame:
+    """``digest, first``: each digest once, with the place of its first capture; combined before its shuffle, and no text travels."""
+    return captures.groupBy("digest").agg(F.min(F.struct(*order)).alias("first"))
+
+
+def captures_of(captures: DataFrame, picked: DataFrame, order: list) -> DataFrame:
+    """The captures at the places that ``picked`` (``digest, first``) names."""
+    p = picked.select(F.col("digest").alias("__digest"), F.col("first").alias("__first"))
+    return captures.join(p, (F.col("digest") == F.col("__digest")) & (F.struct(*order) == F.col("__first")), "left_semi")
+
+
 def append_unseen(captures: DataFrame, seen: DataFrame, order: list) -> DataFrame:
     """C3 on digests: captures (with ``digest``) whose digest is not ``seen`` and did not come earlier in this run.
 
-    Only digests are compared, so stored texts are never read here.
+    ``order`` rises and settles ties. Digests are picked and compared first; texts
+    are only read again for those that are new.
     """
-    return best_per_key(captures, ["digest"], order).join(seen.select("digest").distinct(), "digest", "left_anti")
+    return captures_of(captures, first_of_digest(captures, order).join(seen.select("digest"), "digest", "left_anti"), order)
 
 
 def append_new(captures: DataFrame, stored: DataFrame, keys: list[str], order: list) -> DataFrame:

@@ -99,11 +99,13 @@ def c2_intake(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def c14_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """C14: events arriving as files, taken by the stream, with all of them sent twice."""
+    """C14: events arriving as files, taken by the stream in four batches: a third of them each, then all of them again."""
     e = _events(spark, sf_dir).select("ord", "user", "event_type", "amount")
     path = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
-    e.unionByName(e.withColumn("ord", F.col("ord") + 10**9)).write.parquet(f"{path}/in")
-    query = stream_intake(spark, f"{path}/in", e.schema, f"{path}/out", f"{path}/progress", ["user", "event_type", "amount"], ["ord"])
+    for k in range(3):
+        e.filter(F.col("ord") % 3 == k).repartition(2).write.mode("append").parquet(f"{path}/in")
+    e.withColumn("ord", F.col("ord") + 10**9).repartition(2).write.mode("append").parquet(f"{path}/in")
+    query = stream_intake(spark, f"{path}/in", e.schema, f"{path}/out", f"{path}/progress", ["user", "event_type", "amount"], ["ord"], files=2, prefix=1)
     query.awaitTermination()
     if query.exception():
         raise query.exception()
@@ -318,7 +320,7 @@ f as (select *, row_number() over (partition by lower(name), captured_at, raw or
 n as (select *, starts_with(lower({sql_clean('text')}), 'the ') as nf, contains(text, '###') or (named and lower(name) = 'system') as bad from f where k = 1)
 select conv_id, turn, name, captured_at, coalesce('e' || c_custkey, '') as entity_id, case when nf then 'not_found' else 'known' end as status, case when nf then 'high' when bad then 'low' else 'medium' end as confidence,
   'rec_' || lower(name) || '_' || (conv_id * 1000 + turn) as record_id from n left join customer on name = c_custkey::varchar""",
-    "c14_stream": "select event_id as ord, user_id, event_type, value from (select *, row_number() over (partition by user_id, event_type, value order by event_id) as k from events) where k = 1",
+    "c14_stream": "select event_id as ord, user_id, event_type, value from (select *, row_number() over (partition by user_id, event_type, value order by event_id % 3, event_id) as k from events) where k = 1",
     "c12_sources": """select source as source_id, 'docs ' || count(*) as title, case when count(*) filter (where doc_id % 3 = 0) > 0 then 'listed | counted' else 'counted' end as notes from documents where source is not null group by source""",
     "c13_metrics": f"with f as ({_flags}) select count(*) as captures, count(*) filter (where not_found) as not_found, count(*) filter (where corrupt) as corrupt from f",
     "d1_first_alias": "select conv_id, turn, case when conv_id % 4 = 0 then conv_id::varchar else role end as alias from conversations where conv_id % 4 = 0 or role = 'assistant'",
