@@ -1,8 +1,9 @@
 """Vocabulary classification of free-text descriptors.
 
 A term matches as a whole word on folded text. Candidates come from an equi-join
-of the text's words with each term's first word, so they grow with matches and
-not with texts times terms; each candidate is then verified exactly. Distinct
+of the text's words with each term's rarest word, so they grow with matches and
+not with texts times terms, and no common word becomes a hot key unless it is a
+term by itself. A candidate is then verified on the positions of its words. Distinct
 descriptors are classified once and joined back.
 """
 
@@ -16,21 +17,42 @@ from recordloom.functions.exprs import clean, norm, remove_word, unknown_to_blan
 from recordloom.operators.ranking import best_per_key
 
 
+def _tokens(c) -> Column:
+    """Words and single symbols, blanks among them, in order."""
+    return F.regexp_extract_all(c, F.lit(r"(?U)\w+|\W"), F.lit(0))
+
+
+def _is_word(token: Column) -> Column:
+    return F.regexp_extract(F.coalesce(token, F.lit("")), r"(?U)\w", 0) != ""
+
+
+def rarest_words(words: DataFrame, terms: DataFrame) -> DataFrame:
+    """``v_norm, tokens, rare``: each term's word or symbol that the fewest texts hold (0 counts; ties by text)."""
+    each = terms.withColumn("tokens", _tokens("v_norm")).select("v_norm", "tokens", F.explode(F.array_distinct(F.filter("tokens", lambda x: x != " "))).alias("word"))
+    held = words.select("word").join(each.select("word").distinct(), "word", "left_semi").groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    rare = F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "word"))["word"]
+    return each.join(held, "word", "left").groupBy("v_norm").agg(F.any_value("tokens").alias("tokens"), rare.alias("rare"))
+
+
 def matches(texts: DataFrame, text: str, key: str, vocab: DataFrame, term: str) -> DataFrame:
     """Every (key, vocabulary row) whose term is a whole word of the text: ``key, v_ord, v_term, v_norm`` and the
     vocabulary's columns prefixed ``v_``.
 
     ``vocab`` has an ``ord``; it is broadcast by Spark only when its size allows.
-    A term without a word character meets the texts that hold its first character.
+    Texts meet each term at its rarest word; there the term's tokens must stand one
+    after another, with no word character before or after the term.
     """
     v = vocab.select(*[F.col(c).alias(f"v_{c}") for c in vocab.columns]).withColumns({"v_norm": norm(f"v_{term}"), "v_term": clean(f"v_{term}")}).filter("v_norm <> ''")
-    word = F.regexp_extract("v_norm", r"(?U)\w+", 0)
-    v = v.withColumn("__first", F.when(word != "", word).otherwise(F.left("v_norm", F.lit(1))))
-    t = texts.select(F.col(key).alias("key"), norm(text).alias("__t")).distinct()
-    words = t.select("key", "__t", F.explode(F.array_distinct(F.regexp_extract_all("__t", F.lit(r"(?U)\w+|[^\w\s]"), F.lit(0)))).alias("__w"))
-    whole = F.expr(r"__t rlike concat('(?U)(?<!\\w)\\Q', v_norm, '\\E(?!\\w)')")
-    keep = ["key", *[c for c in v.columns if c != "__first"]]
-    return words.join(v, F.col("__w") == F.col("__first")).filter(whole).select(*keep)
+    t = texts.select(F.col(key).alias("key"), norm(text).alias("__t")).distinct().withColumn("__t", _tokens("__t"))
+    words = t.select("key", "__t", F.explode(F.array_distinct(F.filter("__t", lambda x: x != " "))).alias("word"))
+    met = words.join(rarest_words(words, v.select("v_norm").distinct()), F.col("word") == F.col("rare"))
+    size, at = F.size("tokens"), F.array_position("tokens", F.col("rare")).cast("int") - 1
+    # text positions where the rarest word stands as it does in the term
+    begins = F.filter(F.transform("__t", lambda x, i: F.when(x == F.col("rare"), i - at)), lambda s: F.coalesce(s >= 0, F.lit(False)))
+    edge = lambda inside, outside: ~(_is_word(outside) & ~_is_word(inside))  # noqa: E731  a word beside a word is another token
+    stands = lambda s: (F.slice("__t", s + 1, size) == F.col("tokens")) & edge(F.get("tokens", F.lit(0)), F.get("__t", s - 1)) & edge(F.get("tokens", size - 1), F.get("__t", s + size))
+    found = met.filter(F.exists(begins, stands)).select("key", "v_norm")
+    return found.join(v, "v_norm").select("key", *v.columns)
 
 
 def longest_match(texts: DataFrame, text: str, key: str, vocab: DataFrame, term: str) -> DataFrame:

@@ -106,6 +106,31 @@ def test_matches_words_accents_and_symbols(spark):
     assert {r.key: r.v_term for r in vocab.longest_match(texts, "d", "d", v, "term").collect()}["Élf lord"] == "elf lord"
 
 
+def test_matches_equal_the_pattern(spark):
+    """Words, accents, symbols and blanks at random: the same hits as a whole-word search by pattern, and no pattern per term in the plan."""
+    r = random.Random(11)
+    bits = ["elf", "half", "-", "'s", " ", "  ", "lord", "(", "**", "é", "x1", ".", "the"]
+    texts = ["".join(r.choice(bits) for _ in range(r.randrange(1, 14))) for _ in range(300)] + ["", " "]
+    terms = ["".join(r.choice(bits) for _ in range(r.randrange(1, 4))) for _ in range(150)]
+    df, v = spark.createDataFrame([(t,) for t in texts], "d string"), spark.createDataFrame(list(enumerate(terms)), "ord int, term string")
+    found = vocab.matches(df, "d", "d", v, "term")
+    plain = lambda x: re.sub(r"\s+", " ", x.strip().lower().translate(str.maketrans("áâäéêëíóúû", "aaaeeeiouu")))
+    want = {(t, k) for t in texts for k, term in enumerate(terms) if plain(term) and re.search(r"(?<!\w)" + re.escape(plain(term)) + r"(?!\w)", plain(t))}
+    assert {(x.key, x.v_ord) for x in found.collect()} == want and len(want) > 300
+    assert "RLIKE" not in found._jdf.queryExecution().executedPlan().toString().upper()
+
+
+def test_large_vocabulary(spark):
+    """100,000 terms that begin with one common word meet texts at their rare words."""
+    v = spark.range(100_000).select(F.col("id").cast("int").alias("ord"), F.concat(F.lit("old "), F.concat(F.lit("w"), F.col("id").cast("string")), F.lit(" of "), F.concat(F.lit("p"), (F.col("id") % 7).cast("string"))).alias("term"))
+    texts = spark.range(2000).select(F.concat(F.lit("the old w"), (F.col("id") * 61).cast("string"), F.lit(" of p"), (F.col("id") * 61 % 7).cast("string"), F.lit(" old")).alias("d"))
+    got = vocab.longest_match(texts, "d", "d", v, "term").select("key", "v_ord").collect()
+    assert {r.v_ord for r in got} == {k * 61 for k in range(2000) if k * 61 < 100_000} and len(got) == sum(k * 61 < 100_000 for k in range(2000))
+    words = texts.select(F.explode(F.split("d", " ")).alias("word"))
+    rare = vocab.rarest_words(words, v.select(F.col("term").alias("v_norm"))).groupBy(F.substring("rare", 1, 1).alias("k")).count().collect()
+    assert {r.k: r["count"] for r in rare} == {"w": 100_000}
+
+
 def mined(spark, text, **kw):
     df = spark.createDataFrame([(1, text)], "k int, t string")
     return [(r.pos, r.name) for r in mining.headed_names(df, "k", "t", ["Foes"], **kw).orderBy("pos", "name").collect()]
