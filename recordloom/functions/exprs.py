@@ -31,6 +31,8 @@ def slug_letters() -> dict[str, str]:
 ENTITIES = {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&apos;": "'", "&nbsp;": " ", "&amp;": "&"}
 #: Patterns of lines that are never art (prompts, figures, statistics).
 NO_ART = [r"^!?#?\s*[A-Z]{0,4}\s*>$", r"^[\d\s/]+(\([^)]+\))?$", r"(?i)\b(pkills|pkdeaths|mobdeaths|deaths|warpoints|login|retired|level)\b"]
+#: Characters with Unicode's White_Space property.
+WHITE = "\t\n\v\f\r \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 CHECKED = ["yes", "true", "1", "checked", "done"]
 CONFIDENCE_RANKS = {"low": 1, "medium": 2, "high": 3}
 
@@ -41,7 +43,7 @@ def col(c) -> Column:
 
 def clean(c) -> Column:
     """B1: null to blank; all kinds of white space stripped from both ends."""
-    return F.regexp_replace(F.coalesce(col(c).cast("string"), F.lit("")), r"(?U)^\s+|\s+\z", "")
+    return F.btrim(F.coalesce(col(c).cast("string"), F.lit("")), F.lit(WHITE))
 
 
 def blank_to_null(c) -> Column:

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from recordloom.functions.exprs import clean, norm, remove_word, unknown_to_blank
 from recordloom.operators.ranking import best_per_key
+from recordloom.sources.scratch import materialize
 
 
 def _tokens(c) -> Column:
@@ -26,38 +27,49 @@ def _is_word(token: Column) -> Column:
     return F.regexp_extract(F.coalesce(token, F.lit("")), r"(?U)\w", 0) != ""
 
 
-def rarest_words(words: DataFrame, terms: DataFrame) -> DataFrame:
-    """``v_norm, tokens, rare``: each term's word or symbol that the fewest texts hold (0 counts; ties by text)."""
-    each = terms.withColumn("tokens", _tokens("v_norm")).select("v_norm", "tokens", F.explode(F.array_distinct(F.filter("tokens", lambda x: x != " "))).alias("word"))
-    held = words.select("word").join(each.select("word").distinct(), "word", "left_semi").groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+def _words(texts: DataFrame, text: str, key: str) -> DataFrame:
+    """``key, tokens_of, word``: each distinct word or symbol of each text, with the text's tokens."""
+    t = texts.select(F.col(key).alias("key"), norm(text).alias("tokens_of")).distinct().withColumn("tokens_of", _tokens("tokens_of"))
+    return t.select("key", "tokens_of", F.explode(F.array_distinct(F.filter("tokens_of", lambda x: x != " "))).alias("word"))
+
+
+def rarest_words(texts: DataFrame, text: str, *terms: tuple[DataFrame, str]) -> DataFrame:
+    """``v_norm, tokens, rare``: each term's word or symbol that the fewest texts hold (0 counts; ties by text).
+
+    ``terms`` are tables with the name of their column. The result has the size of
+    the vocabularies and is stored, as it is used wherever they are.
+    """
+    each = reduce(DataFrame.union, [v.select(norm(c).alias("v_norm")) for v, c in terms]).filter("v_norm <> ''").distinct().withColumn("tokens", _tokens("v_norm"))
+    each = each.select("v_norm", "tokens", F.explode(F.array_distinct(F.filter("tokens", lambda x: x != " "))).alias("word"))
+    held = _words(texts, text, text).select("word").join(each.select("word").distinct(), "word", "left_semi").groupBy("word").agg(F.count(F.lit(1)).alias("n"))
     rare = F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "word"))["word"]
-    return each.join(held, "word", "left").groupBy("v_norm").agg(F.any_value("tokens").alias("tokens"), rare.alias("rare"))
+    return materialize(each.join(held, "word", "left").groupBy("v_norm").agg(F.any_value("tokens").alias("tokens"), rare.alias("rare")), "rarest")
 
 
-def matches(texts: DataFrame, text: str, key: str, vocab: DataFrame, term: str) -> DataFrame:
+def matches(texts: DataFrame, text: str, key: str, vocab: DataFrame, term: str, rare: DataFrame | None = None) -> DataFrame:
     """Every (key, vocabulary row) whose term is a whole word of the text: ``key, v_ord, v_term, v_norm`` and the
     vocabulary's columns prefixed ``v_``.
 
     ``vocab`` has an ``ord``; it is broadcast by Spark only when its size allows.
-    Texts meet each term at its rarest word; there the term's tokens must stand one
-    after another, with no word character before or after the term.
+    Texts meet each term at its rarest word (``rare``, of these or like texts); there
+    the term's tokens must stand one after another, with no word character before or
+    after the term.
     """
     v = vocab.select(*[F.col(c).alias(f"v_{c}") for c in vocab.columns]).withColumns({"v_norm": norm(f"v_{term}"), "v_term": clean(f"v_{term}")}).filter("v_norm <> ''")
-    t = texts.select(F.col(key).alias("key"), norm(text).alias("__t")).distinct().withColumn("__t", _tokens("__t"))
-    words = t.select("key", "__t", F.explode(F.array_distinct(F.filter("__t", lambda x: x != " "))).alias("word"))
-    met = words.join(rarest_words(words, v.select("v_norm").distinct()), F.col("word") == F.col("rare"))
+    names = v.columns
+    v = v.join(rarest_words(texts, text, (vocab, term)) if rare is None else rare, "v_norm")
+    met = _words(texts, text, key).join(v, F.col("word") == F.col("rare"))
     size, at = F.size("tokens"), F.array_position("tokens", F.col("rare")).cast("int") - 1
     # text positions where the rarest word stands as it does in the term
-    begins = F.filter(F.transform("__t", lambda x, i: F.when(x == F.col("rare"), i - at)), lambda s: F.coalesce(s >= 0, F.lit(False)))
+    begins = F.filter(F.transform("tokens_of", lambda x, i: F.when(x == F.col("rare"), i - at)), lambda s: F.coalesce(s >= 0, F.lit(False)))
     edge = lambda inside, outside: ~(_is_word(outside) & ~_is_word(inside))  # noqa: E731  a word beside a word is another token
-    stands = lambda s: (F.slice("__t", s + 1, size) == F.col("tokens")) & edge(F.get("tokens", F.lit(0)), F.get("__t", s - 1)) & edge(F.get("tokens", size - 1), F.get("__t", s + size))
-    found = met.filter(F.exists(begins, stands)).select("key", "v_norm")
-    return found.join(v, "v_norm").select("key", *v.columns)
+    stands = lambda s: (F.slice("tokens_of", s + 1, size) == F.col("tokens")) & edge(F.get("tokens", F.lit(0)), F.get("tokens_of", s - 1)) & edge(F.get("tokens", size - 1), F.get("tokens_of", s + size))
+    return met.filter(F.exists(begins, stands)).select("key", *names)
 
 
-def longest_match(texts: DataFrame, text: str, key: str, vocab: DataFrame, term: str) -> DataFrame:
+def longest_match(texts: DataFrame, text: str, key: str, vocab: DataFrame, term: str, rare: DataFrame | None = None) -> DataFrame:
     """the longest matching term of each text, ties by vocabulary order."""
-    return best_per_key(matches(texts, text, key, vocab, term), ["key"], [F.length("v_norm").desc(), "v_ord"])
+    return best_per_key(matches(texts, text, key, vocab, term, rare), ["key"], [F.length("v_norm").desc(), "v_ord"])
 
 
 def all_matches(texts: DataFrame, text: str, key: str, vocab: DataFrame, term: str) -> DataFrame:
@@ -97,8 +109,10 @@ def classify(descriptors: DataFrame, text: str, races: DataFrame, titles: DataFr
     """
     d = descriptors.select(clean(text).alias("descriptor")).distinct()
 
+    rare = rarest_words(d, "descriptor", (ranks, "term"), (races, "term"), (titles, "title"))
+
     # lowest rank order, then longest; every ranked term goes
-    ranked = matches(d, "descriptor", "descriptor", ranks, "term").withColumn("__o", F.coalesce(F.col("v_rank_order").try_cast("int"), F.lit(999)))
+    ranked = matches(d, "descriptor", "descriptor", ranks, "term", rare).withColumn("__o", F.coalesce(F.col("v_rank_order").try_cast("int"), F.lit(999)))
     top = best_per_key(ranked, ["key"], ["__o", F.length("v_norm").desc(), "v_ord"]).select("key", F.col("v_rank").alias("rank"), F.col("v_code").alias("rank_code"), F.col("v_role").alias("rank_role"), F.col("v_term").alias("rank_term"))
     gone = ranked.groupBy("key").agg(F.transform(F.sort_array(F.collect_list(F.struct("__o", (-F.length("v_norm")).alias("l"), "v_ord", "v_term"))), lambda x: x["v_term"]).alias("__ranked"))
     out = d.join(top.join(gone, "key"), d["descriptor"] == F.col("key"), "left").drop("key")
@@ -106,7 +120,7 @@ def classify(descriptors: DataFrame, text: str, races: DataFrame, titles: DataFr
     out = out.withColumn("__rest", F.when(hit, _edges(remove_terms(F.col("descriptor"), F.col("__ranked")))).otherwise(F.col("descriptor")))
 
     # race on the whole descriptor; equivalent terms go as well
-    race = longest_match(d, "descriptor", "descriptor", races, "term").select(F.col("key").alias("__k"), clean("v_race").alias("__race"), clean("v_subrace").alias("__subrace"), F.col("v_term").alias("race_term"))
+    race = longest_match(d, "descriptor", "descriptor", races, "term", rare).select(F.col("key").alias("__k"), clean("v_race").alias("__race"), clean("v_subrace").alias("__subrace"), F.col("v_term").alias("race_term"))
     same = races.groupBy(clean("race").alias("__r"), clean("subrace").alias("__s")).agg(F.transform(F.sort_array(F.collect_list(F.struct("ord", "term"))), lambda x: x["term"]).alias("__terms"))
     race = race.join(same, (F.col("__race") == F.col("__r")) & (F.col("__subrace") == F.col("__s"))).drop("__r", "__s")
     out = out.join(race, F.col("descriptor") == F.col("__k"), "left").drop("__k")
@@ -120,8 +134,9 @@ def classify(descriptors: DataFrame, text: str, races: DataFrame, titles: DataFr
     )
 
     # title on what is left, or on everything if nothing is
-    out = out.withColumn("__where", F.when(F.col("__rest") != "", F.col("__rest")).otherwise(F.col("descriptor")))
-    title = longest_match(out, "__where", "__where", titles, "title").select(
+    # stored, as it is read twice
+    out = materialize(out.withColumn("__where", F.when(F.col("__rest") != "", F.col("__rest")).otherwise(F.col("descriptor"))), "descriptors")
+    title = longest_match(out, "__where", "__where", titles, "title", rare).select(
         F.col("key").alias("__k"), F.col("v_term").alias("class_title"), unknown_to_blank("v_base_class").alias("base_class"),
         unknown_to_blank("v_gender").alias("gender"), clean("v_gender_confidence").alias("__gc"),
     )

@@ -79,6 +79,21 @@ def test_checks(spark):
         checks.gate(checks.validate(found, checks.check_unique(df, "t", ["id"])))
 
 
+def test_counts_equal_findings(spark):
+    """Counts of all checks, one scan per table, against the findings themselves, with odd rows and a hot key."""
+    rows = [(i % 11 if i % 13 else None, "ab"[i % 2] if i % 7 else "c", ["2020-01-02", "bad", "", None][i % 4], ["2020-01-01", "2020-02-30"][i % 2], f"x{i % 5}; hot;", f"N{i % 9}") for i in range(60)]
+    df = spark.createDataFrame(rows, "id long, kind string, s string, e string, refs string, name string")
+    target = spark.createDataFrame([("x1", "n1"), ("hot", ""), (None, "n2")], "k string, name string")
+    findings = checks.validate(
+        checks.check_unique(df, "t", ["id"]), checks.check_rows(df, "t", "id", [checks.not_allowed("kind", ["a", "b"]), checks.wrong_dates("s", "e")]), checks.check_foreign_key(df, "t", "refs", "id", target, "k"),
+        checks.check_repeated_names(df, "t", "name", target), checks.check_unlinked(df, "t", "name", target, "name"),
+    )
+    c = checks.Counting().table("t", df).table("k", target).unique("t", ["id"]).rows("t", [checks.not_allowed("kind", ["a", "b"]), checks.wrong_dates("s", "e")])
+    got = c.foreign_key("t", "refs", "k", "k").repeated_names("t", "name", "k", "name").unlinked("t", "name", "k", "name").counts()
+    assert got._jdf.queryExecution().executedPlan().toString().count("Scan ExistingRDD") == 2
+    assert {tuple(r) for r in got.collect()} == {tuple(r) for r in checks.issue_counts(findings).collect()}
+
+
 def classify(spark, *texts):
     df = spark.createDataFrame([(t,) for t in texts], "d string")
     factions = [((F.col("race") == "Part") & (F.col("subrace") == "Round"), "Wheels", "high"), (F.col("race") != "", "Others", "medium")]
@@ -126,8 +141,7 @@ def test_large_vocabulary(spark):
     texts = spark.range(2000).select(F.concat(F.lit("the old w"), (F.col("id") * 61).cast("string"), F.lit(" of p"), (F.col("id") * 61 % 7).cast("string"), F.lit(" old")).alias("d"))
     got = vocab.longest_match(texts, "d", "d", v, "term").select("key", "v_ord").collect()
     assert {r.v_ord for r in got} == {k * 61 for k in range(2000) if k * 61 < 100_000} and len(got) == sum(k * 61 < 100_000 for k in range(2000))
-    words = texts.select(F.explode(F.split("d", " ")).alias("word"))
-    rare = vocab.rarest_words(words, v.select(F.col("term").alias("v_norm"))).groupBy(F.substring("rare", 1, 1).alias("k")).count().collect()
+    rare = vocab.rarest_words(texts, "d", (v, "term")).groupBy(F.substring("rare", 1, 1).alias("k")).count().collect()
     assert {r.k: r["count"] for r in rare} == {"w": 100_000}
 
 
