@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from recordloom.functions.exprs import blank_to_null, clean, first_nonblank, fold, id_slug, is_checked, merge_note
 from recordloom.operators.ranking import best_per_key, mint_ids
+from recordloom.sources.buckets import BucketTable
 
 
 def is_not_found(text, header, prefix: str) -> Column:
@@ -116,12 +117,18 @@ def upsert_entities(entities: DataFrame, snapshots: DataFrame, fields: list[str]
     return both.select(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in keep], *[v.alias(k) for k, v in out.items()])
 
 
+def merge_entities(store: BucketTable, snapshots: DataFrame, fields: list[str], skip: Column, order: list, **named) -> list[int]:
+    """C9 on a stored table bucketed by ``name``: only buckets that hold a snapshot's name are rewritten; returns these."""
+    usable = snapshots.filter(~skip & (fold("name") != ""))
+    return store.merge(usable, lambda old, new: upsert_entities(old, new, fields, F.lit(False), order, **named))
+
+
 #: Flags that close a queue row.
 CLOSED = ["true", "yes", "1"]
 
 
-def complete_queue(queue: DataFrame, captures: DataFrame, names: list, skip: Column, entities: DataFrame, note=None, snapshots: DataFrame | None = None, snapshot_note: str = "imported") -> DataFrame:
-    """C11: queue rows marked checked by captures, then by the latest snapshots.
+def queue_marks(queue: DataFrame, captures: DataFrame, names: list, skip: Column, entities: DataFrame, note=None, snapshots: DataFrame | None = None, snapshot_note: str = "imported") -> DataFrame:
+    """C11: ``q_ord, note`` of the queue rows that captures, else the latest snapshots, mark.
 
     ``queue`` has ``name, entity_id, checked, notes, ord``; ``captures`` ``ord``;
     ``entities`` ``name, entity_id, ord``; ``snapshots`` ``name``. Each capture tries
@@ -147,12 +154,35 @@ def complete_queue(queue: DataFrame, captures: DataFrame, names: list, skip: Col
     found = places(tries).withColumn("q_ord", F.coalesce("q_name", "q_id")).filter("q_ord is not null")
     hits = found.groupBy("c_ord").agg(F.min_by("q_ord", "place").alias("q_ord")).withColumn("__note", note)
     done = hits.groupBy("q_ord").agg(F.min_by("__note", "c_ord").alias("__note"))
-    out = queue.join(done, F.col("ord") == F.col("q_ord"), "left").drop("q_ord")
+    marks = done.select("q_ord", F.col("__note").alias("note"), F.lit(0).alias("place"))
     if snapshots is not None:
         later = places(snapshots.select(fold("name").alias("candidate")).filter("candidate <> ''").distinct()).select(F.coalesce("q_id", "q_name").alias("q_ord")).filter("q_ord is not null").distinct()
-        out = out.join(later, F.col("ord") == F.col("q_ord"), "left").withColumn("__note", F.coalesce("__note", F.when(F.col("q_ord").isNotNull(), F.lit(snapshot_note)))).drop("q_ord")
+        marks = marks.unionByName(later.select("q_ord", F.lit(snapshot_note).alias("note"), F.lit(1).alias("place")))
+    return marks.groupBy("q_ord").agg(F.min_by("note", "place").alias("note"))
+
+
+def mark_queue(queue: DataFrame, marks: DataFrame) -> DataFrame:
+    """C11: the queue after ``marks``; rows that are closed already stay."""
+    m = marks.select(F.col("q_ord").alias("__ord"), F.col("note").alias("__note"))
+    out = queue.join(m, F.col("ord") == F.col("__ord"), "left")
     hit = F.col("__note").isNotNull() & ~is_checked("checked", CLOSED)
-    return out.withColumns({"checked": F.when(hit, F.lit("yes")).otherwise(clean("checked")), "notes": F.when(hit, merge_note("notes", "__note")).otherwise(clean("notes"))}).drop("__note")
+    out = out.withColumns({"checked": F.when(hit, F.lit("yes")).otherwise(clean("checked")), "notes": F.when(hit, merge_note("notes", "__note")).otherwise(clean("notes"))})
+    return out.drop("__ord", "__note")
+
+
+def complete_queue(queue: DataFrame, captures: DataFrame, names: list, skip: Column, entities: DataFrame, **more) -> DataFrame:
+    """C11: the queue after all captures and snapshots; see ``queue_marks``."""
+    return mark_queue(queue, queue_marks(queue, captures, names, skip, entities, **more))
+
+
+def merge_queue(store: BucketTable, captures: DataFrame, names: list, skip: Column, entities: DataFrame, **more) -> list[int]:
+    """C11 on a stored queue bucketed by ``ord``: its names and ids are read, and only buckets with a marked row are rewritten; returns these."""
+    return store.merge(queue_marks(store.read().select("ord", "name", "entity_id"), captures, names, skip, entities, **more), mark_queue, "q_ord")
+
+
+def merge_sources(store: BucketTable, new: DataFrame, fill: list[str]) -> list[int]:
+    """C12 on a stored registry bucketed by ``source_id``: only buckets of the new rows' ids are rewritten; returns these."""
+    return store.merge(new, lambda old, rows: upsert_sources(old, rows, fill))
 
 
 def upsert_sources(sources: DataFrame, new: DataFrame, fill: list[str]) -> DataFrame:

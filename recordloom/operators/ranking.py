@@ -56,20 +56,32 @@ def islands(df: DataFrame, keys: list[str], pos: str, gap: int, name: str = "isl
     return ranged.join(ends, same).withColumn(name, F.col("__before") + F.col("__local")).select(*df.columns, name)
 
 
-def numbered_slugs(df: DataFrame, slug: str, order: list, name: str = "page_slug") -> DataFrame:
-    """The first of equal slugs stays bare, the next get -2, -3 and so on."""
+def _with_numbers(df: DataFrame, numbers: DataFrame, keys: list[str], name: str) -> DataFrame:
+    """``df`` with the column that ``numbers`` has for its keys (null-safe); wide rows travel once, here."""
+    n = numbers.select(*[F.col(k).alias(f"__of_{k}") for k in keys], name)
+    return df.join(n, reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"__of_{k}")) for k in keys])).select(*df.columns, name)
+
+
+def numbered_slugs(df: DataFrame, slug: str, order: list[str], name: str = "page_slug") -> DataFrame:
+    """The first of equal slugs stays bare, the next get -2, -3 and so on.
+
+    ``order`` (column names) settles ties; only it and the slugs are numbered.
+    """
+    numbers = numbered(df.select(slug, *order), [slug], order, "__k")
     k = F.col("__k")
-    return numbered(df, [slug], order, "__k").withColumn(name, F.when(k == 1, F.col(slug)).otherwise(F.concat(slug, F.lit("-"), k.cast("string")))).drop("__k")
+    numbers = numbers.withColumn(name, F.when(k == 1, F.col(slug)).otherwise(F.concat(slug, F.lit("-"), k.cast("string"))))
+    return _with_numbers(df, numbers, [slug, *order], name)
 
 
-def mint_ids(new: DataFrame, base: str, order: list, taken: DataFrame, name: str = "minted_id", separator: str = "_") -> DataFrame:
+def mint_ids(new: DataFrame, base: str, order: list[str], taken: DataFrame, name: str = "minted_id", separator: str = "_") -> DataFrame:
     """Ids from a base: the bare base, then suffixes from 2, skipping ids in ``taken`` (column ``id``).
 
     The k-th new row of a base gets its k-th free suffix. A taken number t, the
     j-th of its base, has t - j free ones below it, so it stands just before the
     (t - j + 1)-th new row; with both kinds of rows in this order, a new row's
     number is its place. Only the taken numbers of bases that are minted travel;
-    a base may have any number of either.
+    a base may have any number of either. ``order`` (column names) settles ties;
+    only it and the bases are numbered.
     """
     bases = new.select(F.col(base).alias("__b")).distinct()
     whole = taken.select(F.col("id").alias("__b"), F.lit(1).alias("__n"))
@@ -77,9 +89,10 @@ def mint_ids(new: DataFrame, base: str, order: list, taken: DataFrame, name: str
     parts = taken.filter(tail != "").select(F.regexp_replace("id", rf"{separator}\d+$", "").alias("__b"), tail.try_cast("int").alias("__n"), "id")
     parts = parts.filter((F.col("__n") >= 2) & (F.col("id") == F.concat("__b", F.lit(separator), F.col("__n").cast("string")))).drop("id")
     used = whole.unionByName(parts).distinct().join(bases, "__b", "left_semi").withColumn("__new", F.lit(0))
-    rows = new.withColumns({"__b": F.col(base), "__n": F.lit(None).cast("int"), "__new": F.lit(1)})
+    rows = new.select(F.col(base).alias("__b"), *order).withColumns({"__n": F.lit(None).cast("int"), "__new": F.lit(1)})
     both = numbered(rows.unionByName(used, allowMissingColumns=True), ["__b", "__new"], ["__n", *order], "__k")
     both = both.withColumn("__at", F.when(F.col("__new") == 1, F.col("__k")).otherwise(F.col("__n") - F.col("__k") + 1))
     out = numbered(both, ["__b"], ["__at", "__new"], "__place").filter("__new = 1")
     place = F.col("__place")
-    return out.withColumn(name, F.when(place == 1, F.col(base)).otherwise(F.concat(base, F.lit(separator), place.cast("string")))).drop("__b", "__n", "__new", "__k", "__at", "__place")
+    out = out.withColumn(name, F.when(place == 1, F.col("__b")).otherwise(F.concat("__b", F.lit(separator), place.cast("string")))).withColumnRenamed("__b", base)
+    return _with_numbers(new, out.select(base, *order, name), [base, *order], name)

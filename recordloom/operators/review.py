@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from recordloom.functions.exprs import clean, fold, is_checked
-from recordloom.operators.ranking import best_per_key
+from recordloom.operators.ranking import best_per_key, numbered
 
 
 def work_queue(queue: DataFrame, name: str, checked: str | None, order: str, priority: tuple[str, str] | None = None, limit: int | None = None) -> DataFrame:
@@ -25,15 +25,17 @@ def work_queue(queue: DataFrame, name: str, checked: str | None, order: str, pri
 def bucket_samples(rows: DataFrame, buckets: dict[str, tuple[Column, int | None]], order: list) -> DataFrame:
     """The first rows of each bucket up to its cap (None: all); a row may fall into several.
 
-    Capped buckets are cut to the greatest cap in each task before they travel. A
-    bucket without a cap is sorted whole to number its rows.
+    Capped buckets are cut to the greatest cap in each task before they travel. The
+    rows of a bucket without a cap are numbered by ranges, so it may have any size.
     """
     def sample(some: dict[str, tuple[Column, int | None]]) -> DataFrame:
         hit = F.explode(F.array_compact(F.array(*[F.when(c, F.struct(F.lit(b).alias("bucket"), F.lit(n).cast("int").alias("cap"))) for b, (c, n) in some.items()])))
         each = rows.withColumn("__b", hit).withColumns({"bucket": F.col("__b.bucket"), "__cap": F.col("__b.cap")}).drop("__b")
-        each = each.withColumn("place", F.row_number().over(Window.partitionBy("bucket").orderBy(*order)))
         most = [n for _, n in some.values() if n is not None]
-        return (each.filter(F.col("place") <= max(most)).filter(F.col("place") <= F.col("__cap")) if most else each).drop("__cap")
+        if not most:
+            return numbered(each, ["bucket"], order, "place").drop("__cap")
+        each = each.withColumn("place", F.row_number().over(Window.partitionBy("bucket").orderBy(*order)))
+        return each.filter(F.col("place") <= max(most)).filter(F.col("place") <= F.col("__cap")).drop("__cap")
 
     parts = [{b: v for b, v in buckets.items() if (v[1] is None) == free} for free in (False, True)]
     return reduce(DataFrame.unionByName, [sample(p) for p in parts if p])

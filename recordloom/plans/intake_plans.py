@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from recordloom.functions import exprs as E
 from recordloom.operators import checks, intake, recapture
 from recordloom.operators.ranking import numbered_slugs
+from recordloom.sources.buckets import BucketTable
 from recordloom.sources.scratch import shared_dir
 from recordloom.streaming.intake_stream import stream_intake
 from recordloom.plans.tables import sql_clean, sql_fold, sql_id_slug, sql_normalise, sql_page_slug, table
@@ -63,12 +64,21 @@ def c8_entity_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def c9_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Customers in credit are known; the latest order of each customer is a snapshot."""
+    """Customers in credit are known, in a stored table; the latest order of each customer is a snapshot. Some snapshots come again."""
     c = table(spark, sf_dir, "customer").filter("c_acctbal > 0")
     known = c.select(F.col("c_custkey").cast("string").alias("name"), F.col("c_mktsegment").alias("status"), F.lit("").alias("level"), F.lit("").alias("first_seen"), F.lit("2000-01-01").alias("last_seen"), F.lit("").alias("checked"), F.lit("old").alias("notes"))
     o = table(spark, sf_dir, "orders")
-    shots = o.select(F.col("o_custkey").cast("string").alias("name"), F.when(F.col("o_orderstatus") != "P", F.col("o_orderstatus")).alias("status"), F.col("o_orderpriority").alias("level"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("seen_on"), "o_orderkey", "o_orderpriority")
-    return intake.upsert_entities(known, shots, ["status", "level"], F.col("o_orderpriority") == "5-LOW", [F.col("o_orderkey").desc()])
+    shots = o.select(F.col("o_custkey").cast("string").alias("name"), F.when(F.col("o_orderstatus") != "P", F.col("o_orderstatus")).alias("status"), F.col("o_orderpriority").alias("level"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("seen_on"), "o_orderkey", "o_orderpriority", "o_custkey")
+    store = _stored(spark, known, "name")
+    for some in (shots, shots.filter("o_custkey = 1")):
+        intake.merge_entities(store, some, ["status", "level"], F.col("o_orderpriority") == "5-LOW", [F.col("o_orderkey").desc()])
+    return store.read()
+
+
+def _stored(spark, rows, key):
+    store = BucketTable(spark, f"{shared_dir(spark)}/table-{uuid.uuid4().hex}", key, 16)
+    store.create(rows)
+    return store
 
 
 def c11_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -79,8 +89,9 @@ def c11_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
     entities = c.filter("c_acctbal > 0").select("ord", F.col("key").alias("name"), F.concat(F.lit("id_"), "key").alias("entity_id"))
     o = table(spark, sf_dir, "orders").withColumns({"ord": F.col("o_orderkey"), "n1": F.col("o_custkey").cast("string"), "n2": (F.col("o_custkey") + 1).cast("string")})
     shots = o.filter("o_orderstatus = 'O' and o_orderpriority = '1-URGENT'").select(F.col("n1").alias("name"))
-    out = intake.complete_queue(queue, o.select("ord", "n1", "n2", "o_orderstatus"), [F.lit(""), "n1", "n2"], F.col("o_orderstatus") != "F", entities, snapshots=shots)
-    return out.select(F.col("ord").alias("c_custkey"), "checked", "notes")
+    store = _stored(spark, queue, "ord")
+    intake.merge_queue(store, o.select("ord", "n1", "n2", "o_orderstatus"), [F.lit(""), "n1", "n2"], F.col("o_orderstatus") != "F", entities, snapshots=shots)
+    return store.read().select(F.col("ord").alias("c_custkey"), "checked", "notes")
 
 
 def c2_intake(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -116,7 +127,10 @@ def c12_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents").filter("source is not null")
     old = d.filter("doc_id % 3 = 0").select(F.col("source").alias("source_id")).distinct().withColumns({"title": F.lit(""), "notes": F.lit("listed")})
     new = d.groupBy(F.col("source").alias("source_id")).agg(F.concat(F.lit("docs "), F.count("*").cast("string")).alias("title"), F.lit("counted").alias("notes"))
-    return intake.upsert_sources(old, new, ["title"])
+    store = _stored(spark, old, "source_id")
+    for some in (new, new.filter("source_id = 'src1'")):
+        intake.merge_sources(store, some, ["title"])
+    return store.read()
 
 
 def c13_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:

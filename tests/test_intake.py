@@ -6,6 +6,7 @@ from pyspark.sql import Row, functions as F
 from recordloom.operators import intake
 from recordloom.operators.ranking import mint_ids, numbered_slugs
 from recordloom.sources import tables
+from recordloom.sources.buckets import BucketTable
 from recordloom.sources.digests import DigestStore
 from recordloom.streaming.intake_stream import stream_intake
 
@@ -66,6 +67,26 @@ def test_upsert_fills_and_overwrites(spark):
     assert got["New"].first_seen == "2021" and got["New"].level == ""
 
 
+def test_merges_touch_only_their_buckets(spark, tmp_path):
+    """A merge leaves the files of other buckets as they are, may run twice, and equals the upsert of the whole table."""
+    files = lambda: {str(p): p.stat().st_mtime_ns for p in (tmp_path / "t").rglob("*.parquet")}
+    bucket = lambda p: int(p.split("bucket=")[1].split("/")[0])
+    old = spark.createDataFrame([(f"Name{i}", "elf", "", "", "", "", "") for i in range(200)] + [("", "x", "", "", "", "", "")], "name string, race string, level string, first_seen string, last_seen string, checked string, notes string")
+    new = spark.createDataFrame([("NAME7", "", "7", "2020", False), ("Fresh", "man", None, "2021", False), ("Name9", "x", "x", "2022", True), (None, "x", "x", "2022", False)], "name string, race string, level string, seen_on string, bad boolean")
+    store = BucketTable(spark, str(tmp_path / "t"), "name", 32)
+    store.create(old)
+    want = sorted(map(tuple, intake.upsert_entities(old, new, ["race", "level"], F.col("bad"), ["race"]).collect()))
+    before = files()
+    for _ in range(2):
+        touched = intake.merge_entities(store, new, ["race", "level"], F.col("bad"), ["race"])
+        after = files()
+        assert len(touched) == 2 and {p: t for p, t in before.items() if bucket(p) not in touched} == {p: t for p, t in after.items() if bucket(p) not in touched}
+        assert {p for p in before if bucket(p) in touched}.isdisjoint(after)
+        assert sorted(map(tuple, store.read().select(*old.columns).collect())) == want
+        before = after
+    assert intake.merge_entities(store, new.filter("bad"), ["race", "level"], F.col("bad"), ["race"]) == [] and files() == before
+
+
 def test_queue(spark):
     queue = spark.createDataFrame([(0, "Tarn", "", "no", ""), (1, "Other", "bel", "", "old"), (2, "Orm", "", "yes", ""), (3, "", "", "", "")], "ord int, name string, entity_id string, checked string, notes string")
     caps = spark.createDataFrame([(10, "", "tarn", False), (11, "TARN", "Bel", False), (12, "Bel", "", False), (13, "Orm", "", False), (14, "Tarn", "", True)], "ord int, a string, b string, low boolean")
