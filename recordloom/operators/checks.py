@@ -30,6 +30,13 @@ def check_columns(spark: SparkSession, df: DataFrame | None, table: str, require
     return spark.createDataFrame(said, ISSUE)
 
 
+def check_members(df: DataFrame, table: str, column: str, required: list[str]) -> DataFrame:
+    """E1 for records kept as JSON text: an error per required member that rows lack, with their number; one pass, combined before its shuffle."""
+    lacking = df.agg(*[F.count_if(F.get_json_object(column, f"$.{m}").isNull()).alias(m) for m in required])
+    each = lacking.select(F.explode(F.array(*[F.struct(F.lit(m).alias("member"), F.col(m).alias("n")) for m in required])).alias("m")).filter("m.n > 0")
+    return _issues(each, "error", "columns", table, F.col("m.member"), F.concat(F.lit("missing member in "), F.col("m.n").cast("string")))
+
+
 def _blank(df: DataFrame, ids: list) -> Column:
     return reduce(lambda a, b: a | b, [_key_text(df, c) == "" for c in ids])
 

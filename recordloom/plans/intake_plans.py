@@ -194,12 +194,13 @@ def _labelled(spark, sf_dir):
     return d.select(
         "doc_id", "source", F.when(F.length("text") % 7 > 2, F.col("text")).alias("raw_text"), F.when(F.contains("text", F.lit("|")), F.col("text")).alias("raw_html"), F.when(F.col("lang") == "de", F.col("text")).alias("raw_decho"),
         q.alias("capture_quality"), F.concat(F.lit("q:"), (F.col("n_chars") + 10**9).cast("string"), F.lit(":"), F.col("doc_id").cast("string")).alias("capture_id"),
+        F.when(F.col("doc_id") % 3 == 0, F.lit("ansi")).alias("raw_colour_format"), F.when(F.col("doc_id") % 5 != 0, F.concat(F.lit("t"), (F.col("n_chars") % 10).cast("string"))).alias("sent_at"),
     )
 
 
 def _best_display(captures):
-    order = [recapture.capture_time("capture_id").desc(), F.col("capture_id").desc()]
-    return recapture.best_display(captures, "source", "capture_quality", ["raw_text", "raw_html"], ["raw_html", "raw_decho"], order)
+    order = [E.clean("sent_at").desc(), recapture.capture_time("capture_id").desc(), F.col("capture_id").desc()]
+    return recapture.best_display(captures, "source", "capture_quality", ["raw_text", "raw_html"], ["raw_html", "raw_decho", "raw_colour_format"], order)
 
 
 def d11_best_display(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -252,9 +253,11 @@ def _check_query(name: str):
 
 
 def e1_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Columns and tables that are missing, one of each."""
-    o = table(spark, sf_dir, "orders")
-    return checks.validate(checks.check_columns(spark, o, "orders", ["o_orderkey", "o_channel", "o_clerk"]), checks.check_columns(spark, None, "shipments", ["s_id"]))
+    """Columns and tables that are missing, and members that the events' records lack (one of them those of even ids)."""
+    o, e = table(spark, sf_dir, "orders"), table(spark, sf_dir, "events")
+    records = e.select(F.when(F.col("event_id") % 2 == 0, F.col("props")).otherwise(F.to_json(F.struct("event_type", F.get_json_object("props", "$.k").alias("k")))).alias("record"))
+    return checks.validate(
+        checks.check_members(records, "events", "record", ["k", "event_type", "v"]), checks.check_columns(spark, o, "orders", ["o_orderkey", "o_channel", "o_clerk"]), checks.check_columns(spark, None, "shipments", ["s_id"]))
 
 
 def e9_issue_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -306,7 +309,7 @@ select source, n_captures, latest_ord, previous_ord, case when previous_ord is n
   concat_ws(';', case when contains(latest, '###') then '###' end, case when contains(latest, '!!') then '!!' end, case when contains(latest, ' the ') then ' the ' end, case when contains(latest, ' de ') then ' de ' end) as hits from q"""
 _lab = """with l as (select doc_id, max(quality) as q from labels group by 1),
 d as (select doc_id, source, lang, n_chars, contains(text, '|') as html, length(text) % 7 > 2 and trim(text) <> '' as plain, case q when 1 then 'high' when 0 then 'low' else '' end as capture_quality from documents left join l using (doc_id)),
-b as (select *, lower(coalesce(source, '')) as name_key from (select *, row_number() over (partition by lower(coalesce(source, '')) order by case capture_quality when 'high' then 4 else 2 end desc, html desc, coalesce(lang, '') = 'de' desc,
+b as (select *, lower(coalesce(source, '')) as name_key from (select *, row_number() over (partition by lower(coalesce(source, '')) order by case capture_quality when 'high' then 4 else 2 end desc, html desc, coalesce(lang, '') = 'de' desc, doc_id % 3 = 0 desc, case when doc_id % 5 <> 0 then 't' || n_chars % 10 else '' end desc,
   (1000000000 + n_chars)::varchar desc, 'q:' || (1000000000 + n_chars) || ':' || doc_id desc) as k from d where capture_quality <> 'low' and (plain or html)) where k = 1)"""
 _issue = lambda level, check, t, key, msg, rest: f"select {level} as level, '{check}' as \"check\", '{t}' as table_name, {key} as row_key, {msg} as message {rest}"
 _E = {
@@ -367,6 +370,7 @@ select e.event_id, case when not stays then 'low' else quality end as quality, c
     "d14_slugs": f"with s as (select p_partkey, {sql_page_slug('p_name')} as s from part) select p_partkey, case row_number() over w when 1 then s else s || '-' || row_number() over w end as page_slug from s window w as (partition by s order by p_partkey)",
     "d15_quality_shift": f"{_lab}, x as (select capture_quality as q, count(*) as n from d group by 1), y as (select capture_quality as q, count(*) as n from b group by 1) select q as quality, coalesce(x.n, 0) as n_before, coalesce(y.n, 0) as n_after from x full join y using (q)",
     **_E,
-    "e1_columns": "select 'error' as level, 'columns' as \"check\", * from (values ('orders', 'o_channel', 'missing column'), ('orders', 'o_clerk', 'missing column'), ('shipments', '', 'missing table')) t(table_name, row_key, message)",
+    "e1_columns": """select 'error' as level, 'columns' as "check", * from (values ('orders', 'o_channel', 'missing column'), ('orders', 'o_clerk', 'missing column'), ('shipments', '', 'missing table')) t(table_name, row_key, message)
+union all select 'error', 'columns', 'events', m, 'missing member in ' || n from (select 'v' as m, count(*) as n from events union all select 'event_type', count(*) filter (where event_id % 2 = 0) from events union all select 'k', count(*) filter (where json_extract(props, '$.k') is null) from events) where n > 0""",
     "e9_issue_counts": "select level, \"check\", count(*) as n from (" + " union all ".join(f"({q})" for q in _E.values()) + ") group by all",
 }

@@ -90,6 +90,21 @@ def a1_capture_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.select(F.col("capture_id").cast("long").alias("event_id"), "query_name", "raw_text", "captured_at", "captured_date", F.col("parsed.role").alias("role"), F.col("parsed.header").alias("header"), F.col("source_queue.sent_at").cast("double").alias("sent_at"))
 
 
+def a1_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A1: events in archive objects of 64 captures (and a member that is no object) with the latest record of each user, read back as captures and snapshots."""
+    e = table(spark, sf_dir, "events").withColumns({"archive": F.floor(F.col("event_id") / 64), "user": F.col("user_id").cast("string")})
+    capture = F.to_json(F.struct(F.col("event_id").cast("string").alias("capture_id"), F.col("user").alias("query_name"), F.struct(F.col("event_type").alias("header")).alias("parsed")))
+    captures = e.groupBy("archive").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("event_id", capture.alias("c")))), lambda x: x["c"]), ",").alias("captures"))
+    latest = e.groupBy("archive", "user").agg(F.max_by("event_type", "event_id").alias("race"))
+    records = latest.groupBy("archive").agg(F.to_json(F.map_from_entries(F.collect_list(F.struct("user", F.struct(F.struct("race").alias("latest")))))).alias("records"))
+    path = f"{shared_dir(spark)}/archives-{uuid.uuid4().hex}"
+    whole = F.concat(F.lit('{"version": "1", "captures": ["no object", '), "captures", F.lit('], "records": '), "records", F.lit("}"))
+    captures.join(records, "archive").select(whole.alias("value")).write.text(path)
+    archive = sources.read_archive(spark, path, lines=True)
+    shown = lambda kind, df, user, value, place: df.select(F.lit(kind).alias("kind"), F.col(user).cast("long").alias("user_id"), F.col(value).alias("value"), place.cast("long").alias("place"))
+    return shown("capture", sources.archive_captures(archive), "query_name", "parsed.header", F.col("ord")).unionByName(shown("snapshot", sources.archive_snapshots(archive), "key", "race", F.lit(None)))
+
+
 def a2_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A2, A4: conversations written as CSV with quotes, commas and line ends, and read back with a field that the file lacks."""
     c = table(spark, sf_dir, "conversations")
@@ -109,7 +124,7 @@ def a3_names(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "t1_key_staging": t1_key_staging, "t1_document_slugs": t1_document_slugs, "t2_page_text": t2_page_text, "t3_capture_text": t3_capture_text,
-    "b11_mask_urls": b11_mask_urls, "t4_name_tokens": t4_name_tokens, "t5_typed_staging": t5_typed_staging, "a1_capture_lines": a1_capture_lines, "a2_csv": a2_csv, "a3_names": a3_names,
+    "b11_mask_urls": b11_mask_urls, "t4_name_tokens": t4_name_tokens, "t5_typed_staging": t5_typed_staging, "a1_capture_lines": a1_capture_lines, "a1_archive": a1_archive, "a2_csv": a2_csv, "a3_names": a3_names,
 }
 
 _first = rf"coalesce(list_filter(string_split({sql_normalise('text')}, chr(10)), lambda x: {sql_clean('x')} <> '')[1], '')"
@@ -154,6 +169,9 @@ select o_orderkey, case when contains(o_orderpriority, o_orderstatus) then o_ord
   lower(o_orderstatus) = 'f' as checked, strftime(o_orderdate, '%Y-%m-%d') as day, null::varchar as bad_day, 2::bigint as n_ids,
   case when o_orderstatus = 'P' then '(blank)' else o_orderstatus end as label, case when lower(o_orderstatus) = 'o' then '' else o_orderstatus end as known from orders""",
     "a1_capture_lines": "select event_id, user_id::varchar as query_name, props as raw_text, null::varchar as captured_at, strftime(ts, '%Y-%m-%d') as captured_date, event_type as role, 'a \"b\"' || chr(10) || chr(92) || event_type as header, value as sent_at from events",
+    "a1_archive": """with e as (select *, event_id // 64 as archive from events)
+select 'capture' as kind, user_id, event_type as value, row_number() over (partition by archive order by event_id) as place from e
+union all select 'snapshot', user_id, arg_max(event_type, event_id), null from e group by archive, user_id""",
     "a2_csv": f"select conv_id, turn, {sql_clean(chr(39) + ' \"q\", ' + chr(39) + ' || coalesce(text, ' + chr(39) * 2 + ')')} as said, '' as absent from conversations",
     "a3_names": "select trim(c_name) as name from customer where c_mktsegment <> 'BUILDING' and trim(c_name) <> ''",
 }

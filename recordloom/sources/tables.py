@@ -20,9 +20,9 @@ ARCHIVE = T.StructType(
 )
 
 
-def read_archive(spark: SparkSession, path: str) -> DataFrame:
-    """A1: one archive object per file (``captures`` and ``records``); a file without either stops the job."""
-    df = spark.read.schema(ARCHIVE).option("multiLine", True).json(path)
+def read_archive(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """A1: archive objects with ``captures`` and ``records``, one per file or, with ``lines``, one per line, so that files split; one without either stops the job."""
+    df = spark.read.schema(ARCHIVE).option("multiLine", not lines).json(path)
     whole = F.col("captures").isNotNull() & F.col("records").isNotNull()
     bad = F.raise_error(F.lit("archive needs the members captures and records"))
     return df.withColumn("captures", F.when(whole, F.col("captures")).otherwise(bad))
