@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from recordloom.functions.exprs import art_score, clean, excerpt_of, fold, is_name_like, split_names, squeezed, trim_name
 from recordloom.operators.ranking import best_per_key, islands
+from recordloom.sources.scratch import materialize
 
 #: Form of a heading (a letter and 1 to 32 letters, blanks, slashes, underscores or hyphens before a colon) and of a name.
 HEAD = r"^([A-Za-z][A-Za-z /_-]{1,32})\s*:"
@@ -126,6 +127,38 @@ def group_lines(texts: DataFrame, key: str, text: str, keywords: list[str], grou
     return hits.select("key", "pos", F.substring(line, 1, most).alias("evidence"), excerpt_of("flat", line).alias("text_excerpt"), F.when(sure, "medium").otherwise("low").alias("confidence"))
 
 
+#: Characters of the pieces by which lines meet a table of keywords.
+PIECE = 3
+
+
+def _pieces(text, size: int) -> Column:
+    """All distinct pieces of ``size`` characters, found in one pass."""
+    return F.array_distinct(F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{size}}}))"), F.lit(1)))
+
+
+def keyword_hits(numbered: DataFrame, keywords: DataFrame, keyword: str = "keyword") -> DataFrame:
+    """G5, D5 for tables of keywords: ``key, pos, line, keyword`` of every line (``key, pos, line``) that holds a keyword anywhere, case ignored.
+
+    Lines meet a keyword at its rarest piece of up to PIECE characters (measured on
+    the lines) and are then searched for the whole of it, so the plan does not
+    grow with the keywords and no common piece is a hot key unless it is a keyword
+    itself. Blank keywords are left out; equal ones are one.
+    """
+    words = keywords.select(F.lower(clean(keyword)).alias("keyword")).filter("keyword <> ''").distinct()
+    words = words.withColumn("size", F.least(F.length("keyword"), F.lit(PIECE)))
+    own = reduce(lambda e, n: e.when(F.col("size") == n, _pieces("keyword", n)), range(1, PIECE), F.when(F.col("size") == PIECE, _pieces("keyword", PIECE)))
+    each = words.select("keyword", F.explode(own).alias("piece"))
+    sizes = sorted(r["size"] for r in words.select("size").distinct().collect())  # PIECE numbers at most
+    low = numbered.select("key", "pos", "line", F.lower("line").alias("low"))
+    if not sizes:
+        return low.select("key", "pos", "line", F.col("low").alias("keyword")).limit(0)
+    held = low.select("key", "pos", "line", "low", F.explode(F.concat(*[_pieces("low", n) for n in sizes])).alias("piece"))
+    count = held.join(each.select("piece").distinct(), "piece", "left_semi").groupBy("piece").agg(F.count(F.lit(1)).alias("n"))
+    rare = each.join(count, "piece").groupBy("keyword").agg(F.min(F.struct("n", "piece"))["piece"].alias("piece"))
+    met = held.join(materialize(rare, "pieces"), "piece")
+    return met.filter(F.contains("low", F.col("keyword"))).select("key", "pos", "line", "keyword")
+
+
 def art_clusters(texts: DataFrame, key: str, text: str, least: float = 1.5, gap: int = 2, few: int = 3, strong: float = 5.0, shown: int = 16, most: int = 1000) -> DataFrame:
     """The best cluster of art-like lines of each text: ``key, art_lines, art_score, art_excerpt, text_excerpt``.
 

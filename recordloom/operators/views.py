@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from recordloom.functions.exprs import clean, fold
 from recordloom.operators.ranking import best_per_key
+from recordloom.sources.tables import write_bucketed
 
 
 def points(rules: list[tuple[Column, object]]) -> Column:
@@ -111,6 +112,11 @@ def manifest(base: DataFrame, key: str, *rollups: tuple[DataFrame, dict[str, obj
     return out
 
 
+def stored_rollups(path: str, key: str, buckets: int, **tables: DataFrame) -> dict[str, DataFrame]:
+    """Base table and roll-ups stored in the same buckets of their key, so that ``one_per_entity`` and ``manifest`` join them without a shuffle, now and later."""
+    return {name: write_bucketed(df, f"{path}/{name}", key, buckets) for name, df in tables.items()}
+
+
 def page_review(flag: Column, groups: Column, mentions: Column) -> Column:
     """Flagged, or any group, or any mention."""
     return flag | (groups > 0) | (mentions > 0)

@@ -94,6 +94,14 @@ def g5_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _groups(spark, sf_dir).select(F.col("key").alias("doc_id"), F.col("pos").cast("long").alias("pos"), "evidence", "text_excerpt", "confidence")
 
 
+def g5_keyword_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """G5, D5 with a table of keywords: part names' first three letters, words of types and accented syllables, in the lines of the documents."""
+    p = table(spark, sf_dir, "part")
+    words = p.select(F.explode(F.array(F.upper(F.left("p_name", F.lit(3))), F.split("p_type", " ")[0], F.lit("éeau"))).alias("keyword"))
+    hits = mining.keyword_hits(mining.lines(table(spark, sf_dir, "documents"), "doc_id", "text"), words)
+    return hits.groupBy(F.col("key").alias("doc_id"), "keyword").agg(F.count("*").alias("n_lines"), F.min("pos").cast("long").alias("first"))
+
+
 def _tagged(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", F.regexp_replace("html", "<", "\n<").alias("t"))
 
@@ -120,7 +128,7 @@ def g10_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mining.mining_summary(g9_mentions(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (f1_longest_match, f2_all_matches, f10_classified, f11_frequencies, g1_lines, g2_headed_names, g3_comma_names, g4_speakers, g5_groups, g6_line_scores, g7_art, g9_mentions, g10_summary)}
+QUERIES = {f.__name__: f for f in (f1_longest_match, f2_all_matches, f10_classified, f11_frequencies, g1_lines, g2_headed_names, g3_comma_names, g4_speakers, g5_groups, g5_keyword_table, g6_line_scores, g7_art, g9_mentions, g10_summary)}
 
 _vals = lambda rows: ", ".join("(" + ", ".join(str(v) if isinstance(v, int) else f"'{v}'" for v in r) + ")" for r in rows)
 _d = "d as (select distinct p_type || ' ' || p_name as descriptor from part)"
@@ -185,6 +193,8 @@ select attribute, value, n, place from (select *, row_number() over (partition b
     "g3_comma_names": f"with {_lines}, {_df}, {_kn}, {_comma.format(key='doc_id', src='l')} select doc_id, pos, name, {_shown}, {_flag('low')} from cn join df using (doc_id) left join kn on lower(name) = kn.known",
     "g4_speakers": f"with {_lines}, {_df}, s as ({_speak('doc_id', 'l')}) select doc_id, pos, name, {_shown} from s join df using (doc_id) where {sql_is_name('name')}",
     "g5_groups": rf"with {_lines}, {_df}, n as (select *, {_b} as needle from l) select doc_id, pos, {_shown}, case when regexp_matches(lower({_b}), '(^|[^\p{{L}}\p{{N}}_])(and|und|with|mit)($|[^\p{{L}}\p{{N}}_])') then 'medium' else 'low' end as confidence from n join df using (doc_id) where contains(lower(line), 'thes') or contains(lower(line), 'zu')",
+    "g5_keyword_table": f"""with {_lines}, w as (select distinct lower(trim(unnest([left(p_name, 3), string_split(p_type, ' ')[1], 'éeau']))) as keyword from part)
+select doc_id, keyword, count(*) as n_lines, min(pos) as first from l join w on contains(lower(line), keyword) where keyword <> '' group by 1, 2""",
     "g6_line_scores": f"with {_score} select page_id, pos, score from s",
     "g7_art": f"""with {_score}, i as (select *, case when pos - lag(pos) over w <= 2 then 0 else 1 end as b from s where score >= 1 window w as (partition by page_id order by pos)),
 j as (select *, sum(b) over (partition by page_id order by pos) as island from i),

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from recordloom.functions import exprs as E
 from recordloom.operators import review, views
 from recordloom.plans import mining_plans
 from recordloom.plans.tables import sql_page_slug, table
+from recordloom.sources.scratch import shared_dir
 
 STATUS_RANKS = {"F": 3, "O": 2, "P": 1}
 
@@ -89,14 +92,17 @@ def h12_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return views.group_rollup(mining_plans.g5_groups(spark, sf_dir), "doc_id", "pos")
 
 
-def h13_customer_dossier(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row per customer: best order, order and line roll-ups, review flag."""
+def _rollups(spark, sf_dir):
     o, l = table(spark, sf_dir, "orders"), table(spark, sf_dir, "lineitem")
     orders = o.groupBy("o_custkey").agg(F.count("*").alias("n_orders"), F.count_if(F.col("o_orderstatus") == "F").alias("n_final"), F.round(F.sum("o_totalprice"), 2).alias("spent")).withColumnRenamed("o_custkey", "c_custkey")
     items = l.filter("l_returnflag = 'R'").select("l_orderkey", "l_quantity").join(o.select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey"))
     items = items.groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.count("*").alias("n_returns"), F.sum("l_quantity").alias("returned"))
     kinds = views.count_summary(o.select(F.col("o_custkey").alias("c_custkey"), "o_orderpriority", "o_orderkey"), "c_custkey", "o_orderpriority", "o_orderkey", "priorities")
-    out = views.manifest(_entities(spark, sf_dir), "c_custkey", (orders, {"n_orders": 0, "n_final": 0, "spent": 0.0}), (items, {"n_returns": 0, "returned": 0.0}), (kinds, {"priorities": ""}))
+    return orders, items, kinds
+
+
+def _dossier_of(base, orders, items, kinds):
+    out = views.manifest(base, "c_custkey", (orders, {"n_orders": 0, "n_final": 0, "spent": 0.0}), (items, {"n_returns": 0, "returned": 0.0}), (kinds, {"priorities": ""}))
     out = out.withColumn("page_review", views.page_review(F.col("review"), F.col("n_returns") - 2, F.col("n_orders") - 20))
     return out.select(
         "c_custkey", "c_name", "home", F.col("o_orderstatus").alias("status"), F.col("score").cast("long").alias("score"), "n_candidates",
@@ -104,6 +110,18 @@ def h13_customer_dossier(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def h13_customer_dossier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per customer: best order, order and line roll-ups, review flag."""
+    return _dossier_of(_entities(spark, sf_dir), *_rollups(spark, sf_dir))
+
+
+def h13_stored_dossier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """H5, H6, H13 on stored tables in buckets of the customer's key: the joins need no shuffle."""
+    orders, items, kinds = _rollups(spark, sf_dir)
+    stored = views.stored_rollups(f"{shared_dir(spark)}/dossier-{uuid.uuid4().hex}", "c_custkey", 16, base=_entities(spark, sf_dir), orders=orders, items=items, kinds=kinds)
+    return _dossier_of(stored["base"], stored["orders"], stored["items"], stored["kinds"])
+
+
 def h15_core_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return views.core_counts(h13_customer_dossier(spark, sf_dir), {"to_review": F.col("page_review"), "with_orders": F.col("n_orders") > 0, "with_returns": F.col("n_returns") > 0})
 
@@ -164,7 +182,7 @@ def i8_detail_caps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.unionByName(art)
 
 
-QUERIES = {f.__name__: f for f in (h1_best_order, h2_fallback, h4_strongest_link, h6_entities, h8_profile, h9_display, h10_mentions, h11_art, h12_groups, h13_customer_dossier, h15_core_counts, i1_work_queue, i2_review_buckets, i3_kind_samples, i3_kind_counts, i4_group_samples, i5_top_scores, i6_cover_sample, i7_mention_detail, i8_detail_caps)}
+QUERIES = {f.__name__: f for f in (h1_best_order, h2_fallback, h4_strongest_link, h6_entities, h8_profile, h9_display, h10_mentions, h11_art, h12_groups, h13_customer_dossier, h13_stored_dossier, h15_core_counts, i1_work_queue, i2_review_buckets, i3_kind_samples, i3_kind_counts, i4_group_samples, i5_top_scores, i6_cover_sample, i7_mention_detail, i8_detail_caps)}
 
 _best = """bo as (select * from (select *, row_number() over (partition by o_custkey order by score desc, o_orderkey) as k from (select *, strftime(o_orderdate, '%Y-%m-%d') as day,
   case o_orderstatus when 'F' then 300 when 'O' then 200 when 'P' then 100 - 20 else 0 end + 30 + 5 + (5 - substr(o_orderpriority, 1, 1)::int) + case when o_totalprice > 300000 then 10 else 0 end as score from orders)) where k = 1)"""
@@ -198,6 +216,7 @@ select conv_id, n_mentions, n_high, n_matched, kinds, names from t join k using
     "h11_art": f"with a as ({_m['g7_art']}) select (page_id // 10)::bigint as decade, 'yes' as has_art, count(*) as n_art, max(art_score) as best_art from a group by 1",
     "h12_groups": f"with g as ({_m['g5_groups']}) select doc_id, sum(n)::bigint as n_groups, string_agg(confidence || ':' || n, '; ' order by n desc, f) as group_confidence from (select doc_id, confidence, count(*) as n, min(pos) as f from g group by 1, 2) group by 1",
     "h13_customer_dossier": f"{_dossier} select * from ds",
+    "h13_stored_dossier": f"{_dossier} select * from ds",
     "h15_core_counts": f"{_dossier} select count(*) as n, count(*) filter (where page_review) as to_review, count(*) filter (where n_orders > 0) as with_orders, count(*) filter (where n_returns > 0) as with_returns from ds",
     "i1_work_queue": "select p_partkey, p_name from (select *, row_number() over (partition by lower(p_name) order by p_partkey) as k from part where p_size % 5 <> 0 and p_type = 'PROMO') where k = 1 order by p_partkey limit 20",
     "i2_review_buckets": f"""with r as ({_m['f10_classified']}), b as (select 'unknown' as bucket, 1000000000 as cap, * from r where race = '' union all select 'generic', 20, * from r where status = 'generic_title_no_class'

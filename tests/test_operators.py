@@ -187,6 +187,24 @@ def test_excerpts_of_mentions(spark):
     assert mining.group_lines(df, "k", "t", ["order"], ["order"], ["chief"]).first().text_excerpt.startswith("…\n")
 
 
+def test_keyword_table(spark):
+    """A large table of keywords, of one character up, against a plain search; the plan does not grow with it."""
+    r = random.Random(6)
+    text = lambda n: "".join(r.choice("abcdé -X") for _ in range(n))
+    lines = [(k, p, text(r.randrange(0, 30))) for k in range(20) for p in range(10)]
+    keys = [text(r.randrange(1, 6)) for _ in range(400)] + ["", "  ", "A", "zz"]
+    df, v = spark.createDataFrame(lines, "key int, pos int, line string"), spark.createDataFrame([(k,) for k in keys] + [(None,)], "keyword string")
+    found = mining.keyword_hits(df, v)
+    want = {(k, p, w) for k, p, x in lines for w in {y.strip().lower() for y in keys} - {""} if w in x.lower()}
+    assert sorted((x.key, x.pos, x.keyword) for x in found.collect()) == sorted(want) and len(want) > 200
+    many = spark.range(50_000).select(F.concat(F.lit("kw"), F.col("id").cast("string"), F.lit("x")).alias("keyword"))
+    some = spark.createDataFrame([(1, 0, "see KW123x and kw49999x"), (1, 1, "kw x")], df.schema)
+    hits = mining.keyword_hits(some, many)
+    assert {(x.pos, x.keyword) for x in hits.collect()} == {(0, "kw123x"), (0, "kw49999x")}
+    assert len(hits._jdf.queryExecution().optimizedPlan().toString()) < 20_000
+    assert mining.keyword_hits(some, many.limit(0)).count() == 0
+
+
 def test_islands_over_ranges(spark):
     """Runs of any length, cut into many ranges, against a plain pass."""
     r = random.Random(2)

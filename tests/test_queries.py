@@ -33,3 +33,14 @@ def test_plans(spark, small):
         text = plan(q[name](spark, small))
         assert "NestedLoop" not in text and "Cartesian" not in text and "Python" not in text
     assert "ReadSchema: struct<p_partkey:bigint,p_name:string,p_brand:string,p_type:string>" in plan(q["t1_key_staging"](spark, small))
+
+
+def test_stored_manifest_needs_no_shuffle(spark, small):
+    """Joins of tables in the same buckets: no exchange in the plan, whatever the size at which Spark would broadcast."""
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        text = plan(registry.QUERIES["h13_stored_dossier"](spark, small))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert text.count("SortMergeJoin") == 3 and "Exchange" not in text
