@@ -29,8 +29,9 @@ def slug_letters() -> dict[str, str]:
     return {c: d[0] for c, d in parts.items() if len(d) == 2 and d[0] in SLUG_BASES} | SLUG_SINGLE
 #: Character entities that ``html_to_text`` knows.
 ENTITIES = {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&apos;": "'", "&nbsp;": " ", "&amp;": "&"}
-#: Patterns of lines that are never art (prompts, figures, statistics).
-NO_ART = [r"^!?#?\s*[A-Z]{0,4}\s*>$", r"^[\d\s/]+(\([^)]+\))?$", r"(?i)\b(pkills|pkdeaths|mobdeaths|deaths|warpoints|login|retired|level)\b"]
+#: Forms of lines that are never art (prompts and figures), and words whose lines are none (of the domain the score comes from; an argument).
+NO_ART = [r"^!?#?\s*[A-Z]{0,4}\s*>$", r"^[\d\s/]+(\([^)]+\))?$"]
+NO_ART_WORDS = ["pkills", "pkdeaths", "mobdeaths", "deaths", "warpoints", "login", "retired", "level"]
 #: Characters with Unicode's White_Space property.
 WHITE = "\t\n\v\f\r \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 CHECKED = ["yes", "true", "1", "checked", "done"]
@@ -304,10 +305,12 @@ def remove_word(text, term) -> Column:
 ART_MARKS = "/\\|_-+=*#~`'.:;^<>[]{}()"
 MANY_MARKS, SOME_MARKS, FEW_LETTERS, WIDE = 55, 40, 35, 35
 LONG_BODY, LONG_LINE, SHORT_BODY = 8, 12, 5
+#: A mark three times in a row, and strokes with marks between them.
+RUN, STROKES = r"([_/\\|*#=~.\-])\1{2,}", r"[/\\][ _./\\|'\-]{3,}[/\\|]"
 
 
-def art_score(c) -> Column:
-    """How much a line looks like character art, 0 to 5.5 in halves."""
+def art_score(c, words: list[str] = NO_ART_WORDS) -> Column:
+    """How much a line looks like character art, 0 to 5.5 in halves; lines with one of ``words`` are none."""
     line = F.coalesce(col(c), F.lit(""))
     body = clean(line)
     left = lambda x, pattern: F.length(x) - F.length(F.regexp_replace(x, pattern, ""))
@@ -319,10 +322,10 @@ def art_score(c) -> Column:
     score = (
         F.when(at_least(marks, solid, MANY_MARKS), 2.0).when(at_least(marks, solid, SOME_MARKS), 1.0).otherwise(0.0)
         + when((letters * 100 <= solid * FEW_LETTERS) & (F.length(body) >= LONG_BODY), 1.0)
-        + when(body.rlike(r"([_/\\|*#=~.\-])\1{2,}"), 1.0)
+        + when(body.rlike(RUN), 1.0)
         + when(at_least(spaces, F.greatest(F.length(line), F.lit(1)), WIDE) & (F.length(line) >= LONG_LINE), 0.5)
-        + when(body.rlike(r"[/\\][ _./\\|'\-]{3,}[/\\|]"), 1.0)
+        + when(body.rlike(STROKES), 1.0)
         - when(F.length(body) <= SHORT_BODY, 1.0)
     )
-    never = reduce(lambda e, p: e | body.rlike(p), NO_ART, body == "")
+    never = reduce(lambda e, p: e | body.rlike(p), [*NO_ART, *([rf"(?i)\b({'|'.join(words)})\b"] if words else [])], body == "")
     return F.when(never, 0.0).otherwise(F.greatest(score, F.lit(0.0)))

@@ -34,17 +34,25 @@ def last_two(captures: DataFrame, key: str, text: str, wanted: DataFrame) -> Dat
     return out.withColumn("n_captures", F.coalesce("n_captures", F.lit(0).cast("long")))
 
 
-def change_class(previous, latest, volatile: str, placeholder: str, not_found: str) -> Column:
+#: Fixed values of D4: names of the kinds of change, in the order of their tests; an own list may replace them.
+CHANGES = [
+    "same_or_equivalent", "previous_not_found_with_extra_contamination", "previous_has_extra_after_clean_capture",
+    "latest_is_subset_of_previous_review_previous_extra", "same_header_but_body_differs_review", "different_review",
+]
+
+
+def change_class(previous, latest, volatile: str, placeholder: str, not_found: str, names: list[str] = CHANGES) -> Column:
     """Kind of change between two captures, the first that applies."""
+    same, contaminated, extra, subset, header, other = names
     stable = lambda c: mask(normalise_text(c), volatile, placeholder)
     a, b = stable(previous), stable(latest)
     return (
-        F.when(a == b, "same_or_equivalent")
-        .when(F.contains(a, F.lit(not_found)) & (clean(b) == not_found), "previous_not_found_with_extra_contamination")
-        .when(F.startswith(a, b) & (F.length(a) > F.length(b)), "previous_has_extra_after_clean_capture")
-        .when((b != "") & F.contains(a, b), "latest_is_subset_of_previous_review_previous_extra")
-        .when((first_line(a) != "") & (first_line(a) == first_line(b)), "same_header_but_body_differs_review")
-        .otherwise("different_review")
+        F.when(a == b, same)
+        .when(F.contains(a, F.lit(not_found)) & (clean(b) == not_found), contaminated)
+        .when(F.startswith(a, b) & (F.length(a) > F.length(b)), extra)
+        .when((b != "") & F.contains(a, b), subset)
+        .when((first_line(a) != "") & (first_line(a) == first_line(b)), header)
+        .otherwise(other)
     )
 
 

@@ -87,12 +87,12 @@ def _edges(c: Column) -> Column:
     return F.btrim(c, F.lit(" ,;:-"))
 
 
-#: F8: words of the status, by what was found; an own mapping may replace them.
+#: Fixed values of F8: words of the status, by what was found; an own mapping may replace them.
 STATUSES = {
     "nothing": "no_descriptor", "ranked": "immortal", "suspect": "parser_suspect_or_custom_descriptor", "all": "classified", "no base class": "generic_title_no_class",
     "race alone": "race_only", "only a rest": "custom_descriptor_unclassified", "none": "needs_review",
 }
-#: Texts inside a rest that speak for a fault of the parser.
+#: Fixed values of F7: texts inside a rest that speak for a fault of the parser.
 SUSPECT = [" is a ", " is an ", " level"]
 
 
