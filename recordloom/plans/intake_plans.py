@@ -63,15 +63,26 @@ def c8_entity_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return intake.mint_entity_ids(p, "p_name", ["p_partkey"], taken).select("p_partkey", "entity_id")
 
 
-def c9_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Customers in credit are known, in a stored table; the latest order of each customer is a snapshot. Some snapshots come again."""
+def _entities_and_shots(spark, sf_dir):
+    """Customers in credit are known; the latest order of each customer is a snapshot."""
     c = table(spark, sf_dir, "customer").filter("c_acctbal > 0")
     known = c.select(F.col("c_custkey").cast("string").alias("name"), F.col("c_mktsegment").alias("status"), F.lit("").alias("level"), F.lit("").alias("first_seen"), F.lit("2000-01-01").alias("last_seen"), F.lit("").alias("checked"), F.lit("old").alias("notes"))
     o = table(spark, sf_dir, "orders")
     shots = o.select(F.col("o_custkey").cast("string").alias("name"), F.when(F.col("o_orderstatus") != "P", F.col("o_orderstatus")).alias("status"), F.col("o_orderpriority").alias("level"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("seen_on"), "o_orderkey", "o_orderpriority", "o_custkey")
+    return known, shots, {"fields": ["status", "level"], "skip": F.col("o_orderpriority") == "5-LOW", "order": [F.col("o_orderkey").desc()]}
+
+
+def c9_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    known, shots, how = _entities_and_shots(spark, sf_dir)
+    return intake.upsert_entities(known, shots, **how)
+
+
+def c9_stored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """C9 on a stored table that snapshots are merged into; some of them come again."""
+    known, shots, how = _entities_and_shots(spark, sf_dir)
     store = _stored(spark, known, "name")
     for some in (shots, shots.filter("o_custkey = 1")):
-        intake.merge_entities(store, some, ["status", "level"], F.col("o_orderpriority") == "5-LOW", [F.col("o_orderkey").desc()])
+        intake.merge_entities(store, some, **how)
     return store.read()
 
 
@@ -81,7 +92,7 @@ def _stored(spark, rows, key):
     return store
 
 
-def c11_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _queue_and_captures(spark, sf_dir):
     """C11: customers as queue (one half by id alone) and, in credit, as entities; orders as captures with the key, then the next key, as
     candidate names; urgent open orders as snapshots."""
     c = table(spark, sf_dir, "customer").withColumns({"ord": F.col("c_custkey"), "key": F.col("c_custkey").cast("string")})
@@ -89,8 +100,19 @@ def c11_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
     entities = c.filter("c_acctbal > 0").select("ord", F.col("key").alias("name"), F.concat(F.lit("id_"), "key").alias("entity_id"))
     o = table(spark, sf_dir, "orders").withColumns({"ord": F.col("o_orderkey"), "n1": F.col("o_custkey").cast("string"), "n2": (F.col("o_custkey") + 1).cast("string")})
     shots = o.filter("o_orderstatus = 'O' and o_orderpriority = '1-URGENT'").select(F.col("n1").alias("name"))
+    return queue, (o.select("ord", "n1", "n2", "o_orderstatus"), [F.lit(""), "n1", "n2"], F.col("o_orderstatus") != "F", entities), {"snapshots": shots}
+
+
+def c11_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    queue, captures, more = _queue_and_captures(spark, sf_dir)
+    return intake.complete_queue(queue, *captures, **more).select(F.col("ord").alias("c_custkey"), "checked", "notes")
+
+
+def c11_stored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """C11 on a stored queue, of which only buckets with a marked row are rewritten."""
+    queue, captures, more = _queue_and_captures(spark, sf_dir)
     store = _stored(spark, queue, "ord")
-    intake.merge_queue(store, o.select("ord", "n1", "n2", "o_orderstatus"), [F.lit(""), "n1", "n2"], F.col("o_orderstatus") != "F", entities, snapshots=shots)
+    intake.merge_queue(store, *captures, **more)
     return store.read().select(F.col("ord").alias("c_custkey"), "checked", "notes")
 
 
@@ -123,10 +145,20 @@ def c14_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.schema(e.schema).parquet(f"{path}/out").select("ord", F.col("user").cast("long").alias("user_id"), "event_type", F.col("amount").cast("double").alias("value"))
 
 
-def c12_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _sources(spark, sf_dir):
     d = table(spark, sf_dir, "documents").filter("source is not null")
     old = d.filter("doc_id % 3 = 0").select(F.col("source").alias("source_id")).distinct().withColumns({"title": F.lit(""), "notes": F.lit("listed")})
     new = d.groupBy(F.col("source").alias("source_id")).agg(F.concat(F.lit("docs "), F.count("*").cast("string")).alias("title"), F.lit("counted").alias("notes"))
+    return old, new
+
+
+def c12_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return intake.upsert_sources(*_sources(spark, sf_dir), ["title"])
+
+
+def c12_stored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """C12 on a stored registry that rows are merged into; some of them come again."""
+    old, new = _sources(spark, sf_dir)
     store = _stored(spark, old, "source_id")
     for some in (new, new.filter("source_id = 'src1'")):
         intake.merge_sources(store, some, ["title"])
@@ -279,7 +311,7 @@ def e9_issue_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "c1_flags": c1_flags, "c3_append_new": c3_append_new, "c4_resolve": c4_resolve, "c6_notes": c6_notes, "c7_record_ids": c7_record_ids, "c8_entity_ids": c8_entity_ids,
-    "c9_upsert": c9_upsert, "c2_intake": c2_intake, "c14_stream": c14_stream, "c11_queue": c11_queue, "c12_sources": c12_sources, "c13_metrics": c13_metrics,
+    "c9_upsert": c9_upsert, "c2_intake": c2_intake, "c14_stream": c14_stream, "c11_queue": c11_queue, "c12_sources": c12_sources, "c9_stored": c9_stored, "c11_stored": c11_stored, "c12_stored": c12_stored, "c13_metrics": c13_metrics,
     "d1_first_alias": d1_first_alias, "d2_all_aliases": d2_all_aliases, "d4_changes": d4_changes, "d6_line_changes": d6_line_changes, "d7_class_counts": d7_class_counts,
     "d9_supersede": d9_supersede, "d11_best_display": d11_best_display, "d12_index": d12_index, "d13_evidence_index": d13_evidence_index, "d14_slugs": d14_slugs, "d15_quality_shift": d15_quality_shift,
     **{n: _check_query(n) for n in ("e2_unique", "e3_allowed", "e4_dates", "e5_foreign_key", "e6_repeated_names", "e7_unlinked")}, "e1_columns": e1_columns, "e9_issue_counts": e9_issue_counts,
@@ -374,3 +406,4 @@ select e.event_id, case when not stays then 'low' else quality end as quality, c
 union all select 'error', 'columns', 'events', m, 'missing member in ' || n from (select 'v' as m, count(*) as n from events union all select 'event_type', count(*) filter (where event_id % 2 = 0) from events union all select 'k', count(*) filter (where json_extract(props, '$.k') is null) from events) where n > 0""",
     "e9_issue_counts": "select level, \"check\", count(*) as n from (" + " union all ".join(f"({q})" for q in _E.values()) + ") group by all",
 }
+SQL |= {f"{n}_stored": SQL[q] for n, q in (("c9", "c9_upsert"), ("c11", "c11_queue"), ("c12", "c12_sources"))}
