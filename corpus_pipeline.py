@@ -23,7 +23,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of near copies stays: the one with the smallest id, once.
 
-    Null and empty texts are no copies of each other; rows without an id all stay.
+    Texts that share an id are documents of their own. Null and empty texts are no
+    copies of each other; rows without an id all stay.
     """
     return one_of_each_class(docs)
 
@@ -31,14 +32,17 @@ def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Passages that an earlier document holds are cut out; documents of which nothing is left go.
 
-    Null and empty texts and rows without an id stay as they are; rows that repeat an id are cut alike.
+    Null and empty texts and rows without an id stay as they are; rows that repeat an
+    id and its text are cut alike, other texts under that id are left alone.
     """
     return without_repeats(docs)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents are drawn so that token shares meet the targets.
+    """Documents are drawn so that token shares come near the targets.
 
+    The draw expects 90 % of the input's tokens, so shares that only more tokens of a
+    cell could raise stay below their target; these are stored and logged.
     Null sources and languages are values of their own; rows with one id fall
     alike; texts without words stay as far as their cell does.
     """
