@@ -126,19 +126,20 @@ def _code_point(n: Column) -> Column:
     )
 
 
-def _reference(piece: Column) -> Column:
-    """What follows an ampersand, with the reference that it begins with (if any) decoded."""
-    number = F.regexp_extract(piece, r"^#(?:[0-9]+|[xX][0-9a-fA-F]+);?", 0)
-    hexa = F.regexp_extract(piece, r"^#[xX]0*([0-9a-fA-F]+)", 1)
-    value = F.when(hexa == "", F.regexp_extract(piece, "^#0*([0-9]+)", 1).try_cast("long")).when(F.length(hexa) <= 8, F.conv(hexa, 16, 10).cast("long"))
-    name = F.regexp_extract(piece, "^[^\t\n\f <&#;]{1,32};?", 0)
-    known = F.element_at(F.element_at(F.from_json(F.lit(_named_references()), "map<string,map<string,string>>"), F.left(name, F.lit(1))), name)
+def _look_up(name: Column) -> Column:
+    return F.element_at(F.element_at(F.from_json(F.lit(_named_references()), "map<string,map<string,string>>"), F.left(name, F.lit(1))), name)
+
+
+def _reference(s: Column) -> Column:
+    """A piece after an ampersand, with the reference that it begins with (if any) decoded."""
+    piece, number, name, known = s["piece"], s["number"], s["name"], s["known"]
+    hexa = F.regexp_extract(number, r"^#[xX]0*([0-9a-fA-F]+)", 1)
+    value = F.when(hexa == "", F.regexp_extract(number, "^#0*([0-9]+)", 1).try_cast("long")).when(F.length(hexa) <= 8, F.conv(hexa, 16, 10).cast("long"))
     prefix = F.regexp_extract(name, _bare_names(), 1)
-    bare = F.element_at(F.element_at(F.from_json(F.lit(_named_references()), "map<string,map<string,string>>"), F.left(prefix, F.lit(1))), prefix)
     rest = lambda used: F.substring(piece, F.length(used) + 1, F.length(piece))
     return (
-        F.when(number != "", F.concat(_code_point(value), rest(number))).when(name == "", F.concat(F.lit("&"), piece)).when(known.isNotNull(), F.concat(known, rest(name)))
-        .when(prefix != "", F.concat(bare, rest(prefix))).otherwise(F.concat(F.lit("&"), piece))
+        F.when(known.isNotNull(), F.concat(known, rest(name))).when(number != "", F.concat(_code_point(value), rest(number)))
+        .when((name != "") & (prefix != ""), F.concat(_look_up(prefix), rest(prefix))).otherwise(F.concat(F.lit("&"), piece))
     )
 
 
@@ -146,7 +147,17 @@ def unescape_html(c) -> Column:
     """Character references (by name, number or hexadecimal number) decoded once, as HTML defines them, also those without a semicolon."""
     text = F.coalesce(col(c), F.lit(""))
     pieces = F.split(text, "&")
-    decoded = F.concat(F.get(pieces, F.lit(0)), F.array_join(F.transform(F.slice(pieces, F.lit(2), F.size(pieces)), _reference), ""))
+    numeric = lambda p: F.startswith(p, F.lit("#"))
+    # step by step, so that no pattern is matched twice
+    read = F.transform(
+        F.slice(pieces, F.lit(2), F.size(pieces)),
+        lambda p: F.struct(
+            p.alias("piece"), F.when(numeric(p), F.regexp_extract(p, r"^#(?:[0-9]+|[xX][0-9a-fA-F]+);?", 0)).otherwise(F.lit("")).alias("number"),
+            F.when(numeric(p), F.lit("")).otherwise(F.regexp_extract(p, "^[^\t\n\f <&#;]{1,32};?", 0)).alias("name"),
+        ),
+    )
+    read = F.transform(read, lambda s: F.struct(s["piece"].alias("piece"), s["number"].alias("number"), s["name"].alias("name"), F.when(s["name"] != "", _look_up(s["name"])).alias("known")))
+    decoded = F.concat(F.get(pieces, F.lit(0)), F.array_join(F.transform(read, _reference), ""))
     return F.when(F.contains(text, F.lit("&")), decoded).otherwise(text)
 
 

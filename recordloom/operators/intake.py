@@ -29,15 +29,20 @@ def capture_digest(keys: list[str]) -> Column:
     return F.sha2(F.concat_ws("|", *[part(k) for k in keys]), 256)
 
 
+def _place(order: list) -> Column:
+    """A row's place; one column stays as it is, which sums in a hash table where a struct must be sorted."""
+    return F.col(order[0]) if len(order) == 1 and isinstance(order[0], str) else F.struct(*order)
+
+
 def first_of_digest(captures: DataFrame, order: list) -> DataFrame:
     """``digest, first``: each digest once, with the place of its first capture; combined before its shuffle, and no text travels."""
-    return captures.groupBy("digest").agg(F.min(F.struct(*order)).alias("first"))
+    return captures.groupBy("digest").agg(F.min(_place(order)).alias("first"))
 
 
 def captures_of(captures: DataFrame, picked: DataFrame, order: list) -> DataFrame:
     """The captures at the places that ``picked`` (``digest, first``) names."""
     p = picked.select(F.col("digest").alias("__digest"), F.col("first").alias("__first"))
-    return captures.join(p, (F.col("digest") == F.col("__digest")) & (F.struct(*order) == F.col("__first")), "left_semi")
+    return captures.join(p, (F.col("digest") == F.col("__digest")) & _place(order).eqNullSafe(F.col("__first")), "left_semi")
 
 
 def append_unseen(captures: DataFrame, seen: DataFrame, order: list) -> DataFrame:

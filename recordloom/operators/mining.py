@@ -170,7 +170,8 @@ def art_clusters(texts: DataFrame, key: str, text: str, least: float = 1.5, gap:
     """
     # a row number stops the filter from moving below the score, which would be worked out twice
     scored = lines(texts, key, text).withColumns({"score": art_score("line"), "__row": F.monotonically_increasing_id()}).filter((F.col("score") >= least) & (F.col("__row") >= 0)).drop("__row")
-    placed = islands(scored, ["key"], "pos", gap)
+    # stored, as dealing by ranges looks at the rows first and would score all lines twice
+    placed = islands(materialize(scored, "art-lines"), ["key"], "pos", gap)
     art = placed.groupBy("key", "island").agg(F.count("*").alias("art_lines"), F.sum("score").alias("art_score"))
     best = best_per_key(art, ["key"], [F.col("art_lines").desc(), F.col("art_score").desc(), "island"])
     best = best.filter((F.col("art_lines") >= few) | (F.col("art_score") >= strong))
