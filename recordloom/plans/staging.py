@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -105,6 +106,27 @@ def a1_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shown("capture", sources.archive_captures(archive), "query_name", "parsed.header", F.col("ord")).unionByName(shown("snapshot", sources.archive_snapshots(archive), "key", "race", F.lit(None)))
 
 
+def a1_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A1: events in one object per 4,096 of them, over many lines, read back in chunks that do not end where members do."""
+    e = table(spark, sf_dir, "events").withColumns({"archive": F.floor(F.col("event_id") / 4096), "user": F.col("user_id").cast("string")})
+    line = lambda df, part, at, text: df.select("archive", F.lit(part).alias("part"), at.alias("at"), text.alias("value"))
+    capture = F.to_json(F.struct(F.col("user").alias("query_name"), F.concat(F.lit('} ", ] \\ {'), "event_type").alias("raw_text"), F.struct(F.col("event_type").alias("header")).alias("parsed")))
+    latest = e.groupBy("archive", "user").agg(F.max_by("event_type", "event_id").alias("race"))
+    record = F.to_json(F.struct(F.struct("race").alias("latest")))
+    ends = e.select("archive").distinct()
+    lines = [
+        line(ends, 0, F.lit(0).cast("long"), F.lit('{"version": "}", "captures": ["no } \\" object"')), line(e, 1, F.col("event_id"), F.concat(F.lit(","), capture)),
+        line(ends, 2, F.lit(0).cast("long"), F.lit('], "records": {"none": 7')), line(latest, 3, F.col("user").cast("long"), F.concat(F.lit(',"'), "user", F.lit('": '), record)),
+        line(ends, 4, F.lit(0).cast("long"), F.lit("}}")),
+    ]
+    path = f"{shared_dir(spark)}/objects-{uuid.uuid4().hex}"
+    whole = reduce(DataFrame.unionByName, lines).repartition("archive").sortWithinPartitions("archive", "part", "at")
+    whole.select("archive", "value").write.partitionBy("archive").text(path)
+    captures, snapshots = sources.split_archives(spark, path, chunk=50_000)
+    shown = lambda kind, df, user, value, text, place: df.select(F.lit(kind).alias("kind"), F.col(user).cast("long").alias("user_id"), F.col(value).alias("value"), text.alias("text"), place.cast("long").alias("place"))
+    return shown("capture", captures, "query_name", "parsed.header", F.col("raw_text"), F.col("ord")).unionByName(shown("snapshot", snapshots, "key", "race", F.lit(None).cast("string"), F.lit(None)))
+
+
 def a2_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A2, A4: conversations written as CSV with quotes, commas and line ends, and read back with a field that the file lacks."""
     c = table(spark, sf_dir, "conversations")
@@ -124,7 +146,7 @@ def a3_names(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "t1_key_staging": t1_key_staging, "t1_document_slugs": t1_document_slugs, "t2_page_text": t2_page_text, "t3_capture_text": t3_capture_text,
-    "b11_mask_urls": b11_mask_urls, "t4_name_tokens": t4_name_tokens, "t5_typed_staging": t5_typed_staging, "a1_capture_lines": a1_capture_lines, "a1_archive": a1_archive, "a2_csv": a2_csv, "a3_names": a3_names,
+    "b11_mask_urls": b11_mask_urls, "t4_name_tokens": t4_name_tokens, "t5_typed_staging": t5_typed_staging, "a1_capture_lines": a1_capture_lines, "a1_archive": a1_archive, "a1_split": a1_split, "a2_csv": a2_csv, "a3_names": a3_names,
 }
 
 _first = rf"coalesce(list_filter(string_split({sql_normalise('text')}, chr(10)), lambda x: {sql_clean('x')} <> '')[1], '')"
@@ -172,6 +194,9 @@ select o_orderkey, case when contains(o_orderpriority, o_orderstatus) then o_ord
     "a1_archive": """with e as (select *, event_id // 64 as archive from events)
 select 'capture' as kind, user_id, event_type as value, row_number() over (partition by archive order by event_id) as place from e
 union all select 'snapshot', user_id, arg_max(event_type, event_id), null from e group by archive, user_id""",
+    "a1_split": """with e as (select *, event_id // 4096 as archive from events)
+select 'capture' as kind, user_id, event_type as value, '} ", ] ' || chr(92) || ' {' || event_type as text, row_number() over (partition by archive order by event_id) as place from e
+union all select 'snapshot', user_id, arg_max(event_type, event_id), null, null from e group by archive, user_id""",
     "a2_csv": f"select conv_id, turn, {sql_clean(chr(39) + ' \"q\", ' + chr(39) + ' || coalesce(text, ' + chr(39) * 2 + ')')} as said, '' as absent from conversations",
     "a3_names": "select trim(c_name) as name from customer where c_mktsegment <> 'BUILDING' and trim(c_name) <> ''",
 }

@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from recordloom.functions.exprs import clean
+from recordloom.sources.members import archive_members
 
 _PARSED = T.StructType([T.StructField(n, T.StringType()) for n in "header display_name character_name query_name epithet_or_title role descriptor race class level status last_login_text last_login_estimated_date captured_date body_text".split()])
 CAPTURE = T.StructType(
@@ -32,7 +33,11 @@ def read_archive(spark: SparkSession, path: str, lines: bool = False) -> DataFra
 
 def archive_captures(archive: DataFrame) -> DataFrame:
     """A1: captures in order (``ord``); members that are no objects are skipped."""
-    rows = archive.select(F.posexplode("captures").alias("ord", "c")).select("ord", F.from_json("c", CAPTURE).alias("c")).filter("c is not null")
+    return _captures(archive.select(F.posexplode("captures").alias("ord", "c")))
+
+
+def _captures(members: DataFrame) -> DataFrame:
+    rows = members.select("ord", F.from_json("c", CAPTURE).alias("c")).filter("c is not null")
     some = F.coalesce(*[F.col(f"c.{n}").cast("string") for n in CAPTURE.fieldNames() if n not in ("parsed", "source_queue")], F.col("c.parsed").cast("string"))
     return rows.filter(some.isNotNull()).select("ord", "c.*")
 
@@ -42,6 +47,14 @@ def archive_snapshots(archive: DataFrame) -> DataFrame:
     return archive.select(F.explode("records").alias("key", "r")).filter("r.latest is not null").select("key", "r.latest.*")
 
 
+def split_archives(spark: SparkSession, path: str, chunk: int = 1 << 20) -> tuple[DataFrame, DataFrame]:
+    """A1 for large objects: captures and snapshots, as above, of one object per file; a file is read by as many tasks as it has blocks (``members.archive_members``)."""
+    members = archive_members(spark, path, {"captures": "[", "records": "{"}, chunk)
+    captures = _captures(members.filter("section = 'captures'").select("ord", F.col("text").alias("c")))
+    entry = F.from_json(F.concat(F.lit("{"), "text", F.lit("}")), ARCHIVE["records"].dataType)
+    return captures, archive_snapshots(members.filter("section = 'records'").select(entry.alias("records")))
+
+
 def read_capture_lines(spark: SparkSession, path: str) -> DataFrame:
     """A1 at scale: one capture per line, so that files split."""
     return spark.read.schema(CAPTURE).json(path)

@@ -1,6 +1,8 @@
 import hashlib
 import json
+import random
 
+import pytest
 from pyspark.sql import Row, functions as F
 
 from recordloom.operators import intake
@@ -181,3 +183,36 @@ def test_sources(spark):
     s = "source_id string, title string, notes string"
     got = intake.upsert_sources(spark.createDataFrame([("a", "", "n"), ("b", "t", "")], s), spark.createDataFrame([("a", "new", "m"), ("c", "x", "y")], s), ["title"]).collect()
     assert sorted(tuple(r) for r in got) == [("a", "new", "n | m"), ("b", "t", ""), ("c", "x", "y")]
+
+
+def test_large_objects_are_split(spark, tmp_path):
+    """Blocks of 300 bytes and chunks of 40 characters give what one reading of the whole object gives."""
+    rng = random.Random(5)
+    odd = ["", "}", '"', "\\", "}\\", '{"', "], [", "é}€", "\n}", '\\"}', ",", "x" * 700, "}" * 60]
+    text = lambda: "".join(rng.choice(odd) for _ in range(rng.randrange(6)))
+    for number, indent in enumerate([None, 2, None]):
+        members = [rng.choice([{"query_name": text(), "raw_text": text(), "parsed": {"header": text(), "race": "e"}}, {"raw_text": "r" + text()}, text(), 7, None, [text(), {"raw_text": "}"}]]) for _ in range(80)]
+        body = {"version": "}", 'k}"': {"captures": [1, {"raw_text": "no"}]}, "captures": members if number < 2 else [], "note}": "}{", "records": {f"{k}}}": rng.choice([{"latest": {"race": text()}}, {}, 3]) for k in range(40)}}
+        folder = tmp_path / f"f{number}"
+        folder.mkdir()
+        (folder / "a.json").write_text(json.dumps(body, indent=indent, ensure_ascii=number == 0) + "\n" * number, encoding="utf-8")
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "300")
+        try:
+            captures, snapshots = tables.split_archives(spark, str(folder), chunk=40)
+            got = sorted((r.ord, r.query_name, r.raw_text, r.parsed and (r.parsed.header, r.parsed.race)) for r in captures.collect())
+            shots = sorted((r.key, r.race) for r in snapshots.collect())
+        finally:
+            spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        want = [(k, m.get("query_name"), m["raw_text"], "parsed" in m and (m["parsed"]["header"], "e") or None) for k, m in enumerate(body["captures"]) if isinstance(m, dict)]
+        assert got == want
+        assert shots == sorted((k, r["latest"]["race"]) for k, r in body["records"].items() if isinstance(r, dict) and "latest" in r)
+
+
+def test_large_objects_that_are_wrong(spark, tmp_path):
+    for number, (text, said) in enumerate([('{"captures": []}', "records"), ('{"captures": {}, "records": {}}', "captures"), ('{"captures": [{"a": 1}', "ends before"), ('[{"captures": [], "records": {}}]', "captures"), ('{"a": "} ', "ends before")]):
+        (tmp_path / f"{number}.json").write_text(text)
+        with pytest.raises(ValueError, match=said):
+            tables.split_archives(spark, str(tmp_path / f"{number}.json"))
+    (tmp_path / "twice.json").write_text('{"captures": [{"raw_text": "a"}], "records": {}, "captures": [3, {"raw_text": "b"}]}')
+    captures, snapshots = tables.split_archives(spark, str(tmp_path / "twice.json"))
+    assert [(r.ord, r.raw_text) for r in captures.collect()] == [(1, "b")] and snapshots.count() == 0
