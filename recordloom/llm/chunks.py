@@ -138,7 +138,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     chunks = work.store(chunk_table(docs.filter(quoted(id_col).isNotNull()), id_col, text_col), "chunks")
     first = chunks.groupBy("d1", "d2").agg(F.min(F.struct(*DOC, "start")).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
     first = work.store(first.select("d1", "d2", F.col("first.doc_id").alias("first_doc_id"), F.col("first.text_hash").alias("first_hash"), F.col("first.start").alias("first_start")), "first")
-    hits = chunks.join(first.hint("shuffle_hash"), ["d1", "d2"]).filter("doc_id <> first_doc_id or text_hash <> first_hash or start <> first_start")
+    hits = chunks.join(first.hint("merge"), ["d1", "d2"]).filter("doc_id <> first_doc_id or text_hash <> first_hash or start <> first_start")
     hits = work.store(hits.withColumn("shift", F.col("start") - F.col("first_start")).drop("first_start"), "hits")
     work.drop("chunks", "first")
 

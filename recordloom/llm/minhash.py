@@ -193,7 +193,7 @@ def _blocks(classes: DataFrame, work: Scratch) -> tuple[DataFrame, DataFrame]:
     """
     buckets = classes.select("node", F.explode("bands").alias("bucket"))
     hubs = work.store(buckets.groupBy("bucket").agg(F.min("node").alias("hub"), F.max("node").alias("last")).filter("hub <> last").select("bucket", "hub"), "hubs")
-    members = work.store(buckets.join(hubs.hint("shuffle_hash"), "bucket"), "members")
+    members = work.store(buckets.join(hubs.hint("merge"), "bucket"), "members")
     keyed = work.store(members.groupBy("node").agg(F.min("hub").alias("key")).join(classes.select("node", "n_grams"), "node"), "keyed")
     parts = F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK, F.sum("n_grams") / BLOCK_GRAMS)).cast("int")
     parts = work.store(keyed.groupBy("key").agg(parts.alias("parts")), "parts")
@@ -216,13 +216,13 @@ def _gram_sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, w
     """
     texts = docs.select(quoted(id_col).alias("rep"), quoted(text_col).alias("text"), F.xxhash64(quoted(text_col)).alias("rep_hash"))
     owners = wanted.filter("rep is not null").withColumns({"rep_hash": F.col("rep.text_hash"), "rep": F.col("rep.doc_id")})
-    named = texts.filter("rep is not null").join(owners.hint("shuffle_hash"), ["rep", "rep_hash"])
+    named = texts.filter("rep is not null").join(owners.hint("merge"), ["rep", "rep_hash"])
     names = ["text", "d1", "d2", "node", "block", "copies", "tasks"]
     nameless = wanted.filter("rep is null").drop("rep")
     found = named.select(*names)
     if not nameless.isEmpty():
         digests = texts.filter("rep is null").select("text").mapInArrow(_with_digest, "text string, d1 long, d2 long")
-        found = found.unionByName(digests.join(nameless.hint("shuffle_hash"), ["d1", "d2"]).select(*names))
+        found = found.unionByName(digests.join(nameless.hint("merge"), ["d1", "d2"]).select(*names))
 
     def collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -294,7 +294,7 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     )
     known = work.store(known, "known")
     names = ["doc_id", "text_hash", "class_id", "class_hash", "n_links", "n_copies"]
-    full = signed.filter("d1 is not null").select("doc_id", "text_hash", "d1", "d2").join(known.hint("shuffle_hash"), ["d1", "d2"]).select(*names)
+    full = signed.filter("d1 is not null").select("doc_id", "text_hash", "d1", "d2").join(known.hint("merge"), ["d1", "d2"]).select(*names)
     none = signed.filter("d1 is null").withColumns({"class_id": F.col("doc_id"), "class_hash": F.col("text_hash"), "n_links": F.lit(0).cast("long"), "n_copies": F.lit(1).cast("long")})
     out = materialize(full.unionByName(none.select(*names)), "jaccard-classes")
     work.close()

@@ -29,15 +29,15 @@ def set_aside(docs: DataFrame, added: list[str]) -> tuple[DataFrame, dict[str, s
 
 
 def join_by_text(docs: DataFrame, id_col: str, text_col: str, small: DataFrame, key: str, key_hash: str, how: str) -> DataFrame:
-    """Hash join of whole documents with a stored narrow table by id and hash of the text, ``how`` being ``left`` or ``left_anti``.
+    """Merge join of whole documents with a stored narrow table by id and hash of the text, ``how`` being ``left`` or ``left_anti``.
 
     An id may stand before several texts, so the id alone says nothing. The same
-    plan at every size: both sides are dealt by id and hash and the narrow one is
-    hashed, so texts are never sorted and a repeated id can be split. Rows without
+    plan at every size: both sides are dealt by id and hash and sorted, which spills
+    where a table in memory would fail, and a repeated id can be split. Rows without
     an id match nothing; they go round the join, or they would all meet in one task.
     """
     own = quoted(id_col)
-    joined = docs.filter(own.isNotNull()).join(small.hint("shuffle_hash"), (own == F.col(key)) & (F.xxhash64(quoted(text_col)) == F.col(key_hash)), how)
+    joined = docs.filter(own.isNotNull()).join(small.hint("merge"), (own == F.col(key)) & (F.xxhash64(quoted(text_col)) == F.col(key_hash)), how)
     rest = docs.filter(own.isNull())
     for c in joined.columns[len(docs.columns) :]:
         rest = rest.withColumn(c, F.lit(None).cast(small.schema[c].dataType))

@@ -56,7 +56,7 @@ def build_headers(pages: DataFrame, id_col: str = "page_id", url_col: str = "url
     keys = work.store(keys.withColumn("row", F.monotonically_increasing_id()), "keys")
     shared = keys.filter((F.col("payload_bytes") >= min_bytes) & F.col("page_id").isNotNull()).groupBy("payload_digest").agg(F.min(F.struct("page_id", "row")).alias("first"))
     shared = work.store(shared.select("payload_digest", F.col("first.page_id").alias("f_page"), F.col("first.row").alias("f_row")), "first")
-    rows = keys.join(shared.hint("shuffle_hash"), "payload_digest", "left")
+    rows = keys.join(shared.hint("merge"), "payload_digest", "left")
     revisit = F.col("f_page").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("f_page"))
 
     uri = F.coalesce("uri", F.lit("urn:none"))
