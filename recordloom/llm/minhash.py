@@ -27,6 +27,8 @@ from recordloom.sources.scratch import Scratch, materialize
 WORDS, SIMILARITY, RECALL, MOST_HASHES = 5, 0.8, 0.9999, 128
 #: Texts and n-grams of a block in verification, at most; n-grams of a task; text bytes hashed at a time.
 BLOCK, BLOCK_GRAMS, TASK_GRAMS, BATCH_BYTES = 256, 1 << 20, 1 << 19, 1 << 20
+#: Comparisons that travel with one copy of a text, in the mean of a block's lists.
+LIST = 4096
 
 
 def choose_bands(similarity: float = SIMILARITY, recall: float = RECALL, most_hashes: int = MOST_HASHES) -> tuple[int, int]:
@@ -209,7 +211,7 @@ def _blocks(classes: DataFrame, work: Scratch) -> tuple[DataFrame, DataFrame]:
 
 
 def _gram_sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, words: int, work: Scratch) -> DataFrame:
-    """``node, block, copies, tasks, grams`` of the wanted classes, from the texts of their representatives.
+    """``node, block, copies, tasks, grams`` of the wanted classes, from the texts of their representatives; one row per list of tasks.
 
     Texts meet the classes once, by id and hash; those that only rows without an id
     hold are found by their digest.
@@ -270,9 +272,12 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     classes = _classes(signed, work)
     placed, pairs = _blocks(classes, work)
 
-    # which comparisons each text takes part in; comparisons share tasks of some TASK_GRAMS n-grams
+    # which comparisons each text takes part in, in lists of some LIST; comparisons share tasks of some TASK_GRAMS n-grams
     sides = pairs.withColumn("block", F.explode(F.array_distinct(F.array("i", "j"))))
-    tasks = work.store(sides.groupBy("block").agg(F.collect_list(F.struct("i", "j")).alias("tasks")), "tasks")
+    lists = sides.groupBy("block").agg(F.ceil(F.count(F.lit(1)) / LIST).alias("lists"))
+    part = F.pmod(F.xxhash64("j", "i"), F.col("lists"))
+    tasks = sides.join(lists, "block").groupBy("block", part.alias("part")).agg(F.collect_list(F.struct("i", "j")).alias("tasks"))
+    tasks = work.store(tasks.drop("part"), "tasks")
     wanted = placed.select("node", "block").join(tasks, "block").join(classes.select("node", "d1", "d2", "rep", "copies", "n_grams"), "node")
     wanted = work.store(wanted, "wanted")
     moved = wanted.agg(F.sum(F.size("tasks") * F.col("n_grams"))).first()[0] or 0

@@ -53,12 +53,12 @@ def flattened_targets(cells: DataFrame, dimensions=DIMENSIONS, power: float = FL
 
 def marginals(cells: DataFrame, targets: dict[str, DataFrame], weight: str = "weight") -> DataFrame:
     """``dimension, value, target, reached`` of every value; ``reached`` is its share of the cells' weights."""
-    out = None
+    out, whole = None, float(cells.agg(F.sum(weight)).first()[0] or 0)
     for d, target in targets.items():
-        now = cells.groupBy(d).agg(F.sum(weight).alias("__now")).crossJoin(cells.agg(F.sum(weight).alias("__all")))
+        now = cells.groupBy(d).agg((F.sum(weight) / (whole or 1.0)).alias("__reached"))
         part = now.join(target, d, "full").select(
-            F.lit(d).alias("dimension"), F.col(d).cast("string").alias("value"), F.coalesce("target", F.lit(0.0)).alias("target"),
-            F.coalesce(F.when(F.col("__all") > 0, F.col("__now") / F.col("__all")), F.lit(0.0)).alias("reached"),
+            F.lit(d).alias("dimension"), F.col(d).cast("string").alias("value"),
+            F.coalesce("target", F.lit(0.0)).alias("target"), F.coalesce("__reached", F.lit(0.0)).alias("reached"),
         )
         out = part if out is None else out.unionByName(part)
     return out

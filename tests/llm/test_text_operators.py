@@ -414,6 +414,16 @@ def test_jaccard_join(spark, real, source):
     assert got == brute_links(docs)
 
 
+def test_many_comparisons_of_a_text(spark, monkeypatch):
+    """Small blocks and lists: a text that takes part in many comparisons travels once per list of them."""
+    monkeypatch.setattr(minhash, "BLOCK", 16)
+    monkeypatch.setattr(minhash, "LIST", 3)
+    docs = near_copies()
+    got = minhash.jaccard_join(spark.createDataFrame([*docs, *[(None, docs[0][1] + " end")] * 2], "doc_id long, text string").repartition(3))
+    want = brute_links([*docs, (9001, docs[0][1] + " end"), (9002, docs[0][1] + " end")])
+    assert {r.doc_id: (r.class_id, r.n_links) for r in got.filter("doc_id is not null").collect()} == {i: want[i] for i, _ in docs}
+
+
 def test_jaccard_odd(spark, odd, none):
     got = minhash.jaccard_join(odd).collect()
     assert sorted((r.doc_id or 0, r.class_id or 0, r.n_links) for r in got) == [(0, 0, 0), (1, 1, 1), (1, 1, 1), (2, 2, 0), (3, 3, 0), (4, 4, 1), (5, 5, 0), (6, 6, 0), (7, 4, 1)]
@@ -458,7 +468,7 @@ def test_megabytes(spark):
 
 
 def test_registry_names():
-    assert sorted(int(k[2:].split("_")[0]) for k in registry.QUERIES) == list(range(1, 11))
+    assert sorted(int(k[2:].split("_")[0]) for k in registry.QUERIES) == list(range(1, 14))
 
 
 def test_texts_that_share_an_id(spark):
