@@ -412,6 +412,17 @@ def test_urls(spark):
 
 
 # ---- quality rules
+def test_url_rules_are_the_contract_s(spark):
+    """Verdicts by the five rules as the contract words them, written out here."""
+    want = {
+        "http://a.com/en/x": ("com/en/", "block"), "http://example.com/en/71": ("example.com/en/7", "allow"), "http://a.net/de/9": ("net/de/", "allow"),
+        "http://example.net/de/9": ("net/de/", "allow"), "http://sub.example.net/de/81": ("example.net/de/8", "block"), "http://a.org/es/": ("org/es/", "block"),
+    }
+    df = spark.createDataFrame([(i, u) for i, u in enumerate(want)], "page_id long, url string")
+    for default in ("allow", "block"):
+        assert {r.url: (r.rule, r.verdict) for r in urls.filter_urls(df, urls.rules_frame(spark), default=default).collect()} == want
+
+
 def brute_quality(text):
     import re
 
