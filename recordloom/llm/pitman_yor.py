@@ -4,7 +4,8 @@ A token's context is the latest frequent word before it in its text (or the
 text's beginning). Every context is a restaurant; all share one parent
 restaurant over words, which rests on a uniform base. Seatings are sampled by
 Gibbs sweeps: all customers of a dish leave their restaurant and are seated anew,
-in one draw from their exact conditional distribution given everyone else.
+in one draw from their exact conditional distribution given everyone else,
+however many they are.
 Predictive probabilities are averaged over the samples. Totals of tables outside
 a part are held at those of the last round; rounds are repeated until the totals
 settle, and each sample's probabilities use the totals of that sample, so they
@@ -45,8 +46,13 @@ FAN, LOT_TOKENS = 1024, 1_000_000
 SETTLED, MOST_ROUNDS = 0.002, 40
 #: Strength of every restaurant; discounts come from the counts of counts.
 STRENGTH = 1.0
-#: Customers of a dish up to which seatings are drawn exactly, and customers drawn for at a time.
+#: Customers of a dish up to which numbers of seatings come from a table (beyond, from integrals), and customers drawn for at a time.
 MOST_EXACT, DRAWN = 1024, 200_000
+#: Points of such an integral on a side of its parabola and on a circle, points that an octave's polynomial is fitted to, and
+#: the logarithm below the most likely number of tables at which others are too unlikely to count beside rounding.
+SIDE, CIRCLE, NODES, UNLIKELY = 44, 64, 18, 80
+#: Octaves up to this length are kept number by number.
+WRITTEN_OUT = 512
 #: Partial sums of (document, part) that a task gathers before it sends their sums on.
 MOST_WAITING = 1_500_000
 _HELD = 1 << 15
@@ -327,53 +333,163 @@ def partitions(discount: float, most: int = MOST_EXACT) -> np.ndarray:
     return out.astype(np.float32)
 
 
+@lru_cache(4)
+def _tilts(discount: float) -> tuple[np.ndarray, np.ndarray]:
+    """Logarithms of mean sizes, ascending, and the tilts exp(-tilt * size) at which single tables have them."""
+    tilt = np.exp(np.linspace(np.log(30), np.log(1e-12), 4000))
+    u = -np.expm1(-tilt)
+    z = np.exp(-tilt)
+    return np.log(np.maximum(discount * z * u ** (discount - 1) / -np.expm1(discount * np.log1p(-z)), 1)), tilt
+
+
+def _log_sizes(tilt: np.ndarray, discount: float) -> np.ndarray:
+    """Logarithm of (1 - (1 - z)^discount) / discount, the generating function of a table's size, at z = exp(-tilt)."""
+    z = np.exp(-tilt)
+    rest = np.log(-np.expm1(-tilt))
+    far = tilt.real > 0.5  # where 1 - z would lose z's last digits
+    if far.any():
+        x = z[far]
+        rest[far] = 0.5 * np.log1p(np.abs(x) ** 2 - 2 * x.real) + 1j * np.arctan2(-x.imag, 1 - x.real)
+    return np.log(-np.expm1(discount * rest) / discount)
+
+
+def log_seatings(c: int, t: np.ndarray, discount: float) -> np.ndarray:
+    """Logarithms of generalised Stirling numbers of any size, c customers at t tables, less that of c!.
+
+    The number times t! / c! is coefficient c of the t-th power of the generating
+    function of a table's size. Cauchy's integral for it is summed along a parabola
+    round the branch at z = 1, through the saddle point where there is one, or, if
+    sizes hardly vary, round a circle. Such sums converge geometrically, so what is
+    left is rounding.
+    """
+    t = np.asarray(t, np.float64)
+    out = np.full(len(t), -math.lgamma(c + 1))  # as many tables as customers: one way
+    tilt = np.maximum(np.interp(np.log(c / t), *_tilts(discount)), np.pi / c)
+    z, u = np.exp(-tilt), -np.expm1(-tilt)
+    mean = discount * z * u ** (discount - 1) / -np.expm1(discount * np.log(u))
+    spread = np.sqrt(t * np.maximum(mean * (1 + (1 - discount) * z / u - mean), 1e-300))
+    for circle in (False, True):
+        some = np.flatnonzero((t < c) & ((spread < 3) == circle))
+        if len(some):
+            m, tables = tilt[some, None], t[some, None]
+            if circle:
+                step = np.full((len(some), 1), 2 * np.pi / CIRCLE)
+                at, turn = m + 1j * step * np.arange(CIRCLE), np.ones(CIRCLE)
+                scale = np.full(len(some), 1 / CIRCLE)
+            else:
+                step = np.minimum(0.2, 1 / (8 * m * spread[some, None]))
+                at = 1 + 1j * step * np.arange(SIDE)
+                at, turn = m * at**2, at * np.where(np.arange(SIDE) > 0, 2, 1)  # both sides are conjugate
+                scale = (m * step / np.pi)[:, 0]
+            start = _log_sizes(m + 0j, discount).real
+            total = (turn * np.exp(tables * (_log_sizes(at, discount) - start) + c * (at - m))).real.sum(1)
+            out[some] = (tables * start + c * m)[:, 0] + np.log(scale * total) - [math.lgamma(x + 1) for x in t[some]]
+    return out
+
+
+@lru_cache(1 << 13)
+def _octave(c: int, low: int, high: int, discount: float) -> np.ndarray:
+    """Logarithms of seatings of c customers at low to high tables: of each, or, if these are many, a Chebyshev polynomial's coefficients."""
+    if high - low < 4 * NODES:
+        return log_seatings(c, np.arange(low, high + 1), discount)
+    x = np.cos(np.pi * (np.arange(NODES) + 0.5) / NODES)
+    y = log_seatings(c, (low + high) / 2 + (high - low) / 2 * x, discount)
+    out = 2 / NODES * (np.cos(np.pi * np.outer(np.arange(NODES), np.arange(NODES) + 0.5) / NODES) @ y)
+    out[0] /= 2
+    return out if high - low >= WRITTEN_OUT else np.polynomial.chebyshev.chebval(np.linspace(-1, 1, high - low + 1), out)
+
+
+def log_range(c: int, low: int, high: int, discount: float) -> np.ndarray:
+    """Logarithms of seatings of c customers, beyond MOST_EXACT, at low, low + 1, ..., high tables.
+
+    They are smooth in octaves of the tables and, beyond half the customers, of the
+    customers less the tables; short octaves are worked out number by number.
+    """
+    out, at = [], low
+    while at <= high:
+        if 2 * at <= c:
+            a = 1 << at.bit_length() - 1
+            a, b = (1, 4 * NODES - 1) if at < 4 * NODES else (max(a, 4 * NODES), min(2 * a - 1, c // 2))
+        else:
+            k = 1 << max((c - at).bit_length() - 1, 0)
+            a, b = (c - 4 * NODES + 1, c) if c - at < 4 * NODES else (max(c - 2 * k + 1, c // 2 + 1), min(c - k, c - 4 * NODES))
+        to = min(b, high)
+        found = _octave(c, a, b, discount)
+        if b - a < WRITTEN_OUT:
+            out.append(found[at - a : to + 1 - a])
+        else:
+            out.append(np.polynomial.chebyshev.chebval((2 * np.arange(at, to + 1) - a - b) / (b - a), found))
+        at = to + 1
+    return np.concatenate(out)
+
+
+@lru_cache(1 << 13)
+def _steps(c: int, discount: float) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers of tables, each a tenth more than the last at most, and how seatings of c customers grow there, roughly."""
+    grid = np.unique(np.append(np.floor(2 ** np.arange(0, np.log2(c), 0.125)), c)).astype(np.int64)
+    tilt = np.interp(np.log(c / grid[:-1]), *_tilts(discount))
+    return grid, _log_sizes(tilt + 0j, discount).real - np.log(grid[:-1] + 1)
+
+
+def _reseat_any(c: int, weight, discount: float, draw: float) -> int:
+    """Tables of one dish of any number of customers; ``draw`` is uniform in 0 to 1.
+
+    Numbers of tables whose chance is below rounding are left out of the sum: the
+    rough chances tell where, and the range grows until both its ends say so.
+    """
+    grid, slope = _steps(c, discount)
+    slope = slope + weight(grid[:-1])
+    ends = np.append(slope, slope[-1])
+    rough = np.append(0, np.cumsum(np.diff(grid) * (ends[1:] + ends[:-1]) / 2))
+    some = np.flatnonzero(rough >= rough.max() - UNLIKELY)
+    a, b = some[0] - 2, some[-1] + 2
+    while True:
+        a, b = max(a, 0), min(b, len(grid) - 1)
+        low, high = int(grid[a]), int(grid[b])
+        w = log_range(c, low, high, discount) + np.append(0, np.cumsum(weight(np.arange(low, high))))
+        w -= w.max()
+        short, long = a > 0 and w[0] > -UNLIKELY / 2, b < len(grid) - 1 and w[-1] > -UNLIKELY / 2
+        if not short and not long:
+            break
+        a, b = a - 4 * short, b + 4 * long
+    w = np.cumsum(np.exp(w))
+    return low + min(int(np.searchsorted(w, draw * w[-1], "right")), high - low)
+
+
 def reseat(count: np.ndarray, weights, discount: float, rng: np.random.Generator) -> np.ndarray:
-    """Tables of ``count`` customers (2 to MOST_EXACT) of each dish, drawn given all others.
+    """Tables of ``count`` customers (2 or more) of each dish, drawn given all others.
 
-    ``weights(i, k)`` is the log weight of opening the (k + 1)-th table of dish ``i``.
+    ``weights(i, k)`` is the log weight of opening the (k + 1)-th table of dish
+    ``i``. Up to MOST_EXACT customers the numbers of seatings come from a table;
+    beyond, from their integral, for the same distribution.
     """
-    out, table, at = np.empty(len(count)), partitions(round(discount, 6)), 0
-    ends = np.cumsum(count)
-    while at < len(count):  # some at a time, so that memory stays small
+    out, d = np.empty(len(count)), round(discount, 6)
+    many = np.flatnonzero(count > MOST_EXACT)
+    for i, draw in zip(many.tolist(), rng.random(len(many)).tolist()):
+        out[i] = _reseat_any(int(count[i]), lambda k: weights(i, k), d, draw)  # noqa: B023
+    few = np.flatnonzero(count <= MOST_EXACT)
+    if not len(few):
+        return out
+    table, at = partitions(d), 0
+    ends = np.cumsum(count[few])
+    while at < len(few):  # some at a time, so that memory stays small
         to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + DRAWN)))
-        c = count[at:to]
+        c = count[few[at:to]]
         stop = np.cumsum(c)
         start = stop - c
         item = np.repeat(np.arange(len(c)), c)
         k = np.arange(stop[-1]) - start[item]
-        w = np.cumsum(weights(item + at, k))
+        w = np.cumsum(weights(few[item + at], k))
         w = w - np.append(0, w)[start][item] + table[c[item], k + 1]
         w = np.exp(w - np.maximum.reduceat(w, start)[item])
         w = np.cumsum(w)
         before = np.append(0, w)[start]
         picked = np.searchsorted(w, before + rng.random(len(c)) * (w[stop - 1] - before), "right")
-        out[at:to] = np.clip(picked - start, 0, c - 1) + 1
+        out[few[at:to]] = np.clip(picked - start, 0, c - 1) + 1
         at = to
     return out
 
 
-def seat(count: np.ndarray, pull: np.ndarray, discount: float, rng: np.random.Generator) -> np.ndarray:
-    """Tables after seating ``count`` customers of one dish each, one after another: for dishes beyond MOST_EXACT customers.
-
-    The next customer opens a table with weight ``pull`` (the restaurant's weight
-    of new tables times the parent's probability of the dish) against the seated
-    customers less the discount per table. Beyond 64 customers, runs of
-    a sixteenth of those seated are seated at once.
-    """
-    tables = (count > 0).astype(np.float64)
-    left = np.flatnonzero(count > 1)
-    seated, step = 1, 1
-    while len(left):
-        take = np.minimum(count[left] - seated, step).astype(np.float64)
-        middle = seated + (take - 1) / 2
-        p = pull[left] / (pull[left] + middle - discount * tables[left])
-        tables[left] += rng.random(len(left)) < p if step == 1 else rng.binomial(take.astype(np.int64), p)
-        seated += step
-        step = 1 if seated < 64 else seated // 16
-        left = left[count[left] > seated]
-    return tables
-
-
 class Totals:
     """Per-context customers and tables, and the parent's customers, tables and vocabulary."""
 
@@ -433,8 +549,7 @@ def sweeps(pairs: dict, totals: Totals, n: int, seed: list[int]) -> Iterator[tup
     word, ctx, c = pairs["word"], pairs["ctx"], pairs["c"]
     customers, base = np.bincount(word, weights=tables), 1 / (totals.words + 1)
     whole, fresh = STRENGTH + totals.t.sum(), (STRENGTH + d0 * totals.parent_tables) * base
-    several = np.flatnonzero((c > 1) & (c <= MOST_EXACT))
-    many = np.flatnonzero(c > MOST_EXACT)
+    several = np.flatnonzero(c > 1)
     for _ in range(n):
         side = rng.random(len(several)) < 0.5
         for some in (several[side], several[~side]):
@@ -447,17 +562,10 @@ def sweeps(pairs: dict, totals: Totals, n: int, seed: list[int]) -> Iterator[tup
 
             tables[some] = reseat(c[some], weights, d, rng)
             customers = np.bincount(word, weights=tables)
-        if len(many):
-            p = (np.maximum(customers - d0 * parent, 0) + fresh) / whole
-            tables[many] = seat(c[many], ((STRENGTH + d * totals.t)[ctx] * p[word])[many], d, rng)
-            customers = np.bincount(word, weights=tables)
         parent = (customers > 0).astype(np.float64)
-        some = np.flatnonzero((customers > 1) & (customers <= MOST_EXACT))
+        some = np.flatnonzero(customers > 1)
         room = STRENGTH + d0 * max(totals.parent_tables, 0)
         parent[some] = reseat(customers[some].astype(np.int64), lambda i, k: np.log((room + d0 * k) * base), d0, rng)  # noqa: B023
-        some = np.flatnonzero(customers > MOST_EXACT)
-        if len(some):
-            parent[some] = seat(customers[some].astype(np.int64), np.full(len(some), fresh), d0, rng)
         yield tables.copy(), parent
 
 

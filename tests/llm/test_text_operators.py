@@ -301,6 +301,41 @@ def test_draws_against_moving_single_customers(c, p):
     assert got.mean() == pytest.approx(total / steps, rel=0.03)
 
 
+def test_seatings_beyond_the_table(monkeypatch):
+    """Dishes of more customers than the table of seatings holds: their numbers, draws and sweeps follow the same distribution."""
+    rng = np.random.default_rng(3)
+    for c, d in ((1500, 0.05), (1500, 0.65), (2100, 0.95)):
+        row, t = np.append(0.0, np.full(c, -np.inf)), np.arange(c + 1)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            for n in range(c):
+                row = np.logaddexp(row + np.log(np.maximum(n - d * t, 0)), np.append(-np.inf, row[:-1]))
+        got = pitman_yor.log_range(c, 1, c, d) + math.lgamma(c + 1)
+        assert np.abs(got - row[1:]).max() < 1e-7
+        assert np.array_equal(pitman_yor.log_range(c, 300, 420, d), pitman_yor.log_range(c, 1, c, d)[299:420])
+        for room, others in ((3e4, 50), (1e6, 9e4), (10, 0)):  # some tables, nearly as many as customers, hardly more than one
+
+            def weights(i, k, room=room, others=others, d=d):
+                return np.log((room + d * k) * (others + k + 1e-6) / 2e5)
+
+            want = row[1:] + np.cumsum(weights(0, np.arange(c)))
+            want = np.exp(want - want.max())
+            drawn = pitman_yor.reseat(np.full(3000, c), weights, d, rng).astype(int)
+            share = np.cumsum(np.bincount(drawn, minlength=c + 1)[1:]) / len(drawn)
+            assert np.abs(share - np.cumsum(want) / want.sum()).max() < 0.04
+
+    # whole sweeps: by the table, and with all dishes and parent's dishes beyond it
+    word, ctx = np.divmod(np.arange(1200), 3)
+    pairs = {"word": word, "ctx": ctx, "c": np.full(1200, 900)}
+    whole = pitman_yor.Totals(3)
+    whole.t += 40_000
+    whole.words, whole.parent_tables, whole.once = 400.0, 500.0, np.array([60.0, 20, 60, 20])
+    tables = []
+    for most in (1024, 800):
+        monkeypatch.setattr(pitman_yor, "MOST_EXACT", most)
+        tables.append(np.mean([[seated for seated, _ in pitman_yor.sweeps(pairs, whole, 2, [seed, most])][-1] for seed in range(8)]))
+    assert tables[0] == pytest.approx(tables[1], rel=0.05)
+
+
 @pytest.mark.parametrize("fan", [3, 1024])
 def test_hot_words_and_many_parts_change_nothing(spark, monkeypatch, fan):
     """Base scores and known tokens, which are exact, with split parts and tokens dealt in two steps; rows in any order."""
