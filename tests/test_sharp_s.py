@@ -43,3 +43,7 @@ def test_pages_of_mentions(spark, sharp):
 
 def test_titles_cut_within_an_escape(spark, sharp):
     same(spark, sharp, "t2_page_text")
+
+
+def test_summary_of_mentions(spark, sharp):
+    same(spark, sharp, "g10_summary")
