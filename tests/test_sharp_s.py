@@ -47,3 +47,7 @@ def test_titles_cut_within_an_escape(spark, sharp):
 
 def test_summary_of_mentions(spark, sharp):
     same(spark, sharp, "g10_summary")
+
+
+def test_headed_names(spark, sharp):
+    same(spark, sharp, "g2_headed_names")
