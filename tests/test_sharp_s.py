@@ -51,3 +51,7 @@ def test_summary_of_mentions(spark, sharp):
 
 def test_headed_names(spark, sharp):
     same(spark, sharp, "g2_headed_names")
+
+
+def test_comma_names(spark, sharp):
+    same(spark, sharp, "g3_comma_names")
