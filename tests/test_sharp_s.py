@@ -55,3 +55,7 @@ def test_headed_names(spark, sharp):
 
 def test_comma_names(spark, sharp):
     same(spark, sharp, "g3_comma_names")
+
+
+def test_mentions(spark, sharp):
+    same(spark, sharp, "g9_mentions")
