@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -82,11 +83,11 @@ def count_summary(rows: DataFrame, key: str, value: str, order: str, name: str)
     return per.groupBy(key).agg(F.array_join(F.transform(parts, lambda x: x["t"]), "; ").alias(name))
 
 
-def mention_rollup(mentions: DataFrame, key: str, order: str, names: int = 12) -> DataFrame:
-    """Per key the mentions in all, of high confidence, matched, by kind, and the first distinct names."""
+def mention_rollup(mentions: DataFrame, key: str, order: str, names: int = 12, match: Callable[..., Column] = fold) -> DataFrame:
+    """Per key the mentions in all, of high confidence, matched, by kind, and the first distinct names (one if ``match`` makes them equal)."""
     totals = mentions.groupBy(key).agg(F.count("*").alias("n_mentions"), F.count_if(F.col("confidence") == "high").alias("n_high"), F.count_if(F.col("matched")).alias("n_matched"))
     kinds = count_summary(mentions, key, "kind", order, "kinds")
-    first = mentions.groupBy(key, fold("name").alias("__f")).agg(F.min(order).alias("o"), F.min_by("name", order).alias("name"))
+    first = mentions.groupBy(key, match("name").alias("__f")).agg(F.min(order).alias("o"), F.min_by("name", order).alias("name"))
     first = best_per_key(first, [key], ["o"], names)
     listed = first.groupBy(key).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("o", "name"))), lambda x: x["name"]), "; ").alias("names"))
     return totals.join(kinds, key).join(listed, key)

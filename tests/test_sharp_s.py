@@ -59,3 +59,7 @@ def test_comma_names(spark, sharp):
 
 def test_mentions(spark, sharp):
     same(spark, sharp, "g9_mentions")
+
+
+def test_rollup_of_mentions(spark, sharp):
+    same(spark, sharp, "h10_mentions")
